@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .textcodes import BASES, U64, chunks, mix, plain, spans, windows, words
@@ -46,7 +46,11 @@ BLOCK_BITS = 18
 BLOCK_BYTES = 24_000_000
 
 
-def _row_key() -> F.Column:
+def _row_key(docs: DataFrame) -> Column:
+    """A name for each row: doc_id where it is one, else a hash of the row (equal rows may share theirs)."""
+    if docs.schema["doc_id"].dataType.simpleString() in ("bigint", "int"):
+        if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+            return F.col("doc_id").cast("long")
     return F.xxhash64("doc_id", "text")
 
 
@@ -160,16 +164,16 @@ def _estimated(code: np.ndarray, bits: int, flags: list[np.ndarray]) -> np.ndarr
     return out
 
 
-_WINDOW_ROWS = "h long, rest long, doc long, known boolean"
+_WINDOW_ROWS = "h long, rest long, doc long"
 
 
 def _flagged(batches: Iterator[pa.RecordBatch], size: int, seed: int, bits: int, sketch) -> Iterator[pa.RecordBatch]:
     """Windows estimated repeated.
 
     h and the upper half of rest are the window's code, the lower half its
-    start.  known rows need no partner: of a window met twice in one block,
-    one such row goes out as a witness (doc null) and each place as a row
-    without code (h null).
+    start.  Of a window met twice in one block, one row without doc goes out
+    as a witness, and the runs of its places as rows without h, with their
+    length in the upper half of rest: these need no partner.
     """
     flags = sketch.value
     held: list[tuple[np.ndarray, ...]] = []
@@ -190,17 +194,21 @@ def _flagged(batches: Iterator[pa.RecordBatch], size: int, seed: int, bits: int,
             witness = begin[n > 1]
             places = np.flatnonzero(many)
             hi = h2.astype(np.int64) << 32
-            hs = np.concatenate([h[one], h[witness], np.zeros(len(places), dtype=U64)]).view(np.int64)
-            rest = np.concatenate([hi[one] | pos[one], hi[witness], pos[places]])
-            docs = np.concatenate([doc[one], np.zeros(len(witness), dtype=np.int64), doc[places]])
+            places = places[np.lexsort((pos[places], doc[places]))]
+            gap = np.ones(len(places), dtype=bool)
+            gap[1:] = (doc[places[1:]] != doc[places[:-1]]) | (pos[places[1:]] != pos[places[:-1]] + 1)
+            run = np.flatnonzero(gap)
+            length = np.diff(np.append(run, len(places)))
+            run = places[run]
+            hs = np.concatenate([h[one], h[witness], np.zeros(len(run), dtype=U64)]).view(np.int64)
+            rest = np.concatenate([hi[one] | pos[one], hi[witness], (length << 32) | pos[run]])
+            docs = np.concatenate([doc[one], np.zeros(len(witness), dtype=np.int64), doc[run]])
             a, b = len(one), len(one) + len(witness)
             no_h, no_doc = np.zeros(len(hs), dtype=bool), np.zeros(len(hs), dtype=bool)
             no_h[b:], no_doc[a:b] = True, True
-            known = np.ones(len(hs), dtype=bool)
-            known[:a] = False
             for i in range(0, len(hs), 200_000):
                 s = slice(i, i + 200_000)
-                yield pa.RecordBatch.from_arrays([pa.array(hs[s], mask=no_h[s]), pa.array(rest[s]), pa.array(docs[s], mask=no_doc[s]), pa.array(known[s])], ["h", "rest", "doc", "known"])
+                yield pa.RecordBatch.from_arrays([pa.array(hs[s], mask=no_h[s]), pa.array(rest[s]), pa.array(docs[s], mask=no_doc[s])], ["h", "rest", "doc"])
         held, held_bytes = [], 0
 
     for batch in batches:
@@ -235,9 +243,10 @@ def _remove(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
             covers = np.zeros(len(w.code) + 1, dtype=np.int64)
             for d in range(i, j):
                 if starts[d].is_valid:
-                    s = np.unique(values[offsets[d] : offsets[d + 1]]) + w.first[d - i]
+                    runs = np.unique(values[offsets[d] : offsets[d + 1]])
+                    s = (runs & 0xFFFFFFFF) + w.first[d - i]
                     np.add.at(covers, s, 1)
-                    np.add.at(covers, s + size, -1)
+                    np.add.at(covers, s + (runs >> 32) - 1 + size, -1)
             stays = np.cumsum(covers[:-1]) == 0
             raw = w.data.tobytes()
             for d in range(j - i):
@@ -257,12 +266,14 @@ def dedup_substrings(docs: DataFrame, size: int = WINDOW, seed: int = SEED) -> D
     docs = docs.select("doc_id", "text")
     bits, flags = _flags(docs, size, seed)
     sketch = spark.sparkContext.broadcast(flags)
-    found = docs.select(_row_key().alias("key"), "text").mapInArrow(lambda b: _flagged(b, size, seed, bits, sketch), _WINDOW_ROWS)
+    key = _row_key(docs)
+    found = docs.select(key.alias("key"), "text").mapInArrow(lambda b: _flagged(b, size, seed, bits, sketch), _WINDOW_ROWS)
     # a place without code is in no group; it goes where its hash sends it
     group = Window.partitionBy("h", F.shiftright("rest", 32), F.when(F.col("h").isNull(), F.xxhash64("doc", "rest")))
-    repeated = found.withColumn("met", F.count(F.lit(1)).over(group)).where("doc is not null and (known or met > 1)")
-    starts = repeated.select("doc", F.expr("cast(rest & 4294967295L as int)").alias("start")).groupBy("doc").agg(F.collect_list("start").alias("starts"))
-    whole = docs.withColumn("doc", _row_key()).join(starts, "doc", "left")
+    repeated = found.withColumn("met", F.count(F.lit(1)).over(group)).where("doc is not null and (h is null or met > 1)")
+    runs = F.when(F.col("h").isNull(), F.col("rest")).otherwise(F.col("rest").bitwiseAND(0xFFFFFFFF).bitwiseOR(1 << 32))
+    starts = repeated.select("doc", runs.alias("start")).groupBy("doc").agg(F.collect_list("start").alias("starts"))
+    whole = docs.withColumn("doc", key).join(starts, "doc", "left")
     return whole.select("doc_id", "text", "starts").mapInArrow(lambda b: _remove(b, size), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept_text string")
 
 
