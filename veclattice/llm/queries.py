@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substring_dedup
+from . import ngram_join, substring_dedup
 from .common import table
 
 
@@ -12,5 +12,9 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.dedup_substrings(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op6_substring_dedup,)}
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
+QUERIES = {f.__name__: f for f in (op6_substring_dedup, op7_ngram_jaccard_join)}
 SQL: dict[str, str] = {}
