@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join, substring_dedup
+from . import ngram_join, quality, substring_dedup
 from .common import table
 
 
@@ -16,5 +16,10 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
-QUERIES = {f.__name__: f for f in (op6_substring_dedup, op7_ngram_jaccard_join)}
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+    return quality.judge(table(spark, sf_dir, "documents")).select(*columns)
+
+
+QUERIES = {f.__name__: f for f in (op6_substring_dedup, op7_ngram_jaccard_join, op9_quality_rules)}
 SQL: dict[str, str] = {}
