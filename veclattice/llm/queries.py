@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join, quality, substring_dedup
+from . import langid, ngram_join, quality, substring_dedup
 from .common import table
 
 
@@ -21,5 +21,9 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).select(*columns)
 
 
-QUERIES = {f.__name__: f for f in (op6_substring_dedup, op7_ngram_jaccard_join, op9_quality_rules)}
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op5_language_id, op6_substring_dedup, op7_ngram_jaccard_join, op9_quality_rules)}
 SQL: dict[str, str] = {}
