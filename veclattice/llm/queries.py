@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, ngram_join, quality, substring_dedup
+from . import langid, ngram_join, quality, substring_dedup, toxicity
 from .common import table
 
 
@@ -25,5 +25,9 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_language_id, op6_substring_dedup, op7_ngram_jaccard_join, op9_quality_rules)}
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.predict(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op4_toxicity, op5_language_id, op6_substring_dedup, op7_ngram_jaccard_join, op9_quality_rules)}
 SQL: dict[str, str] = {}
