@@ -209,31 +209,42 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     shared = columns.groupBy("h").agg(F.count(F.lit(1)).alias("met")).where("met > 1").select("h")
     live = cut(columns.join(shared, "h").select("h", "node", "n", "i"))
     links = labels = None
+    seeded = False
     while True:
-        if labels is not None:
-            live = live.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        else:
+        if labels is None:
             live = live.withColumn("label", F.col("node"))
-        least = F.min(F.struct("node", "n", "i", "label")).alias("p")
-        heads = live.groupBy("h").agg(F.count(F.lit(1)).alias("met"), F.min("label").alias("lo"), F.max("label").alias("hi"), least).where("lo < hi")
-        heads = cut(heads.select("h", "met", "p.*"))
-        met, rows_left, products = heads.agg(F.count(F.lit(1)), F.sum("met"), F.sum(F.expr("cast(met as double) * (met - 1) / 2"))).first()
+        else:
+            live = live.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        # of each column: its rows, the rows outside its largest component, and its pivot
+        of = live.groupBy("h", "label").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct("node", "n", "i", "label")).alias("p"))
+        heads = of.groupBy("h").agg(F.sum("rows").alias("met"), F.max(F.struct("rows", "label")).alias("most"), F.min("p").alias("p")).where("met > most.rows")
+        heads = cut(heads.select("h", "met", F.col("most.label").alias("major"), (F.col("met") - F.col("most.rows")).alias("minor"), "p.*"))
+        met, rows_left, products = heads.agg(F.count(F.lit(1)), F.sum("met"), F.sum(F.expr("cast(met as double) * minor"))).first()
         if not met:
             break
         few = products <= FEW * rows_left
         if few:
-            left = live.join(heads.select("h"), "h")
-            right = left
+            # every pair of different components has a row outside the largest
+            left = live.join(heads.select("h", "major"), "h").where("label <> major").drop("major")
+        else:
+            left = heads
+        right = live.join(heads.select(F.col("h").alias("k")), F.col("h") == F.col("k")).drop("k")
+        unlike = "l.node <> r.node and l.label <> r.label and " + _bounded("l", "r", percent)
+        pairs = left.alias("l").join(right.alias("r"), F.col("l.h") == F.col("r.h")).where(unlike).select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"))
+        if few or seeded:
+            pairs = pairs.distinct()
         else:
-            left, right = heads, live
-        pairs = left.alias("l").join(right.alias("r"), (F.col("l.h") == F.col("r.h"))).where("l.node < r.node and l.label <> r.label and " + _bounded("l", "r", percent))
-        new = _linked(docs, classes, pairs.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct(), n, percent)
+            # at first each row meets one pivot only, which joins most of a family at the cost of its size
+            pairs = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+        new = _linked(docs, classes, pairs, n, percent)
         links = new if links is None else cut(links.unionByName(new))
         if few:
             break
-        # a pivot has met all others of its column
-        pivots = heads.select("h", "node", F.lit(True).alias("done"))
-        live = cut(live.join(heads.select("h"), "h").join(pivots, ["h", "node"], "left").where("done is null").select("h", "node", "n", "i"))
+        if seeded:
+            # a pivot has met all others of its column
+            pivots = heads.select("h", "node", F.lit(True).alias("done"))
+            live = cut(right.join(pivots, ["h", "node"], "left").where("done is null").select("h", "node", "n", "i"))
+        seeded = True
         labels = components(links)
     named = classes.select("s1", "s2", "least", "node")
     if links is None:

@@ -18,7 +18,7 @@ import pyarrow as pa
 U64 = np.uint64
 #: Odd multipliers of the two polynomial codes.
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
