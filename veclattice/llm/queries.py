@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, ngram_join, quality, substring_dedup, toxicity
+from . import langid, ngram_join, quality, substring_dedup, toxicity, urlfilter
 from .common import table
 
 
@@ -29,5 +29,9 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predict(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op4_toxicity, op5_language_id, op6_substring_dedup, op7_ngram_jaccard_join, op9_quality_rules)}
-SQL: dict[str, str] = {}
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.filter_urls(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op4_toxicity, op5_language_id, op6_substring_dedup, op7_ngram_jaccard_join, op9_quality_rules, op10_url_filter)}
+SQL: dict[str, str] = {"op10_url_filter": urlfilter.ORACLE}
