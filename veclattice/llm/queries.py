@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import langid, ngram_join, quality, substring_dedup, toxicity, urlfilter
+from . import htmltext, langid, ngram_join, quality, substring_dedup, toxicity, urlfilter
 from .common import table
 
 
@@ -33,5 +34,9 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op4_toxicity, op5_language_id, op6_substring_dedup, op7_ngram_jaccard_join, op9_quality_rules, op10_url_filter)}
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+QUERIES = {f.__name__: f for f in (op4_toxicity, op5_language_id, op6_substring_dedup, op7_ngram_jaccard_join, op8_html_extraction, op9_quality_rules, op10_url_filter)}
 SQL: dict[str, str] = {"op10_url_filter": urlfilter.ORACLE}
