@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, langid, ngram_join, quality, secrets, substring_dedup, toxicity, urlfilter
+from . import decontaminate, htmltext, langid, ngram_join, quality, secrets, substring_dedup, toxicity, urlfilter
 from .common import table
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -42,5 +46,5 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op4_toxicity, op5_language_id, op6_substring_dedup, op7_ngram_jaccard_join, op8_html_extraction, op9_quality_rules, op10_url_filter)}
-SQL: dict[str, str] = {"op2_secret_scan": secrets.oracle(), "op10_url_filter": urlfilter.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_secret_scan, op4_toxicity, op5_language_id, op6_substring_dedup, op7_ngram_jaccard_join, op8_html_extraction, op9_quality_rules, op10_url_filter)}
+SQL: dict[str, str] = {"op1_decontamination": decontaminate.oracle(), "op2_secret_scan": secrets.oracle(), "op10_url_filter": urlfilter.ORACLE}
