@@ -7,8 +7,9 @@ each shingle code.  Only products that can still reach the threshold are made:
 * Columns are ordered by estimated frequency, rarest first (a count sketch of
   bounded size; any order is exact, a good one is cheap).  Two sets that link
   share one of their first n - ceil(t n) + 1 columns, so only that block of
-  columns is multiplied to find pairs; pairs whose sizes or positions bound
-  the overlap below the threshold are discarded at once.
+  columns is multiplied to find pairs.  A product is made for the first column
+  that two sets share, so their sizes and its positions bound the overlap;
+  pairs bounded below the threshold are discarded at once.
 * Within a column, rows are multiplied with one pivot row at a time, and rows
   that come to be in one component need no further product with each other.
   When few products are left, they are made in one step.  A family of
@@ -43,7 +44,7 @@ SKETCH_BLOCK_BITS = 16
 #: Bits of the filter that picks the texts to be verified; a full filter only lets more through.
 FILTER_BITS = 26
 #: The remaining products are made in one step when they are at most so many for each row.
-FEW = 8
+FEW = 50
 
 
 def shingle_sets(texts: pa.Array, i: int, j: int, n: int) -> list[np.ndarray]:
@@ -184,10 +185,9 @@ def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, perce
     return cut(pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(lambda b: _verify(b, n, percent), "a long, b long"))
 
 
-def _bounded(a: str, b: str, percent: int) -> str:
-    """What two sets with columns n and i (a shared column's position) need to reach the threshold."""
-    least = f"ceil({percent} * ({a}.n + {b}.n) / {100 + percent})"
-    return f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) and least({a}.n - {a}.i, {b}.n - {b}.i) + least({a}.i, {b}.i) >= {least}"
+def _reaches(a: str, b: str, percent: int) -> str:
+    """Whether sets a and b can reach the threshold if the column at their positions i is the first they share."""
+    return f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) and {100 + percent} * least({a}.n - {a}.i, {b}.n - {b}.i) >= {percent} * ({a}.n + {b}.n)"
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -206,8 +206,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
         other = F.col("first").isNotNull() & (F.col("first") != F.struct("s1", "s2"))
         classes = cut(classes.join(clash, "least", "left").withColumn("node", F.when(other, own).otherwise(F.coalesce("least", own))).drop("first"))
     columns = classes.select("node", "n", F.posexplode("prefix").alias("i", "h"))
-    shared = columns.groupBy("h").agg(F.count(F.lit(1)).alias("met")).where("met > 1").select("h")
-    live = cut(columns.join(shared, "h").select("h", "node", "n", "i"))
+    shared = columns.groupBy("h").agg(F.count(F.lit(1)).alias("met"), F.min("n").alias("low")).where("met > 1").select(F.col("h").alias("k"), "low")
+    # a row this far into its set can only pair with smaller ones
+    live = columns.join(shared, (F.col("h") == F.col("k")) & F.expr(f"{100 + percent} * (n - i) >= {percent} * (n + low)"))
+    live = cut(live.select("h", "node", "n", "i"))
     links = labels = None
     seeded = False
     while True:
@@ -216,7 +218,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
         else:
             live = live.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         # of each column: its rows, the rows outside its largest component, and its pivot
-        of = live.groupBy("h", "label").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct("node", "n", "i", "label")).alias("p"))
+        of = live.groupBy("h", "label").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct("i", "node", "n", "label")).alias("p"))
         heads = of.groupBy("h").agg(F.sum("rows").alias("met"), F.max(F.struct("rows", "label")).alias("most"), F.min("p").alias("p")).where("met > most.rows")
         heads = cut(heads.select("h", "met", F.col("most.label").alias("major"), (F.col("met") - F.col("most.rows")).alias("minor"), "p.*"))
         met, rows_left, products = heads.agg(F.count(F.lit(1)), F.sum("met"), F.sum(F.expr("cast(met as double) * minor"))).first()
@@ -229,13 +231,14 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
         else:
             left = heads
         right = live.join(heads.select(F.col("h").alias("k")), F.col("h") == F.col("k")).drop("k")
-        unlike = "l.node <> r.node and l.label <> r.label and " + _bounded("l", "r", percent)
-        pairs = left.alias("l").join(right.alias("r"), F.col("l.h") == F.col("r.h")).where(unlike).select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"))
-        if few or seeded:
-            pairs = pairs.distinct()
-        else:
+        unlike = "l.node <> r.node and l.label <> r.label and " + _reaches("l", "r", percent)
+        pairs = left.alias("l").join(right.alias("r"), F.col("l.h") == F.col("r.h")).where(unlike)
+        if not (few or seeded):
             # at first each row meets one pivot only, which joins most of a family at the cost of its size
-            pairs = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+            pairs = pairs.groupBy(F.col("r.node").alias("y")).agg(F.min(F.struct("l.i", "l.node")).alias("best")).select(F.col("best.node").alias("x"), "y")
+        else:
+            pairs = pairs.select(F.col("l.node").alias("x"), F.col("r.node").alias("y"))
+        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         new = _linked(docs, classes, pairs, n, percent)
         links = new if links is None else cut(links.unionByName(new))
         if few:
