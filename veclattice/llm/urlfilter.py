@@ -11,8 +11,8 @@ smoothed towards its branch's, and that towards a fixed prior; templates at
 or above the threshold are rejected.  Labels are the verdicts of the rules,
 so templates without labelled urls are allowed.
 
-Everything is one SQL statement over counts by distinct template; urls meet
-their template by a join that adaptive execution can split.
+Everything is SQL over counts by distinct template; urls meet their template
+by a join that adaptive execution can split.
 
 Defined results: a null url or one without `://` has an empty host and path,
 no rule, and is allowed unless its empty template was rejected; repeated rows
@@ -21,6 +21,7 @@ each get their row; columns other than page_id and url are not read.
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -64,96 +65,81 @@ def _shape(segment: str, matches: str) -> str:
     return "CASE " + " ".join(f"WHEN {matches}({segment}, {_quote(form)}) THEN {_quote(to)}" for form, to in FORMS) + f" ELSE {segment} END"
 
 
-def _urls(pages: str, rules: tuple[Rule, ...], matches: str) -> str:
+def steps(pages: str, rules: tuple[Rule, ...] = RULES, matches: str = "regexp_like") -> dict[str, str]:
+    """The statement's steps by name; matches: the dialect's function for a regular expression found in a string."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    return f"""rest AS (
-  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substring(url, instr(url, '://') + 3) ELSE '' END AS rest FROM {pages}
-), hosts AS (
-  SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*', 0) AS raw FROM rest
-), paths AS (
-  SELECT page_id, translate(raw, '{upper}', '{lower}') AS host, regexp_extract(substring(rest, length(raw) + 1), '^[^?#]*', 0) AS path FROM hosts
-), ruled AS (
-  SELECT page_id, host, path, {_rule(rules, 0)} AS rule, {_rule(rules, 1)} AS ruling FROM paths
-), cut AS (
-  SELECT *, split_part(path, '/', 2) AS c1, split_part(path, '/', 3) AS c2,
-         CASE WHEN {matches}(path, '^[^/]*/[^/]*/[^/]*/') THEN regexp_replace(path, '^[^/]*/[^/]*/[^/]*/', '') ELSE '' END AS c3 FROM ruled
-), urls AS (
-  SELECT page_id, host, path, rule, ruling, {_shape("c1", matches)} AS s1, {_shape("c2", matches)} AS s2, {_shape("c3", matches)} AS s3 FROM cut
-)"""
-
-
-_LEAVES = """SELECT host, s1, s2, s3, count(*) AS n, sum(CASE WHEN ruling = 'allow' THEN 1 ELSE 0 END) AS good, sum(CASE WHEN ruling = 'block' THEN 1 ELSE 0 END) AS bad
-  FROM urls GROUP BY host, s1, s2, s3"""
-
-
-def statement(pages: str, leaves: str = _LEAVES, rules: tuple[Rule, ...] = RULES, matches: str = "regexp_like") -> str:
-    """matches: the dialect's function for a regular expression found in a string."""
     double = "CAST({} AS DOUBLE)".format
-    return f"""
-WITH {_urls(pages, rules, matches)}, leaves AS (
-  {leaves}
-), kids1 AS (
-  SELECT host, s1, sum(n) AS n FROM leaves GROUP BY host, s1
-), nodes1 AS (
-  SELECT host, count(*) AS kids, sum(n) AS total FROM kids1 GROUP BY host
-), named1 AS (
-  SELECT k.host, k.s1, CASE WHEN o.kids <= {MAX_KIDS} OR {SHARE} * k.n >= o.total THEN k.s1 ELSE '*' END AS t1 FROM kids1 k JOIN nodes1 o ON k.host = o.host
-), level1 AS (
-  SELECT l.*, m.t1 FROM leaves l JOIN named1 m ON l.host = m.host AND l.s1 = m.s1
-), kids2 AS (
-  SELECT host, t1, s2, sum(n) AS n FROM level1 GROUP BY host, t1, s2
-), nodes2 AS (
-  SELECT host, t1, count(*) AS kids, sum(n) AS total FROM kids2 GROUP BY host, t1
-), named2 AS (
-  SELECT k.host, k.t1, k.s2, CASE WHEN o.kids <= {MAX_KIDS} OR {SHARE} * k.n >= o.total THEN k.s2 ELSE '*' END AS t2
-  FROM kids2 k JOIN nodes2 o ON k.host = o.host AND k.t1 = o.t1
-), level2 AS (
-  SELECT l.*, m.t2 FROM level1 l JOIN named2 m ON l.host = m.host AND l.t1 = m.t1 AND l.s2 = m.s2
-), kids3 AS (
-  SELECT host, t1, t2, s3, sum(n) AS n FROM level2 GROUP BY host, t1, t2, s3
-), nodes3 AS (
-  SELECT host, t1, t2, count(*) AS kids, sum(n) AS total FROM kids3 GROUP BY host, t1, t2
-), named3 AS (
-  SELECT k.host, k.t1, k.t2, k.s3, CASE WHEN o.kids <= {MAX_KIDS} OR {SHARE} * k.n >= o.total THEN k.s3 ELSE '*' END AS t3
-  FROM kids3 k JOIN nodes3 o ON k.host = o.host AND k.t1 = o.t1 AND k.t2 = o.t2
-), tree AS (
-  SELECT l.*, m.t3 FROM level2 l JOIN named3 m ON l.host = m.host AND l.t1 = m.t1 AND l.t2 = m.t2 AND l.s3 = m.s3
-), branches AS (
-  SELECT host, t1, sum(good) AS good, sum(bad) AS bad FROM tree GROUP BY host, t1
-), pooled AS (
-  SELECT host, {double("sum(bad)")} / sum(good + bad) AS share FROM branches WHERE good + bad >= {LEAST_LABELLED} GROUP BY host
-), merged AS (
-  SELECT b.host, b.t1, b.good, b.bad,
-         CASE WHEN b.good + b.bad >= {LEAST_LABELLED} AND abs({double("b.bad")} / (b.good + b.bad) - p.share) <= {SIGMAS} * sqrt(p.share * (1 - p.share) / (b.good + b.bad)) THEN '~' ELSE concat('=', b.t1) END AS branch
-  FROM branches b LEFT JOIN pooled p ON b.host = p.host
-), branch_purity AS (
-  SELECT host, branch, ({double("sum(bad)")} + {WEIGHT} * {PRIOR}) / ({double("sum(good + bad)")} + {WEIGHT}) AS purity FROM merged GROUP BY host, branch
-), templates AS (
-  SELECT t.host, m.branch, t.t2, t.t3, {double("sum(t.good)")} AS good, {double("sum(t.bad)")} AS bad
-  FROM tree t JOIN merged m ON t.host = m.host AND t.t1 = m.t1 GROUP BY t.host, m.branch, t.t2, t.t3
-), judged AS (
-  SELECT t.host, t.branch, t.t2, t.t3, (t.bad + {WEIGHT} * b.purity) / (t.good + t.bad + {WEIGHT}) AS purity
-  FROM templates t JOIN branch_purity b ON t.host = b.host AND t.branch = b.branch
-), shapes AS (
-  SELECT t.host, t.s1, t.s2, t.s3, concat('/', t.t1, '/', t.t2, '/', t.t3) AS template, j.purity
-  FROM tree t JOIN merged m ON t.host = m.host AND t.t1 = m.t1
-  JOIN judged j ON j.host = t.host AND j.branch = m.branch AND j.t2 = t.t2 AND j.t3 = t.t3
-)
-SELECT u.page_id, u.host, u.path, u.rule, coalesce(u.ruling, CASE WHEN s.purity >= {REJECT} THEN 'block' ELSE 'allow' END) AS verdict, s.template, round(s.purity, 6) AS purity
-FROM urls u LEFT JOIN shapes s ON u.host = s.host AND u.s1 = s.s1 AND u.s2 = s.s2 AND u.s3 = s.s3"""
+    return {
+        "rest": f"""SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substring(url, instr(url, '://') + 3) ELSE '' END AS rest FROM {pages}""",
+        "hosts": f"""SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*', 0) AS raw FROM rest""",
+        "paths": f"""SELECT page_id, translate(raw, '{upper}', '{lower}') AS host, regexp_extract(substring(rest, length(raw) + 1), '^[^?#]*', 0) AS path FROM hosts""",
+        "ruled": f"""SELECT page_id, host, path, {_rule(rules, 0)} AS rule, {_rule(rules, 1)} AS ruling FROM paths""",
+        "cut": f"""SELECT *, split_part(path, '/', 2) AS c1, split_part(path, '/', 3) AS c2,
+CASE WHEN {matches}(path, '^[^/]*/[^/]*/[^/]*/') THEN regexp_replace(path, '^[^/]*/[^/]*/[^/]*/', '') ELSE '' END AS c3 FROM ruled""",
+        "urls": f"""SELECT page_id, host, path, rule, ruling, {_shape("c1", matches)} AS s1, {_shape("c2", matches)} AS s2, {_shape("c3", matches)} AS s3 FROM cut""",
+        "leaves": f"""SELECT host, s1, s2, s3, count(*) AS n, sum(CASE WHEN ruling = 'allow' THEN 1 ELSE 0 END) AS good, sum(CASE WHEN ruling = 'block' THEN 1 ELSE 0 END) AS bad
+FROM urls GROUP BY host, s1, s2, s3""",
+        "kids1": f"""SELECT host, s1, sum(n) AS n FROM leaves GROUP BY host, s1""",
+        "nodes1": f"""SELECT host, count(*) AS kids, sum(n) AS total FROM kids1 GROUP BY host""",
+        "named1": f"""SELECT k.host, k.s1, CASE WHEN o.kids <= {MAX_KIDS} OR {SHARE} * k.n >= o.total THEN k.s1 ELSE '*' END AS t1 FROM kids1 k JOIN nodes1 o ON k.host = o.host""",
+        "level1": f"""SELECT l.*, m.t1 FROM leaves l JOIN named1 m ON l.host = m.host AND l.s1 = m.s1""",
+        "kids2": f"""SELECT host, t1, s2, sum(n) AS n FROM level1 GROUP BY host, t1, s2""",
+        "nodes2": f"""SELECT host, t1, count(*) AS kids, sum(n) AS total FROM kids2 GROUP BY host, t1""",
+        "named2": f"""SELECT k.host, k.t1, k.s2, CASE WHEN o.kids <= {MAX_KIDS} OR {SHARE} * k.n >= o.total THEN k.s2 ELSE '*' END AS t2
+FROM kids2 k JOIN nodes2 o ON k.host = o.host AND k.t1 = o.t1""",
+        "level2": f"""SELECT l.*, m.t2 FROM level1 l JOIN named2 m ON l.host = m.host AND l.t1 = m.t1 AND l.s2 = m.s2""",
+        "kids3": f"""SELECT host, t1, t2, s3, sum(n) AS n FROM level2 GROUP BY host, t1, t2, s3""",
+        "nodes3": f"""SELECT host, t1, t2, count(*) AS kids, sum(n) AS total FROM kids3 GROUP BY host, t1, t2""",
+        "named3": f"""SELECT k.host, k.t1, k.t2, k.s3, CASE WHEN o.kids <= {MAX_KIDS} OR {SHARE} * k.n >= o.total THEN k.s3 ELSE '*' END AS t3
+FROM kids3 k JOIN nodes3 o ON k.host = o.host AND k.t1 = o.t1 AND k.t2 = o.t2""",
+        "tree": f"""SELECT l.*, m.t3 FROM level2 l JOIN named3 m ON l.host = m.host AND l.t1 = m.t1 AND l.t2 = m.t2 AND l.s3 = m.s3""",
+        "branches": f"""SELECT host, t1, sum(good) AS good, sum(bad) AS bad FROM tree GROUP BY host, t1""",
+        "pooled": f"""SELECT host, {double("sum(bad)")} / sum(good + bad) AS share FROM branches WHERE good + bad >= {LEAST_LABELLED} GROUP BY host""",
+        "merged": f"""SELECT b.host, b.t1, b.good, b.bad,
+CASE WHEN b.good + b.bad >= {LEAST_LABELLED} AND abs({double("b.bad")} / (b.good + b.bad) - p.share) <= {SIGMAS} * sqrt(p.share * (1 - p.share) / (b.good + b.bad)) THEN '~' ELSE concat('=', b.t1) END AS branch
+FROM branches b LEFT JOIN pooled p ON b.host = p.host""",
+        "branch_purity": f"""SELECT host, branch, ({double("sum(bad)")} + {WEIGHT} * {PRIOR}) / ({double("sum(good + bad)")} + {WEIGHT}) AS purity FROM merged GROUP BY host, branch""",
+        "templates": f"""SELECT t.host, m.branch, t.t2, t.t3, {double("sum(t.good)")} AS good, {double("sum(t.bad)")} AS bad
+FROM tree t JOIN merged m ON t.host = m.host AND t.t1 = m.t1 GROUP BY t.host, m.branch, t.t2, t.t3""",
+        "judged": f"""SELECT t.host, t.branch, t.t2, t.t3, (t.bad + {WEIGHT} * b.purity) / (t.good + t.bad + {WEIGHT}) AS purity
+FROM templates t JOIN branch_purity b ON t.host = b.host AND t.branch = b.branch""",
+        "shapes": f"""SELECT t.host, t.s1, t.s2, t.s3, concat('/', t.t1, '/', t.t2, '/', t.t3) AS template, j.purity
+FROM tree t JOIN merged m ON t.host = m.host AND t.t1 = m.t1
+JOIN judged j ON j.host = t.host AND j.branch = m.branch AND j.t2 = t.t2 AND j.t3 = t.t3""",
+        "": f"""SELECT u.page_id, u.host, u.path, u.rule, coalesce(u.ruling, CASE WHEN s.purity >= {REJECT} THEN 'block' ELSE 'allow' END) AS verdict, s.template, round(s.purity, 6) AS purity
+FROM urls u LEFT JOIN shapes s ON u.host = s.host AND u.s1 = s.s1 AND u.s2 = s.s2 AND u.s3 = s.s3""",
+    }
+
+
+def statement(pages: str, rules: tuple[Rule, ...] = RULES, matches: str = "regexp_like") -> str:
+    *named, (_, last) = steps(pages, rules, matches).items()
+    return "WITH " + ",\n".join(f"{k} AS ({v})" for k, v in named) + "\n" + last
+
+
+#: Steps that more than one later step reads are kept as tables; the others are inlined.
+PER_URL = ("rest", "hosts", "paths", "ruled", "cut", "urls")
+KEPT = ("leaves", "level1", "level2", "tree", "merged")
 
 
 def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, template and its purity of every row."""
-    spark, pages = pages.sparkSession, pages.select("page_id", "url")
-
-    def braced(text: str) -> str:
-        # braces of the statement are not names of tables
-        return text.replace("{", "{{").replace("}", "}}").replace("PAGES", "{pages}").replace("LEAVES", "{leaves}")
-
-    # counts by distinct template are kept: the tree reads them once a level
-    leaves = cut(spark.sql(braced(f"WITH {_urls('PAGES', rules, 'regexp_like')} {_LEAVES}"), pages=pages))
-    return spark.sql(braced(statement("PAGES", "SELECT * FROM LEAVES", rules)), pages=pages, leaves=leaves)
+    spark, tables = pages.sparkSession, {"pages": pages.select("page_id", "url")}
+    inlined: dict[str, str] = {}
+    for name, text in steps("{pages}", rules).items():
+        # braces are names of tables only where they are meant so
+        text = text.replace("{", "{{").replace("}", "}}").replace("{{pages}}", "{pages}")
+        for k in KEPT:
+            text = re.sub(rf"\b(FROM|JOIN) {k}\b", rf"\1 {{{k}}}", text)
+        if name in KEPT or not name:
+            whole = ("WITH " + ", ".join(f"{k} AS ({v})" for k, v in inlined.items()) + " " if inlined else "") + text
+            tables[name] = spark.sql(whole, **{k: v for k, v in tables.items() if f"{{{k}}}" in whole.replace("{{", "")})
+            if not name:
+                return tables[name]
+            tables[name] = cut(tables[name])
+            inlined = {k: v for k, v in inlined.items() if k in PER_URL}
+        else:
+            inlined[name] = text
+    raise AssertionError("the last step has no name")
 
 
 ORACLE = statement("pages", matches="regexp_matches")
