@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, htmltext, langid, ngram_join, quality, secrets, substring_dedup, toxicity, urlfilter
+from . import decontaminate, htmltext, langid, mixing, ngram_join, quality, secrets, substring_dedup, toxicity, urlfilter
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(table(spark, sf_dir, "documents"))
 
 
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predict(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,5 +50,5 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_secret_scan, op4_toxicity, op5_language_id, op6_substring_dedup, op7_ngram_jaccard_join, op8_html_extraction, op9_quality_rules, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_secret_scan, op3_source_mix, op4_toxicity, op5_language_id, op6_substring_dedup, op7_ngram_jaccard_join, op8_html_extraction, op9_quality_rules, op10_url_filter)}
 SQL: dict[str, str] = {"op1_decontamination": decontaminate.oracle(), "op2_secret_scan": secrets.oracle(), "op10_url_filter": urlfilter.ORACLE}
