@@ -49,7 +49,7 @@ def hash_of(mask: tuple[int, ...]) -> int:
 
 
 def seeds(items: DataFrame, masks: tuple[tuple[int, ...], ...] = MASKS) -> DataFrame:
-    """seed, item_id, j (its place in the item) and the item's token codes."""
+    """seed, item_id, j (its place in the item), the token codes around it and the tokens of a window."""
     rows = items.where("text is not null").select("item_id", _codes("text").alias("g")).where(f"size(g) >= {min(SHORT)}")
     parts = []
     for mask in masks:
@@ -60,25 +60,32 @@ def seeds(items: DataFrame, masks: tuple[tuple[int, ...], ...] = MASKS) -> DataF
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    around = F.expr(f"transform(sequence({1 - WINDOW}, {WINDOW - 1}), d -> get(g, j + d))")
+    return out.select("seed", "item_id", "j", around.alias("around"), F.least(F.lit(WINDOW), F.size("g")).alias("w"))
 
 
 def overlaps(docs: DataFrame, items: DataFrame, masks: tuple[tuple[int, ...], ...] = MASKS) -> DataFrame:
     """doc_id, item_id, matched (equal tokens of the best window), window (its tokens) and first_token (where the item would begin, at its first place)."""
     wanted = seeds(items, masks)
     # small benchmarks are broadcast, by count; others meet the documents in a shuffled join
-    n, short = wanted.agg(F.count(F.lit(1)), F.min(F.size("g"))).first()
+    n, short = wanted.agg(F.count(F.lit(1)), F.min("w")).first()
     kinds = [*masks, *(tuple(range(k)) for k in SHORT if short is not None and short <= k)]
-    at = docs.where("text is not null").select("doc_id", _codes("text").alias("h")).where("size(h) > 0")
-    at = at.select("doc_id", "h", F.explode(F.expr("sequence(0, size(h) - 1)")).alias("i"))
+    at = docs.select("doc_id", _codes("text").alias("h"))
+    at = at.select("doc_id", "h", F.explode(F.expr("case when size(h) > 0 then sequence(0, size(h) - 1) end")).alias("i"))
     at = at.select("doc_id", "h", "i", F.explode(F.array(*[F.expr(_seed("h", "i", m)) for m in kinds])).alias("seed"))
     hits = at.join(F.broadcast(wanted) if n <= BROADCAST_SEEDS else wanted, "seed")
-    hits = hits.withColumn("w", F.least(F.lit(WINDOW), F.size("g")))
-    same = "transform(sequence(greatest(0, j - w + 1), least(size(g) - 1, j + w - 1)), k -> if(coalesce(get(h, i - j + k) = get(g, k), false), 1, 0))"
-    best = "array_max(transform(sequence(1, size(same) - w + 1), s -> aggregate(slice(same, s, w), 0, (a, x) -> a + x)))"
-    hits = hits.select("doc_id", "item_id", "w", (F.col("i") - F.col("j")).alias("first"), F.expr(same).alias("same")).select("doc_id", "item_id", "w", "first", F.expr(best).alias("best"))
-    found = hits.where(f"best >= w - floor({TOLERATED} * w / {WINDOW}) and (w > {max(SHORT)} or best = w)")
-    return found.groupBy("doc_id", "item_id").agg(F.max("best").cast("long").alias("matched"), F.max("w").cast("long").alias("window"), F.min("first").cast("long").alias("first_token"))
+    # Only the tokens around a hit leave the generated stage, never a document's whole array.  That `near`
+    # is read twice keeps the two projections apart, of which the second is not generated code.
+    r = WINDOW - 1
+    near = F.expr(f"slice(h, greatest(i - {r}, 0) + 1, {2 * r + 1})")
+    hits = hits.select("doc_id", "item_id", "w", "around", (F.col("i") - F.col("j")).alias("first"), F.least("i", F.lit(r)).alias("lead"), near.alias("near"))
+    same = f"if(size(near) > 0, transform(around, (g, k) -> if(coalesce(get(near, k - {r} + lead) = g, false), 1, 0)), null)"
+    best = f"array_max(transform(sequence(1, {2 * r + 2} - w), s -> aggregate(slice(same, s, w), 0, (a, x) -> a + x)))"
+    hits = hits.select("doc_id", "item_id", "w", "first", F.expr(same).alias("same")).select("doc_id", "item_id", "w", "first", F.expr(best).alias("best"))
+    enough = F.expr(f"best >= w - floor({TOLERATED} * w / {WINDOW}) and (w > {max(SHORT)} or best = w)")
+    # filtered after the sums: a filter before them would move into the join and out of generated code
+    sums = [F.max(F.when(enough, F.col("best"))).cast("long").alias("matched"), F.max("w").cast("long").alias("window"), F.min(F.when(enough, F.col("first"))).cast("long").alias("first_token")]
+    return hits.groupBy("doc_id", "item_id").agg(*sums).where("matched is not null")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
