@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,9 +31,22 @@ def cut(df: DataFrame) -> DataFrame:
     The folder is the session's spark.checkpoint.dir; only where that is
     unset, as in tests on one machine, is a temporary folder set.
     """
+    _shared(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """`df` written as Parquet to a new folder in the shared checkpoint folder, and read again."""
     spark = df.sparkSession
+    shared = _shared(spark)
+    path = f"{shared}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _shared(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+    return context._jsc.sc().getCheckpointDir().get()

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import WORD, cut
 from .graph import components
 from .textcodes import BASES, U64, chunks, mix, plain, spans, windows, words
 
@@ -122,7 +122,7 @@ def _rows(batches: Iterator[pa.RecordBatch], n: int, percent: int, frequency) ->
                 s1, s2 = _signature(s)
                 sizes.append(len(s)), s1s.append(s1), s2s.append(s2)
                 prefixes.append(s[np.argsort(rank, kind="stable")[:keep]].view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(s1s, pa.int64()), pa.array(s2s, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "n", "s1", "s2", "prefix"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(s1s, pa.int64()), pa.array(s2s, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "name", "n", "s1", "s2", "prefix"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch], n: int, wanted) -> Iterator[pa.RecordBatch]:
@@ -190,12 +190,12 @@ def _reaches(a: str, b: str, percent: int) -> str:
     return f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) and {100 + percent} * least({a}.n - {a}.i, {b}.n - {b}.i) >= {percent} * ({a}.n + {b}.n)"
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row; sets link at a Jaccard similarity of percent / 100."""
+def _components(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """doc_id, name (a hash of the text), n, component and group (its component's least node) of every row."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("name"))
     frequency = spark.sparkContext.broadcast(_frequency(docs, n))
-    rows = cut(docs.mapInArrow(lambda b: _rows(b, n, percent, frequency), "doc_id long, n long, s1 long, s2 long, prefix array<long>"))
+    rows = cut(docs.mapInArrow(lambda b: _rows(b, n, percent, frequency), "doc_id long, name long, n long, s1 long, s2 long, prefix array<long>"))
     own = F.lit(1 << 62).bitwiseOR(F.col("s1").bitwiseAND((1 << 61) - 1))
     classes = cut(rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("least"), F.any_value("prefix").alias("prefix")))
     # a node's name is its least doc_id; without one, or where two sets have the same, it is one above all doc_ids
@@ -251,10 +251,35 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
         labels = components(links)
     named = classes.select("s1", "s2", "least", "node")
     if links is None:
-        named = named.select("s1", "s2", F.col("least").alias("component"))
+        named = named.select("s1", "s2", F.col("least").alias("component"), F.col("node").alias("group"))
     else:
         named = named.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
         lows = named.where("node <> label or label >= 4611686018427387904").groupBy("label").agg(F.min("least").alias("low"))
-        named = named.join(lows, "label", "left").select("s1", "s2", F.least("least", "low", F.when(F.col("label") < (1 << 62), F.col("label"))).alias("component"))
-    out = rows.select("doc_id", "n", "s1", "s2").join(named, ["s1", "s2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+        least = F.least("least", "low", F.when(F.col("label") < (1 << 62), F.col("label")))
+        named = named.join(lows, "label", "left").select("s1", "s2", least.alias("component"), F.col("label").alias("group"))
+    out = rows.select("doc_id", "name", "n", "s1", "s2").join(named, ["s1", "s2"], "left")
+    return out.select("doc_id", "name", "n", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component"), "group")
+
+
+def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row; sets link at a Jaccard similarity of percent / 100."""
+    return _components(docs, n, percent).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def keep_first(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one document of each component: the one of the least doc_id.
+
+    Of rows of that doc_id the one of least text hash stays, once if it is
+    repeated; a component without any doc_id keeps its row of least text hash.
+    Documents without a word are alone in their component and stay.
+    """
+    rows = cut(_components(docs, n, percent))
+    first = rows.where("n > 0").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "name")).alias("first"))
+    kept = first.select("first.doc_id", "first.name").unionByName(rows.where("n = 0").select("doc_id", "name").distinct())
+    kept = kept.select(F.col("doc_id").alias("k_id"), F.col("name").alias("k_name"))
+    here = F.col("doc_id").cast("long").eqNullSafe(F.col("k_id")) & (F.xxhash64("text") == F.col("k_name"))
+    out = docs.join(kept, here, "left_semi")
+    if rows.where("n > 0").groupBy("doc_id", "name").count().where("count > 1").isEmpty():
+        return out
+    some = out.where(F.regexp_like("text", F.lit(WORD)))
+    return some.dropDuplicates(["doc_id", "text"]).unionByName(out.where(~F.coalesce(F.regexp_like("text", F.lit(WORD)), F.lit(False))))
