@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, cut
 from .graph import components
-from .textcodes import BASES, U64, chunks, mix, plain, spans, windows, words
+from .textcodes import BASES, chunks, mix, plain, spans, tidied, U64, windows, words
 
 #: Cells of the count sketch: one for so many shingles, within these powers of two.
 LOAD, LEAST_BITS, MOST_BITS = 64, 16, 26
@@ -62,6 +62,7 @@ def shingle_sets(texts: pa.Array, i: int, j: int, n: int) -> list[np.ndarray]:
     return out
 
 
+@tidied
 def _sketch(batches: Iterator[pa.RecordBatch], n: int, bits: int) -> Iterator[pa.RecordBatch]:
     sums = np.zeros(1 << bits, dtype=np.uint32)
     for batch in batches:
@@ -76,6 +77,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], n: int, bits: int) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts)), pa.int64()), pa.array([pack.compress(p.tobytes()) for p in parts], pa.binary())], ["block", "body"])
 
 
+@tidied
 def _sketch_sum(batches: Iterator[pa.RecordBatch], bits: int, last: bool) -> Iterator[pa.RecordBatch]:
     pack, opened = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
     sums: dict[int, np.ndarray] = {}
@@ -106,6 +108,7 @@ def _signature(s: np.ndarray) -> tuple[np.int64, np.int64]:
     return np.sum(mix(s ^ U64(0xA5A5)), dtype=U64).astype(np.int64), np.bitwise_xor.reduce(mix(s + U64(0x5A5A5A5A))).astype(np.int64)
 
 
+@tidied
 def _rows(batches: Iterator[pa.RecordBatch], n: int, percent: int, frequency) -> Iterator[pa.RecordBatch]:
     cells = frequency.value
     shift = U64(64 - (len(cells).bit_length() - 1))
@@ -125,6 +128,7 @@ def _rows(batches: Iterator[pa.RecordBatch], n: int, percent: int, frequency) ->
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(s1s, pa.int64()), pa.array(s2s, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "name", "n", "s1", "s2", "prefix"])
 
 
+@tidied
 def _texts(batches: Iterator[pa.RecordBatch], n: int, wanted) -> Iterator[pa.RecordBatch]:
     """Signature and compressed text of the sets that the filter lets through, once a batch."""
     bits = wanted.value
@@ -143,6 +147,7 @@ def _texts(batches: Iterator[pa.RecordBatch], n: int, wanted) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([found[k] for k in keys], pa.binary())], ["s1", "s2", "body"])
 
 
+@tidied
 def _verify(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
     opened = zstandard.ZstdDecompressor()
     last_id, last = None, None

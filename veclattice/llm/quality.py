@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .textcodes import BASES, _BYTE_CODE, chunks, plain, spans, windows, words
+from .textcodes import _BYTE_CODE, BASES, chunks, plain, spans, tidied, windows, words
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -88,6 +88,7 @@ def _counts(texts: pa.Array, i: int, j: int) -> list[np.ndarray]:
     return [n, chars, _per_doc(symbol[data], edges), n_dup, n_repeat, n_lines, _per_doc(upper, edges), _per_doc(letter, edges), _per_doc(data == 0x21, edges), n_ended, n_distinct, n_bare]
 
 
+@tidied
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = plain(batch.column(1))

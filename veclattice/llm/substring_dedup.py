@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textcodes import BASES, U64, chunks, mix, plain, spans, windows, words
+from .textcodes import BASES, chunks, mix, plain, spans, tidied, U64, windows, words
 
 WINDOW = 35
 #: Words of a seed; each window of 35 words holds 18 seeds.
@@ -81,6 +81,7 @@ def _cells(code: np.ndarray, bits: int) -> list[np.ndarray]:
     return [mix(code + U64(0x1000003 * (k + 1))) >> U64(64 - bits) for k in range(ROWS)]
 
 
+@tidied
 def _sketch(batches: Iterator[pa.RecordBatch], size: int, seed: int, bits: int) -> Iterator[pa.RecordBatch]:
     """Rows of (block of cells, cells with a count, cells with two or more), compressed."""
     pack = zstandard.ZstdCompressor(level=1)
@@ -119,6 +120,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], size: int, seed: int, bits: int)
     yield from flush()
 
 
+@tidied
 def _merge(batches: Iterator[pa.RecordBatch], bits: int, last: bool) -> Iterator[pa.RecordBatch]:
     """One row a block: its sketches merged; if last, only the cells with two or more."""
     pack, opened = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
@@ -167,6 +169,7 @@ def _estimated(code: np.ndarray, bits: int, flags: list[np.ndarray]) -> np.ndarr
 _WINDOW_ROWS = "h long, rest long, doc long"
 
 
+@tidied
 def _flagged(batches: Iterator[pa.RecordBatch], size: int, seed: int, bits: int, sketch) -> Iterator[pa.RecordBatch]:
     """Windows estimated repeated.
 
@@ -231,6 +234,7 @@ def _flagged(batches: Iterator[pa.RecordBatch], size: int, seed: int, bits: int,
     yield from flush()
 
 
+@tidied
 def _remove(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = plain(batch.column(1))

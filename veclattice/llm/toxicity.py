@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, learnable
-from .textcodes import plain
+from .textcodes import plain, tidied
 
 TOXIC_ROWS, ORDINARY_ROWS, WORDS_EACH = 2000, 4000, 4000
 WINDOW = 6
@@ -178,6 +178,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(tuple(model))
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*shared.value)
         distance = Distance(m.toxic, m.ordinary) if m.ordinary or m.toxic else None
