@@ -1,0 +1 @@
+"""Multi-vector (late-interaction) search and its data processing on Spark DataFrames."""
