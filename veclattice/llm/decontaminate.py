@@ -91,8 +91,8 @@ def overlaps(docs: DataFrame, items: DataFrame, masks: tuple[tuple[int, ...], ..
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without the rows whose doc_id overlaps an item; rows without a doc_id are held by their text."""
     key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
-    bad = overlaps(docs.select(key.alias("doc_id"), "text"), items).select(F.col("doc_id").alias("overlapping")).distinct()
-    return docs.join(bad, key == F.col("overlapping"), "left_anti").select(*docs.columns)
+    bad = overlaps(docs.select(key.alias("doc_id"), "text"), items).select(F.col("doc_id").alias("__overlapping")).distinct()
+    return docs.join(bad, key == F.col("__overlapping"), "left_anti").select(*docs.columns)
 
 
 def oracle(masks: tuple[tuple[int, ...], ...] = MASKS) -> str:

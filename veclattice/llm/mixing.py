@@ -147,10 +147,12 @@ def mix(docs: DataFrame, seed: int = 17) -> DataFrame:
 
 
 def apply(docs: DataFrame, seed: int = 17) -> DataFrame:
-    """The rows of docs that the mix takes, with `copies`, how often; rows of size 0 are not taken."""
+    """The rows of docs that the mix takes, with `copies` (theirs of that name is replaced), how often; rows of size 0 are not taken."""
     taken = mix(docs, seed).where("taken > 0").groupBy("row").agg((F.sum("taken") / F.max("size")).cast("long").alias("all"), F.count(F.lit(1)).alias("same"))
-    named = docs.withColumn("row", F.xxhash64("doc_id", "text")).join(taken, "row")
+    doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    named = docs.select(doc.alias("doc"), F.xxhash64("doc_id", "text").alias("row")).join(taken, "row")
     # rows equal in doc_id and text can't be told apart: they share what all of them take
     turn = F.row_number().over(Window.partitionBy("row").orderBy(F.lit(0)))
     copies = F.floor(F.col("all") / F.col("same")) + F.when(turn <= F.col("all") % F.col("same"), 1).otherwise(0)
-    return named.withColumn("copies", copies.cast("long")).where("copies > 0").select(*docs.columns, "copies")
+    kept = named.select("doc", copies.cast("long").alias("copies")).where("copies > 0")
+    return kept.select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c != "copies"], "copies")

@@ -281,8 +281,8 @@ def keep_first(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     rows = cut(_components(docs, n, percent))
     first = rows.where("n > 0").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "name")).alias("first"))
     kept = first.select("first.doc_id", "first.name").unionByName(rows.where("n = 0").select("doc_id", "name").distinct())
-    kept = kept.select(F.col("doc_id").alias("k_id"), F.col("name").alias("k_name"))
-    here = F.col("doc_id").cast("long").eqNullSafe(F.col("k_id")) & (F.xxhash64("text") == F.col("k_name"))
+    kept = kept.select(F.col("doc_id").alias("__k_id"), F.col("name").alias("__k_name"))
+    here = F.col("doc_id").cast("long").eqNullSafe(F.col("__k_id")) & (F.xxhash64("text") == F.col("__k_name"))
     out = docs.join(kept, here, "left_semi")
     if rows.where("n > 0").groupBy("doc_id", "name").count().where("count > 1").isEmpty():
         return out

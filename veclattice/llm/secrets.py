@@ -169,13 +169,12 @@ def _spans(rule: Rule, order: int) -> Column:
     return F.expr(f"if(size(m_{k}) > 0, {step}, {none})")
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with `found`: spans as (start, rank, end, kind), in order; code points, end exclusive."""
+def _scanned(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """doc (a row of docs, whatever its columns are called), text and found of every row."""
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern)) is not None}
-    rows = docs.withColumn("row", F.xxhash64("doc_id", "text"))
-    wanted = _candidates(rows.where("text is not null"), queries) if queries else None
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text", F.xxhash64("doc_id", "text").alias("row"))
     # candidates may be any share of the rows; texts meet them by row and are never broadcast
-    joined = rows.join(wanted, "row", "left") if queries else rows
+    joined = rows.join(_candidates(rows.where("text is not null"), queries), "row", "left") if queries else rows
     columns = []
     for r in rules:
         pattern = F.lit(r.pattern)
@@ -184,9 +183,13 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         columns.append(F.when(on, F.regexp_extract_all("text", pattern, F.lit(0))).alias(f"m_{r.kind}"))
         columns.append(F.when(on, F.regexp_extract_all("text", pattern, F.lit(r.group))).alias(f"g_{r.kind}"))
         columns.append(F.when(on, F.split("text", r.pattern, -1)).alias(f"p_{r.kind}"))
-    parts = joined.select(*docs.columns, *columns)
     found = F.array_sort(F.concat(*[_spans(r, i) for i, r in enumerate(rules)]))
-    return parts.select(*docs.columns, found.alias("found"))
+    return joined.select("doc", "text", *columns).select("doc", "text", found.alias("found"))
+
+
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """docs with `found` (theirs of that name is replaced): spans as (start, rank, end, kind), in order; code points, end exclusive."""
+    return _scanned(docs, rules).select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c != "found"], "found")
 
 
 def _text(spans: str) -> Column:
@@ -201,19 +204,17 @@ def digest(scanned: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with every span, overlapping ones merged, replaced in text, and n_chars, if there, as of the new text."""
-    scanned = scan(docs, rules)
     new = F.expr(
         """if(size(found) = 0, text, aggregate(found, named_struct('at', 0L, 'out', ''),
           (acc, x) -> named_struct('at', greatest(acc.at, x.end),
             'out', if(x.start >= acc.at, concat(acc.out, substring(text, cast(acc.at + 1 as int), cast(x.start - acc.at as int)), '[secret]'), acc.out)),
           acc -> concat(acc.out, substring(text, cast(acc.at + 1 as int)))))"""
     )
-    columns = [new.alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    out = scanned.select(*columns)
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        out = out.select(*[F.coalesce(F.length("text").cast(kind), F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in out.columns])
-    return out
+    rows = _scanned(docs, rules).select("doc", new.alias("new"))
+    columns = {c: F.col(f"doc.`{c}`") for c in docs.columns} | {"text": F.col("new")}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.coalesce(F.length("new").cast(docs.schema["n_chars"].dataType), columns["n_chars"])
+    return rows.select(*[v.alias(c) for c, v in columns.items()])
 
 
 def oracle(rules: tuple[Rule, ...] = RULES) -> str:

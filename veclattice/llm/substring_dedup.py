@@ -92,6 +92,9 @@ def _sketch(batches: Iterator[pa.RecordBatch], size: int, seed: int, bits: int)
         nonlocal held, held_n
         if held:
             code = np.concatenate(held)
+            if not len(code):
+                held = []
+                return
             for row, cell in enumerate(_cells(code, bits)):
                 cell, n = np.unique(cell, return_counts=True)
                 block = (cell >> U64(min(BLOCK_BITS, bits))).astype(np.int64)
