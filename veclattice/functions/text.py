@@ -45,7 +45,10 @@ def window_sizes(size: int, overlap: int) -> tuple[int, int]:
 
 
 def token_windows(ids: Column, size: int, overlap: int) -> Column:
-    """All windows from 0 by step; short ones at the end stay, also those that the one before covers."""
+    """All windows from 0 by step; short ones at the end stay, also those that the one before covers.
+
+    ids is a column of its own and no expression: each window reads it.
+    """
     size, step = window_sizes(size, overlap)
     n = F.size(ids)
     starts = F.sequence(F.lit(0), F.floor((n - 1) / step).cast("int"))

@@ -187,8 +187,8 @@ w AS (SELECT doc_id, i AS chunk_index, t[i * {step} + 1:i * {step} + {size}] AS
 
 
 def _windows(spark, sf, size: int, overlap: int) -> DataFrame:
-    docs = table(spark, sf, "documents")
-    rows = docs.select("doc_id", F.posexplode(X.token_windows(X.tokens(F.col("text")), size, overlap)).alias("chunk_index", "w"))
+    docs = table(spark, sf, "documents").select("doc_id", X.tokens(F.col("text")).alias("t"))
+    rows = docs.select("doc_id", F.posexplode(X.token_windows(F.col("t"), size, overlap)).alias("chunk_index", "w"))
     return rows.withColumn("chunk_index", F.col("chunk_index").cast("long"))
 
 

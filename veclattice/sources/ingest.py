@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +15,10 @@ EXTENSIONS = "txt md swift json xml html css js ts py rs go java kt c h cpp hpp"
 
 def directory(spark: SparkSession, path: str, extensions: list[str] | None = None) -> DataFrame:
     """document_name, file_path and text of the files of one folder, without hidden ones and blank texts, by name; none left is an error."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(f"{path.rstrip('/')}/*")
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(f"{path.rstrip('/')}/*")
+    except AnalysisException as e:
+        raise EmptyInput(f"no file in {path}") from e
     name = F.regexp_extract("path", "([^/]+)$", 1)
     wanted = "(?i)\\.(" + "|".join(extensions or EXTENSIONS) + ")$"
     text = F.expr("try_validate_utf8(cast(content as string))")
