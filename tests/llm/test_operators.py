@@ -325,6 +325,10 @@ def test_substrings(spark, odd, none):
 def test_sketch_never_underestimates(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "LEAST_BITS", 8)
     monkeypatch.setattr(substring_dedup, "MOST_BITS", 8)  # nearly every cell is hit: the result must not change
+    monkeypatch.setattr(substring_dedup, "MOST_SLICES", 1)
+    check_dedup(spark, table(spark, SF, "documents"), 35, 18)
+    monkeypatch.setattr(substring_dedup, "MOST_BITS", 14)
+    monkeypatch.setattr(substring_dedup, "MOST_SLICES", 3)
     check_dedup(spark, table(spark, SF, "documents"), 35, 18)
 
 

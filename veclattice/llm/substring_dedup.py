@@ -40,7 +40,9 @@ WINDOW = 35
 SEED = 18
 ROWS = 2
 #: Cells of a row of the sketch for each seed place expected, and their bounds as powers of 2.
-SPARSE, LEAST_BITS, MOST_BITS = 8, 20, 31
+SPARSE, LEAST_BITS, MOST_BITS = 8, 20, 29
+#: A larger input takes so many sketches, each of its share of the seeds; beyond, cells fill up and more windows go to the second pass.
+MOST_SLICES = 8
 BLOCK_BITS = 18
 #: Text that one block of rows may hold at a time.
 BLOCK_BYTES = 24_000_000
@@ -81,8 +83,12 @@ def _cells(code: np.ndarray, bits: int) -> list[np.ndarray]:
     return [mix(code + U64(0x1000003 * (k + 1))) >> U64(64 - bits) for k in range(ROWS)]
 
 
+def _slice(code: np.ndarray, slices: int) -> np.ndarray:
+    return mix(code ^ U64(0x5851F42D4C957F2D)) % U64(slices)
+
+
 @tidied
-def _sketch(batches: Iterator[pa.RecordBatch], size: int, seed: int, bits: int) -> Iterator[pa.RecordBatch]:
+def _sketch(batches: Iterator[pa.RecordBatch], size: int, seed: int, bits: int, slices: int, one: int) -> Iterator[pa.RecordBatch]:
     """Rows of (block of cells, cells with a count, cells with two or more), compressed."""
     pack = zstandard.ZstdCompressor(level=1)
     held: list[np.ndarray] = []
@@ -115,9 +121,11 @@ def _sketch(batches: Iterator[pa.RecordBatch], size: int, seed: int, bits: int)
         for i, j in chunks(texts):
             w = words(texts, i, j)
             _, rep, _, dense = _seeds(w, size, seed)
-            places = np.unique(rep)
-            held.append(dense[places])
-            held_n += len(places)
+            codes = dense[np.unique(rep)]
+            if slices > 1:
+                codes = codes[_slice(codes, slices) == one]
+            held.append(codes)
+            held_n += len(codes)
             if held_n > 2_000_000:
                 yield from flush()
     yield from flush()
@@ -143,13 +151,17 @@ def _merge(batches: Iterator[pa.RecordBatch], bits: int, last: bool) -> Iterator
     yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(bodies, pa.binary())], ["block", "body"])
 
 
-def _flags(docs: DataFrame, size: int, seed: int) -> tuple[int, list[np.ndarray]]:
-    """The merged sketch as packed bits; its size follows the input up to MOST_BITS."""
-    spark = docs.sparkSession
+def _sizes(docs: DataFrame, size: int, seed: int) -> tuple[int, int]:
+    """Bits of a cell's number and number of slices; they follow the input up to their bounds."""
     (total,) = docs.agg(F.sum(F.octet_length("text"))).first()
-    expected = (total or 0) / 6 * 2 / (size - seed + 2)
-    bits = int(min(MOST_BITS, max(LEAST_BITS, np.ceil(np.log2(SPARSE * expected + 1)))))
-    sketch = docs.select("text").mapInArrow(lambda b: _sketch(b, size, seed, bits), "block long, body binary")
+    cells = SPARSE * (total or 0) / 6 * 2 / (size - seed + 2) + 1
+    bits = int(min(MOST_BITS, max(LEAST_BITS, np.ceil(np.log2(cells)))))
+    return bits, int(min(MOST_SLICES, np.ceil(cells / 2.0**bits)))
+
+
+def _flags(docs: DataFrame, size: int, seed: int, bits: int, slices: int, one: int) -> list[np.ndarray]:
+    """The merged sketch of one slice of the seeds, as packed bits."""
+    sketch = docs.select("text").mapInArrow(lambda b: _sketch(b, size, seed, bits, slices, one), "block long, body binary")
     # many small sketches of one block meet in two steps, so no task reads one from each task of a large input
     step = sketch.withColumn("part", F.spark_partition_id() % 64)
     step = step.repartition("block", "part").select("block", "body").mapInArrow(lambda b: _merge(b, bits, False), "block long, body binary")
@@ -159,7 +171,7 @@ def _flags(docs: DataFrame, size: int, seed: int) -> tuple[int, list[np.ndarray]
     for name, body in merged.collect():  # bounded: ROWS * 2**MOST_BITS bits
         at = (name & 0xFFFFFFFF) * width
         flags[name >> 32][at : at + width] = np.frombuffer(body, dtype=np.uint8)
-    return bits, flags
+    return flags
 
 
 def _estimated(code: np.ndarray, bits: int, flags: list[np.ndarray]) -> np.ndarray:
@@ -173,7 +185,7 @@ _WINDOW_ROWS = "h long, rest long, doc long"
 
 
 @tidied
-def _flagged(batches: Iterator[pa.RecordBatch], size: int, seed: int, bits: int, sketch) -> Iterator[pa.RecordBatch]:
+def _flagged(batches: Iterator[pa.RecordBatch], size: int, seed: int, bits: int, slices: int, one: int, sketch) -> Iterator[pa.RecordBatch]:
     """Windows estimated repeated.
 
     h and the upper half of rest are the window's code, the lower half its
@@ -225,7 +237,11 @@ def _flagged(batches: Iterator[pa.RecordBatch], size: int, seed: int, bits: int,
             start, rep, _, dense = _seeds(w, size, seed)
             if len(start):
                 place, back = np.unique(rep, return_inverse=True)
-                start = start[_estimated(dense[place], bits, flags)[back]]
+                code = dense[place]
+                often = _estimated(code, bits, flags)
+                if slices > 1:
+                    often &= _slice(code, slices) == one
+                start = start[often[back]]
                 doc = w.doc()
                 d = doc[start]
                 h = spans(w.code, start, start + size, BASES[0])
@@ -271,10 +287,13 @@ def dedup_substrings(docs: DataFrame, size: int = WINDOW, seed: int = SEED) -> D
         raise ValueError("a seed is at least a word and at most a window")
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    bits, flags = _flags(docs, size, seed)
-    sketch = spark.sparkContext.broadcast(flags)
+    bits, slices = _sizes(docs, size, seed)
     key = _row_key(docs)
-    found = docs.select(key.alias("key"), "text").mapInArrow(lambda b: _flagged(b, size, seed, bits, sketch), _WINDOW_ROWS)
+    found = None
+    for one in range(slices):
+        sketch = spark.sparkContext.broadcast(_flags(docs, size, seed, bits, slices, one))
+        part = docs.select(key.alias("key"), "text").mapInArrow(lambda b, one=one, sketch=sketch: _flagged(b, size, seed, bits, slices, one, sketch), _WINDOW_ROWS)
+        found = part if found is None else found.unionByName(part)
     # a place without code is in no group; it goes where its hash sends it
     group = Window.partitionBy("h", F.shiftright("rest", 32), F.when(F.col("h").isNull(), F.xxhash64("doc", "rest")))
     repeated = found.withColumn("met", F.count(F.lit(1)).over(group)).where("doc is not null and (h is null or met > 1)")
