@@ -407,6 +407,8 @@ def test_html():
     <form><p>Your mail</p></form><aside>See also</aside><table><tr><td>a</td><td>b</td></tr></table></article>
     <section id="comments"><article><p>I disagree</p></article></section><footer>&copy;</footer></body></html>"""
     assert htmltext.judge([htmltext.parse(page)]) == ["Head & line\nFirst bold text.\nSecond para\nline\na\nb"]
+    page = """<body><div id="header">Site</div><div class="entry-content wide"><div class="post-header"><h1>Title</h1></div><p>Text</p><div class="share-buttons">Share</div></div><div>Elsewhere</div><div class="comment-list"><p>Me too</p></div></body>"""
+    assert htmltext.judge([htmltext.parse(page)]) == ["Title\nText"]
     assert htmltext.judge([htmltext.parse(x) for x in (None, "", "plain &lt;text&gt;", "a < b<p>c</art")]) == ["", "", "plain <text>", "a < b\nc"]
 
 
