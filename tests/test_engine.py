@@ -249,3 +249,40 @@ def test_stream(spark, tmp_path):
     q = spark.createDataFrame([(0, i, v.tolist()) for i, v in enumerate(encode.encode_query("two three", encode.HashEncoder(), 2))], "query_id long, qtok int, v array<double>")
     hit = metadata.enrich(index.search(q, EVERYTHING).where("rank = 1"), index.chunks()).first()
     assert hit["document_name"] == "b" and abs(hit["score"] - 2) < 0.2
+
+
+def test_service(spark, tmp_path):
+    from veclattice.operators.service import SearchService
+
+    folder = tmp_path / "texts"
+    folder.mkdir()
+    (folder / "a.txt").write_text("red stone on a hill")
+    (folder / "b.txt").write_text("blue water under " + " ".join(f"w{i}" for i in range(200)))
+    s = SearchService(spark, str(tmp_path / "index"), encode.HashEncoder(), schema.ModelConfig(32), IndexConfig(nbits=8, centroids="deterministic"))
+    index = s.index_directory(str(folder))
+    assert index.num_documents == 3
+    top = s.search("red stone").first()
+    assert top["name"] == "a.txt" and top["score"] > 0.9 and top["band"] == "green"
+    assert [r["document_name"] for r in s.documents().collect()] == ["a.txt", "b.txt"]
+    assert spark.read.json(f"{s.path}/state").first()["totalDocuments"] == 3
+    assert s.delete_document("a.txt") == 1 and s.delete_document("none") == 0
+    assert s.search("blue water").first()["name"] == "b.txt"
+    assert s.delete_document("b.txt") == 2
+    with pytest.raises(IndexNotFound):
+        s.search("blue")
+
+
+def test_generator_and_progress():
+    from veclattice.functions.vectors import Lcg
+
+    g = Lcg(1)
+    assert g.next() == 6364136223846793006 and Lcg(0).next() == Lcg(0).next()
+    seen = []
+    from types import SimpleNamespace
+
+    from veclattice.streaming.progress import Progress
+
+    p = Progress(lambda b, n: seen.append((b, n)))
+    for b in range(2):
+        p.onQueryProgress(SimpleNamespace(progress=SimpleNamespace(batchId=b, numInputRows=3)))
+    assert seen == [(0, 3), (1, 6)]

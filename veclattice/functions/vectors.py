@@ -60,3 +60,14 @@ def unpack(data: bytes, rows: int, cols: int) -> np.ndarray:
     if len(data) < 4 * rows * cols:
         return np.zeros((0, cols), dtype=np.float32)
     return np.frombuffer(data, dtype="<f4", count=rows * cols).reshape(rows, cols)
+
+
+class Lcg:
+    """A seeded 64-bit generator: state * 6364136223846793005 + 1, wrapping (fixed values); a zero seed is replaced."""
+
+    def __init__(self, seed: int):
+        self.state = seed % (1 << 64) or 0x9E3779B97F4A7C15
+
+    def next(self) -> int:
+        self.state = (self.state * 6364136223846793005 + 1) % (1 << 64)
+        return self.state

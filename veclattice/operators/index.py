@@ -106,7 +106,7 @@ class VectorIndex:
 
     @classmethod
     def _write_codes(cls, spark, at, rest, edges) -> None:
-        codec.codes(rest, edges).select("doc_id", "token_pos", "centroid_id", F.transform("code", lambda c: c.cast("tinyint")).alias("code")).write.parquet(f"{at}/codes")
+        codec.codes(rest, edges).select("doc_id", "token_pos", "centroid_id", F.transform("code", lambda c: c.cast("smallint")).alias("code")).write.parquet(f"{at}/codes")
         coded = spark.read.parquet(f"{at}/codes")
         codec.inverted_lists(coded).write.parquet(f"{at}/ivf")
         codec.document_lengths(coded).write.parquet(f"{at}/doclens")
@@ -186,7 +186,7 @@ class VectorIndex:
         centroids.write.parquet(f"{at}/centroids")
         unit = new.select("doc_id", "token_pos", V.normalize(V.doubles("v")).alias("v"))
         rest = codec.residuals(codec.assign(unit, centroids), centroids)
-        coded = codec.codes(rest, self.meta["cutoffs"]).select("doc_id", "token_pos", "centroid_id", F.transform("code", lambda c: c.cast("tinyint")).alias("code"))
+        coded = codec.codes(rest, self.meta["cutoffs"]).select("doc_id", "token_pos", "centroid_id", F.transform("code", lambda c: c.cast("smallint")).alias("code"))
         self._write_tables(at, self.table("codes").unionByName(coded), all_chunks)
         return self._count_and_finish(version), list(range(n, n + added))
 
