@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from veclattice import schema
-from veclattice.errors import DimensionMismatch, EmptyEmbeddingSet, EmptyInput, IndexNotFound, InvalidDocumentId, InvalidPredicate, ModelMismatch, PoolingError
+from veclattice.errors import DimensionMismatch, EmptyEmbeddingSet, EmptyInput, EngineError, IndexNotFound, InvalidDocumentId, InvalidPredicate, ModelMismatch, PoolingError
 from veclattice.functions import text as X
 from veclattice.functions import vectors as V
 from veclattice.operators import chunk, codec, encode, evaluate, metadata, mutate, pooling, predicate, score, search
@@ -214,7 +214,9 @@ def test_parameters():
     assert params.adaptive(1679, 3).n_full_scores == 250
     p = SearchParameters(top_k=3)
     assert "log_timing" not in p.to_json() and SearchParameters.from_json(p.to_json()) == p
-    assert schema.resolve_model("MXBAI-edge")[0] == "mxbai"
+    assert schema.resolve_model("MXBAI-edge")[0] == "mxbai" and schema.resolve_model("lfm2")[1].document_length == 512
+    with pytest.raises(EngineError):
+        schema.resolve_model("other")
 
 
 def test_sources(spark, tmp_path):

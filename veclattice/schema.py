@@ -78,14 +78,14 @@ class IndexConfig:
             raise EngineError("centroids are kmeans or deterministic")
 
 
-#: Dimension, query length and document length of the known models, and their other names.
+#: Dimension, query length and document length of the known models.
 MODELS = {"lfm2": ModelConfig(128, query_length=32, document_length=512), "mxbai": ModelConfig(64, query_length=256, document_length=256)}
-ALIASES = {"lfm2colbert": "lfm2", "lfm25": "lfm2", "lfm2": "lfm2", "mxbaiedge": "mxbai", "mxbaiedgecolbert": "mxbai", "mxbai": "mxbai"}
 
 
 def resolve_model(name: str) -> tuple[str, ModelConfig]:
-    """Names are taken without case and hyphens."""
-    key = ALIASES.get(name.replace("-", "").replace(".", "").lower())
-    if key is None:
-        raise EngineError(f"unknown model {name}")
-    return key, MODELS[key]
+    """A model by its name or a longer form of it, without case and hyphens."""
+    plain = name.replace("-", "").replace(".", "").lower()
+    for key, config in MODELS.items():
+        if plain.startswith(key):
+            return key, config
+    raise EngineError(f"unknown model {name}")
