@@ -170,9 +170,9 @@ def _spans(rule: Rule, order: int) -> Column:
 
 
 def _scanned(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """doc (a row of docs, whatever its columns are called), text and found of every row."""
+    """doc (the other columns of docs, whatever they are called), text and found of every row."""
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern)) is not None}
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text", F.xxhash64("doc_id", "text").alias("row"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("doc"), "text", F.xxhash64("doc_id", "text").alias("row"))
     # candidates may be any share of the rows; texts meet them by row and are never broadcast
     joined = rows.join(_candidates(rows.where("text is not null"), queries), "row", "left") if queries else rows
     columns = []
@@ -189,7 +189,8 @@ def _scanned(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with `found` (theirs of that name is replaced): spans as (start, rank, end, kind), in order; code points, end exclusive."""
-    return _scanned(docs, rules).select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c != "found"], "found")
+    columns = ["text" if c == "text" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c != "found"]
+    return _scanned(docs, rules).select(*columns, "found")
 
 
 def _text(spans: str) -> Column:
@@ -211,7 +212,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
           acc -> concat(acc.out, substring(text, cast(acc.at + 1 as int)))))"""
     )
     rows = _scanned(docs, rules).select("doc", new.alias("new"))
-    columns = {c: F.col(f"doc.`{c}`") for c in docs.columns} | {"text": F.col("new")}
+    columns = {c: F.col("new") if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns}
     if "n_chars" in columns:
         columns["n_chars"] = F.coalesce(F.length("new").cast(docs.schema["n_chars"].dataType), columns["n_chars"])
     return rows.select(*[v.alias(c) for c, v in columns.items()])
