@@ -200,9 +200,12 @@ def _components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("name"))
     frequency = spark.sparkContext.broadcast(_frequency(docs, n))
-    rows = cut(docs.mapInArrow(lambda b: _rows(b, n, percent, frequency), "doc_id long, name long, n long, s1 long, s2 long, prefix array<long>"))
+    schema = "doc_id long, name long, n long, s1 long, s2 long, prefix array<long>"
     own = F.lit(1 << 62).bitwiseOR(F.col("s1").bitwiseAND((1 << 61) - 1))
-    classes = cut(rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("least"), F.any_value("prefix").alias("prefix")))
+    # two passes over the texts: columns are kept once, for each set, and not for each row too
+    full = docs.mapInArrow(lambda b: _rows(b, n, percent, frequency), schema)
+    classes = cut(full.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("least"), F.any_value("prefix").alias("prefix")))
+    rows = cut(docs.mapInArrow(lambda b: _rows(b, n, 100, frequency), schema).drop("prefix"))
     # a node's name is its least doc_id; without one, or where two sets have the same, it is one above all doc_ids
     clash = classes.groupBy("least").agg(F.count(F.lit(1)).alias("sets"), F.min(F.struct("s1", "s2")).alias("first")).where("least is not null and sets > 1").drop("sets")
     if clash.isEmpty():
