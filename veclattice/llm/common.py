@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -32,7 +33,12 @@ def cut(df: DataFrame) -> DataFrame:
     unset, as in tests on one machine, is a temporary folder set.
     """
     _shared(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    del df
+    # shuffle and checkpoint files of steps that nothing refers to any more go only when the driver collects garbage
+    gc.collect()
+    out.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def written(df: DataFrame) -> DataFrame:
