@@ -422,6 +422,48 @@ def test_boilerplate():
     assert got == own + [shared] * 3
 
 
+def random_words(seed):
+    r = random.Random(seed)
+    return lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+
+
+def test_boilerplate_in_articles():
+    make = random_words(20)
+    bar, own, copy = make(12), [make(50) for _ in range(6)], [make(30), make(30)]
+    wrap = lambda *blocks: "<article>" + "".join(f"<p>{b}</p>" for b in blocks) + "</article>"
+    # a headline that other pages link to is no boilerplate
+    linked = f"<nav>{own[0]}</nav>"
+    pages = [wrap(t, bar) + linked for t in own] + [wrap(*copy, bar)] * 4
+    assert htmltext.judge([htmltext.parse(p) for p in pages]) == own + ["\n".join(copy)] * 4
+
+
+def test_boilerplate_short_pages():
+    make = random_words(21)
+    footer, own, copy = make(40), [make(20) for _ in range(9)], make(60).split(" ")
+    near = [" ".join(copy[:k] + ["edited"] + copy[k + 1 :]) for k in (10, 30, 50)]
+    pages = [f"<div>{t}</div><div>{footer}</div>" for t in own] + [f"<div>{t}</div><div>{footer}</div>" for t in near]
+    assert htmltext.judge([htmltext.parse(p) for p in pages]) == own + near
+
+
+@pytest.mark.parametrize("most", [4_000_000, 0])
+def test_boilerplate_over_shards(spark, monkeypatch, most):
+    monkeypatch.setattr(htmltext, "BROADCAST_CODES", most)
+    make = random_words(22)
+    bar = make(12)
+    rows, want = [], {}
+    for k in range(60):
+        text, shared = make(60), k % 10 == 0
+        block = f"<p>{text}</p>" + (f"<p>{bar}</p>" if shared else "")
+        rows.append((k, f"http://a/{k}", f"<article>{block}</article>" if k % 3 else f"<div>{block}</div>"))
+        want[k] = text
+    rows += [(100 + k, f"http://b/{k}", f"<p>{bar}</p>") for k in range(2)]
+    want |= {100: bar, 101: bar}
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    # a shard holds about one page
+    got = {r["page_id"]: r["text"] for r in htmltext.extract(pages, shard_bytes=500).collect()}
+    assert got == want
+
+
 def test_suffix_ranks():
     r = random.Random(11)
     t = np.array([r.randrange(3) for _ in range(300)])

@@ -8,14 +8,20 @@ prefix doubling, to the depth of the shortest run of interest).  Neighbours in
 the array give the runs of words that distinct pages share.
 
 A run is boilerplate if most of its places lie in such containers or if enough
-pages of the host share it.  What a page marks as its article stays, without
-such containers; its other blocks go.  On pages that mark none, blocks in such
-containers or wholly covered by boilerplate runs go, all other runs stay.  A
-page that would lose most of its text so is a copy of others and keeps it.
+pages of the host share it; pages are counted over the whole host, whatever
+its size.  Pages of equal text count once, and a page counts only if it has
+DEPTH words on end that no such run covers: pages that differ in scattered
+words are copies of each other, and what only copies share stays.
+
+What a page marks as its article stays, without such containers and without
+blocks wholly covered by runs that enough pages share outside of such
+containers; its other blocks go.  On pages that mark none, blocks in such
+containers or wholly covered by boilerplate runs go, all others stay.
 
 A host's pages are dealt over shards of bounded size by a hash of the page, so
-a host may hold any share of the input; the pages that must share a run are
-counted relative to the shard.
+a host may hold any share of the input.  Runs are told apart by 64-bit codes
+of host and words: a first pass finds the codes that may repeat, a second
+counts those exactly over the host, and the list goes to the shards.
 
 Defined results: null and empty html give the empty string; a null url or one
 without `://` has the host ""; repeated rows each get their row; a page larger
@@ -25,17 +31,20 @@ page_id, url and html are not read.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .textcodes import tidied
+from .textcodes import U64, chunks, mix, tidied, windows, words
 
 #: Names of HTML elements, and words in class, id and role that name such containers.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -51,10 +60,14 @@ ARTICLE_NAMES = re.compile(r"(?:^|\s)(?:(?:article|post|entry|story|page|main)[_
 _TAG = re.compile(r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[a-zA-Z/!?][^>]*\Z", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 
-#: Words of the shortest run (a power of two), least pages that share a run, and their least share of a shard.
-DEPTH, LEAST_PAGES, LEAST_SHARE = 8, 3, 0.01
+#: Words of the shortest run (a power of two), least pages that share a run, their least share of a host's pages, and so many are always enough.
+DEPTH, LEAST_PAGES, LEAST_SHARE, ENOUGH_PAGES = 8, 3, 0.01, 100
 SHARD_BYTES = 1 << 20
 BROADCAST_HOSTS = 50_000
+#: Codes of boilerplate that are broadcast; a longer list meets the shards in a cogroup.
+BROADCAST_CODES = 4_000_000
+#: Bits of the filter of codes that may repeat (a full filter only lets more through), and codes of a range when it is made.
+FILTER_BITS, RANGE_CODES = 28, 1 << 22
 
 IN_ARTICLE, NEUTRAL, BOILERPLATE = 0, 1, 2
 
@@ -141,53 +154,110 @@ def suffix_ranks(tokens: np.ndarray, depth: int) -> np.ndarray:
     return rank
 
 
-def judge(pages: list[tuple[list[str], list[int]]]) -> list[str]:
-    """Main text of each page of a shard of one host."""
+class Runs(NamedTuple):
+    """Places of all runs of DEPTH words inside one page, by page and word."""
+
+    code: np.ndarray
+    page: np.ndarray
+    word: np.ndarray  # first word, counted in its page
+    place: np.ndarray  # of the first word
+    words: np.ndarray  # of each page
+
+
+def runs(pages: list[tuple[list[str], list[int]]], hosts: list[str]) -> Runs:
+    texts = pa.array(["\n".join(blocks) for blocks, _ in pages], pa.large_string())
+    salt = {h: int.from_bytes(hashlib.blake2b(h.encode(), digest_size=8).digest()) for h in set(hosts)}
+    salts = np.array([salt[h] for h in hosts], dtype=U64)
+    places = [np.repeat(np.array(places, dtype=np.int64), [b.count(" ") + 1 for b in blocks]) for blocks, places in pages]
+    out: list[list[np.ndarray]] = [[], [], [], [], []]
+    for i, j in chunks(texts):
+        w = words(texts, i, j)
+        start, code = windows(w, DEPTH)
+        page = w.doc()[start]
+        place = np.concatenate([*places[i:j], np.zeros(0, dtype=np.int64)])
+        for x, y in zip(out, (mix(code ^ salts[i + page]), i + page, start - w.first[page], place[start], np.diff(w.first)), strict=True):
+            x.append(y)
+    kinds = (U64, np.int64, np.int64, np.int64, np.int64)
+    return Runs(*[np.concatenate([*x, np.zeros(0, dtype=k)]) for x, k in zip(out, kinds, strict=True)])
+
+
+def text_key(host: str, blocks: list[str]) -> int:
+    """Equal for pages of one host and equal text."""
+    return int.from_bytes(hashlib.blake2b("\n".join([host, *blocks]).encode(), digest_size=8).digest(), signed=True)
+
+
+def least_pages(n: int) -> float:
+    """How many of a host's n pages make a run boilerplate."""
+    return max(LEAST_PAGES, min(ENOUGH_PAGES, LEAST_SHARE * n))
+
+
+def suffix_groups(pages: list[tuple[list[str], list[int]]], r: Runs) -> np.ndarray:
+    """A number for each run, the same for equal ones, from the suffix array of the pages."""
     vocabulary: dict[str, int] = {}
-    ids: list[int] = []
-    block_of: list[int] = []
-    first, page_of, place_of = [], [], []
-    for p, (blocks, places) in enumerate(pages):
-        for text, place in zip(blocks, places, strict=True):
-            words = text.split(" ")
-            first.append(len(ids))
-            page_of.append(p)
-            place_of.append(place)
-            ids += [vocabulary.setdefault(w, len(vocabulary)) for w in words]
-            block_of += [len(page_of) - 1] * len(words)
-    n, page, place = len(ids), np.array(page_of, dtype=np.int64), np.array(place_of, dtype=np.int64)
-    block = np.array(block_of, dtype=np.int64)
-    covered = np.zeros(n + 1, dtype=np.int64)
+    ids = np.array([vocabulary.setdefault(w, len(vocabulary)) for blocks, _ in pages for text in blocks for w in text.split(" ")], dtype=np.int64)
+    first = np.cumsum(r.words) - r.words
+    return np.unique(suffix_ranks(ids, DEPTH)[first[r.page] + r.word], return_inverse=True)[1] if len(r.code) else np.zeros(0, dtype=np.int64)
+
+
+def covered(r: Runs, some: np.ndarray) -> np.ndarray:
+    """Whether each word, page after page, lies in one of some runs."""
+    first = np.cumsum(r.words) - r.words
+    at = (first[r.page] + r.word)[some]
+    edge = np.zeros(int(r.words.sum()) + 1, dtype=np.int64)
+    np.add.at(edge, at, 1)
+    np.add.at(edge, at + DEPTH, -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
+def boilerplate(pages: list[tuple[list[str], list[int]]]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the runs that are boilerplate outside of marked articles and inside, from all pages of one host."""
+    pages = list({text_key("", p[0]): p for p in reversed(pages)}.values())
+    r = runs(pages, [""] * len(pages))
+    g = suffix_groups(pages, r)
+    n, least = int(g.max(initial=-1)) + 1, least_pages(len(pages))
+
+    def count(on: np.ndarray) -> np.ndarray:
+        return np.bincount(np.unique(g[on] * (len(pages) + 1) + r.page[on]) // (len(pages) + 1), minlength=n)
+
+    n_pages = count(np.ones(len(g), dtype=bool))
+    outside = np.bincount(g, weights=r.place == BOILERPLATE, minlength=n)
+    mostly = (n_pages >= 2) & (2 * outside > np.bincount(g, minlength=n))
+    free = np.split(~covered(r, (n_pages >= least)[g]), np.cumsum(r.words)[:-1])
+    own = np.array([longest(x) >= DEPTH for x in free], dtype=bool)
+    often, inside = count(own[r.page]) >= least, count(own[r.page] & (r.place != BOILERPLATE)) >= least
+    return np.unique(r.code[(mostly | often)[g]]), np.unique(r.code[inside[g]])
+
+
+def longest(on: np.ndarray) -> int:
+    """The most true values on end."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], on.astype(np.int8), [0]])))
+    return int((edge[1::2] - edge[::2]).max(initial=0))
+
+
+def _among(codes: np.ndarray, listed: np.ndarray) -> np.ndarray:
+    if not len(listed):
+        return np.zeros(len(codes), dtype=bool)
+    return listed[np.minimum(np.searchsorted(listed, codes), len(listed) - 1)] == codes
+
+
+def judge(pages: list[tuple[list[str], list[int]]], host: str = "", listed: tuple[np.ndarray, np.ndarray] | None = None) -> list[str]:
+    """Main text of each page of a shard of one host; without the host's sorted codes of boilerplate the pages are the whole host."""
+    if listed is None:
+        host, listed = "", boilerplate(pages)
+    page = np.array([p for p, (blocks, _) in enumerate(pages) for _ in blocks], dtype=np.int64)
+    place = np.array([x for _, places in pages for x in places], dtype=np.int64)
+    size = np.array([b.count(" ") + 1 for blocks, _ in pages for b in blocks], dtype=np.int64)
     marked = np.zeros(len(pages), dtype=bool)
     marked[page[place == IN_ARTICLE]] = True
-    if n > DEPTH:
-        rank = suffix_ranks(np.array(ids, dtype=np.int64), DEPTH)
-        whole = np.flatnonzero(page[block[: n - DEPTH + 1]] == page[block[DEPTH - 1 :]])  # runs inside one page
-        r = rank[whole]
-        order = np.argsort(r, kind="stable")  # the suffix array
-        at, r = whole[order], r[order]
-        group = np.cumsum(np.concatenate([[0], r[1:] != r[:-1]])) if len(r) else r
-        owner = page[block[at]]
-        n_groups = int(group[-1]) + 1 if len(group) else 0
-        new_page = np.ones(len(at), dtype=bool)
-        new_page[1:] = (group[1:] != group[:-1]) | (owner[1:] != owner[:-1])
-        n_pages = np.bincount(group[new_page], minlength=n_groups)
-        n_places = np.bincount(group, minlength=n_groups)
-        outside = np.bincount(group, weights=place[block[at]] == BOILERPLATE, minlength=n_groups)
-        shared = n_pages >= 2
-        mostly = shared & (2 * outside > n_places)
-        often = n_pages >= max(LEAST_PAGES, LEAST_SHARE * len(pages))
-        run = mostly[group] | often[group]
-        np.add.at(covered, at[run], 1)
-        np.add.at(covered, at[run] + DEPTH, -1)
-    covers = np.cumsum(covered[:-1]) > 0
-    share = np.bincount(block, weights=covers, minlength=len(page)) / np.maximum(1, np.bincount(block, minlength=len(page)))
     drop = (place == BOILERPLATE) | (marked[page] & (place != IN_ARTICLE))
-    gone = ~drop & (share == 1) & ~marked[page]
-    # pages that would lose most of their text are copies of each other
-    left = np.bincount(page, weights=~drop, minlength=len(pages))
-    lost = np.bincount(page, weights=gone, minlength=len(pages))
-    drop |= gone & ~(2 * lost > left)[page]
+    r = runs(pages, [host] * len(pages))
+    if len(r.code) and (len(listed[0]) or len(listed[1])):
+        g = suffix_groups(pages, r)
+        _, at = np.unique(g, return_index=True)  # a code is looked up once for all its places
+        block = np.repeat(np.arange(len(page)), size)
+        for kind, codes in zip((~marked[page], place == IN_ARTICLE), listed, strict=True):
+            share = np.bincount(block, weights=covered(r, _among(r.code[at], codes)[g]), minlength=len(page))
+            drop |= kind & (share == size)
     out: list[list[str]] = [[] for _ in pages]
     k = 0
     for p, (blocks, _) in enumerate(pages):
@@ -207,9 +277,116 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array([b for b, _ in both], pa.list_(pa.string())), pa.array([p for _, p in both], pa.list_(pa.int8()))], ["page_id", "url", "host", "shard", "blocks", "places"])
 
 
-def _judged(table: pa.Table) -> pa.Table:
+def _pages_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], list[tuple[list[str], list[int]]]]]:
+    """Hosts and parsed pages of (host, html), a bounded number at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 500):
+            part = batch.slice(i, 500)
+            yield part.column(0).to_pylist(), [parse(x) for x in part.column(1).to_pylist()]
+
+
+@tidied
+def _ranges(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """The sorted codes of pages, each at most twice, cut into 2**bits ranges and packed as differences."""
+    pack = zstandard.ZstdCompressor(level=1)
+
+    def packed(codes: list[np.ndarray]) -> pa.RecordBatch:
+        c = np.sort(np.concatenate(codes))
+        c = c[np.concatenate([[True, True], c[2:] != c[:-2]])] if len(c) > 2 else c
+        name = (c >> U64(64 - bits)).astype(np.int64)
+        low = ((c >> U64(32 - bits)) & U64(0xFFFFFFFF)).astype("<u4")
+        names, at = np.unique(name, return_index=True)
+        bodies = [pack.compress(np.diff(x, prepend=x[:1] * 0).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()) for x in np.split(low, at[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(bodies, pa.binary())], ["name", "body"])
+
+    held: list[np.ndarray] = []
+    size = 0
+    for hosts, pages in _pages_of(batches):
+        r = runs(pages, hosts)
+        order = np.lexsort((r.code, r.page))
+        code, page = r.code[order], r.page[order]
+        new = np.ones(len(code), dtype=bool)
+        new[1:] = (code[1:] != code[:-1]) | (page[1:] != page[:-1])
+        held.append(code[new])
+        size += len(held[-1])
+        if size >= RANGE_CODES:
+            yield packed(held)
+            held, size = [], 0
+    if size:
+        yield packed(held)
+
+
+@tidied
+def _repeated(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """Each range's part of the filter: which of its codes more than one page has."""
+    pack, opened = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+    found: dict[int, list[np.ndarray]] = {}
+    for batch in batches:
+        for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            d = np.frombuffer(opened.decompress(body), dtype=np.uint8).reshape(4, -1).T
+            found.setdefault(name, []).append(np.cumsum(np.ascontiguousarray(d).view("<u4").ravel(), dtype=np.uint32))
+    for name in list(found):
+        low = np.sort(np.concatenate(found.pop(name)))
+        twice = low[1:][low[1:] == low[:-1]]
+        on = np.zeros(1 << (FILTER_BITS - bits), dtype=bool)
+        on[twice >> np.uint32(32 - FILTER_BITS + bits)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([pack.compress(np.packbits(on).tobytes())], pa.binary())], ["name", "body"])
+
+
+@tidied
+def _candidates(batches: Iterator[pa.RecordBatch], wanted) -> Iterator[pa.RecordBatch]:
+    """Of each page the runs that the filter lets through."""
+    bits = wanted.value
+    for hosts, pages in _pages_of(batches):
+        r = runs(pages, hosts)
+        cell = (r.code >> U64(64 - FILTER_BITS)).astype(np.int64)
+        on = np.flatnonzero(bits[cell >> 3] >> (7 - (cell & 7)) & 1)
+        edge = pa.array(np.searchsorted(r.page[on], np.arange(len(pages) + 1)), pa.int32())
+        lists = [pa.ListArray.from_arrays(edge, pa.array(x[on].astype(k))) for x, k in ((r.word, np.int32), (r.code.view(np.int64), np.int64), (r.place, np.int8))]
+        keys = pa.array([text_key(h, b) for h, (b, _) in zip(hosts, pages, strict=True)], pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), keys, pa.array(r.words, pa.int64()), *lists], ["host", "text", "words", "word", "code", "place"])
+
+
+def _listed(pages: DataFrame) -> DataFrame:
+    """host, code, neutral and inside: the runs that are boilerplate outside of marked articles or inside, from (host, html)."""
+    spark = pages.sparkSession
+    (total,) = pages.agg(F.sum(F.octet_length("html"))).first()
+    bits = int(np.clip(np.ceil(np.log2((total or 0) / 6 / RANGE_CODES + 1)), 6, 14))
+    packed = pages.mapInArrow(lambda b: _ranges(b, bits), "name long, body binary").repartition("name")
+    on = np.zeros((1 << bits, 1 << (FILTER_BITS - 3 - bits)), dtype=np.uint8)
+    for name, body in packed.mapInArrow(lambda b: _repeated(b, bits), "name long, body binary").collect():  # bounded: 2**FILTER_BITS bits
+        on[name] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(body)), dtype=np.uint8)
+    wanted = spark.sparkContext.broadcast(on.ravel())
+    texts = pages.mapInArrow(lambda b: _candidates(b, wanted), "host string, text long, words long, word array<int>, code array<long>, place array<tinyint>")
+    # pages of equal text count once
+    texts = cut(texts.groupBy("host", "text").agg(F.min(F.struct("words", "word", "code", "place")).alias("p")).select("host", "text", "p.*"))
+    hosts = texts.groupBy("host").agg(F.count(F.lit(1)).alias("n")).select("host", F.expr(f"greatest({LEAST_PAGES}, least({ENOUGH_PAGES}, {LEAST_SHARE}D * n))").alias("least"))
+    places = texts.select("host", "text", "words", F.explode(F.arrays_zip("word", "code", "place")).alias("r")).select("host", "text", "words", "r.*")
+    each = places.groupBy("host", "code", "text").agg(F.count(F.lit(1)).alias("places"), F.sum((F.col("place") == BOILERPLATE).cast("long")).alias("outside"), F.any_value("words").alias("words"), F.collect_list("word").alias("at"))
+    counts = each.groupBy("host", "code").agg(F.count(F.lit(1)).alias("pages"), F.sum("places").alias("places"), F.sum("outside").alias("outside")).where("pages >= 2")
+    mostly, often = F.expr("2 * outside > places"), F.expr("pages >= least")
+    counts = cut(counts.join(hosts, "host").select("host", "code", "least", mostly.alias("mostly"), often.alias("often")).where("mostly or often"))
+    shared = counts.where("often").select("host", "code", "least")
+    shared = F.broadcast(shared) if shared.count() <= BROADCAST_CODES // 8 else shared
+    held = cut(each.join(shared, ["host", "code"]).select("host", "code", "text", "words", "at", "least", (F.col("places") > F.col("outside")).alias("inside")))
+    # the most words on end of a page that no shared run covers
+    rest = F.expr(f"aggregate(at, struct(0L as upto, 0L as most), (a, w) -> struct(cast(w + {DEPTH} as long) as upto, greatest(a.most, w - a.upto) as most), a -> greatest(a.most, words - a.upto))")
+    whole = held.groupBy("host", "text").agg(F.any_value("words").alias("words"), F.array_sort(F.flatten(F.collect_list("at"))).alias("at"))
+    own = whole.where(rest >= DEPTH).select("host", "text")
+    known = held.join(own, ["host", "text"], "left_semi").groupBy("host", "code").agg(F.count(F.lit(1)).alias("pages"), F.sum(F.col("inside").cast("long")).alias("inside"))
+    out = counts.join(known, ["host", "code"], "left").select("host", "code", F.expr("mostly or coalesce(pages >= least, false)").alias("neutral"), F.expr("coalesce(inside >= least, false)").alias("inside"))
+    return cut(out.where("neutral or inside"))
+
+
+def _codes(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    code = rows["code"].to_numpy().view(U64)
+    return tuple(np.sort(code[rows[k].to_numpy().astype(bool)]) for k in ("neutral", "inside"))
+
+
+def _judged(table: pa.Table, listed: tuple[np.ndarray, np.ndarray]) -> pa.Table:
     pages = list(zip(table["blocks"].to_pylist(), table["places"].to_pylist(), strict=True))
-    return pa.table([table["page_id"], table["url"], pa.array(judge(pages), pa.string())], ["page_id", "url", "text"])
+    host = table["host"][0].as_py() if len(pages) else ""
+    return pa.table([table["page_id"], table["url"], pa.array(judge(pages, host, listed), pa.string())], ["page_id", "url", "text"])
 
 
 def extract(pages: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -221,7 +398,13 @@ def extract(pages: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     large = cut(large)
     # the list of large hosts is broadcast while it is short; else pages meet it in a shuffled join
     large = F.broadcast(large) if large.count() <= BROADCAST_HOSTS else large
+    listed = _listed(pages.select("host", "html"))
     deal = F.pmod(F.xxhash64("page_id", "url"), F.coalesce("shards", F.lit(1))).alias("shard")
     dealt = pages.join(large, "host", "left").select("page_id", "url", "host", deal, "html")
     parsed = dealt.mapInArrow(_parsed, f"page_id {kind}, url string, host string, shard long, blocks array<string>, places array<tinyint>")
-    return parsed.groupBy("host", "shard").applyInArrow(_judged, f"page_id {kind}, url string, text string")
+    schema = f"page_id {kind}, url string, text string"
+    if listed.count() <= BROADCAST_CODES:
+        codes = pages.sparkSession.sparkContext.broadcast(_codes(listed.select("code", "neutral", "inside").toArrow()))
+        return parsed.groupBy("host", "shard").applyInArrow(lambda t: _judged(t, codes.value), schema)
+    spread = listed.join(large, "host", "left").select("host", F.explode(F.expr("sequence(0L, coalesce(shards, 1L) - 1)")).alias("shard"), "code", "neutral", "inside")
+    return parsed.groupBy("host", "shard").cogroup(spread.groupBy("host", "shard")).applyInArrow(lambda t, c: _judged(t, _codes(c)), schema)
