@@ -287,12 +287,17 @@ def _pages_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], li
 
 @tidied
 def _ranges(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """The sorted codes of pages, each at most twice, cut into 2**bits ranges and packed as differences."""
+    """The sorted codes of pages, cut into 2**bits ranges and packed as differences.
+
+    Only runs on LEAST_PAGES pages, or on two of which one has it in a container
+    that is never article, can be boilerplate: such a place counts as one page less.
+    """
     pack = zstandard.ZstdCompressor(level=1)
 
     def packed(codes: list[np.ndarray]) -> pa.RecordBatch:
         c = np.sort(np.concatenate(codes))
-        c = c[np.concatenate([[True, True], c[2:] != c[:-2]])] if len(c) > 2 else c
+        k = LEAST_PAGES  # no more are of use
+        c = c[np.concatenate([np.ones(k, dtype=bool), c[k:] != c[:-k]])] if len(c) > k else c
         name = (c >> U64(64 - bits)).astype(np.int64)
         low = ((c >> U64(32 - bits)) & U64(0xFFFFFFFF)).astype("<u4")
         names, at = np.unique(name, return_index=True)
@@ -303,11 +308,11 @@ def _ranges(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordB
     size = 0
     for hosts, pages in _pages_of(batches):
         r = runs(pages, hosts)
-        order = np.lexsort((r.code, r.page))
-        code, page = r.code[order], r.page[order]
+        order = np.lexsort((-r.place, r.code, r.page))
+        code, page, place = r.code[order], r.page[order], r.place[order]
         new = np.ones(len(code), dtype=bool)
         new[1:] = (code[1:] != code[:-1]) | (page[1:] != page[:-1])
-        held.append(code[new])
+        held.append(np.repeat(code[new], np.where(place[new] == BOILERPLATE, LEAST_PAGES - 1, 1)))
         size += len(held[-1])
         if size >= RANGE_CODES:
             yield packed(held)
@@ -318,7 +323,7 @@ def _ranges(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordB
 
 @tidied
 def _repeated(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """Each range's part of the filter: which of its codes more than one page has."""
+    """Each range's part of the filter: which of its codes can be boilerplate."""
     pack, opened = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
     found: dict[int, list[np.ndarray]] = {}
     for batch in batches:
@@ -327,9 +332,9 @@ def _repeated(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Recor
             found.setdefault(name, []).append(np.cumsum(np.ascontiguousarray(d).view("<u4").ravel(), dtype=np.uint32))
     for name in list(found):
         low = np.sort(np.concatenate(found.pop(name)))
-        twice = low[1:][low[1:] == low[:-1]]
+        often = low[LEAST_PAGES - 1 :][low[LEAST_PAGES - 1 :] == low[: len(low) - LEAST_PAGES + 1]]
         on = np.zeros(1 << (FILTER_BITS - bits), dtype=bool)
-        on[twice >> np.uint32(32 - FILTER_BITS + bits)] = True
+        on[often >> np.uint32(32 - FILTER_BITS + bits)] = True
         yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([pack.compress(np.packbits(on).tobytes())], pa.binary())], ["name", "body"])
 
 
@@ -356,11 +361,13 @@ def _listed(pages: DataFrame) -> DataFrame:
     on = np.zeros((1 << bits, 1 << (FILTER_BITS - 3 - bits)), dtype=np.uint8)
     for name, body in packed.mapInArrow(lambda b: _repeated(b, bits), "name long, body binary").collect():  # bounded: 2**FILTER_BITS bits
         on[name] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(body)), dtype=np.uint8)
+    del packed
     wanted = spark.sparkContext.broadcast(on.ravel())
     texts = pages.mapInArrow(lambda b: _candidates(b, wanted), "host string, text long, words long, word array<int>, code array<long>, place array<tinyint>")
     # pages of equal text count once
     texts = cut(texts.groupBy("host", "text").agg(F.min(F.struct("words", "word", "code", "place")).alias("p")).select("host", "text", "p.*"))
     hosts = texts.groupBy("host").agg(F.count(F.lit(1)).alias("n")).select("host", F.expr(f"greatest({LEAST_PAGES}, least({ENOUGH_PAGES}, {LEAST_SHARE}D * n))").alias("least"))
+    hosts = F.broadcast(hosts) if hosts.count() <= BROADCAST_HOSTS else hosts
     places = texts.select("host", "text", "words", F.explode(F.arrays_zip("word", "code", "place")).alias("r")).select("host", "text", "words", "r.*")
     each = places.groupBy("host", "code", "text").agg(F.count(F.lit(1)).alias("places"), F.sum((F.col("place") == BOILERPLATE).cast("long")).alias("outside"), F.any_value("words").alias("words"), F.collect_list("word").alias("at"))
     counts = each.groupBy("host", "code").agg(F.count(F.lit(1)).alias("pages"), F.sum("places").alias("places"), F.sum("outside").alias("outside")).where("pages >= 2")
@@ -395,10 +402,10 @@ def extract(pages: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     after = F.expr("case when instr(url, '://') > 0 then substring(url, instr(url, '://') + 3) else '' end")
     pages = pages.select("page_id", "url", F.coalesce(F.lower(F.regexp_extract(after, "^[^/?#]*", 0)), F.lit("")).alias("host"), "html")
     large = pages.groupBy("host").agg(F.ceil(F.sum(F.octet_length("html")) / shard_bytes).alias("shards")).where("shards > 1")
+    listed = _listed(pages.select("host", "html"))
     large = cut(large)
     # the list of large hosts is broadcast while it is short; else pages meet it in a shuffled join
     large = F.broadcast(large) if large.count() <= BROADCAST_HOSTS else large
-    listed = _listed(pages.select("host", "html"))
     deal = F.pmod(F.xxhash64("page_id", "url"), F.coalesce("shards", F.lit(1))).alias("shard")
     dealt = pages.join(large, "host", "left").select("page_id", "url", "host", deal, "html")
     parsed = dealt.mapInArrow(_parsed, f"page_id {kind}, url string, host string, shard long, blocks array<string>, places array<tinyint>")
