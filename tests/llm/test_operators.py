@@ -398,6 +398,33 @@ def test_jaccard_documents(spark, docs):
     assert got == brute_components(rows, 3, 90)
 
 
+def brute_counts(rows, n, percent):
+    sets = []
+    for _, t in rows:
+        w = words(fold(t))
+        sets.append(frozenset({tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())))
+    out = Counter()
+    for (i, _), x in zip(rows, sets, strict=True):
+        equal = sum(x == y for y in sets) - 1 if x else 0
+        out[i, len(x), equal, sum(x != y and 100 * len(x & y) >= percent * len(x | y) for y in sets if x & y)] += 1
+    return out
+
+
+def test_jaccard_links(spark, odd, docs, none):
+    r = random.Random(12)
+    rows = near_copies(r, 4, 30, 4, 60) + [(1000 + i, " ".join(r.choice("pq") for _ in range(r.randint(0, 8)))) for i in range(30)]
+    counted = lambda d, n, percent: Counter((x["doc_id"], x["n_shingles"], x["n_equal"], x["n_links"]) for x in ngram_join.link_counts(d, n, percent).collect())
+    for n, percent in ((3, 90), (3, 50)):
+        want = brute_counts(rows, n, percent)
+        # more links than a tree of each family has
+        assert percent > 50 or sum(k[3] * v for k, v in want.items()) > 4 * len(rows)
+        assert counted(spark.createDataFrame(rows, "doc_id long, text string"), n, percent) == want
+    assert counted(odd, 3, 90) == brute_counts([tuple(x) for x in odd.select("doc_id", "text").collect()], 3, 90)
+    assert ngram_join.link_counts(none, 3, 90).count() == 0
+    got = Counter((x["doc_id"], x["n_shingles"], x["n_equal"], x["n_links"]) for x in queries.op7_ngram_jaccard_links(spark, SF).collect())
+    assert got == brute_counts(list(zip(docs.doc_id.tolist(), docs.text.tolist(), strict=True)), 3, 90)
+
+
 # -- 8
 
 

@@ -13,7 +13,8 @@ each shingle code.  Only products that can still reach the threshold are made:
 * Within a column, rows are multiplied with one pivot row at a time, and rows
   that come to be in one component need no further product with each other.
   When few products are left, they are made in one step.  A family of
-  near copies thus costs its size, not its square, and loses no link.
+  near copies thus costs its size, not its square, and no component is lost.
+  Where the links themselves are wanted, all products are made instead.
 * Pairs that survive accumulate the whole overlap from the two texts and are
   held against the threshold exactly.
 
@@ -195,8 +196,8 @@ def _reaches(a: str, b: str, percent: int) -> str:
     return f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) and {100 + percent} * least({a}.n - {a}.i, {b}.n - {b}.i) >= {percent} * ({a}.n + {b}.n)"
 
 
-def _components(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, name (a hash of the text), n, component and group (its component's least node) of every row."""
+def _classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The documents with the name of each (a hash of the text), their distinct sets with the node and first columns of each, and a row with the set of every document."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("name"))
     frequency = spark.sparkContext.broadcast(_frequency(docs, n))
@@ -213,11 +214,22 @@ def _components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     else:
         other = F.col("first").isNotNull() & (F.col("first") != F.struct("s1", "s2"))
         classes = cut(classes.join(clash, "least", "left").withColumn("node", F.when(other, own).otherwise(F.coalesce("least", own))).drop("first"))
+    return docs, classes, rows
+
+
+def _live(classes: DataFrame, percent: int) -> DataFrame:
+    """h, node, n and i: the cells of columns that more than one row has and that can still make a pair."""
     columns = classes.select("node", "n", F.posexplode("prefix").alias("i", "h"))
     shared = columns.groupBy("h").agg(F.count(F.lit(1)).alias("met"), F.min("n").alias("low")).where("met > 1").select(F.col("h").alias("k"), "low")
     # a row this far into its set can only pair with smaller ones
     live = columns.join(shared, (F.col("h") == F.col("k")) & F.expr(f"{100 + percent} * (n - i) >= {percent} * (n + low)"))
-    live = cut(live.select("h", "node", "n", "i"))
+    return cut(live.select("h", "node", "n", "i"))
+
+
+def _components(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """doc_id, name, n, component and group (its component's least node) of every row."""
+    docs, classes, rows = _classes(docs, n, percent)
+    live = _live(classes, percent)
     links = labels = None
     seeded = False
     while True:
@@ -274,6 +286,36 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     return _components(docs, n, percent).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
+def jaccard_links(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """Every row's doc_id, n_shingles and class_id, and all links(a, b) of classes, a < b.
+
+    A class is the documents of one set; its id is their least doc_id or, where
+    there is none or two sets have the same, a number of 2**62 or above.  Null
+    and empty texts have no class.  All products that the bounds allow are
+    made: a family of near copies costs the square of its distinct sets, as
+    its links are so many.
+    """
+    docs, classes, rows = _classes(docs, n, percent)
+    live = _live(classes, percent)
+    unlike = "l.node < r.node and " + _reaches("l", "r", percent)
+    pairs = live.alias("l").join(live.alias("r"), F.col("l.h") == F.col("r.h")).where(unlike)
+    links = _linked(docs, classes, pairs.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct(), n, percent)
+    members = rows.select("doc_id", "n", "s1", "s2").join(classes.select("s1", "s2", "node"), ["s1", "s2"], "left")
+    return members.select("doc_id", F.col("n").alias("n_shingles"), F.col("node").alias("class_id")), links
+
+
+def link_counts(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, class_id, n_equal and n_links of every row: the other rows of its class, and the rows of other classes that it links with."""
+    members, links = jaccard_links(docs, n, percent)
+    members = cut(members)
+    sizes = members.where("class_id is not null").groupBy("class_id").agg(F.count(F.lit(1)).alias("size"))
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    linked = both.join(sizes.withColumnRenamed("class_id", "b"), "b").groupBy(F.col("a").alias("class_id")).agg(F.sum("size").alias("n_links"))
+    counts = sizes.join(linked, "class_id", "left").withColumnRenamed("class_id", "c")
+    out = members.join(counts, F.col("class_id") == F.col("c"), "left")
+    return out.select("doc_id", "n_shingles", "class_id", F.coalesce(F.col("size") - 1, F.lit(0)).alias("n_equal"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def keep_first(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each component: the one of the least doc_id.
 

@@ -25,6 +25,10 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
+def op7_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_counts(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
     return quality.judge(table(spark, sf_dir, "documents")).select(*columns)
@@ -51,6 +55,8 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_secret_scan, op3_source_mix, op4_toxicity, op5_language_id, op6_substring_dedup, op7_ngram_jaccard_join, op8_html_extraction, op9_quality_rules, op10_url_filter)}
+#: Further queries of operators that have one above.
+FURTHER = {f.__name__: f for f in (op7_ngram_jaccard_links,)}
 _SPLIT = "list_filter(string_split_regex(coalesce({}, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 
 _DEDUP = f"""WITH d AS (SELECT doc_id, {_SPLIT.format("text")} AS w FROM documents),
