@@ -371,33 +371,6 @@ def near_copies(r, bases, copies, edits, length):
     return rows
 
 
-@pytest.mark.parametrize("few", [50, 0])
-def test_jaccard(spark, monkeypatch, few):
-    monkeypatch.setattr(ngram_join, "FEW", few)
-    r = random.Random(9)
-    rows = near_copies(r, 4, 30, 4, 60) + [(1000 + i, " ".join(r.choice("pq") for _ in range(r.randint(0, 8)))) for i in range(30)]
-    for n, percent in ((3, 90), (5, 80)):
-        d = spark.createDataFrame(rows, "doc_id long, text string")
-        got = Counter(map(tuple, ngram_join.jaccard_components(d, n, percent).collect()))
-        assert got == brute_components(rows, n, percent)
-
-
-def test_jaccard_odd(spark, odd, none):
-    rows = [tuple(r) for r in odd.select("doc_id", "text").collect()]
-    assert Counter(map(tuple, ngram_join.jaccard_components(odd, 3, 90).collect())) == brute_components(rows, 3, 90)
-    assert ngram_join.jaccard_components(none, 3, 90).count() == 0
-    kept = ngram_join.keep_first(odd, 3, 90)
-    assert kept.columns == odd.columns
-    ids = Counter(r["doc_id"] for r in kept.collect())
-    assert ids[6] == 1 and 7 not in ids and 8 not in ids and ids[10] == 2 and ids[None] == 1 and all(ids[i] == 1 for i in (1, 2, 3, 4, 5, 9, 11))
-
-
-def test_jaccard_documents(spark, docs):
-    rows = list(zip(docs.doc_id.tolist(), docs.text.tolist(), strict=True))
-    got = Counter(map(tuple, queries.op7_ngram_jaccard_join(spark, SF).collect()))
-    assert got == brute_components(rows, 3, 90)
-
-
 def brute_counts(rows, n, percent):
     sets = []
     for _, t in rows:
@@ -410,19 +383,53 @@ def brute_counts(rows, n, percent):
     return out
 
 
-def test_jaccard_links(spark, odd, docs, none):
-    r = random.Random(12)
-    rows = near_copies(r, 4, 30, 4, 60) + [(1000 + i, " ".join(r.choice("pq") for _ in range(r.randint(0, 8)))) for i in range(30)]
-    counted = lambda d, n, percent: Counter((x["doc_id"], x["n_shingles"], x["n_equal"], x["n_links"]) for x in ngram_join.link_counts(d, n, percent).collect())
-    for n, percent in ((3, 90), (3, 50)):
-        want = brute_counts(rows, n, percent)
+def check_jaccard(d, n, percent):
+    rows = [tuple(x) for x in d.select("doc_id", "text").collect()]
+    got = ngram_join.jaccard_join(d, n, percent).collect()
+    assert Counter((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got) == brute_components(rows, n, percent)
+    want = brute_counts(rows, n, percent)
+    assert Counter((x["doc_id"], x["n_shingles"], x["n_equal"], x["n_links"]) for x in got) == want
+    return sum(k[3] * v for k, v in want.items()), len(rows)
+
+
+@pytest.mark.parametrize("common, cells", [(16, 150_000), (2, 1000), (1000, 150_000)])
+def test_jaccard(spark, monkeypatch, common, cells):
+    monkeypatch.setattr(ngram_join, "COMMON", common)
+    monkeypatch.setattr(ngram_join, "BLOCK_CELLS", cells)
+    r = random.Random(9)
+    rows = near_copies(r, 3, 40, 4, 60) + [(1000 + i, " ".join(r.choice("pq") for _ in range(r.randint(0, 8)))) for i in range(30)]
+    # one column that every row has
+    rows = [(i, t + " here and everywhere") for i, t in rows] + rows[:20]
+    for n, percent in ((3, 90), (5, 80), (3, 50)):
+        links, n_rows = check_jaccard(spark.createDataFrame(rows, "doc_id long, text string"), n, percent)
         # more links than a tree of each family has
-        assert percent > 50 or sum(k[3] * v for k, v in want.items()) > 4 * len(rows)
-        assert counted(spark.createDataFrame(rows, "doc_id long, text string"), n, percent) == want
-    assert counted(odd, 3, 90) == brute_counts([tuple(x) for x in odd.select("doc_id", "text").collect()], 3, 90)
-    assert ngram_join.link_counts(none, 3, 90).count() == 0
-    got = Counter((x["doc_id"], x["n_shingles"], x["n_equal"], x["n_links"]) for x in queries.op7_ngram_jaccard_links(spark, SF).collect())
-    assert got == brute_counts(list(zip(docs.doc_id.tolist(), docs.text.tolist(), strict=True)), 3, 90)
+        assert percent > 50 or links > 4 * n_rows
+
+
+def test_product(monkeypatch):
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 60, 400).astype(np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(0, 400), replace=False), rng.integers(0, 50, 10).astype(np.uint64)])) for _ in range(40)] + [base[:0], base[:1]]
+    for columns in (4096, 7):
+        monkeypatch.setattr(ngram_join, "COLUMNS", columns)
+        for percent in (1, 50, 80):
+            got = ngram_join.product(sets[:30], sets[10:], percent)
+            want = [[len(b := np.intersect1d(x, y)) > 0 and 100 * len(b) >= percent * len(np.union1d(x, y)) for y in sets[10:]] for x in sets[:30]]
+            assert (got == np.array(want)).all()
+
+
+def test_jaccard_odd(spark, odd, none):
+    check_jaccard(odd, 3, 90)
+    assert ngram_join.jaccard_join(none, 3, 90).count() == 0
+    kept = ngram_join.keep_first(odd.withColumn("k_id", F.lit(1)).withColumn("k_name", F.lit(1)).withColumn("doc", F.lit(1)), 3, 90)
+    assert kept.columns == [*odd.columns, "k_id", "k_name", "doc"]
+    ids = Counter(r["doc_id"] for r in kept.collect())
+    assert ids[6] == 1 and 7 not in ids and 8 not in ids and ids[10] == 2 and ids[None] == 1 and all(ids[i] == 1 for i in (1, 2, 3, 4, 5, 9, 11))
+    assert ngram_join.keep_first(none).count() == 0
+
+
+def test_jaccard_documents(spark, docs):
+    check_jaccard(table(spark, SF, "documents"), 5, 80)
 
 
 # -- 8

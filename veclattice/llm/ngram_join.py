@@ -1,27 +1,35 @@
 """N-gram Jaccard join as a blocked sparse matrix product.
 
-The incidence matrix has a row for each distinct shingle set and a column for
-each shingle code.  Only products that can still reach the threshold are made:
+The incidence matrix has a row for each distinct shingle set (documents with
+equal sets are one row, told apart by 128 bits and named by 64 of them) and a
+column for each shingle code.  The product of the matrix with itself holds the
+overlap of every two sets; only blocks of it are made that can still reach the
+threshold:
 
-* Documents with equal sets are one row (grouped by a 128-bit signature).
 * Columns are ordered by estimated frequency, rarest first (a count sketch of
   bounded size; any order is exact, a good one is cheap).  Two sets that link
-  share one of their first n - ceil(t n) + 1 columns, so only that block of
-  columns is multiplied to find pairs.  A product is made for the first column
-  that two sets share, so their sizes and its positions bound the overlap;
-  pairs bounded below the threshold are discarded at once.
-* Within a column, rows are multiplied with one pivot row at a time, and rows
-  that come to be in one component need no further product with each other.
-  When few products are left, they are made in one step.  A family of
-  near copies thus costs its size, not its square, and no component is lost.
-  Where the links themselves are wanted, all products are made instead.
-* Pairs that survive accumulate the whole overlap from the two texts and are
-  held against the threshold exactly.
+  share one of their first n - ceil(t n) + 1 columns, so this block of columns
+  is multiplied first.
+* Rows that meet in a column of at most COMMON rows are multiplied cell by
+  cell; the overlap over the block is accumulated for each pair, and pairs are
+  discarded whose overlap can't reach the bound that follows from their sizes
+  even if the rest of the smaller row were shared.  Survivors add the overlap
+  of their other columns and are held against the threshold exactly.
+* Rows that meet in more common columns form families.  A family's rows are
+  dealt over blocks of bounded size by their set size and a hash, and each two
+  blocks whose sizes can link are multiplied as matrices, COLUMNS columns at a
+  time; rows leave as soon as no pair of theirs can reach its bound.  A block
+  gives the number of links of each row and a tree of what it connects, never
+  its pairs, and no task holds more than two blocks however large a family is.
+
+A family of m sets takes about m * m * size / BLOCK_CELLS cells through the
+shuffle, as all of its links are counted; columns that most documents have
+are in no block, being the last of each row.
 
 Defined results: null and empty texts have an empty set, link with nothing
-and are their own component; rows of one doc_id are one node; rows without a
-doc_id take part, their component is the least doc_id reachable or null;
-columns other than doc_id and text are not read.  doc_id is below 2**62.
+and are their own component; rows without a doc_id take part, their component
+is the least doc_id reachable or null; repeated rows each get their row;
+columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -44,8 +52,8 @@ LOAD, LEAST_BITS, MOST_BITS = 64, 16, 26
 SKETCH_BLOCK_BITS = 16
 #: Bits of the filter that picks the texts to be verified; a full filter only lets more through.
 FILTER_BITS = 26
-#: The remaining products are made in one step when they are at most so many for each row.
-FEW = 50
+#: Columns of more rows than this make families; cells of a block of a family, and columns that two blocks multiply at a time.
+COMMON, BLOCK_CELLS, COLUMNS = 16, 150_000, 4096
 
 
 def shingle_sets(texts: pa.Array, i: int, j: int, n: int) -> list[np.ndarray]:
@@ -160,160 +168,197 @@ def _verify(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator
     for batch in batches:
         for k in range(0, batch.num_rows, 256):
             part = batch.slice(k, 256)
-            a, b = part.column(0).to_pylist(), part.column(1).to_pylist()
-            x, y = part.column(2).to_pylist(), sets(part.column(3).to_pylist())
-            links = []
-            for ai, bi, xi, yi in zip(a, b, x, y, strict=True):
+            a, x, y = part.column(0).to_pylist(), part.column(2).to_pylist(), sets(part.column(3).to_pylist())
+            on = []
+            for ai, xi, yi in zip(a, x, y, strict=True):
                 if ai != last_id:
                     last_id, last = ai, sets([xi])[0]
                 both = len(np.intersect1d(last, yi, assume_unique=True))
-                if 100 * both >= percent * (len(last) + len(yi) - both):
-                    links.append((ai, bi))
-            if links:
-                yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in links], pa.int64()), pa.array([v for _, v in links], pa.int64())], ["a", "b"])
+                on.append(100 * both >= percent * (len(last) + len(yi) - both))
+            yield pa.RecordBatch.from_arrays([part.column(c) for c in (0, 1, 4, 5)], ["a", "b", "m", "n"]).filter(pa.array(on, pa.bool_()))
 
 
-def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs(a, b) of nodes whose sets reach the threshold."""
-    pairs = cut(pairs)
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    keys = cut(classes.select("node", "s1", "s2").join(nodes, "node"))
+def _bodies(docs: DataFrame, classes: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """node, n, size and body, a compressed text, of the sets that nodes name."""
+    keys = cut(classes.select("node", "s1", "s2", "n", "size").join(nodes.distinct(), "node"))
     at = F.col("s1").bitwiseXOR(F.col("s2")).bitwiseAND((1 << FILTER_BITS) - 1)
     marks = keys.select(F.shiftright(at, 5).alias("w"), F.expr("shiftleft(1L, cast((s1 ^ s2) & 31 as int))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()  # bounded: a row for 32 bits
     bits = np.zeros(1 << (FILTER_BITS - 5), dtype="<u4")
     bits[marks["w"].to_numpy(dtype=np.int64)] = marks["m"].to_numpy(dtype=np.int64).astype(np.uint32)
     wanted = docs.sparkSession.sparkContext.broadcast(bits.view(np.uint8))
     texts = docs.select("text").mapInArrow(lambda b: _texts(b, n, wanted), "s1 long, s2 long, body binary")
-    texts = texts.join(keys, ["s1", "s2"]).groupBy("node").agg(F.any_value("body").alias("body"))
-    texts = cut(texts)
-    x = texts.select(F.col("node").alias("a"), F.col("body").alias("x"))
-    y = texts.select(F.col("node").alias("b"), F.col("body").alias("y"))
-    return cut(pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(lambda b: _verify(b, n, percent), "a long, b long"))
-
-
-def _reaches(a: str, b: str, percent: int) -> str:
-    """Whether sets a and b can reach the threshold if the column at their positions i is the first they share."""
-    return f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) and {100 + percent} * least({a}.n - {a}.i, {b}.n - {b}.i) >= {percent} * ({a}.n + {b}.n)"
+    return cut(texts.join(keys, ["s1", "s2"]).groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("size").alias("size"), F.any_value("body").alias("body")))
 
 
 def _classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The documents with the name of each (a hash of the text), their distinct sets with the node and first columns of each, and a row with the set of every document."""
+    """The documents with the name of each (a hash of the text), their distinct sets with the node, documents and first columns of each, and a row with the set of every document."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("name"))
     frequency = spark.sparkContext.broadcast(_frequency(docs, n))
     schema = "doc_id long, name long, n long, s1 long, s2 long, prefix array<long>"
-    own = F.lit(1 << 62).bitwiseOR(F.col("s1").bitwiseAND((1 << 61) - 1))
     # two passes over the texts: columns are kept once, for each set, and not for each row too
     full = docs.mapInArrow(lambda b: _rows(b, n, percent, frequency), schema)
-    classes = cut(full.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("least"), F.any_value("prefix").alias("prefix")))
+    classes = full.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size"), F.any_value("prefix").alias("prefix"))
+    classes = cut(classes.withColumn("node", F.col("s1")))
     rows = cut(docs.mapInArrow(lambda b: _rows(b, n, 100, frequency), schema).drop("prefix"))
-    # a node's name is its least doc_id; without one, or where two sets have the same, it is one above all doc_ids
-    clash = classes.groupBy("least").agg(F.count(F.lit(1)).alias("sets"), F.min(F.struct("s1", "s2")).alias("first")).where("least is not null and sets > 1").drop("sets")
-    if clash.isEmpty():
-        classes = classes.withColumn("node", F.coalesce("least", own))
-    else:
-        other = F.col("first").isNotNull() & (F.col("first") != F.struct("s1", "s2"))
-        classes = cut(classes.join(clash, "least", "left").withColumn("node", F.when(other, own).otherwise(F.coalesce("least", own))).drop("first"))
     return docs, classes, rows
 
 
-def _live(classes: DataFrame, percent: int) -> DataFrame:
-    """h, node, n and i: the cells of columns that more than one row has and that can still make a pair."""
-    columns = classes.select("node", "n", F.posexplode("prefix").alias("i", "h"))
-    shared = columns.groupBy("h").agg(F.count(F.lit(1)).alias("met"), F.min("n").alias("low")).where("met > 1").select(F.col("h").alias("k"), "low")
-    # a row this far into its set can only pair with smaller ones
-    live = columns.join(shared, (F.col("h") == F.col("k")) & F.expr(f"{100 + percent} * (n - i) >= {percent} * (n + low)"))
-    return cut(live.select("h", "node", "n", "i"))
+def _cells(classes: DataFrame) -> DataFrame:
+    """h, met, head, node and n: the cells of the first columns that more than one row has; met: the column's rows, head: the least of them."""
+    cells = classes.select("node", "n", F.explode("prefix").alias("h"))
+    met = cells.groupBy("h").agg(F.count(F.lit(1)).alias("met"), F.min("node").alias("head")).where("met > 1")
+    return cut(cells.join(met, "h").select("h", "met", "head", "node", "n"))
+
+
+def _pairs(cells: DataFrame, families: DataFrame, percent: int) -> DataFrame:
+    """The pairs(a, b) of rows outside of common families that their first columns don't rule out."""
+    rare = cells.where(F.col("met") <= COMMON).join(families, "node", "left")
+    sizes = f"100 * least(l.n, r.n) >= {percent} * greatest(l.n, r.n)"
+    meet = F.expr(f"l.h = r.h and l.node < r.node and {sizes} and not coalesce(l.family = r.family, false)")
+    # rows of different families share no common column: the count is the whole overlap of their first columns
+    made = rare.alias("l").join(rare.alias("r"), meet).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"), F.col("l.n").alias("m"), F.col("r.n").alias("n"))
+    pairs = made.groupBy("a", "b").agg(F.count(F.lit(1)).alias("overlap"), F.any_value("m").alias("m"), F.any_value("n").alias("n"))
+    # of the row whose first columns end first, no column behind them has been counted
+    rest = F.expr(f"greatest(ceil({percent} * m / 100), ceil({percent} * n / 100)) - 1")
+    return cut(pairs.where((100 + percent) * (F.col("overlap") + rest) >= percent * (F.col("m") + F.col("n"))).select("a", "b"))
+
+
+def _blocks(bodies: DataFrame, families: DataFrame, percent: int) -> DataFrame:
+    """The rows of families once for each two blocks that they take part in: family, the blocks (qa, ka) and (qb, kb), node, n, size, body, q and k."""
+    # sets that link have sizes in the same or in neighbouring steps of this width
+    width = max(float(np.log(100 / percent)), 1e-6) * 1.0001
+    rows = families.join(bodies, "node").withColumn("q", F.floor(F.log("n") / width))
+    steps = rows.groupBy("family", "q").agg(F.ceil(F.sum("n") / BLOCK_CELLS).alias("blocks"))
+    near = steps.select("family", "blocks", F.explode(F.array(*map(F.lit, (-1, 0, 1)))).alias("d"), "q").withColumn("q", F.col("q") + F.col("d"))
+    near = near.groupBy("family", "q").agg(*[F.coalesce(F.max(F.when(F.col("d") == d, F.col("blocks"))), F.lit(0)).alias(name) for d, name in ((1, "below"), (0, "own"), (-1, "above"))])
+    rows = rows.join(near, ["family", "q"]).withColumn("k", F.pmod(F.xxhash64("node"), F.col("own")))
+    some = "if({0} > 0, transform(sequence(0L, {0} - 1), x -> named_struct('qa', {1}, 'ka', {2}, 'qb', {3}, 'kb', {4})), array())".format
+    met = F.expr(f"concat({some('own', 'q', 'least(x, k)', 'q', 'greatest(x, k)')}, {some('above', 'q', 'k', 'q + 1', 'x')}, {some('below', 'q - 1', 'x', 'q', 'k')})")
+    return rows.select("family", "node", "n", "size", "body", "q", "k", F.explode(met).alias("t")).select("family", "t.*", "node", "size", "body", "q", "k")
+
+
+def product(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which sets of a and b reach the threshold: their overlaps, accumulated over blocks of columns."""
+    na, nb = np.array([len(s) for s in a], dtype=np.int64), np.array([len(s) for s in b], dtype=np.int64)
+    out = np.zeros((len(a), len(b)), dtype=bool)
+    need = percent * (na[:, None] + nb[None, :])
+    column = np.unique(np.concatenate([*a, *b, np.zeros(0, dtype=U64)]), return_inverse=True)[1]
+    row = np.repeat(np.arange(len(a) + len(b)), np.concatenate([na, nb]))
+    mine = row < len(a)
+    width = int(column.max(initial=-1)) + 1
+    # columns that one side alone has add nothing
+    both = (np.bincount(column[mine], minlength=width) > 0) & (np.bincount(column[~mine], minlength=width) > 0)
+    on = both[column]
+    column, row = (np.cumsum(both) - 1)[column[on]], row[on]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    left = np.bincount(row, minlength=len(a) + len(b))
+    overlap = np.zeros((len(a), len(b)), dtype=np.int64)
+    i, j = np.arange(len(a)), np.arange(len(b))  # rows that still have a pair within its bound
+    width = int(both.sum())
+    for at in range(0, width, COLUMNS):
+        alive = (100 + percent) * (overlap[np.ix_(i, j)] + np.minimum(left[i][:, None], left[len(a) + j][None, :])) >= need[np.ix_(i, j)]
+        i, j = i[alive.any(1)], j[alive.any(0)]
+        if not len(i) or not len(j):
+            return out
+        lo, hi = np.searchsorted(column, (at, at + COLUMNS))
+        left -= np.bincount(row[lo:hi], minlength=len(left))
+        cells = np.zeros((len(left), min(COLUMNS, width - at)), dtype=np.float32)
+        cells[row[lo:hi], column[lo:hi] - at] = 1
+        overlap[np.ix_(i, j)] += (cells[i] @ cells[len(a) + j].T).astype(np.int64)
+    out[np.ix_(i, j)] = ((100 + percent) * overlap >= need)[np.ix_(i, j)] & (overlap[np.ix_(i, j)] > 0)
+    return out
+
+
+def _connected(links: np.ndarray) -> np.ndarray:
+    """Of each row and then each column of links the least index among those it is connected with."""
+    n = len(links)
+    rows, columns = np.arange(n), np.arange(n, n + links.shape[1])
+    none = n + links.shape[1]
+    while True:
+        new = np.minimum(rows, np.where(links, columns[None, :], none).min(1, initial=none))
+        after = np.minimum(columns, np.where(links, new[:, None], none).min(0, initial=none))
+        if (new == rows).all() and (after == columns).all():
+            return np.concatenate([rows, columns])
+        rows, columns = new, after
+
+
+def _multiplied(table: pa.Table, n: int, percent: int, every: bool) -> pa.Table:
+    """node, linked and least of the rows of two blocks that link: documents it links with, and a row it is connected with; every: or all links (a, b) as rows."""
+    opened = zstandard.ZstdDecompressor()
+    texts = plain(pa.array([opened.decompress(x).decode() for x in table["body"].to_pylist()], pa.large_string()))
+    sets = [s for i, j in chunks(texts) for s in shingle_sets(texts, i, j, n)]
+    node, size = table["node"].to_numpy(), table["size"].to_numpy()
+    q, k, qa, ka, qb, kb = (table[c].to_numpy() for c in ("q", "k", "qa", "ka", "qb", "kb"))
+    a, b = np.flatnonzero((q == qa) & (k == ka)), np.flatnonzero((q == qb) & (k == kb))
+    links = product([sets[x] for x in a], [sets[x] for x in b], percent)
+    same = len(table) > 0 and (qa[0], ka[0]) == (qb[0], kb[0])
+    if same:
+        links &= ~np.eye(len(a), dtype=bool)
+    if every:
+        x, y = np.nonzero(np.triu(links) if same else links)
+        return pa.table([pa.array(v) for v in (node[a[x]], node[b[y]])], ["a", "b"])
+    counts = np.concatenate([links @ size[b], (size[a] @ links) * (not same)])
+    names, on = np.concatenate([node[a], node[b]]), np.concatenate([links.any(1), links.any(0)])
+    return pa.table([pa.array(v[on]) for v in (names, counts, names[_connected(links)])], ["node", "linked", "least"])
+
+
+def _joined(docs: DataFrame, classes: DataFrame, n: int, percent: int, every: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Links of pairs as (a, b, m, n) with the documents of each, and of families as (node, linked, least), or, if every, as (a, b)."""
+    cells = _cells(classes)
+    common = cells.where(F.col("met") > COMMON)
+    families = cut(components(common.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))).select("node", F.col("label").alias("family")))
+    pairs = _pairs(cells, families, percent)
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(families.select("node"))
+    bodies = _bodies(docs, classes, nodes, n)
+    x = bodies.select(F.col("node").alias("a"), F.col("body").alias("x"), F.col("size").alias("m"))
+    y = bodies.select(F.col("node").alias("b"), F.col("body").alias("y"), F.col("size").alias("n"))
+    schema = "a long, b long, m long, n long"
+    single = cut(pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y", "m", "n").mapInArrow(lambda b: _verify(b, n, percent), schema))
+    dealt = _blocks(bodies, families, percent).groupBy("family", "qa", "ka", "qb", "kb")
+    return single, cut(dealt.applyInArrow(lambda t: _multiplied(t, n, percent, every), "a long, b long" if every else "node long, linked long, least long"))
 
 
 def _components(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, name, n, component and group (its component's least node) of every row."""
+    """doc_id, name, n, component, group (a name of its component), equal and linked of every row."""
     docs, classes, rows = _classes(docs, n, percent)
-    live = _live(classes, percent)
-    links = labels = None
-    seeded = False
-    while True:
-        if labels is None:
-            live = live.withColumn("label", F.col("node"))
-        else:
-            live = live.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        # of each column: its rows, the rows outside its largest component, and its pivot
-        of = live.groupBy("h", "label").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct("i", "node", "n", "label")).alias("p"))
-        heads = of.groupBy("h").agg(F.sum("rows").alias("met"), F.max(F.struct("rows", "label")).alias("most"), F.min("p").alias("p")).where("met > most.rows")
-        heads = cut(heads.select("h", "met", F.col("most.label").alias("major"), (F.col("met") - F.col("most.rows")).alias("minor"), "p.*"))
-        met, rows_left, products = heads.agg(F.count(F.lit(1)), F.sum("met"), F.sum(F.expr("cast(met as double) * minor"))).first()
-        if not met:
-            break
-        few = products <= FEW * rows_left
-        if few:
-            # every pair of different components has a row outside the largest
-            left = live.join(heads.select("h", "major"), "h").where("label <> major").drop("major")
-        else:
-            left = heads
-        right = live.join(heads.select(F.col("h").alias("k")), F.col("h") == F.col("k")).drop("k")
-        unlike = "l.node <> r.node and l.label <> r.label and " + _reaches("l", "r", percent)
-        pairs = left.alias("l").join(right.alias("r"), F.col("l.h") == F.col("r.h")).where(unlike)
-        if not (few or seeded):
-            # at first each row meets one pivot only, which joins most of a family at the cost of its size
-            pairs = pairs.groupBy(F.col("r.node").alias("y")).agg(F.min(F.struct("l.i", "l.node")).alias("best")).select(F.col("best.node").alias("x"), "y")
-        else:
-            pairs = pairs.select(F.col("l.node").alias("x"), F.col("r.node").alias("y"))
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        new = _linked(docs, classes, pairs, n, percent)
-        links = new if links is None else cut(links.unionByName(new))
-        if few:
-            break
-        if seeded:
-            # a pivot has met all others of its column
-            pivots = heads.select("h", "node", F.lit(True).alias("done"))
-            live = cut(right.join(pivots, ["h", "node"], "left").where("done is null").select("h", "node", "n", "i"))
-        seeded = True
-        labels = components(links)
-    named = classes.select("s1", "s2", "least", "node")
-    if links is None:
-        named = named.select("s1", "s2", F.col("least").alias("component"), F.col("node").alias("group"))
-    else:
-        named = named.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        lows = named.where("node <> label or label >= 4611686018427387904").groupBy("label").agg(F.min("least").alias("low"))
-        least = F.least("least", "low", F.when(F.col("label") < (1 << 62), F.col("label")))
-        named = named.join(lows, "label", "left").select("s1", "s2", least.alias("component"), F.col("label").alias("group"))
-    out = rows.select("doc_id", "name", "n", "s1", "s2").join(named, ["s1", "s2"], "left")
-    return out.select("doc_id", "name", "n", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component"), "group")
-
-
-def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row; sets link at a Jaccard similarity of percent / 100."""
-    return _components(docs, n, percent).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    single, many = _joined(docs, classes, n, percent)
+    tree = single.select("a", "b").unionByName(many.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")))
+    counts = single.select(F.col("a").alias("node"), F.col("n").alias("linked")).unionByName(single.select(F.col("b").alias("node"), F.col("m").alias("linked"))).unionByName(many.select("node", "linked"))
+    counts = counts.groupBy("node").agg(F.sum("linked").alias("linked"))
+    labels = components(tree)
+    low = labels.join(classes.select("node", "least"), "node").groupBy("label").agg(F.min("least").alias("low"))
+    labels = cut(labels.join(low, "label").join(counts, "node"))
+    named = classes.select("s1", "s2", "node", "least", "size").join(labels, "node", "left")
+    component = F.when(F.col("label").isNull(), F.col("least")).otherwise(F.col("low"))
+    named = named.select("s1", "s2", component.alias("component"), F.coalesce("label", "node").alias("group"), "size", "linked")
+    out = rows.join(named, ["s1", "s2"], "left")
+    none = F.col("n") == 0
+    return out.select("doc_id", "name", "n", F.when(none, F.col("doc_id")).otherwise(F.col("component")).alias("component"), "group", F.when(none, 0).otherwise(F.col("size") - 1).alias("equal"), F.coalesce("linked", F.lit(0)).alias("linked"))
+
+
+def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_equal and n_links of every row; sets link at a Jaccard similarity of percent / 100.
+
+    n_equal counts the other rows of the same set, n_links the rows of other
+    sets that it links with.
+    """
+    return _components(docs, n, percent).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("equal").alias("n_equal"), F.col("linked").alias("n_links"))
 
 
 def jaccard_links(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """Every row's doc_id, n_shingles and class_id, and all links(a, b) of classes, a < b.
+    """Every row's doc_id, n_shingles and class_id, and all links(a, b) of classes.
 
-    A class is the documents of one set; its id is their least doc_id or, where
-    there is none or two sets have the same, a number of 2**62 or above.  Null
-    and empty texts have no class.  All products that the bounds allow are
-    made: a family of near copies costs the square of its distinct sets, as
-    its links are so many.
+    A class is the documents of one set, its id 64 bits of the set's signature.
+    Null and empty texts have no class.  A family of near copies has as many
+    rows here as it has links; `jaccard_join` counts them without making them.
     """
     docs, classes, rows = _classes(docs, n, percent)
-    live = _live(classes, percent)
-    unlike = "l.node < r.node and " + _reaches("l", "r", percent)
-    pairs = live.alias("l").join(live.alias("r"), F.col("l.h") == F.col("r.h")).where(unlike)
-    links = _linked(docs, classes, pairs.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct(), n, percent)
-    members = rows.select("doc_id", "n", "s1", "s2").join(classes.select("s1", "s2", "node"), ["s1", "s2"], "left")
-    return members.select("doc_id", F.col("n").alias("n_shingles"), F.col("node").alias("class_id")), links
-
-
-def link_counts(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, class_id, n_equal and n_links of every row: the other rows of its class, and the rows of other classes that it links with."""
-    members, links = jaccard_links(docs, n, percent)
-    members = cut(members)
-    sizes = members.where("class_id is not null").groupBy("class_id").agg(F.count(F.lit(1)).alias("size"))
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    linked = both.join(sizes.withColumnRenamed("class_id", "b"), "b").groupBy(F.col("a").alias("class_id")).agg(F.sum("size").alias("n_links"))
-    counts = sizes.join(linked, "class_id", "left").withColumnRenamed("class_id", "c")
-    out = members.join(counts, F.col("class_id") == F.col("c"), "left")
-    return out.select("doc_id", "n_shingles", "class_id", F.coalesce(F.col("size") - 1, F.lit(0)).alias("n_equal"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    single, many = _joined(docs, classes, n, percent, every=True)
+    members = rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("s1").alias("class_id"))
+    links = single.select("a", "b").unionByName(many)
+    return members, links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def keep_first(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -323,13 +368,15 @@ def keep_first(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     repeated; a component without any doc_id keeps its row of least text hash.
     Documents without a word are alone in their component and stay.
     """
-    rows = cut(_components(docs, n, percent))
+    rows = cut(_components(docs, n, percent).select("doc_id", "name", "n", "group"))
     first = rows.where("n > 0").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "name")).alias("first"))
     kept = first.select("first.doc_id", "first.name").unionByName(rows.where("n = 0").select("doc_id", "name").distinct())
-    kept = kept.select(F.col("doc_id").alias("__k_id"), F.col("name").alias("__k_name"))
-    here = F.col("doc_id").cast("long").eqNullSafe(F.col("__k_id")) & (F.xxhash64("text") == F.col("__k_name"))
-    out = docs.join(kept, here, "left_semi")
-    if rows.where("n > 0").groupBy("doc_id", "name").count().where("count > 1").isEmpty():
-        return out
-    some = out.where(F.regexp_like("text", F.lit(WORD)))
-    return some.dropDuplicates(["doc_id", "text"]).unionByName(out.where(~F.coalesce(F.regexp_like("text", F.lit(WORD)), F.lit(False))))
+    kept = kept.select(F.col("doc_id").alias("k_id"), F.col("name").alias("k_name"))
+    # the other columns travel together, so that none of them clashes
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("doc"), "text", F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("name"))
+    here = F.col("id").eqNullSafe(F.col("k_id")) & (F.col("name") == F.col("k_name"))
+    out = whole.join(kept, here, "left_semi")
+    if not rows.where("n > 0").groupBy("doc_id", "name").count().where("count > 1").isEmpty():
+        lettered = F.coalesce(F.regexp_like("text", F.lit(WORD)), F.lit(False))
+        out = out.where(lettered).dropDuplicates(["id", "text"]).unionByName(out.where(~lettered))
+    return out.select(*["text" if c == "text" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])

@@ -22,11 +22,15 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), n=3, percent=90)
+    return ngram_join.jaccard_join(table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
-def op7_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.link_counts(table(spark, sf_dir, "documents"), n=3, percent=90)
+def ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links themselves, between the documents of least doc_id of each set."""
+    members, links = ngram_join.jaccard_links(table(spark, sf_dir, "documents"), n=3, percent=90)
+    first = members.where("class_id is not null").groupBy("class_id").agg(F.min("doc_id").alias("doc_id"))
+    out = links.join(first.select(F.col("class_id").alias("a"), F.col("doc_id").alias("x")), "a").join(first.select(F.col("class_id").alias("b"), F.col("doc_id").alias("y")), "b")
+    return out.select(F.least("x", "y").alias("doc_id"), F.greatest("x", "y").alias("linked_id"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +60,7 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_secret_scan, op3_source_mix, op4_toxicity, op5_language_id, op6_substring_dedup, op7_ngram_jaccard_join, op8_html_extraction, op9_quality_rules, op10_url_filter)}
 #: Further queries of operators that have one above.
-FURTHER = {f.__name__: f for f in (op7_ngram_jaccard_links,)}
+FURTHER = {f.__name__: f for f in (ngram_jaccard_links,)}
 _SPLIT = "list_filter(string_split_regex(coalesce({}, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 
 _DEDUP = f"""WITH d AS (SELECT doc_id, {_SPLIT.format("text")} AS w FROM documents),
@@ -67,14 +71,23 @@ x AS (SELECT doc_id, j, w[j] AS t FROM d, unnest(range(1, len(w) + 1)) u(j)),
 kept AS (SELECT doc_id, string_agg(t, ' ' ORDER BY j) AS text, count(*) AS n FROM x ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
 
-_JACCARD = f"""WITH RECURSIVE d AS (SELECT doc_id, {_SPLIT.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+_LINKS = f"""WITH RECURSIVE d AS (SELECT doc_id, {_SPLIT.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS g FROM d, unnest(range(1, greatest(len(w) - 1, 2))) t(i) WHERE len(w) > 0),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
-l AS (SELECT x, y FROM o JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * o >= 90 * (a.n + b.n - o)),
-e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
-c AS (SELECT doc_id, doc_id AS r FROM d UNION SELECT c.doc_id, e.y FROM c JOIN e ON c.r = e.x)
-SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(c.r) AS component_id FROM d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY d.doc_id"""
+l AS (SELECT x, y, o = a.n AND o = b.n AS same FROM o JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * o >= 90 * (a.n + b.n - o)),
+e AS (SELECT x, y, same FROM l UNION ALL SELECT y, x, same FROM l)"""
+
+_JACCARD = f"""{_LINKS},
+c AS (SELECT doc_id, doc_id AS r FROM d UNION SELECT c.doc_id, e.y FROM c JOIN e ON c.r = e.x),
+m AS (SELECT x, sum(same::INT) AS n_equal, sum((NOT same)::INT) AS n_links FROM e GROUP BY x)
+SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(c.r) AS component_id, coalesce(any_value(n_equal), 0)::BIGINT AS n_equal, coalesce(any_value(n_links), 0)::BIGINT AS n_links
+FROM d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.x = d.doc_id GROUP BY d.doc_id"""
+
+_PAIRS = f"""{_LINKS},
+f AS (SELECT x, min(y) AS least FROM e WHERE same GROUP BY x),
+u AS (SELECT doc_id FROM d LEFT JOIN f ON f.x = doc_id WHERE least IS NULL OR least > doc_id)
+SELECT x AS doc_id, y AS linked_id FROM l WHERE NOT same AND x IN (SELECT doc_id FROM u) AND y IN (SELECT doc_id FROM u)"""
 
 #: Mixing (3) is a search for a subset, and 4, 5, 8 and 9 are trained or read HTML: they have no SQL and are tested by brute force.
 SQL: dict[str, str] = {
@@ -82,5 +95,6 @@ SQL: dict[str, str] = {
     "op2_secret_scan": secrets.oracle(),
     "op6_substring_dedup": _DEDUP,
     "op7_ngram_jaccard_join": _JACCARD,
+    "ngram_jaccard_links": _PAIRS,
     "op10_url_filter": urlfilter.ORACLE,
 }
