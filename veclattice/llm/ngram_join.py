@@ -52,8 +52,8 @@ LOAD, LEAST_BITS, MOST_BITS = 64, 16, 26
 SKETCH_BLOCK_BITS = 16
 #: Bits of the filter that picks the texts to be verified; a full filter only lets more through.
 FILTER_BITS = 26
-#: Columns of more rows than this make families; cells of a block of a family, and columns that two blocks multiply at a time.
-COMMON, BLOCK_CELLS, COLUMNS = 16, 150_000, 4096
+#: Columns of more rows than this make families; cells and rows of a block of a family, and columns that two blocks multiply at a time.
+COMMON, BLOCK_CELLS, BLOCK_ROWS, COLUMNS = 16, 150_000, 400, 4096
 
 
 def shingle_sets(texts: pa.Array, i: int, j: int, n: int) -> list[np.ndarray]:
@@ -229,7 +229,7 @@ def _blocks(bodies: DataFrame, families: DataFrame, percent: int) -> DataFrame:
     # sets that link have sizes in the same or in neighbouring steps of this width
     width = max(float(np.log(100 / percent)), 1e-6) * 1.0001
     rows = families.join(bodies, "node").withColumn("q", F.floor(F.log("n") / width))
-    steps = rows.groupBy("family", "q").agg(F.ceil(F.sum("n") / BLOCK_CELLS).alias("blocks"))
+    steps = rows.groupBy("family", "q").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_CELLS, F.count(F.lit(1)) / BLOCK_ROWS)).alias("blocks"))
     near = steps.select("family", "blocks", F.explode(F.array(*map(F.lit, (-1, 0, 1)))).alias("d"), "q").withColumn("q", F.col("q") + F.col("d"))
     near = near.groupBy("family", "q").agg(*[F.coalesce(F.max(F.when(F.col("d") == d, F.col("blocks"))), F.lit(0)).alias(name) for d, name in ((1, "below"), (0, "own"), (-1, "above"))])
     rows = rows.join(near, ["family", "q"]).withColumn("k", F.pmod(F.xxhash64("node"), F.col("own")))
