@@ -463,12 +463,12 @@ def random_words(seed):
 
 def test_boilerplate_in_articles():
     make = random_words(20)
-    bar, own, copy = make(12), [make(50) for _ in range(6)], [make(30), make(30)]
-    wrap = lambda *blocks: "<article>" + "".join(f"<p>{b}</p>" for b in blocks) + "</article>"
-    # a headline that other pages link to is no boilerplate
+    bar, line, own, copy = make(12), make(10), [make(50) for _ in range(6)], [make(30), make(30)]
+    wrap = lambda *blocks: "<article>" + "".join(f"<p>{b}</p>" for b in blocks) + f"<div class='x7'><p>{bar}</p></div></article>"
+    # a headline that other pages link to is no boilerplate, nor is a sentence that articles share
     linked = f"<nav>{own[0]}</nav>"
-    pages = [wrap(t, bar) + linked for t in own] + [wrap(*copy, bar)] * 4
-    assert htmltext.judge([htmltext.parse(p) for p in pages]) == own + ["\n".join(copy)] * 4
+    pages = [wrap(t, line) + linked for t in own] + [wrap(*copy)] * 4
+    assert htmltext.judge([htmltext.parse(p) for p in pages]) == [f"{t}\n{line}" for t in own] + ["\n".join(copy)] * 4
 
 
 def test_boilerplate_short_pages():
@@ -487,11 +487,11 @@ def test_boilerplate_over_shards(spark, monkeypatch, most):
     rows, want = [], {}
     for k in range(60):
         text, shared = make(60), k % 10 == 0
-        block = f"<p>{text}</p>" + (f"<p>{bar}</p>" if shared else "")
+        block = f"<p>{text}</p>" + (f"<div class='x{k}'>{bar}</div>" if shared else "")
         rows.append((k, f"http://a/{k}", f"<article>{block}</article>" if k % 3 else f"<div>{block}</div>"))
         want[k] = text
-    rows += [(100 + k, f"http://b/{k}", f"<p>{bar}</p>") for k in range(2)]
-    want |= {100: bar, 101: bar}
+    rows += [(100 + k, f"http://b/{k}", f"<p>{bar}</p>") for k in range(2)] + [(200 + k, f"http://a/{k}", f"<article>{make(40)}</article>") for k in range(3)]
+    want |= {100: bar, 101: bar} | {r[0]: htmltext.judge([htmltext.parse(r[2])])[0] for r in rows if r[0] >= 200}
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     # a shard holds about one page
     got = {r["page_id"]: r["text"] for r in htmltext.extract(pages, shard_bytes=500).collect()}

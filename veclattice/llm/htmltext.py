@@ -2,26 +2,32 @@
 
 Pages are parsed into blocks of text with the place of each: inside the
 article, inside a container that is never article (menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, comments), or elsewhere.  The word
-streams of a host's pages are concatenated and sorted into a suffix array (by
-prefix doubling, to the depth of the shortest run of interest).  Neighbours in
-the array give the runs of words that distinct pages share.
+sidebars, notices, adverts, forms, scripts, comments), or elsewhere, and with
+its kind, the path of elements and classes that leads to it.  The word streams
+of a host's pages in a task are concatenated and sorted into a suffix array
+(by prefix doubling, to the depth of the shortest run of interest: a longer
+run is shared by pages just where all of its shortest runs are).  Neighbours
+in the array are the runs that pages share; each task sends the code of a run
+once, with its pages, and pages are counted over the whole host, so neither
+tasks nor the size of a host change a text.
 
 A run is boilerplate if most of its places lie in such containers or if enough
-pages of the host share it; pages are counted over the whole host, whatever
-its size.  Pages of equal text count once, and a page counts only if it has
-DEPTH words on end that no such run covers: pages that differ in scattered
-words are copies of each other, and what only copies share stays.
-
-What a page marks as its article stays, without such containers and without
-blocks wholly covered by runs that enough pages share outside of such
-containers; its other blocks go.  On pages that mark none, blocks in such
-containers or wholly covered by boilerplate runs go, all others stay.
-
-A host's pages are dealt over shards of bounded size by a hash of the page, so
-a host may hold any share of the input.  Runs are told apart by 64-bit codes
-of host and words: a first pass finds the codes that may repeat, a second
-counts those exactly over the host, and the list goes to the shards.
+pages of the host share it.  Pages of equal text count once, and a page counts
+only if it has DEPTH words on end that no such run covers: pages that differ
+in scattered words are copies of each other, and what only copies share stays.
+
+On pages that mark no article, blocks in such containers or wholly covered by
+boilerplate runs go, all others stay.  What a page marks as its article stays,
+without such containers and without blocks of a kind that is boilerplate on
+the host: NEARLY all words of its blocks lie in runs that enough pages share.
+A sentence of an article that other articles repeat stays, as its kind has
+other words; the page's blocks outside of the article go.
+
+Runs are told apart by 64-bit codes of host and words: a first pass finds the
+codes that may repeat, a second counts those exactly over the host, and the
+list goes to a pass over the pages.  A list too long to be sent to all tasks
+meets the pages by host, which are then dealt over shards of bounded size by a
+hash of the page, so a host may hold any share of the input.
 
 Defined results: null and empty html give the empty string; a null url or one
 without `://` has the host ""; repeated rows each get their row; a page larger
@@ -58,10 +64,13 @@ NAMES = re.compile(rf"(?:^|[\s_-])(?:{_ANYWHERE}|header|site-header|masthead)(?=
 NAMES_INSIDE = re.compile(rf"(?:^|[\s_-])(?:{_ANYWHERE})(?=$|[\s_-])", re.I)
 ARTICLE_NAMES = re.compile(r"(?:^|\s)(?:(?:article|post|entry|story|page|main)[_-]?(?:content|body|text)|articlebody)(?=$|\s)", re.I)
 _TAG = re.compile(r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[a-zA-Z/!?][^>]*\Z", re.S)
+_DIGITS = re.compile(r"\d+")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 
 #: Words of the shortest run (a power of two), least pages that share a run, their least share of a host's pages, and so many are always enough.
 DEPTH, LEAST_PAGES, LEAST_SHARE, ENOUGH_PAGES = 8, 3, 0.01, 100
+#: Share of the words of a kind of block in an article that repeated runs must cover.
+NEARLY = 0.9
 SHARD_BYTES = 1 << 20
 BROADCAST_HOSTS = 50_000
 #: Codes of boilerplate that are broadcast; a longer list meets the shards in a cogroup.
@@ -72,14 +81,22 @@ FILTER_BITS, RANGE_CODES = 28, 1 << 22
 IN_ARTICLE, NEUTRAL, BOILERPLATE = 0, 1, 2
 
 
-def parse(html: str | None) -> tuple[list[str], list[int]]:
-    """The blocks of a page and their places."""
+class Page(NamedTuple):
+    """The blocks of a page, and the place and kind of each."""
+
+    blocks: list[str]
+    places: list[int]
+    kinds: list[str]
+
+
+def parse(html: str | None) -> Page:
     blocks: list[str] = []
     places: list[int] = []
+    kinds: list[str] = []
     if not html:
-        return blocks, places
+        return Page(blocks, places, kinds)
     text: list[str] = []
-    stack: list[tuple[str, int]] = []  # open elements and the place inside them
+    stack: list[tuple[str, int, str]] = []  # open elements, the place inside them and their path
     place = NEUTRAL
 
     def close() -> None:
@@ -88,6 +105,7 @@ def parse(html: str | None) -> tuple[list[str], list[int]]:
         if words:
             blocks.append(" ".join(words))
             places.append(place)
+            kinds.append(stack[-1][2] if stack else "")
 
     at, n = 0, len(html)
     while at < n:
@@ -125,7 +143,7 @@ def parse(html: str | None) -> tuple[list[str], list[int]]:
         if name == "p" and stack and stack[-1][0] == "p":
             stack.pop()
             place = stack[-1][1] if stack else NEUTRAL
-        inside = place
+        inside, label = place, name
         if place != BOILERPLATE:
             attributes = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(m.group(3) or m.group(6) or "")}
             named = " ".join(attributes.get(k, "") for k in ("class", "id", "role"))
@@ -137,10 +155,12 @@ def parse(html: str | None) -> tuple[list[str], list[int]]:
                 inside = BOILERPLATE
             elif name in ("div", "section", "td") and ARTICLE_NAMES.search(named):
                 inside = IN_ARTICLE
-        stack.append((name, inside))
+            if attributes.get("class"):
+                label = f"{name}.{_DIGITS.sub('0', attributes['class'])}"
+        stack.append((name, inside, f"{stack[-1][2] if stack else ''}/{label}"))
         place = inside
     close()
-    return blocks, places
+    return Page(blocks, places, kinds)
 
 
 def suffix_ranks(tokens: np.ndarray, depth: int) -> np.ndarray:
@@ -162,23 +182,28 @@ class Runs(NamedTuple):
     word: np.ndarray  # first word, counted in its page
     place: np.ndarray  # of the first word
     words: np.ndarray  # of each page
+    token: np.ndarray  # code of each word, page after page
+
 
+def _salt(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest())
 
-def runs(pages: list[tuple[list[str], list[int]]], hosts: list[str]) -> Runs:
-    texts = pa.array(["\n".join(blocks) for blocks, _ in pages], pa.large_string())
-    salt = {h: int.from_bytes(hashlib.blake2b(h.encode(), digest_size=8).digest()) for h in set(hosts)}
+
+def runs(pages: list[Page], hosts: list[str]) -> Runs:
+    texts = pa.array(["\n".join(p.blocks) for p in pages], pa.large_string())
+    salt = {h: _salt(h) for h in set(hosts)}
     salts = np.array([salt[h] for h in hosts], dtype=U64)
-    places = [np.repeat(np.array(places, dtype=np.int64), [b.count(" ") + 1 for b in blocks]) for blocks, places in pages]
-    out: list[list[np.ndarray]] = [[], [], [], [], []]
+    places = [np.repeat(np.array(p.places, dtype=np.int64), [b.count(" ") + 1 for b in p.blocks]) for p in pages]
+    out: list[list[np.ndarray]] = [[], [], [], [], [], []]
     for i, j in chunks(texts):
         w = words(texts, i, j)
         start, code = windows(w, DEPTH)
         page = w.doc()[start]
         place = np.concatenate([*places[i:j], np.zeros(0, dtype=np.int64)])
-        for x, y in zip(out, (mix(code ^ salts[i + page]), i + page, start - w.first[page], place[start], np.diff(w.first)), strict=True):
+        for x, y in zip(out, (mix(code ^ salts[i + page]), i + page, start - w.first[page], place[start], np.diff(w.first), w.code ^ salts[i + w.doc()]), strict=True):
             x.append(y)
-    kinds = (U64, np.int64, np.int64, np.int64, np.int64)
-    return Runs(*[np.concatenate([*x, np.zeros(0, dtype=k)]) for x, k in zip(out, kinds, strict=True)])
+    types = (U64, np.int64, np.int64, np.int64, np.int64, U64)
+    return Runs(*[np.concatenate([*x, np.zeros(0, dtype=k)]) for x, k in zip(out, types, strict=True)])
 
 
 def text_key(host: str, blocks: list[str]) -> int:
@@ -186,17 +211,27 @@ def text_key(host: str, blocks: list[str]) -> int:
     return int.from_bytes(hashlib.blake2b("\n".join([host, *blocks]).encode(), digest_size=8).digest(), signed=True)
 
 
+def kind_codes(host: str, page: Page) -> list[int]:
+    """A code of host and kind for each block."""
+    known: dict[str, int] = {}
+    for k in page.kinds:
+        if k not in known:
+            known[k] = _salt(f"{host} {k}")
+    return [known[k] for k in page.kinds]
+
+
 def least_pages(n: int) -> float:
     """How many of a host's n pages make a run boilerplate."""
     return max(LEAST_PAGES, min(ENOUGH_PAGES, LEAST_SHARE * n))
 
 
-def suffix_groups(pages: list[tuple[list[str], list[int]]], r: Runs) -> np.ndarray:
-    """A number for each run, the same for equal ones, from the suffix array of the pages."""
-    vocabulary: dict[str, int] = {}
-    ids = np.array([vocabulary.setdefault(w, len(vocabulary)) for blocks, _ in pages for text in blocks for w in text.split(" ")], dtype=np.int64)
+def suffix_groups(r: Runs) -> np.ndarray:
+    """A number for each run, the same for equal ones, from the suffix array of the pages' streams."""
+    if not len(r.code):
+        return np.zeros(0, dtype=np.int64)
     first = np.cumsum(r.words) - r.words
-    return np.unique(suffix_ranks(ids, DEPTH)[first[r.page] + r.word], return_inverse=True)[1] if len(r.code) else np.zeros(0, dtype=np.int64)
+    ranks = suffix_ranks(np.unique(r.token, return_inverse=True)[1], DEPTH)
+    return np.unique(ranks[first[r.page] + r.word], return_inverse=True)[1]
 
 
 def covered(r: Runs, some: np.ndarray) -> np.ndarray:
@@ -209,11 +244,11 @@ def covered(r: Runs, some: np.ndarray) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def boilerplate(pages: list[tuple[list[str], list[int]]]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the runs that are boilerplate outside of marked articles and inside, from all pages of one host."""
-    pages = list({text_key("", p[0]): p for p in reversed(pages)}.values())
+def boilerplate(pages: list[Page]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the runs that are boilerplate and of the kinds that are so in articles, from all pages of one host."""
+    pages = list({text_key("", p.blocks): p for p in reversed(pages)}.values())
     r = runs(pages, [""] * len(pages))
-    g = suffix_groups(pages, r)
+    g = suffix_groups(r)
     n, least = int(g.max(initial=-1)) + 1, least_pages(len(pages))
 
     def count(on: np.ndarray) -> np.ndarray:
@@ -222,10 +257,29 @@ def boilerplate(pages: list[tuple[list[str], list[int]]]) -> tuple[np.ndarray, n
     n_pages = count(np.ones(len(g), dtype=bool))
     outside = np.bincount(g, weights=r.place == BOILERPLATE, minlength=n)
     mostly = (n_pages >= 2) & (2 * outside > np.bincount(g, minlength=n))
-    free = np.split(~covered(r, (n_pages >= least)[g]), np.cumsum(r.words)[:-1])
+    ends = np.cumsum(r.words)[:-1]
+    free = np.split(~covered(r, (n_pages >= least)[g]), ends)
+    shared = np.bincount(r.page, weights=(n_pages >= least)[g], minlength=len(pages)) > 0
     own = np.array([longest(x) >= DEPTH for x in free], dtype=bool)
-    often, inside = count(own[r.page]) >= least, count(own[r.page] & (r.place != BOILERPLATE)) >= least
-    return np.unique(r.code[(mostly | often)[g]]), np.unique(r.code[inside[g]])
+    often = count(own[r.page]) >= least
+    words_of: dict[int, int] = {}
+    covered_of: dict[int, int] = {}
+    pages_of: dict[int, int] = {}
+    for p, page, on in zip(range(len(pages)), pages, np.split(covered(r, (often[g] & own[r.page])), ends), strict=True):
+        if shared[p] and not own[p]:
+            continue
+        at, seen = 0, set()
+        for text, place, kind in zip(page.blocks, page.places, kind_codes("", page), strict=True):
+            size = text.count(" ") + 1
+            if place == IN_ARTICLE:
+                words_of[kind] = words_of.get(kind, 0) + size
+                covered_of[kind] = covered_of.get(kind, 0) + int(on[at : at + size].sum())
+                seen.add(kind)
+            at += size
+        for kind in seen:
+            pages_of[kind] = pages_of.get(kind, 0) + 1
+    kinds = [k for k, x in words_of.items() if pages_of[k] >= least and covered_of[k] >= NEARLY * x]
+    return np.unique(r.code[(mostly | often)[g]]), np.sort(np.array(kinds, dtype=U64))
 
 
 def longest(on: np.ndarray) -> int:
@@ -240,44 +294,31 @@ def _among(codes: np.ndarray, listed: np.ndarray) -> np.ndarray:
     return listed[np.minimum(np.searchsorted(listed, codes), len(listed) - 1)] == codes
 
 
-def judge(pages: list[tuple[list[str], list[int]]], host: str = "", listed: tuple[np.ndarray, np.ndarray] | None = None) -> list[str]:
-    """Main text of each page of a shard of one host; without the host's sorted codes of boilerplate the pages are the whole host."""
-    if listed is None:
-        host, listed = "", boilerplate(pages)
-    page = np.array([p for p, (blocks, _) in enumerate(pages) for _ in blocks], dtype=np.int64)
-    place = np.array([x for _, places in pages for x in places], dtype=np.int64)
-    size = np.array([b.count(" ") + 1 for blocks, _ in pages for b in blocks], dtype=np.int64)
-    marked = np.zeros(len(pages), dtype=bool)
-    marked[page[place == IN_ARTICLE]] = True
-    drop = (place == BOILERPLATE) | (marked[page] & (place != IN_ARTICLE))
-    r = runs(pages, [host] * len(pages))
-    if len(r.code) and (len(listed[0]) or len(listed[1])):
-        g = suffix_groups(pages, r)
-        _, at = np.unique(g, return_index=True)  # a code is looked up once for all its places
-        block = np.repeat(np.arange(len(page)), size)
-        for kind, codes in zip((~marked[page], place == IN_ARTICLE), listed, strict=True):
-            share = np.bincount(block, weights=covered(r, _among(r.code[at], codes)[g]), minlength=len(page))
-            drop |= kind & (share == size)
-    out: list[list[str]] = [[] for _ in pages]
-    k = 0
-    for p, (blocks, _) in enumerate(pages):
-        for text in blocks:
-            if not drop[k]:
-                out[p].append(text)
-            k += 1
-    return ["\n".join(x) for x in out]
-
-
-@tidied
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(0, batch.num_rows, 500):
-            part = batch.slice(i, 500)
-            both = [parse(x) for x in part.column(4).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array([b for b, _ in both], pa.list_(pa.string())), pa.array([p for _, p in both], pa.list_(pa.int8()))], ["page_id", "url", "host", "shard", "blocks", "places"])
-
-
-def _pages_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], list[tuple[list[str], list[int]]]]]:
+def judge(pages: list[Page], hosts: list[str] | None = None, listed: tuple[np.ndarray, np.ndarray] | None = None) -> list[str]:
+    """Main text of each page; without the sorted codes of boilerplate runs and kinds the pages are all those of one host."""
+    if listed is None or hosts is None:
+        hosts, listed = [""] * len(pages), boilerplate(pages)
+    out: list[str] = [""] * len(pages)
+    open_ = [p for p, page in enumerate(pages) if IN_ARTICLE not in page.places]
+    for p, page in enumerate(pages):
+        codes = np.array(kind_codes(hosts[p], page) if len(listed[1]) else [0] * len(page.blocks), dtype=U64)
+        keep = (np.array(page.places, dtype=np.int64) == IN_ARTICLE) & ~_among(codes, listed[1])
+        out[p] = "\n".join(b for b, k in zip(page.blocks, keep.tolist(), strict=True) if k)
+    # pages that mark no article
+    r = runs([pages[p] for p in open_], [hosts[p] for p in open_])
+    gone = np.split(covered(r, _among(r.code, listed[0])), np.cumsum(r.words)[:-1])
+    for p, on in zip(open_, gone, strict=False):
+        at, kept = 0, []
+        for text, place in zip(pages[p].blocks, pages[p].places, strict=True):
+            size = text.count(" ") + 1
+            if place != BOILERPLATE and not on[at : at + size].all():
+                kept.append(text)
+            at += size
+        out[p] = "\n".join(kept)
+    return out
+
+
+def _pages_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], list[Page]]]:
     """Hosts and parsed pages of (host, html), a bounded number at a time."""
     for batch in batches:
         for i in range(0, batch.num_rows, 500):
@@ -290,7 +331,7 @@ def _ranges(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordB
     """The sorted codes of pages, cut into 2**bits ranges and packed as differences.
 
     Only runs on LEAST_PAGES pages, or on two of which one has it in a container
-    that is never article, can be boilerplate: such a place counts as one page less.
+    that is never article, can be boilerplate: such a place counts as pages more.
     """
     pack = zstandard.ZstdCompressor(level=1)
 
@@ -308,11 +349,13 @@ def _ranges(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordB
     size = 0
     for hosts, pages in _pages_of(batches):
         r = runs(pages, hosts)
-        order = np.lexsort((-r.place, r.code, r.page))
-        code, page, place = r.code[order], r.page[order], r.place[order]
-        new = np.ones(len(code), dtype=bool)
-        new[1:] = (code[1:] != code[:-1]) | (page[1:] != page[:-1])
-        held.append(np.repeat(code[new], np.where(place[new] == BOILERPLATE, LEAST_PAGES - 1, 1)))
+        g = suffix_groups(r)
+        # of each run its pages, and whether it is in a container
+        count = np.bincount(np.unique(g * (len(pages) + 1) + r.page) // (len(pages) + 1), minlength=1)
+        in_container = np.bincount(g, weights=r.place == BOILERPLATE, minlength=1) > 0
+        group, first = np.unique(g, return_index=True)
+        weight = np.minimum(count[group] + in_container[group] * (LEAST_PAGES - 2), LEAST_PAGES)
+        held.append(np.repeat(r.code[first], weight))
         size += len(held[-1])
         if size >= RANGE_CODES:
             yield packed(held)
@@ -348,12 +391,50 @@ def _candidates(batches: Iterator[pa.RecordBatch], wanted) -> Iterator[pa.Record
         on = np.flatnonzero(bits[cell >> 3] >> (7 - (cell & 7)) & 1)
         edge = pa.array(np.searchsorted(r.page[on], np.arange(len(pages) + 1)), pa.int32())
         lists = [pa.ListArray.from_arrays(edge, pa.array(x[on].astype(k))) for x, k in ((r.word, np.int32), (r.code.view(np.int64), np.int64), (r.place, np.int8))]
-        keys = pa.array([text_key(h, b) for h, (b, _) in zip(hosts, pages, strict=True)], pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), keys, pa.array(r.words, pa.int64()), *lists], ["host", "text", "words", "word", "code", "place"])
+        keys = pa.array([text_key(h, p.blocks) for h, p in zip(hosts, pages, strict=True)], pa.int64())
+        parts = [_parts(h, p) for h, p in zip(hosts, pages, strict=True)]
+        three = [pa.array([x[k] for x in parts], pa.list_(t)) for k, t in enumerate((pa.int32(), pa.int32(), pa.int64()))]
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), keys, pa.array(r.words, pa.int64()), *lists, *three], ["host", "text", "words", "word", "code", "place", "first", "size", "kind"])
+
+
+def _parts(host: str, page: Page) -> tuple[list[int], list[int], list[int]]:
+    """First word, words and kind of each stretch of one kind in the article."""
+    first, size, kind = [], [], []
+    at = 0
+    for text, place, k in zip(page.blocks, page.places, np.array(kind_codes(host, page), dtype=U64).view(np.int64).tolist(), strict=True):
+        n = text.count(" ") + 1
+        if place == IN_ARTICLE:
+            if kind and kind[-1] == k and first[-1] + size[-1] == at:
+                size[-1] += n
+            else:
+                first.append(at), size.append(n), kind.append(k)
+        at += n
+    return first, size, kind
+
+
+@tidied
+def _coverage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """kind, words, covered and pages of pages with the starts of their boilerplate runs."""
+    for batch in batches:
+        sums: dict[tuple[str, int], list[int]] = {}
+        for host, words_, at, *parts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            edge = np.zeros(words_ + DEPTH + 1, dtype=np.int64)
+            at = np.unique(np.array(at or [], dtype=np.int64))
+            edge[at] += 1
+            edge[at + DEPTH] -= 1
+            on = np.concatenate([[0], np.cumsum(np.cumsum(edge) > 0)])
+            seen = set()
+            for first, size, kind in zip(*parts, strict=True):
+                x = sums.setdefault((host, kind), [0, 0, 0])
+                x[0] += size
+                x[1] += int(on[first + size] - on[first])
+                x[2] += kind not in seen
+                seen.add(kind)
+        yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in sums], pa.string()), pa.array([k for _, k in sums], pa.int64()), *[pa.array([x[i] for x in sums.values()], pa.int64()) for i in range(3)]], ["host", "kind", "words", "covered", "pages"])
 
 
 def _listed(pages: DataFrame) -> DataFrame:
-    """host, code, neutral and inside: the runs that are boilerplate outside of marked articles or inside, from (host, html)."""
+    """host, code, neutral and inside: the runs that are boilerplate (neutral) and the kinds that are so in articles (inside), from (host, html)."""
     spark = pages.sparkSession
     (total,) = pages.agg(F.sum(F.octet_length("html"))).first()
     bits = int(np.clip(np.ceil(np.log2((total or 0) / 6 / RANGE_CODES + 1)), 6, 14))
@@ -363,9 +444,9 @@ def _listed(pages: DataFrame) -> DataFrame:
         on[name] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(body)), dtype=np.uint8)
     del packed
     wanted = spark.sparkContext.broadcast(on.ravel())
-    texts = pages.mapInArrow(lambda b: _candidates(b, wanted), "host string, text long, words long, word array<int>, code array<long>, place array<tinyint>")
+    texts = pages.mapInArrow(lambda b: _candidates(b, wanted), "host string, text long, words long, word array<int>, code array<long>, place array<tinyint>, first array<int>, size array<int>, kind array<long>")
     # pages of equal text count once
-    texts = cut(texts.groupBy("host", "text").agg(F.min(F.struct("words", "word", "code", "place")).alias("p")).select("host", "text", "p.*"))
+    texts = cut(texts.groupBy("host", "text").agg(F.any_value(F.struct("words", "word", "code", "place", "first", "size", "kind")).alias("p")).select("host", "text", "p.*"))
     hosts = texts.groupBy("host").agg(F.count(F.lit(1)).alias("n")).select("host", F.expr(f"greatest({LEAST_PAGES}, least({ENOUGH_PAGES}, {LEAST_SHARE}D * n))").alias("least"))
     hosts = F.broadcast(hosts) if hosts.count() <= BROADCAST_HOSTS else hosts
     places = texts.select("host", "text", "words", F.explode(F.arrays_zip("word", "code", "place")).alias("r")).select("host", "text", "words", "r.*")
@@ -375,14 +456,21 @@ def _listed(pages: DataFrame) -> DataFrame:
     counts = cut(counts.join(hosts, "host").select("host", "code", "least", mostly.alias("mostly"), often.alias("often")).where("mostly or often"))
     shared = counts.where("often").select("host", "code", "least")
     shared = F.broadcast(shared) if shared.count() <= BROADCAST_CODES // 8 else shared
-    held = cut(each.join(shared, ["host", "code"]).select("host", "code", "text", "words", "at", "least", (F.col("places") > F.col("outside")).alias("inside")))
+    held = cut(each.join(shared, ["host", "code"]).select("host", "code", "text", "words", "at", "least"))
     # the most words on end of a page that no shared run covers
     rest = F.expr(f"aggregate(at, struct(0L as upto, 0L as most), (a, w) -> struct(cast(w + {DEPTH} as long) as upto, greatest(a.most, w - a.upto) as most), a -> greatest(a.most, words - a.upto))")
     whole = held.groupBy("host", "text").agg(F.any_value("words").alias("words"), F.array_sort(F.flatten(F.collect_list("at"))).alias("at"))
-    own = whole.where(rest >= DEPTH).select("host", "text")
-    known = held.join(own, ["host", "text"], "left_semi").groupBy("host", "code").agg(F.count(F.lit(1)).alias("pages"), F.sum(F.col("inside").cast("long")).alias("inside"))
-    out = counts.join(known, ["host", "code"], "left").select("host", "code", F.expr("mostly or coalesce(pages >= least, false)").alias("neutral"), F.expr("coalesce(inside >= least, false)").alias("inside"))
-    return cut(out.where("neutral or inside"))
+    whole = cut(whole.select("host", "text", (rest >= DEPTH).alias("own")))
+    own = whole.where("own")
+    known = held.join(own, ["host", "text"], "left_semi").groupBy("host", "code", "least").agg(F.count(F.lit(1)).alias("pages")).where("pages >= least").select("host", "code", F.lit(True).alias("known"))
+    out = counts.join(known, ["host", "code"], "left").where("mostly or known").select("host", "code", F.lit(True).alias("neutral"), F.lit(False).alias("inside"))
+    # kinds of blocks in articles; copies do not count
+    starts = held.join(own, ["host", "text"], "left_semi").join(known, ["host", "code"], "left_semi").groupBy("host", "text").agg(F.flatten(F.collect_list("at")).alias("at"))
+    marked = texts.where("size(kind) > 0").join(whole.where("not own"), ["host", "text"], "left_anti")
+    marked = marked.select("host", "text", "words", "first", "size", "kind").join(starts, ["host", "text"], "left").select("host", "words", "at", "first", "size", "kind")
+    kinds = marked.mapInArrow(_coverage, "host string, kind long, words long, covered long, pages long").groupBy("host", "kind").agg(*[F.sum(c).alias(c) for c in ("words", "covered", "pages")])
+    kinds = kinds.join(hosts, "host").where(f"pages >= least and covered >= {NEARLY}D * words").select("host", F.col("kind").alias("code"), F.lit(False).alias("neutral"), F.lit(True).alias("inside"))
+    return cut(out.unionByName(kinds))
 
 
 def _codes(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -390,10 +478,18 @@ def _codes(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.sort(code[rows[k].to_numpy().astype(bool)]) for k in ("neutral", "inside"))
 
 
+@tidied
+def _texts(batches: Iterator[pa.RecordBatch], codes) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, 500):
+            part = batch.slice(i, 500)
+            pages = [parse(x) for x in part.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(judge(pages, part.column(2).to_pylist(), codes.value), pa.string())], ["page_id", "url", "text"])
+
+
 def _judged(table: pa.Table, listed: tuple[np.ndarray, np.ndarray]) -> pa.Table:
-    pages = list(zip(table["blocks"].to_pylist(), table["places"].to_pylist(), strict=True))
-    host = table["host"][0].as_py() if len(pages) else ""
-    return pa.table([table["page_id"], table["url"], pa.array(judge(pages, host, listed), pa.string())], ["page_id", "url", "text"])
+    pages = [parse(x) for x in table["html"].to_pylist()]
+    return pa.table([table["page_id"], table["url"], pa.array(judge(pages, table["host"].to_pylist(), listed), pa.string())], ["page_id", "url", "text"])
 
 
 def extract(pages: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -401,17 +497,14 @@ def extract(pages: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     kind = pages.schema["page_id"].dataType.simpleString()
     after = F.expr("case when instr(url, '://') > 0 then substring(url, instr(url, '://') + 3) else '' end")
     pages = pages.select("page_id", "url", F.coalesce(F.lower(F.regexp_extract(after, "^[^/?#]*", 0)), F.lit("")).alias("host"), "html")
-    large = pages.groupBy("host").agg(F.ceil(F.sum(F.octet_length("html")) / shard_bytes).alias("shards")).where("shards > 1")
     listed = _listed(pages.select("host", "html"))
-    large = cut(large)
-    # the list of large hosts is broadcast while it is short; else pages meet it in a shuffled join
-    large = F.broadcast(large) if large.count() <= BROADCAST_HOSTS else large
-    deal = F.pmod(F.xxhash64("page_id", "url"), F.coalesce("shards", F.lit(1))).alias("shard")
-    dealt = pages.join(large, "host", "left").select("page_id", "url", "host", deal, "html")
-    parsed = dealt.mapInArrow(_parsed, f"page_id {kind}, url string, host string, shard long, blocks array<string>, places array<tinyint>")
     schema = f"page_id {kind}, url string, text string"
     if listed.count() <= BROADCAST_CODES:
         codes = pages.sparkSession.sparkContext.broadcast(_codes(listed.select("code", "neutral", "inside").toArrow()))
-        return parsed.groupBy("host", "shard").applyInArrow(lambda t: _judged(t, codes.value), schema)
+        return pages.mapInArrow(lambda b: _texts(b, codes), schema)
+    large = cut(pages.groupBy("host").agg(F.ceil(F.sum(F.octet_length("html")) / shard_bytes).alias("shards")).where("shards > 1"))
+    large = F.broadcast(large) if large.count() <= BROADCAST_HOSTS else large
+    deal = F.pmod(F.xxhash64("page_id", "url", "html"), F.coalesce("shards", F.lit(1))).alias("shard")
+    dealt = pages.join(large, "host", "left").select("page_id", "url", "host", deal, "html")
     spread = listed.join(large, "host", "left").select("host", F.explode(F.expr("sequence(0L, coalesce(shards, 1L) - 1)")).alias("shard"), "code", "neutral", "inside")
-    return parsed.groupBy("host", "shard").cogroup(spread.groupBy("host", "shard")).applyInArrow(lambda t, c: _judged(t, _codes(c)), schema)
+    return dealt.groupBy("host", "shard").cogroup(spread.groupBy("host", "shard")).applyInArrow(lambda t, c: _judged(t, _codes(c)), schema)
