@@ -145,15 +145,16 @@ def parse(html: str | None) -> Page:
             place = stack[-1][1] if stack else NEUTRAL
         inside, label = place, name
         if place != BOILERPLATE:
-            attributes = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(m.group(3) or m.group(6) or "")}
-            named = " ".join(attributes.get(k, "") for k in ("class", "id", "role"))
+            more = m.group(3) or m.group(6)
+            attributes = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(more)} if more else {}
+            named = " ".join(attributes.get(k, "") for k in ("class", "id", "role")) if attributes else ""
             if name in OUTSIDE or (name == "header" and place != IN_ARTICLE) or "hidden" in attributes or attributes.get("aria-hidden") == "true":
                 inside = BOILERPLATE
             elif name in ARTICLE or attributes.get("role") == "main" or attributes.get("itemprop", "").lower() == "articlebody":
                 inside = BOILERPLATE if NAMES.search(named) and name != "main" else IN_ARTICLE
-            elif name not in ("html", "body") and (NAMES_INSIDE if place == IN_ARTICLE else NAMES).search(named):
+            elif named and name not in ("html", "body") and (NAMES_INSIDE if place == IN_ARTICLE else NAMES).search(named):
                 inside = BOILERPLATE
-            elif name in ("div", "section", "td") and ARTICLE_NAMES.search(named):
+            elif named and name in ("div", "section", "td") and ARTICLE_NAMES.search(named):
                 inside = IN_ARTICLE
             if attributes.get("class"):
                 label = f"{name}.{_DIGITS.sub('0', attributes['class'])}"
@@ -383,18 +384,26 @@ def _repeated(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Recor
 
 @tidied
 def _candidates(batches: Iterator[pa.RecordBatch], wanted) -> Iterator[pa.RecordBatch]:
-    """Of each page the runs that the filter lets through."""
+    """Of each page the runs that the filter lets through: the code of each with its places, those in containers and its starts."""
     bits = wanted.value
     for hosts, pages in _pages_of(batches):
         r = runs(pages, hosts)
         cell = (r.code >> U64(64 - FILTER_BITS)).astype(np.int64)
         on = np.flatnonzero(bits[cell >> 3] >> (7 - (cell & 7)) & 1)
-        edge = pa.array(np.searchsorted(r.page[on], np.arange(len(pages) + 1)), pa.int32())
-        lists = [pa.ListArray.from_arrays(edge, pa.array(x[on].astype(k))) for x, k in ((r.word, np.int32), (r.code.view(np.int64), np.int64), (r.place, np.int8))]
+        on = on[np.lexsort((r.word[on], r.code[on], r.page[on]))]
+        page, code = r.page[on], r.code[on]
+        new = np.ones(len(on), dtype=bool)
+        new[1:] = (page[1:] != page[:-1]) | (code[1:] != code[:-1])
+        first = np.append(np.flatnonzero(new), len(on))
+        outside = np.add.reduceat(r.place[on] == BOILERPLATE, first[:-1], dtype=np.int32) if len(on) else np.zeros(0, dtype=np.int32)
+        edge = pa.array(np.searchsorted(page[new], np.arange(len(pages) + 1)), pa.int32())
+        starts = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(r.word[on].astype(np.int32)))
+        fields = [pa.array(code[new].view(np.int64)), pa.array(np.diff(first).astype(np.int32)), pa.array(outside), starts]
+        found = pa.ListArray.from_arrays(edge, pa.StructArray.from_arrays(fields, ["code", "places", "outside", "at"]))
         keys = pa.array([text_key(h, p.blocks) for h, p in zip(hosts, pages, strict=True)], pa.int64())
         parts = [_parts(h, p) for h, p in zip(hosts, pages, strict=True)]
         three = [pa.array([x[k] for x in parts], pa.list_(t)) for k, t in enumerate((pa.int32(), pa.int32(), pa.int64()))]
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), keys, pa.array(r.words, pa.int64()), *lists, *three], ["host", "text", "words", "word", "code", "place", "first", "size", "kind"])
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), keys, pa.array(r.words, pa.int64()), found, *three], ["host", "text", "words", "found", "first", "size", "kind"])
 
 
 def _parts(host: str, page: Page) -> tuple[list[int], list[int], list[int]]:
@@ -414,10 +423,10 @@ def _parts(host: str, page: Page) -> tuple[list[int], list[int], list[int]]:
 
 @tidied
 def _coverage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind, words, covered and pages of pages with the starts of their boilerplate runs."""
+    """hid, least, kind, words, covered and pages of pages with the starts of their boilerplate runs."""
     for batch in batches:
-        sums: dict[tuple[str, int], list[int]] = {}
-        for host, words_, at, *parts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+        sums: dict[tuple[int, float, int], list[int]] = {}
+        for hid, least, words_, at, *parts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             edge = np.zeros(words_ + DEPTH + 1, dtype=np.int64)
             at = np.unique(np.array(at or [], dtype=np.int64))
             edge[at] += 1
@@ -425,16 +434,16 @@ def _coverage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             on = np.concatenate([[0], np.cumsum(np.cumsum(edge) > 0)])
             seen = set()
             for first, size, kind in zip(*parts, strict=True):
-                x = sums.setdefault((host, kind), [0, 0, 0])
+                x = sums.setdefault((hid, least, kind), [0, 0, 0])
                 x[0] += size
                 x[1] += int(on[first + size] - on[first])
                 x[2] += kind not in seen
                 seen.add(kind)
-        yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in sums], pa.string()), pa.array([k for _, k in sums], pa.int64()), *[pa.array([x[i] for x in sums.values()], pa.int64()) for i in range(3)]], ["host", "kind", "words", "covered", "pages"])
+        yield pa.RecordBatch.from_arrays([*[pa.array([x[i] for x in sums], t) for i, t in enumerate((pa.int64(), pa.float64(), pa.int64()))], *[pa.array([x[i] for x in sums.values()], pa.int64()) for i in range(3)]], ["hid", "least", "kind", "words", "covered", "pages"])
 
 
 def _listed(pages: DataFrame) -> DataFrame:
-    """host, code, neutral and inside: the runs that are boilerplate (neutral) and the kinds that are so in articles (inside), from (host, html)."""
+    """hid (a hash of the host), code, neutral and inside: the runs that are boilerplate (neutral) and the kinds that are so in articles (inside), from (host, html)."""
     spark = pages.sparkSession
     (total,) = pages.agg(F.sum(F.octet_length("html"))).first()
     bits = int(np.clip(np.ceil(np.log2((total or 0) / 6 / RANGE_CODES + 1)), 6, 14))
@@ -444,32 +453,35 @@ def _listed(pages: DataFrame) -> DataFrame:
         on[name] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(body)), dtype=np.uint8)
     del packed
     wanted = spark.sparkContext.broadcast(on.ravel())
-    texts = pages.mapInArrow(lambda b: _candidates(b, wanted), "host string, text long, words long, word array<int>, code array<long>, place array<tinyint>, first array<int>, size array<int>, kind array<long>")
+    texts = pages.mapInArrow(lambda b: _candidates(b, wanted), "host string, text long, words long, found array<struct<code:bigint,places:int,outside:int,at:array<int>>>, first array<int>, size array<int>, kind array<long>")
     # pages of equal text count once
-    texts = cut(texts.groupBy("host", "text").agg(F.any_value(F.struct("words", "word", "code", "place", "first", "size", "kind")).alias("p")).select("host", "text", "p.*"))
-    hosts = texts.groupBy("host").agg(F.count(F.lit(1)).alias("n")).select("host", F.expr(f"greatest({LEAST_PAGES}, least({ENOUGH_PAGES}, {LEAST_SHARE}D * n))").alias("least"))
+    texts = texts.groupBy("host", "text").agg(F.any_value(F.struct("words", "found", "first", "size", "kind")).alias("p")).select("host", "text", "p.*")
+    texts = cut(texts)
+    hosts = texts.groupBy("host").agg(F.count(F.lit(1)).alias("n")).select("host", F.expr(f"cast(greatest({LEAST_PAGES}, least({ENOUGH_PAGES}, {LEAST_SHARE}D * n)) as double)").alias("least"))
     hosts = F.broadcast(hosts) if hosts.count() <= BROADCAST_HOSTS else hosts
-    places = texts.select("host", "text", "words", F.explode(F.arrays_zip("word", "code", "place")).alias("r")).select("host", "text", "words", "r.*")
-    each = places.groupBy("host", "code", "text").agg(F.count(F.lit(1)).alias("places"), F.sum((F.col("place") == BOILERPLATE).cast("long")).alias("outside"), F.any_value("words").alias("words"), F.collect_list("word").alias("at"))
-    counts = each.groupBy("host", "code").agg(F.count(F.lit(1)).alias("pages"), F.sum("places").alias("places"), F.sum("outside").alias("outside")).where("pages >= 2")
-    mostly, often = F.expr("2 * outside > places"), F.expr("pages >= least")
-    counts = cut(counts.join(hosts, "host").select("host", "code", "least", mostly.alias("mostly"), often.alias("often")).where("mostly or often"))
-    shared = counts.where("often").select("host", "code", "least")
-    shared = F.broadcast(shared) if shared.count() <= BROADCAST_CODES // 8 else shared
-    held = cut(each.join(shared, ["host", "code"]).select("host", "code", "text", "words", "at", "least"))
+    texts = texts.join(hosts, "host").withColumn("hid", F.xxhash64("host")).drop("host")
+    found = texts.select("hid", "text", "least", F.explode("found").alias("r")).select("hid", "text", "least", "r.*")
+    counts = found.groupBy("code").agg(F.max("hid").alias("hid"), F.max("least").alias("least"), F.count(F.lit(1)).alias("pages"), F.sum("places").alias("places"), F.sum("outside").alias("outside"))
+    mostly, often = F.expr("pages >= 2 and 2 * outside > places"), F.expr("pages >= least")
+    counts = cut(counts.select("hid", "code", mostly.alias("mostly"), often.alias("often")).where("mostly or often"))
+    few = lambda d: F.broadcast(d) if d.count() <= BROADCAST_CODES // 8 else d
+    shared = few(counts.where("often").select("code"))
+
+    def starts(codes: DataFrame, of: DataFrame) -> DataFrame:
+        return of.join(codes, "code").groupBy("text").agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("at"))
+
     # the most words on end of a page that no shared run covers
     rest = F.expr(f"aggregate(at, struct(0L as upto, 0L as most), (a, w) -> struct(cast(w + {DEPTH} as long) as upto, greatest(a.most, w - a.upto) as most), a -> greatest(a.most, words - a.upto))")
-    whole = held.groupBy("host", "text").agg(F.any_value("words").alias("words"), F.array_sort(F.flatten(F.collect_list("at"))).alias("at"))
-    whole = cut(whole.select("host", "text", (rest >= DEPTH).alias("own")))
-    own = whole.where("own")
-    known = held.join(own, ["host", "text"], "left_semi").groupBy("host", "code", "least").agg(F.count(F.lit(1)).alias("pages")).where("pages >= least").select("host", "code", F.lit(True).alias("known"))
-    out = counts.join(known, ["host", "code"], "left").where("mostly or known").select("host", "code", F.lit(True).alias("neutral"), F.lit(False).alias("inside"))
+    whole = starts(shared, found).join(texts.select("text", "words"), "text")
+    copies = few(cut(whole.where(rest < DEPTH).select("text")))
+    own = found.join(copies, "text", "left_anti")
+    known = cut(own.join(shared, "code").groupBy("code").agg(F.max("least").alias("least"), F.count(F.lit(1)).alias("pages")).where("pages >= least").select("code"))
+    out = counts.join(known.withColumn("known", F.lit(True)), "code", "left").where("mostly or known").select("hid", "code", F.lit(True).alias("neutral"), F.lit(False).alias("inside"))
     # kinds of blocks in articles; copies do not count
-    starts = held.join(own, ["host", "text"], "left_semi").join(known, ["host", "code"], "left_semi").groupBy("host", "text").agg(F.flatten(F.collect_list("at")).alias("at"))
-    marked = texts.where("size(kind) > 0").join(whole.where("not own"), ["host", "text"], "left_anti")
-    marked = marked.select("host", "text", "words", "first", "size", "kind").join(starts, ["host", "text"], "left").select("host", "words", "at", "first", "size", "kind")
-    kinds = marked.mapInArrow(_coverage, "host string, kind long, words long, covered long, pages long").groupBy("host", "kind").agg(*[F.sum(c).alias(c) for c in ("words", "covered", "pages")])
-    kinds = kinds.join(hosts, "host").where(f"pages >= least and covered >= {NEARLY}D * words").select("host", F.col("kind").alias("code"), F.lit(False).alias("neutral"), F.lit(True).alias("inside"))
+    marked = texts.where("size(kind) > 0").join(copies, "text", "left_anti").select("text", "hid", "least", "words", "first", "size", "kind")
+    marked = marked.join(starts(few(known), own), "text", "left").select("hid", "least", "words", "at", "first", "size", "kind")
+    kinds = marked.mapInArrow(_coverage, "hid long, least double, kind long, words long, covered long, pages long").groupBy("hid", "least", "kind").agg(*[F.sum(c).alias(c) for c in ("words", "covered", "pages")])
+    kinds = kinds.where(f"pages >= least and covered >= {NEARLY}D * words").select("hid", F.col("kind").alias("code"), F.lit(False).alias("neutral"), F.lit(True).alias("inside"))
     return cut(out.unionByName(kinds))
 
 
@@ -502,9 +514,10 @@ def extract(pages: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     if listed.count() <= BROADCAST_CODES:
         codes = pages.sparkSession.sparkContext.broadcast(_codes(listed.select("code", "neutral", "inside").toArrow()))
         return pages.mapInArrow(lambda b: _texts(b, codes), schema)
-    large = cut(pages.groupBy("host").agg(F.ceil(F.sum(F.octet_length("html")) / shard_bytes).alias("shards")).where("shards > 1"))
+    pages = pages.withColumn("hid", F.xxhash64("host"))
+    large = cut(pages.groupBy("hid").agg(F.ceil(F.sum(F.octet_length("html")) / shard_bytes).alias("shards")).where("shards > 1"))
     large = F.broadcast(large) if large.count() <= BROADCAST_HOSTS else large
     deal = F.pmod(F.xxhash64("page_id", "url", "html"), F.coalesce("shards", F.lit(1))).alias("shard")
-    dealt = pages.join(large, "host", "left").select("page_id", "url", "host", deal, "html")
-    spread = listed.join(large, "host", "left").select("host", F.explode(F.expr("sequence(0L, coalesce(shards, 1L) - 1)")).alias("shard"), "code", "neutral", "inside")
-    return dealt.groupBy("host", "shard").cogroup(spread.groupBy("host", "shard")).applyInArrow(lambda t, c: _judged(t, _codes(c)), schema)
+    dealt = pages.join(large, "hid", "left").select("page_id", "url", "host", "hid", deal, "html")
+    spread = listed.join(large, "hid", "left").select("hid", F.explode(F.expr("sequence(0L, coalesce(shards, 1L) - 1)")).alias("shard"), "code", "neutral", "inside")
+    return dealt.groupBy("hid", "shard").cogroup(spread.groupBy("hid", "shard")).applyInArrow(lambda t, c: _judged(t, _codes(c)), schema)
