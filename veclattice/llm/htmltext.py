@@ -49,7 +49,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, written
 from .textcodes import U64, chunks, mix, tidied, windows, words
 
 #: Names of HTML elements, and words in class, id and role that name such containers.
@@ -456,7 +456,7 @@ def _listed(pages: DataFrame) -> DataFrame:
     texts = pages.mapInArrow(lambda b: _candidates(b, wanted), "host string, text long, words long, found array<struct<code:bigint,places:int,outside:int,at:array<int>>>, first array<int>, size array<int>, kind array<long>")
     # pages of equal text count once
     texts = texts.groupBy("host", "text").agg(F.any_value(F.struct("words", "found", "first", "size", "kind")).alias("p")).select("host", "text", "p.*")
-    texts = cut(texts)
+    texts = written(texts)  # rows of nested lists: as Parquet a fraction of a checkpoint's size
     hosts = texts.groupBy("host").agg(F.count(F.lit(1)).alias("n")).select("host", F.expr(f"cast(greatest({LEAST_PAGES}, least({ENOUGH_PAGES}, {LEAST_SHARE}D * n)) as double)").alias("least"))
     hosts = F.broadcast(hosts) if hosts.count() <= BROADCAST_HOSTS else hosts
     texts = texts.join(hosts, "host").withColumn("hid", F.xxhash64("host")).drop("host")
