@@ -29,30 +29,39 @@ def held_out(doc_id: Column) -> Column:
 def cut(df: DataFrame) -> DataFrame:
     """`df` written to the shared checkpoint folder, its lineage cut.
 
-    The folder is the session's spark.checkpoint.dir; only where that is
-    unset, as in tests on one machine, is a temporary folder set.
+    The folder is the session's spark.checkpoint.dir; where that is unset, a
+    temporary folder is set on one machine, as in tests, and a cluster refused.
     """
     _shared(df.sparkSession)
     out = df.checkpoint(eager=True)
     del df
-    # shuffle and checkpoint files of steps that nothing refers to any more go only when the driver collects garbage
-    gc.collect()
-    out.sparkSession.sparkContext._jvm.System.gc()
+    _tidy(out.sparkSession)
     return out
 
 
+def _tidy(spark: SparkSession) -> None:
+    """Shuffle and checkpoint files of steps that nothing refers to any more go only when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def written(df: DataFrame) -> DataFrame:
     """`df` written as Parquet to a new folder in the shared checkpoint folder, and read again."""
     spark = df.sparkSession
     shared = _shared(spark)
     path = f"{shared}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    schema = df.schema
+    del df
+    _tidy(spark)
+    return spark.read.schema(schema).parquet(path)
 
 
 def _shared(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
