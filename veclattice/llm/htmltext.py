@@ -75,8 +75,8 @@ SHARD_BYTES = 1 << 20
 BROADCAST_HOSTS = 50_000
 #: Codes of boilerplate that are broadcast; a longer list meets the shards in a cogroup.
 BROADCAST_CODES = 4_000_000
-#: Bits of the filter of codes that may repeat (a full filter only lets more through), and codes of a range when it is made.
-FILTER_BITS, RANGE_CODES = 28, 1 << 22
+#: Bits of the filter of codes that may repeat, as powers of two: one for a word of the input within these (a full filter only lets more through); codes of a range when it is made.
+LEAST_FILTER, MOST_FILTER, RANGE_CODES = 20, 28, 1 << 22
 
 IN_ARTICLE, NEUTRAL, BOILERPLATE = 0, 1, 2
 
@@ -366,7 +366,7 @@ def _ranges(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordB
 
 
 @tidied
-def _repeated(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+def _repeated(batches: Iterator[pa.RecordBatch], bits: int, size: int) -> Iterator[pa.RecordBatch]:
     """Each range's part of the filter: which of its codes can be boilerplate."""
     pack, opened = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
     found: dict[int, list[np.ndarray]] = {}
@@ -377,8 +377,8 @@ def _repeated(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Recor
     for name in list(found):
         low = np.sort(np.concatenate(found.pop(name)))
         often = low[LEAST_PAGES - 1 :][low[LEAST_PAGES - 1 :] == low[: len(low) - LEAST_PAGES + 1]]
-        on = np.zeros(1 << (FILTER_BITS - bits), dtype=bool)
-        on[often >> np.uint32(32 - FILTER_BITS + bits)] = True
+        on = np.zeros(1 << (size - bits), dtype=bool)
+        on[often >> np.uint32(32 - size + bits)] = True
         yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([pack.compress(np.packbits(on).tobytes())], pa.binary())], ["name", "body"])
 
 
@@ -386,9 +386,10 @@ def _repeated(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Recor
 def _candidates(batches: Iterator[pa.RecordBatch], wanted) -> Iterator[pa.RecordBatch]:
     """Of each page the runs that the filter lets through: the code of each with its places, those in containers and its starts."""
     bits = wanted.value
+    size = (8 * len(bits)).bit_length() - 1
     for hosts, pages in _pages_of(batches):
         r = runs(pages, hosts)
-        cell = (r.code >> U64(64 - FILTER_BITS)).astype(np.int64)
+        cell = (r.code >> U64(64 - size)).astype(np.int64)
         on = np.flatnonzero(bits[cell >> 3] >> (7 - (cell & 7)) & 1)
         on = on[np.lexsort((r.word[on], r.code[on], r.page[on]))]
         page, code = r.page[on], r.code[on]
@@ -448,8 +449,9 @@ def _listed(pages: DataFrame) -> DataFrame:
     (total,) = pages.agg(F.sum(F.octet_length("html"))).first()
     bits = int(np.clip(np.ceil(np.log2((total or 0) / 6 / RANGE_CODES + 1)), 6, 14))
     packed = pages.mapInArrow(lambda b: _ranges(b, bits), "name long, body binary").repartition("name")
-    on = np.zeros((1 << bits, 1 << (FILTER_BITS - 3 - bits)), dtype=np.uint8)
-    for name, body in packed.mapInArrow(lambda b: _repeated(b, bits), "name long, body binary").collect():  # bounded: 2**FILTER_BITS bits
+    size = int(np.clip(np.ceil(np.log2((total or 0) / 6 + 1)), LEAST_FILTER, MOST_FILTER))
+    on = np.zeros((1 << bits, 1 << (size - 3 - bits)), dtype=np.uint8)
+    for name, body in packed.mapInArrow(lambda b: _repeated(b, bits, size), "name long, body binary").collect():  # bounded: 2**MOST_FILTER bits
         on[name] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(body)), dtype=np.uint8)
     del packed
     wanted = spark.sparkContext.broadcast(on.ravel())
