@@ -90,11 +90,65 @@ def test_decontamination(spark):
     assert got == {(1, 0): 13, (2, 0): 11, (4, 0): 13, (6, 0): 13, (7, 1): 5}
     kept = decontaminate.decontaminate(d, items)
     assert sorted(r[0] for r in kept.collect()) == [3, 5, 8, 9, 10]
-    # the masks miss no window with three substitutions
+
+
+def test_seeds_miss_nothing():
     import itertools
 
-    for out in itertools.combinations(range(13), 3):
-        assert any(all(a + o not in out for o in m) for m in decontaminate.MASKS for a in range(13 - m[-1]))
+    for w in range(6, 14):
+        if w == 13:
+            seeds = [{a + o for o in m} for m in decontaminate.MASKS for a in range(13 - m[-1])]
+        else:
+            mask, places = next(v for most, v in decontaminate.MIDDLE.items() if w <= most)
+            seeds = [{a + o for o in mask} for a in places]
+        assert all(max(x) < w for x in seeds)
+        for out in itertools.combinations(range(w), 3 * w // 13):
+            assert any(not x & set(out) for x in seeds), (w, out)
+
+
+def brute_overlaps(docs, items):
+    token = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    out = {}
+    for i, t in docs:
+        h = token(t)
+        for k, x in items:
+            g = token(x)
+            w = min(13, len(g))
+            if w < 3:
+                continue
+            for first in range(-len(g), len(h)):
+                same = [0 <= first + j < len(h) and h[first + j] == g[j] for j in range(len(g))]
+                best = max(sum(same[s : s + w]) for s in range(len(g) - w + 1))
+                if best >= w - 3 * w // 13 and (w > 5 or best == w):
+                    old = out.get((i, k), (0, w, first))
+                    out[i, k] = (max(best, old[0]), w, min(first, old[2]))
+    return out
+
+
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_decontamination_brute(spark, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", most)
+    r = random.Random(13)
+    make = lambda n: [r.choice("abcdefghijklmnopqrstuvwxyz") + r.choice("aeiou") for _ in range(n)]
+    items = [(n, make(n)) for n in [*range(1, 20), 40]]
+    docs = []
+    for n, x in items * 3:
+        y = list(x)
+        for k in r.sample(range(n), min(n, r.randint(0, 4))):
+            y[k] = "q9"
+        docs.append((len(docs), " ".join(make(r.randint(0, 5)) + y + make(r.randint(0, 5)))))
+    docs += [(900, " ".join(make(20_000) + items[-1][1] + make(30))), (901, None), (901, ""), (5, docs[5][1])]
+    items = [(i, " ".join(x)) for i, x in items] + [(99, None), (3, " ".join(make(14)))]
+    want = brute_overlaps([d for d in docs if d[0] != 900], items)
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("seed", F.lit(1)).withColumn("bad", F.lit(1)).withColumn("key", F.lit(2)).withColumn("doc", F.lit(3))
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]): (x["matched"], x["window"], x["first_token"]) for x in decontaminate.overlaps(d, b).collect()}
+    assert got[900, 40] == (13, 13, 20_000)
+    plain = {k: v for k, v in got.items() if k[0] != 900}
+    # one item_id stands for two texts: their windows are one
+    assert {k: v for k, v in plain.items() if k[1] != 3} == {k: v for k, v in want.items() if k[1] != 3} and {k for k in plain if k[1] == 3} == {k for k in want if k[1] == 3}
+    kept = decontaminate.decontaminate(d, b)
+    assert kept.columns == d.columns and {x["doc_id"] for x in kept.collect()} == {i for i, _ in docs} - {i for i, _ in got}
 
 
 def test_decontamination_shuffled(spark, monkeypatch):

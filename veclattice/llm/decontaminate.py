@@ -5,14 +5,18 @@ Every position of every document is hashed under every mask and joined with
 the seeds of the benchmark items.  Around each hit the two texts are compared
 position by position: a document overlaps an item if some window of `WINDOW`
 aligned tokens (the whole item, where shorter) differs in at most
-TOLERATED of 13 of its tokens.  The masks are such that every window of 13
-tokens with at most three substituted ones contains an intact seed, so no
-overlap is missed.
+TOLERATED of 13 of its tokens.  The masks are such that every window with so
+many tokens substituted, wherever they stand, contains an intact seed: three
+masks at every position of items of 13 tokens and more, and for shorter items
+interleaved seeds that share no token, one more than substitutions are
+tolerated.  So no overlap is missed.
 
 Tokens are runs of letters and digits, lower-cased.  All of it is built-in
 functions: positions are exploded, hashed and probed inside one generated
 stage, and neither texts nor their tokens are shuffled unless the benchmark
-outgrows BROADCAST_SEEDS, when the join shuffles instead.
+outgrows BROADCAST_SEEDS.  Then seeds and positions meet in a shuffled join,
+and hits fetch the tokens around them from the documents' codes, cut into
+segments, so no document's whole array is ever copied.
 
 Defined results: null and empty texts and items overlap nothing; items of 3
 to 5 tokens overlap only as they stand, shorter ones never; repeated rows give
@@ -27,9 +31,13 @@ from pyspark.sql import functions as F
 
 MASKS = ((0, 1, 2, 4, 5), (0, 1, 6, 8, 9), (0, 1, 3, 4, 5))
 WINDOW, TOLERATED = 13, 3
-#: Items too short for a mask are seeds as a whole.
+#: Items of so many tokens are seeds as a whole; of those up to the next numbers, a mask and the places at which it stands.
 SHORT = (3, 4, 5)
-BROADCAST_SEEDS = 500_000
+MIDDLE = {8: ((0, 2, 4), (0, 1)), 12: ((0, 3, 6), (0, 1, 2))}
+#: Seeds that are broadcast, each with 25 codes: at most 30 MB.
+BROADCAST_SEEDS = 100_000
+#: Tokens of a segment of a document's codes.
+SEGMENT = 64
 
 TOKEN = r"[\p{L}\p{N}]+"
 
@@ -49,36 +57,44 @@ def hash_of(mask: tuple[int, ...]) -> int:
 
 
 def seeds(items: DataFrame, masks: tuple[tuple[int, ...], ...] = MASKS) -> DataFrame:
-    """seed, item_id, j (its place in the item), the token codes around it and the tokens of a window."""
+    """seed, item_id, item (a hash of its tokens), j (its place in the item), the token codes around it and the tokens of a window."""
     rows = items.where("text is not null").select("item_id", _codes("text").alias("g")).where(f"size(g) >= {min(SHORT)}")
     parts = []
+    at = rows.where(f"size(g) > {max(MIDDLE)}")
     for mask in masks:
-        at = rows.where(f"size(g) > {mask[-1]} and size(g) > {max(SHORT)}")
         parts.append(at.select("item_id", "g", F.expr(f"explode(sequence(0, size(g) - {mask[-1] + 1}))").alias("j")).select(F.expr(_seed("g", "j", mask)).alias("seed"), "item_id", "j", "g"))
+    least = max(SHORT)
+    for most, (mask, places) in MIDDLE.items():
+        at = rows.where(f"size(g) > {least} and size(g) <= {most}").select("item_id", "g", F.explode(F.array(*map(F.lit, places))).alias("j"))
+        parts.append(at.select(F.expr(_seed("g", "j", mask)).alias("seed"), "item_id", "j", "g"))
+        least = most
     for n in SHORT:
         parts.append(rows.where(f"size(g) = {n}").select(F.expr(_seed("g", "0", tuple(range(n)))).alias("seed"), "item_id", F.lit(0).alias("j"), "g"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     around = F.expr(f"transform(sequence({1 - WINDOW}, {WINDOW - 1}), d -> get(g, j + d))")
-    return out.select("seed", "item_id", "j", around.alias("around"), F.least(F.lit(WINDOW), F.size("g")).alias("w"))
+    return out.select("seed", "item_id", F.xxhash64("g").alias("item"), "j", around.alias("around"), F.least(F.lit(WINDOW), F.size("g")).alias("w"))
 
 
 def overlaps(docs: DataFrame, items: DataFrame, masks: tuple[tuple[int, ...], ...] = MASKS) -> DataFrame:
     """doc_id, item_id, matched (equal tokens of the best window), window (its tokens) and first_token (where the item would begin, at its first place)."""
     wanted = seeds(items, masks)
     # small benchmarks are broadcast, by count; others meet the documents in a shuffled join
-    n, short = wanted.agg(F.count(F.lit(1)), F.min("w")).first()
-    kinds = [*masks, *(tuple(range(k)) for k in SHORT if short is not None and short <= k)]
-    at = docs.select("doc_id", _codes("text").alias("h"))
-    at = at.select("doc_id", "h", F.explode(F.expr("case when size(h) > 0 then sequence(0, size(h) - 1) end")).alias("i"))
-    at = at.select("doc_id", "h", "i", F.explode(F.array(*[F.expr(_seed("h", "i", m)) for m in kinds])).alias("seed"))
-    hits = at.join(F.broadcast(wanted) if n <= BROADCAST_SEEDS else wanted, "seed")
-    # Only the tokens around a hit leave the generated stage, never a document's whole array.  That `near`
-    # is read twice keeps the two projections apart, of which the second is not generated code.
+    n, short, long_ = wanted.agg(F.count(F.lit(1)), F.min("w"), F.max("w")).first()
+    kinds = _kinds(short or 0, long_ or 0, masks)
     r = WINDOW - 1
-    near = F.expr(f"slice(h, greatest(i - {r}, 0) + 1, {2 * r + 1})")
-    hits = hits.select("doc_id", "item_id", "w", "around", (F.col("i") - F.col("j")).alias("first"), F.least("i", F.lit(r)).alias("lead"), near.alias("near"))
+    at = docs.select("doc_id", _codes("text").alias("h"))
+    if n <= BROADCAST_SEEDS:
+        at = at.select("doc_id", "h", F.explode(F.expr("case when size(h) > 0 then sequence(0, size(h) - 1) end")).alias("i"))
+        at = at.select("doc_id", "h", "i", F.explode(F.array(*[F.expr(_seed("h", "i", m)) for m in kinds])).alias("seed"))
+        hits = at.join(F.broadcast(wanted), "seed")
+        # Only the tokens around a hit leave the generated stage, never a document's whole array.  That `near`
+        # is read twice keeps the two projections apart, of which the second is not generated code.
+        near = F.expr(f"slice(h, greatest(i - {r}, 0) + 1, {2 * r + 1})")
+        hits = hits.select("doc_id", "item_id", "w", "around", (F.col("i") - F.col("j")).alias("first"), F.least("i", F.lit(r)).alias("lead"), near.alias("near"))
+    else:
+        hits = _shuffled_hits(docs, wanted, kinds)
     same = f"if(size(near) > 0, transform(around, (g, k) -> if(coalesce(get(near, k - {r} + lead) = g, false), 1, 0)), null)"
     best = f"array_max(transform(sequence(1, {2 * r + 2} - w), s -> aggregate(slice(same, s, w), 0, (a, x) -> a + x)))"
     hits = hits.select("doc_id", "item_id", "w", "first", F.expr(same).alias("same")).select("doc_id", "item_id", "w", "first", F.expr(best).alias("best"))
@@ -88,28 +104,48 @@ def overlaps(docs: DataFrame, items: DataFrame, masks: tuple[tuple[int, ...], ..
     return hits.groupBy("doc_id", "item_id").agg(*sums).where("matched is not null")
 
 
+def _kinds(shortest: int, longest: int, masks: tuple[tuple[int, ...], ...]) -> list[tuple[int, ...]]:
+    """The masks that items of such lengths need."""
+    kinds = [*masks] if longest >= WINDOW else []
+    kinds += [mask for most, (mask, _) in MIDDLE.items() if shortest <= most]
+    return kinds + [tuple(range(k)) for k in SHORT if shortest <= k] or [*masks]
+
+
+def _shuffled_hits(docs: DataFrame, wanted: DataFrame, kinds: list[tuple[int, ...]]) -> DataFrame:
+    """The hits with the tokens around them, from a shuffled join of positions and seeds by seed alone."""
+    r = WINDOW - 1
+    # rows of one doc_id and text are one
+    rows = docs.select("doc_id", F.xxhash64("text").alias("name"), _codes("text").alias("h"))
+    at = rows.select("doc_id", "name", "h", F.explode(F.expr("case when size(h) > 0 then sequence(0, size(h) - 1) end")).alias("i"))
+    at = at.select("doc_id", "name", "i", F.explode(F.array(*[F.expr(_seed("h", "i", m)) for m in kinds])).alias("seed"))
+    hits = at.join(wanted.select("seed", "item_id", "item", "j"), "seed").drop("seed").distinct().withColumn("s", F.expr(f"i div {SEGMENT}"))
+    parts = rows.select("doc_id", "name", "h", F.explode(F.expr(f"case when size(h) > 0 then sequence(0, (size(h) - 1) div {SEGMENT}) end")).alias("s"))
+    start = f"greatest(cast(s as int) * {SEGMENT} - {r}, 0)"
+    parts = parts.select("doc_id", "name", "s", F.expr(f"slice(h, {start} + 1, {SEGMENT + 2 * r})").alias("part")).dropDuplicates(["doc_id", "name", "s"])
+    hits = hits.alias("x").join(parts.alias("y"), F.expr("x.doc_id <=> y.doc_id and x.name = y.name and x.s = y.s")).select("x.*", "y.part")
+    near = F.expr(f"slice(part, greatest(i - {r}, 0) - {start} + 1, {2 * r + 1})")
+    hits = hits.select("doc_id", "item_id", "item", "j", (F.col("i") - F.col("j")).alias("first"), F.least("i", F.lit(r)).alias("lead"), near.alias("near"))
+    around = wanted.select("item", "j", "w", "around").dropDuplicates(["item", "j"])
+    return hits.join(around, ["item", "j"]).select("doc_id", "item_id", "w", "around", "first", "lead", "near")
+
+
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without the rows whose doc_id overlaps an item; rows without a doc_id are held by their text."""
     key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
-    bad = overlaps(docs.select(key.alias("doc_id"), "text"), items).select(F.col("doc_id").alias("__overlapping")).distinct()
-    return docs.join(bad, key == F.col("__overlapping"), "left_anti").select(*docs.columns)
-
-
-def oracle(masks: tuple[tuple[int, ...], ...] = MASKS) -> str:
-    """The overlaps in DuckDB's SQL, with seeds as strings."""
-    key = lambda t, at, m: "concat_ws(' ', " + ", ".join([f"'{hash_of(m)}'", *(f"coalesce({t}[{at} + {o + 1}], '')" for o in m)]) + ")"
-    ours = " UNION ALL ".join(
-        [f"SELECT item_id, g, j, {key('g', 'j', m)} AS seed FROM (SELECT item_id, g, unnest(range(0, len(g) - {m[-1]})) AS j FROM b WHERE len(g) > {max(m[-1], max(SHORT))})" for m in masks]
-        + [f"SELECT item_id, g, 0 AS j, {key('g', '0', tuple(range(n)))} AS seed FROM b WHERE len(g) = {n}" for n in SHORT]
-    )
-    kinds = [*masks, *(tuple(range(n)) for n in SHORT)]
-    theirs = " UNION ALL ".join(f"SELECT doc_id, h, i, {key('h', 'i', m)} AS seed FROM p" for m in kinds)
+    bad = overlaps(docs.select(key.alias("doc_id"), "text"), items).select(F.col("doc_id").alias("bad")).distinct()
+    # the columns travel together, so that none of them clashes
+    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), key.alias("key")).join(bad, F.col("key") == F.col("bad"), "left_anti")
+    return kept.select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
+
+
+def oracle() -> str:
+    """The overlaps in DuckDB's SQL, without seeds: all alignments on which enough tokens are equal."""
     return f"""WITH b AS (SELECT item_id, regexp_extract_all(lower(text), '{TOKEN}') AS g FROM benchmark WHERE text IS NOT NULL),
 d AS (SELECT doc_id, regexp_extract_all(lower(text), '{TOKEN}') AS h FROM documents WHERE text IS NOT NULL),
-p AS (SELECT doc_id, h, unnest(range(0, len(h))) AS i FROM d),
-hits AS (SELECT DISTINCT x.doc_id, x.h, y.item_id, y.g, x.i - y.j AS first FROM ({theirs}) x JOIN ({ours}) y ON x.seed = y.seed),
-flags AS (SELECT doc_id, item_id, first, least({WINDOW}, len(g)) AS w,
-  list_transform(range(0, len(g)), lambda k: CASE WHEN first + k >= 0 AND h[first + k + 1] = g[k + 1] THEN 1 ELSE 0 END) AS same FROM hits),
-bests AS (SELECT doc_id, item_id, first, w, list_max(list_transform(range(1, len(same) - w + 2), lambda s: list_sum(same[s:s + w - 1]))) AS best FROM flags)
+x AS (SELECT doc_id, i, h[i + 1] AS t FROM d, unnest(range(0, len(h))) u(i)),
+y AS (SELECT item_id, j, g[j + 1] AS t, least({WINDOW}, len(g)) AS w, len(g) AS n FROM b, unnest(range(0, len(g))) u(j) WHERE len(g) >= {min(SHORT)}),
+l AS (SELECT doc_id, item_id, i - j AS first, any_value(w) AS w, any_value(n) AS n, list(DISTINCT j) AS js FROM x JOIN y ON x.t = y.t
+  GROUP BY doc_id, item_id, i - j HAVING count(DISTINCT j) >= any_value(w) - floor({TOLERATED} * any_value(w) / {WINDOW})),
+bests AS (SELECT doc_id, item_id, first, w, list_max(list_transform(range(0, n - w + 1), lambda s: len(list_filter(js, lambda j: j >= s AND j < s + w)))) AS best FROM l)
 SELECT doc_id, item_id, max(best)::BIGINT AS matched, max(w)::BIGINT AS "window", min(first)::BIGINT AS first_token
 FROM bests WHERE best >= w - floor({TOLERATED} * w / {WINDOW}) AND (w > {max(SHORT)} OR best = w) GROUP BY doc_id, item_id"""
