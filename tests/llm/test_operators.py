@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -240,11 +241,29 @@ def test_mix_hot(spark):
         assert abs(taken - target) < 3 and most - least <= 3
 
 
-def test_targets():
-    t = mixing.targets({"b": 100, "a": 100, None: 100})
-    assert t == {"a": 200.0, "b": pytest.approx(250 / 3), None: pytest.approx(500 / 3)}
-    assert mixing.targets({"a": 0, "b": 10}) == {"a": 0.0, "b": 15.0}
-    assert mixing.targets({}) == {}
+def brute_targets(sizes, weights=(3, 1, 2)):
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % 3] for i, s in enumerate(names)}
+    budget, free, held, out = Fraction(3, 2) * sum(sizes.values()), set(names), Fraction(0), {}
+    while free:
+        each = (budget - held) / sum(weight[s] for s in free)
+        above = {s for s in free if each * weight[s] > 2 * sizes[s]} or set()
+        for s in above or free:
+            out[s] = Fraction(2 * sizes[s]) if above else each * weight[s]
+        held += sum(out[s] for s in above)
+        free = free - above if above else set()
+    return {s: float(t) for s, t in out.items()}
+
+
+def test_targets(spark, monkeypatch):
+    r = random.Random(14)
+    many = {f"s{i}" + "é" * (i % 3): r.choice([0, 1, 10, 1000, 10**6]) for i in range(300)} | {None: 5, "": 7}
+    for sizes in ({"b": 100, "a": 100, None: 100}, {"a": 0, "b": 10}, {}, {"a": 0}, many):
+        got = mixing.targets(spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, source_size long"))
+        assert {x["source"]: x["target"] for x in got.collect()} == brute_targets(sizes)
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    d = spark.createDataFrame([(1, "a b", "x"), (2, "c", None), (2, "c", None)], "doc_id long, text string, source string")
+    assert sum(x["taken"] for x in mixing.mix(d).collect()) > 0
 
 
 def test_knapsack():
@@ -263,6 +282,29 @@ def test_knapsack():
         assert all(0 <= t <= c for t, c in zip(full, counts, strict=True)) and sum(t * n for t, n in zip(full, lengths, strict=True)) <= budget
 
 
+def test_fill_long_documents(monkeypatch):
+    total = lambda lengths, take: sum(n * t for n, t in zip(lengths, take, strict=True))
+    assert total([110000, 120000, 126000], mixing.fill([110000, 120000, 126000], [3, 2, 1], 451910)) == 450000
+    r = random.Random(15)
+    for _ in range(20):
+        lengths = sorted(r.sample(range(66_000, 140_000), r.randint(1, 5)))
+        counts = [r.randint(1, 3) for _ in lengths]
+        budget = r.randint(60_000, 900_000)
+        take = mixing.fill(lengths, counts, budget)
+        sums = {0}
+        for n, c in zip(lengths, counts, strict=True):
+            sums = {x + k * n for x in sums for k in range(c + 1)}
+        assert all(0 <= t <= c for t, c in zip(take, counts, strict=True)) and total(lengths, take) == max(x for x in sums if x <= budget)
+    # a rest above the cells is fitted in larger units first
+    monkeypatch.setattr(mixing, "CELLS", 1 << 10)
+    for _ in range(50):
+        lengths = sorted({*r.sample(range(1, 3000), 30), 1})
+        counts = [r.randint(1, 50) for _ in lengths]
+        budget = r.randint(1, sum(n * c for n, c in zip(lengths, counts, strict=True)))
+        take = mixing.fill(lengths, counts, budget)
+        assert all(0 <= t <= c for t, c in zip(take, counts, strict=True)) and 0 <= budget - total(lengths, take) < 500
+
+
 # -- 4
 
 
