@@ -190,6 +190,16 @@ def test_secrets(spark, odd):
         assert r["spans"] == "" and r["base_sha256"] == hashlib.sha256(b"").hexdigest()
 
 
+def test_many_secrets(spark):
+    r = random.Random(16)
+    text = " ".join(r.choice(["token=abcdef0123456789abcdef0123", "é\U0001f600", "word", "AKIA" + "Q" * 16]) for _ in range(100_000)) + " end"
+    d = spark.createDataFrame([(1, text), (2, "é secret=abcdefgh tail")], "doc_id long, text string").withColumn("folded", F.lit(1)).withColumn("m0", F.lit(2))
+    got = {x["doc_id"]: x["found"] for x in secrets.scan(d).collect()}
+    assert [tuple(x) for x in got[1]] == brute_secrets(text) and len(got[1]) > 60_000
+    new = {x["doc_id"]: x["text"] for x in secrets.redact(d).collect()}
+    assert new == {1: re.sub(r"token=[0-9a-f]+|AKIAQ+", "[secret]", text), 2: "é [secret] tail"}
+
+
 def test_secret_queries():
     assert secrets.trigram_query(r"[0-9a-f]{24,}") is None
     assert secrets.trigram_query(r"AKIA[A-Z0-9]{16,}") == frozenset({frozenset({"aki", "kia"})})

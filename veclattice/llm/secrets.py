@@ -2,11 +2,14 @@
 
 A Boolean trigram query is derived from each rule's regular expression: every
 string that the rule matches has all trigrams of one of the query's
-alternatives.  The index holds, for the trigrams that queries ask for, the
-rows that contain them (folded to lower case).  Postings are intersected by
-row, the rows that satisfy a rule's query are its candidates, and only those
-are verified with the expression itself.  Rules without mandatory trigrams
-scan every row.  All of it runs in built-in SQL functions.
+alternatives.  The index is a bitmap index: for each trigram that queries ask
+for, the posting is one bit of every row (texts folded to lower case), kept
+beside the row, so that postings of a query are intersected and united bit by
+bit where the text lies and nothing is shuffled.  The rows that satisfy a
+rule's query are its candidates, and only those are verified with the
+expression itself.  Rules without mandatory trigrams scan every row.  All of
+it runs in built-in SQL functions; spans are put together in blocks, in time
+proportional to their number.
 
 Defined results: null and empty texts have no spans; repeated rows each get
 their row; a match shorter than its rule's least length is dropped, the text
@@ -127,54 +130,60 @@ def trigram_query(pattern: str) -> Query:
 
 
 _BITS = 60
-
-
-def _candidates(rows: DataFrame, queries: dict[str, Query]) -> DataFrame:
-    """row and, for each indexed rule, whether its query holds; rows for which none holds are absent."""
-    trigrams = sorted({t for q in queries.values() for alternative in q for t in alternative})
-    folded = F.lower("text")
-    has = F.filter(F.array(*[F.when(F.contains("folded", F.lit(t)), F.lit(i)) for i, t in enumerate(trigrams)]), lambda x: x.isNotNull())
-    index = rows.select("row", folded.alias("folded")).select("row", F.explode(has).alias("trigram"))
-    words = range(-(-len(trigrams) // _BITS))
-    here = [F.when(F.col("trigram").between(w * _BITS, w * _BITS + _BITS - 1), F.expr(f"shiftleft(1L, trigram - {w * _BITS})")).otherwise(F.lit(0).cast("long")) for w in words]
-    postings = index.groupBy("row").agg(*[F.bit_or(x).alias(f"m{w}") for w, x in zip(words, here, strict=True)])
-
-    def holds(query: Query) -> Column:
-        out = F.lit(False)
-        for alternative in sorted(map(sorted, query)):
-            all_of = F.lit(True)
-            for w in words:
-                mask = sum(1 << (i - w * _BITS) for i, t in enumerate(trigrams) if t in alternative and i // _BITS == w)
-                if mask:
-                    all_of = all_of & (F.col(f"m{w}").bitwiseAND(mask) == mask)
-            out = out | all_of
-        return out
-
-    flags = postings.select("row", *[holds(q).alias(f"is_{k}") for k, q in queries.items()])
-    return flags.where(" or ".join(f"is_{k}" for k in queries))
+#: Values of a block when running sums are made.
+_BLOCK = 256
+
+
+def _postings(trigrams: list[str]) -> dict[str, Column]:
+    """The bits of a row: word w holds those of trigrams w * _BITS and on."""
+    words: dict[str, Column] = {}
+    for i, t in enumerate(trigrams):
+        bit = F.when(F.contains("folded", F.lit(t)), F.lit(1 << i % _BITS)).otherwise(F.lit(0)).cast("long")
+        name = f"m{i // _BITS}"
+        words[name] = words[name].bitwiseOR(bit) if name in words else bit
+    return words
+
+
+def _holds(query: Query, trigrams: list[str]) -> Column:
+    """Whether a row is in the postings of all trigrams of one of the query's alternatives."""
+    out = F.lit(False)
+    for alternative in sorted(map(sorted, query)):
+        all_of = F.lit(True)
+        for w in range(-(-len(trigrams) // _BITS)):
+            mask = sum(1 << i % _BITS for i, t in enumerate(trigrams) if t in alternative and i // _BITS == w)
+            if mask:
+                all_of = all_of & (F.col(f"m{w}").bitwiseAND(mask) == mask)
+        out = out | all_of
+    return F.coalesce(out, F.lit(False))
+
+
+def _running(values: str, step: str) -> str:
+    """Running results of step({0}, {1}), an associative expression with 0 as its neutral element, over an array of bigint."""
+    blocks = f"sequence(0, (size(values) - 1) div {_BLOCK})"
+    part = f"slice(values, b * {_BLOCK} + 1, {_BLOCK})"
+    sums = f"transform({blocks}, b -> aggregate({part}, 0L, (a, x) -> {step.format('a', 'x')}))"
+    start = f"aggregate(slice(sums, 1, b), 0L, (a, x) -> {step.format('a', 'x')})"
+    after = step.format("acc.at", "x")
+    inside = f"aggregate({part}, named_struct('at', {start}, 'out', cast(array() as array<bigint>)), (acc, x) -> named_struct('at', {after}, 'out', concat(acc.out, array({after}))), acc -> acc.out)"
+    return f"transform(array({values}), values -> transform(array({sums}), sums -> flatten(transform({blocks}, b -> {inside})))[0])[0]"
 
 
 def _spans(rule: Rule, order: int) -> Column:
     """Spans of one rule from the matches, the measured groups and the pieces between matches."""
     k = rule.kind
-    step = f"""aggregate(sequence(0, size(m_{k}) - 1),
-      named_struct('at', 0L, 'out', cast(array() as array<struct<start:bigint,rank:int,end:bigint,kind:string>>)),
-      (acc, i) -> named_struct(
-        'at', acc.at + length(p_{k}[i]) + length(m_{k}[i]),
-        'out', if(length(g_{k}[i]) >= {rule.least},
-          concat(acc.out, array(named_struct('start', acc.at + length(p_{k}[i]), 'rank', {order}, 'end', acc.at + length(p_{k}[i]) + length(m_{k}[i]), 'kind', '{k}'))),
-          acc.out)),
-      acc -> acc.out)"""
+    ends = _running(f"transform(m_{k}, (x, i) -> cast(length(p_{k}[i]) + length(x) as bigint))", "{0} + {1}")
+    span = f"if(length(g_{k}[i]) >= {rule.least}, named_struct('start', e - length(m_{k}[i]), 'rank', {order}, 'end', e, 'kind', '{k}'), null)"
     none = "cast(array() as array<struct<start:bigint,rank:int,end:bigint,kind:string>>)"
-    return F.expr(f"if(size(m_{k}) > 0, {step}, {none})")
+    return F.expr(f"if(size(m_{k}) > 0, filter(transform({ends}, (e, i) -> {span}), x -> x is not null), {none})")
 
 
 def _scanned(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """doc (the other columns of docs, whatever they are called), text and found of every row."""
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern)) is not None}
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("doc"), "text", F.xxhash64("doc_id", "text").alias("row"))
-    # candidates may be any share of the rows; texts meet them by row and are never broadcast
-    joined = rows.join(_candidates(rows.where("text is not null"), queries), "row", "left") if queries else rows
+    trigrams = sorted({t for q in queries.values() for alternative in q for t in alternative})
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("doc"), "text")
+    indexed = rows.withColumn("folded", F.lower("text")).select("doc", "text", *[x.alias(n) for n, x in _postings(trigrams).items()])
+    joined = indexed.select("doc", "text", *[_holds(q, trigrams).alias(f"is_{k}") for k, q in queries.items()])
     columns = []
     for r in rules:
         pattern = F.lit(r.pattern)
@@ -205,12 +214,10 @@ def digest(scanned: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with every span, overlapping ones merged, replaced in text, and n_chars, if there, as of the new text."""
-    new = F.expr(
-        """if(size(found) = 0, text, aggregate(found, named_struct('at', 0L, 'out', ''),
-          (acc, x) -> named_struct('at', greatest(acc.at, x.end),
-            'out', if(x.start >= acc.at, concat(acc.out, substring(text, cast(acc.at + 1 as int), cast(x.start - acc.at as int)), '[secret]'), acc.out)),
-          acc -> concat(acc.out, substring(text, cast(acc.at + 1 as int)))))"""
-    )
+    upto = _running("transform(found, x -> x.end)", "greatest({0}, {1})")
+    piece = "if(x.start >= before[i], concat(array_join(slice(chars, cast(before[i] + 1 as int), cast(x.start - before[i] as int)), ''), '[secret]'), '')"
+    whole = f"concat(array_join(transform(found, (x, i) -> {piece}), ''), array_join(slice(chars, cast(upto[size(upto) - 1] + 1 as int), size(chars)), ''))"
+    new = F.expr(f"if(size(found) = 0, text, transform(array(regexp_extract_all(text, '(?s).', 0)), chars -> transform(array({upto}), upto -> transform(array(concat(array(0L), upto)), before -> {whole})[0])[0])[0])")
     rows = _scanned(docs, rules).select("doc", new.alias("new"))
     columns = {c: F.col("new") if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns}
     if "n_chars" in columns:
