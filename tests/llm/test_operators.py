@@ -383,6 +383,21 @@ def test_language(spark, odd, none):
     assert {r["lang_pred"] for r in langid.identify(odd, model).collect()} == {"und"}
 
 
+def test_long_words():
+    r = random.Random(17)
+    make = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    model = langid.train([(make("äüöß", 3000), "a") for _ in range(20)] + [(make("漢字仮名", 3000), "b") for _ in range(20)])
+    # only the middle tells; first and last characters are of the other language
+    texts = textcodes.plain(pa.array([make("äüöß", 40) + make("漢字仮名", 500) + make("äüöß", 40), "ä" * 25 + " \u0130" * 3, None, "漢" * 24]))
+    langs, score = langid.classify(texts, 0, 4, model)
+    assert langs == ["b", "a", "und", "b"] and 0.8 < score[0] < 0.95
+    w = langid._pieces(textcodes.words(texts))
+    raw = w.data.tobytes()
+    got = [[raw[w.begin[k] : w.end[k]].decode() for k in range(w.first[d], w.first[d + 1])] for d in range(4)]
+    want = [[x[i : i + 24] for x in words(t) for i in range(0, len(x), 24)] for t in texts.to_pylist()]
+    assert got == want and (w.code[w.first[1]] == textcodes.words(textcodes.plain(pa.array(["ä" * 24]))).code).all()
+
+
 def test_code_switching():
     r = random.Random(6)
     de, es = ["ung", "keit", "schen", "über"], ["ción", "dad", "ñar", "llo"]

@@ -8,8 +8,13 @@ of different languages together, with the gradient from forward-backward.
 Labelling runs forward-backward over the whole text; a document's language is
 the one with the greatest sum of word posteriors.
 
+Words of more than LONGEST characters (text without blanks, such as Chinese or
+Thai, or a url) are labelled in pieces of that length, each a link of the
+chain, so every character counts.
+
 The model is fitted on a bounded sample: at most `per_language` documents of
-each language, `words_each` words of each (parameters below).  Forward-backward
+each language, `words_each` words of each (parameters below), from which
+SEQUENCES strings of SEQUENCE_WORDS words are drawn.  Forward-backward
 is exact for any length: pieces of a text are reduced to transfer matrices,
 which are multiplied along the text.
 
@@ -30,12 +35,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import held_out, learnable
-from .textcodes import chunks, plain, tidied, words
+from .textcodes import Words, byte_codes, chunks, plain, tidied, words
 
 PER_LANGUAGE, WORDS_EACH = 500, 300
-HASH_BITS, WIDTH = 17, 26
+LONGEST = 24
+HASH_BITS, WIDTH = 17, LONGEST + 2
 PIECE = 32
-_LENGTH, _SEQUENCES, _EPOCHS = 64, 3000, 6
+SEQUENCE_WORDS, SEQUENCES, _EPOCHS = 64, 3000, 6
 
 
 class Model(NamedTuple):
@@ -49,9 +55,34 @@ def _slots(x: np.ndarray, kind: int) -> np.ndarray:
     return ((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - HASH_BITS)).astype(np.int32)
 
 
+def _lower(word: str) -> str:
+    """In lower case, of the same length."""
+    return word.replace("\u0130", "i").lower()
+
+
+def _pieces(w: Words) -> Words:
+    """Words with those of more than LONGEST characters cut into pieces."""
+    long_ = np.flatnonzero(w.end - w.begin > LONGEST)
+    cuts: dict[int, np.ndarray] = {}
+    for k in long_.tolist():
+        starts = np.flatnonzero((w.data[w.begin[k] : w.end[k]] & 0xC0) != 0x80)  # first bytes of characters
+        if len(starts) > LONGEST:
+            cuts[k] = w.begin[k] + starts[::LONGEST]
+    if not cuts:
+        return w
+    count = np.ones(len(w.begin), dtype=np.int64)
+    count[list(cuts)] = [len(x) for x in cuts.values()]
+    upto = np.concatenate([[0], np.cumsum(count)])
+    begin, end = np.repeat(w.begin, count), np.repeat(w.end, count)
+    for k, x in cuts.items():
+        begin[upto[k] : upto[k + 1]] = x
+        end[upto[k] : upto[k + 1] - 1] = x[1:]
+    return Words(w.data, begin, end, upto[w.first], byte_codes(w.data, begin, end))
+
+
 def features(vocabulary: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(word, slot) pairs, one feature kind and place at a time; words without a letter have none."""
-    short = ["^" + (v if len(v) <= WIDTH - 2 else v[: WIDTH // 2 - 1] + v[1 - WIDTH // 2 :]) + "$" for v in vocabulary]
+    short = [f"^{v}$" for v in vocabulary]
     c = np.array(short, dtype=f"U{WIDTH}").view(np.uint32).reshape(len(short), WIDTH).astype(np.uint64)
     n = (c > 0).sum(1)
     row = np.flatnonzero([any(map(str.isalpha, v)) for v in vocabulary])
@@ -98,21 +129,22 @@ def train(samples: list[tuple[str, str]], seed: int = 7) -> Model:
     vocabulary: dict[str, int] = {}
     texts: list[list[np.ndarray]] = [[] for _ in languages]
     for text, lang in samples:
-        ids = [vocabulary.setdefault(x.decode().lower(), len(vocabulary)) for x in text.encode().split()]
+        pieces = [x[i : i + LONGEST] for x in map(bytes.decode, text.encode().split()) for i in range(0, len(x), LONGEST)]
+        ids = [vocabulary.setdefault(_lower(x), len(vocabulary)) for x in pieces]
         if ids:
             texts[languages.index(lang)].append(np.array(ids))
     able = [i for i in range(k) if texts[i]]
     weights, moves = np.zeros((1 << HASH_BITS, k)), np.zeros((k, k))
     if not able:
         return Model(languages, weights.astype(np.float32), moves)
-    x = np.zeros((_SEQUENCES, _LENGTH), dtype=np.int64)
-    y = np.zeros((_SEQUENCES, _LENGTH), dtype=np.int64)
-    for s in range(_SEQUENCES):
+    x = np.zeros((SEQUENCES, SEQUENCE_WORDS), dtype=np.int64)
+    y = np.zeros((SEQUENCES, SEQUENCE_WORDS), dtype=np.int64)
+    for s in range(SEQUENCES):
         at = 0
-        while at < _LENGTH:
+        while at < SEQUENCE_WORDS:
             lang = able[rng.integers(len(able))]
             text = texts[lang][rng.integers(len(texts[lang]))]
-            n = min(int(rng.integers(4, 48)), len(text), _LENGTH - at)
+            n = min(int(rng.integers(4, 48)), len(text), SEQUENCE_WORDS - at)
             i = rng.integers(len(text) - n + 1)
             x[s, at : at + n], y[s, at : at + n] = text[i : i + n], lang
             at += n
@@ -125,7 +157,7 @@ def train(samples: list[tuple[str, str]], seed: int = 7) -> Model:
     first = np.searchsorted(word, np.arange(len(names) + 1))
     square_w, square_m = np.full((1 << HASH_BITS, k), 1e-6), np.full((k, k), 1e-6)
     for epoch in range(_EPOCHS):
-        for batch in np.array_split(rng.permutation(_SEQUENCES), _SEQUENCES // 100):
+        for batch in np.array_split(rng.permutation(SEQUENCES), SEQUENCES // 100):
             bx, by = x[batch], y[batch]
             used, back = np.unique(bx, return_inverse=True)
             back = back.reshape(bx.shape)
@@ -137,10 +169,10 @@ def train(samples: list[tuple[str, str]], seed: int = 7) -> Model:
             e = np.exp(e - e.max(2, keepdims=True))
             t = np.exp(moves)
             alpha, beta = np.empty_like(e), np.ones_like(e)
-            for i in range(_LENGTH):
+            for i in range(SEQUENCE_WORDS):
                 a = e[:, i] if i == 0 else (alpha[:, i - 1] @ t) * e[:, i]
                 alpha[:, i] = a / a.sum(1, keepdims=True)
-            for i in range(_LENGTH - 2, -1, -1):
+            for i in range(SEQUENCE_WORDS - 2, -1, -1):
                 b = (beta[:, i + 1] * e[:, i + 1]) @ t.T
                 beta[:, i] = b / b.sum(1, keepdims=True)
             post = alpha * beta
@@ -213,13 +245,13 @@ def marginals(scores: np.ndarray, first: np.ndarray, moves: np.ndarray) -> np.nd
 
 def classify(texts: pa.Array, i: int, j: int, model: Model) -> tuple[list[str], np.ndarray]:
     """Language and score of rows i..j of a `plain` array."""
-    w = words(texts, i, j)
+    w = _pieces(words(texts, i, j))
     langs, score = ["und"] * (j - i), np.zeros(j - i)
     if not model.languages or not len(w.code):
         return langs, score
     _, at, back = np.unique(w.code, return_index=True, return_inverse=True)
     raw = w.data.tobytes()
-    vocabulary = [raw[a:b].decode().lower() for a, b in zip(w.begin[at].tolist(), w.end[at].tolist(), strict=True)]
+    vocabulary = [_lower(raw[a:b].decode()) for a, b in zip(w.begin[at].tolist(), w.end[at].tolist(), strict=True)]
     lettered = np.array([any(map(str.isalpha, v)) for v in vocabulary])[back]
     post = marginals(emissions(vocabulary, model)[back], w.first, model.moves) * lettered[:, None]
     doc = w.doc()
@@ -241,7 +273,7 @@ def sample(docs: DataFrame, label: str, per_label: int, words_each: int) -> list
         return []
     u = F.pmod(F.xxhash64(F.lit("sample"), "doc_id", F.length("text")), F.lit(1 << 30)) / float(1 << 30)
     share = F.create_map(*[x for v, n in counts.items() for x in (F.lit(v), F.lit(min(1.0, 1.3 * per_label / n + 20 / n)))])
-    taken = known.where(u < share[F.col(label)]).select(u.alias("u"), F.slice(F.split("text", r"[\x20\x09-\x0D]+"), 1, words_each).alias("words"), label)
+    taken = known.where(u < share[F.col(label)]).select(u.alias("u"), F.slice(F.split("text", r"[\x20\x09-\x0D]+"), 1, words_each).alias("words"), label).distinct()  # repeated rows count once
     rows = sorted(((r[0], " ".join(r[1]), r[2]) for r in taken.collect()))  # bounded: per_label and words_each
     out, had = [], dict.fromkeys(counts, 0)
     for _, text, value in rows:

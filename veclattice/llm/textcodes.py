@@ -116,6 +116,11 @@ def words(texts: pa.Array, i: int = 0, j: int | None = None, lower: bool = False
     return Words(data, begin, end, first, code)
 
 
+def byte_codes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Code of each data[begin:end], as `words` gives it."""
+    return spans(_BYTE_CODE[data], begin, end, BASES[0])
+
+
 def spans(values: np.ndarray, begin: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
     """Code of each values[begin:end], the same wherever it stands."""
     up, down = powers(base, len(values))

@@ -170,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordina
     rows = spark.createDataFrame(picked, f"doc_id {kind}, toxic int")
     # at most toxic_rows + ordinary_rows ids are broadcast
     text = F.array_join(F.slice(F.split("text", r"[\x20\x09-\x0D]+"), 1, words_each), " ")
-    texts = sorted(map(tuple, docs.where("text is not null").select("doc_id", text.alias("text")).join(F.broadcast(rows), "doc_id").select("doc_id", "toxic", "text").collect()))
+    texts = sorted(map(tuple, docs.where("text is not null").select("doc_id", text.alias("text")).join(F.broadcast(rows), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text")).collect()))  # a text for each id
     return train([t for _, k, t in texts if k == 1], [t for _, k, t in texts if k == 0], counts.get(1, 0) / max(1, total))
 
 
