@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .textcodes import release
+
 #: A word is a maximal run of anything but U+0020 and U+0009..U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -42,6 +44,7 @@ def cut(df: DataFrame) -> DataFrame:
 def _tidy(spark: SparkSession) -> None:
     """Shuffle and checkpoint files of steps that nothing refers to any more go only when the driver collects garbage."""
     gc.collect()
+    release()
     spark.sparkContext._jvm.System.gc()
 
 

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import held_out, learnable
-from .textcodes import Words, byte_codes, chunks, plain, tidied, words
+from .textcodes import Words, byte_codes, chunks, plain, release, tidied, words
 
 PER_LANGUAGE, WORDS_EACH = 500, 300
 LONGEST = 24
@@ -148,13 +148,20 @@ def train(samples: list[tuple[str, str]], seed: int = 7) -> Model:
             i = rng.integers(len(text) - n + 1)
             x[s, at : at + n], y[s, at : at + n] = text[i : i + n], lang
             at += n
+    # only words that were drawn are trained on
+    drawn, x = np.unique(x, return_inverse=True)
+    x = x.reshape(y.shape)
     names = list(vocabulary)
-    parts = list(features(names))
+    names = [names[v] for v in drawn.tolist()]
+    del vocabulary, texts
+    parts = [(a.astype(np.int32), b) for a, b in features(names)]
     word = np.concatenate([a for a, _ in parts])
     slot = np.concatenate([b for _, b in parts])
-    order = np.argsort(word, kind="stable")
+    del parts
+    order = np.argsort(word, kind="stable").astype(np.int32)
     word, slot = word[order], slot[order]
     first = np.searchsorted(word, np.arange(len(names) + 1))
+    del word, order
     square_w, square_m = np.full((1 << HASH_BITS, k), 1e-6), np.full((k, k), 1e-6)
     for epoch in range(_EPOCHS):
         for batch in np.array_split(rng.permutation(SEQUENCES), SEQUENCES // 100):
@@ -273,8 +280,8 @@ def sample(docs: DataFrame, label: str, per_label: int, words_each: int) -> list
         return []
     u = F.pmod(F.xxhash64(F.lit("sample"), "doc_id", F.length("text")), F.lit(1 << 30)) / float(1 << 30)
     share = F.create_map(*[x for v, n in counts.items() for x in (F.lit(v), F.lit(min(1.0, 1.3 * per_label / n + 20 / n)))])
-    taken = known.where(u < share[F.col(label)]).select(u.alias("u"), F.slice(F.split("text", r"[\x20\x09-\x0D]+"), 1, words_each).alias("words"), label).distinct()  # repeated rows count once
-    rows = sorted(((r[0], " ".join(r[1]), r[2]) for r in taken.collect()))  # bounded: per_label and words_each
+    taken = known.where(u < share[F.col(label)]).select(u.alias("u"), F.array_join(F.slice(F.split("text", r"[\x20\x09-\x0D]+"), 1, words_each), " ").alias("words"), label).distinct()  # repeated rows count once
+    rows = sorted(map(tuple, taken.collect()))  # bounded: per_label and words_each
     out, had = [], dict.fromkeys(counts, 0)
     for _, text, value in rows:
         if had[value] < per_label:
@@ -284,7 +291,9 @@ def sample(docs: DataFrame, label: str, per_label: int, words_each: int) -> list
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, words_each: int = WORDS_EACH) -> Model:
-    return train(sample(docs, "lang", per_language, words_each))
+    model = train(sample(docs, "lang", per_language, words_each))
+    release()
+    return model
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

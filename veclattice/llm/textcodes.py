@@ -139,6 +139,13 @@ def windows(w: Words, size: int, base: int = BASES[0]) -> tuple[np.ndarray, np.n
     return start, spans(w.code, start, start + size, base)
 
 
+def release() -> None:
+    """Gives freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def tidied(run: Callable) -> Callable:
     """A batch function that gives freed memory back to the system when its task ends.
 
@@ -151,8 +158,6 @@ def tidied(run: Callable) -> Callable:
         try:
             yield from run(*args, **kwargs)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
-                ctypes.CDLL(None).malloc_trim(0)
+            release()
 
     return tidy
