@@ -17,6 +17,7 @@ from veclattice.operators.index import VectorIndex
 from veclattice.plans import params
 from veclattice.schema import IndexConfig, SearchParameters
 from veclattice.sources import ingest
+from veclattice.streaming import ingest as streaming
 
 
 def one_hot(spark, axes, dim=16, tokens=4):
@@ -288,3 +289,21 @@ def test_generator_and_progress():
     for b in range(2):
         p.onQueryProgress(SimpleNamespace(progress=SimpleNamespace(batchId=b, numInputRows=3)))
     assert seen == [(0, 3), (1, 6)]
+
+
+def test_split_long_keeps_the_text():
+    count = lambda s: len(s.split())
+    pieces = chunk.split_long("it costs 3,000 at noon, and more words follow here, then the end of it all", 6, count)
+    assert "".join(pieces).replace(" ", "") == "itcosts3,000atnoon,andmorewordsfollowhere,thentheendofitall"
+    assert any("3,000" in p for p in pieces)
+    assert chunk.split_long("one two three four five", 2, count) == ["one two", "three four", "five"]
+    assert chunk.split_long("a; b", 9, count) == ["a; b"]
+
+
+def test_replayed_batch(spark, tmp_path):
+    docs = spark.createDataFrame([("a", "one two three"), ("b", "four five")], "document_name string, text string")
+    run = streaming.index_batch(f"{tmp_path}/index", encode.HashEncoder())
+    counted = lambda: VectorIndex.open(spark, f"{tmp_path}/index").num_documents
+    for batch, want in ((0, 2), (0, 2), (1, 4), (1, 4)):
+        run(docs, batch)
+        assert counted() == want

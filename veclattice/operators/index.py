@@ -18,7 +18,7 @@ from ..schema import IndexConfig, SearchParameters
 from . import codec, metadata, mutate, search
 from .predicate import where
 
-META = "version long, model_id string, dim int, nbits int, num_partitions long, num_documents long, num_embeddings long, avg_doclen double, seed long, cutoffs array<double>, weights array<double>"
+META = "version long, model_id string, dim int, nbits int, num_partitions long, num_documents long, num_embeddings long, avg_doclen double, seed long, cutoffs array<double>, weights array<double>, centroids string, every long, last_batch string"
 
 
 @dataclass
@@ -71,13 +71,13 @@ class VectorIndex:
     # -- building
 
     @classmethod
-    def create(cls, spark: SparkSession, path: str, tokens: DataFrame, config: IndexConfig | None = None, chunks: DataFrame | None = None, model_id: str = "hash", dim: int | None = None) -> VectorIndex:
+    def create(cls, spark: SparkSession, path: str, tokens: DataFrame, config: IndexConfig | None = None, chunks: DataFrame | None = None, model_id: str = "hash", dim: int | None = None, batch: str | None = None) -> VectorIndex:
         """From token rows (doc_id, token_pos, v) with dense ids; replaces an index at the path."""
         cls.drop(spark, path)
-        return cls._build(spark, path, 0, tokens, config or IndexConfig(), chunks, model_id, dim)
+        return cls._build(spark, path, 0, tokens, config or IndexConfig(), chunks, model_id, dim, batch)
 
     @classmethod
-    def _build(cls, spark, path, version, tokens, config, chunks, model_id, dim) -> VectorIndex:
+    def _build(cls, spark, path, version, tokens, config, chunks, model_id, dim, batch=None) -> VectorIndex:
         at = f"{path}/v{version}"
         unit = tokens.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("token_pos").cast("int").alias("token_pos"), V.normalize(V.doubles("v")).alias("v"))
         unit.write.parquet(f"{at}/raw")
@@ -88,7 +88,7 @@ class VectorIndex:
         if least != most or (dim is not None and dim != most):
             raise DimensionMismatch(dim or most, least)
         k = codec.partitions_for(n)
-        centroids = codec.deterministic_centroids(codec.numbered(unit), max(1, n // k)) if config.centroids == "deterministic" else codec.kmeans_centroids(unit, k, config.kmeans_iterations, config.max_points_per_centroid, config.seed)
+        centroids = codec.deterministic_centroids(codec.numbered(unit), config.every or max(1, n // k)) if config.centroids == "deterministic" else codec.kmeans_centroids(unit, k, config.kmeans_iterations, config.max_points_per_centroid, config.seed)
         centroids.write.parquet(f"{at}/centroids")
         centroids = spark.read.parquet(f"{at}/centroids")
         block = codec.centroid_block(centroids)
@@ -101,7 +101,7 @@ class VectorIndex:
         if docs + 1 > config.rebuild_up_to:
             fs, make = cls._fs(spark, path)
             fs.delete(make(f"{at}/raw"), True)
-        row = (version, model_id, most, config.nbits, len(block[0]), docs + 1, n, n / (docs + 1), config.seed, edges, weights)
+        row = (version, model_id, most, config.nbits, len(block[0]), docs + 1, n, n / (docs + 1), config.seed, edges, weights, config.centroids, config.every, batch)
         return cls._finish(spark, path, version, row)
 
     @classmethod
@@ -118,7 +118,7 @@ class VectorIndex:
         return cls.open(spark, path)
 
     def _config(self) -> IndexConfig:
-        return IndexConfig(nbits=self.meta["nbits"], seed=self.meta["seed"])
+        return IndexConfig(nbits=self.meta["nbits"], seed=self.meta["seed"], centroids=self.meta["centroids"], every=self.meta["every"])
 
     def _exists(self, name: str) -> bool:
         fs, make = self._fs(self.spark, self.path)
@@ -163,10 +163,11 @@ class VectorIndex:
 
     # -- changing
 
-    def append(self, tokens: DataFrame, chunks: DataFrame | None = None) -> tuple[VectorIndex, list[int]]:
+    def append(self, tokens: DataFrame, chunks: DataFrame | None = None, batch: str | None = None) -> tuple[VectorIndex, list[int]]:
         """Token rows of new documents, numbered from 0; returns the new index and their ids (a contiguous range).
 
         Small indexes are rebuilt from their raw vectors, larger ones keep their centroids and codec.
+        `batch` names what is appended; it is kept with the version, so that a replay can be told.
         """
         if tokens.isEmpty():
             return self, []
@@ -179,7 +180,7 @@ class VectorIndex:
             all_chunks = more if all_chunks is None else all_chunks.unionByName(more)
         if self._exists("raw"):
             old = self.table("raw")
-            index = self._build(self.spark, self.path, version, old.unionByName(new.withColumn("v", V.doubles("v"))), self._config(), all_chunks, self.meta["model_id"], self.dim)
+            index = self._build(self.spark, self.path, version, old.unionByName(new.withColumn("v", V.doubles("v"))), self._config(), all_chunks, self.meta["model_id"], self.dim, batch)
             return index, list(range(n, n + added))
         at = f"{self.path}/v{version}"
         centroids = self.table("centroids")
@@ -188,7 +189,7 @@ class VectorIndex:
         rest = codec.residuals(codec.assign(unit, centroids), centroids)
         coded = codec.codes(rest, self.meta["cutoffs"]).select("doc_id", "token_pos", "centroid_id", F.transform("code", lambda c: c.cast("smallint")).alias("code"))
         self._write_tables(at, self.table("codes").unionByName(coded), all_chunks)
-        return self._count_and_finish(version), list(range(n, n + added))
+        return self._count_and_finish(version, batch), list(range(n, n + added))
 
     def _write_tables(self, at: str, coded: DataFrame, chunks: DataFrame | None) -> None:
         coded.write.parquet(f"{at}/codes")
@@ -198,10 +199,10 @@ class VectorIndex:
         if chunks is not None:
             chunks.write.parquet(f"{at}/chunks")
 
-    def _count_and_finish(self, version: int) -> VectorIndex:
+    def _count_and_finish(self, version: int, batch: str | None = None) -> VectorIndex:
         docs, n = self.spark.read.parquet(f"{self.path}/v{version}/doclens").agg(F.max("doc_id"), F.sum("n_tokens")).first()
         m = self.meta
-        row = (version, m["model_id"], m["dim"], m["nbits"], m["num_partitions"], docs + 1, n, n / (docs + 1), m["seed"], m["cutoffs"], m["weights"])
+        row = (version, m["model_id"], m["dim"], m["nbits"], m["num_partitions"], docs + 1, n, n / (docs + 1), m["seed"], m["cutoffs"], m["weights"], m["centroids"], m["every"], batch or m["last_batch"])
         return self._finish(self.spark, self.path, version, row)
 
     def delete(self, ids: DataFrame | list[int]) -> tuple[VectorIndex | None, DataFrame]:

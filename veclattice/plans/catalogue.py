@@ -7,9 +7,8 @@ search are the documents (or benchmark items) whose id is divisible by 100.
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +17,9 @@ from ..functions import text as X
 from ..functions import vectors as V
 from ..operators import catalog, chunk, codec, encode, evaluate, metadata, mutate, pooling, score, search
 from ..operators.predicate import where
-from ..schema import SearchParameters
+from ..operators.index import VectorIndex
+from ..schema import IndexConfig, SearchParameters
+from ..session import shared_folder
 from ..sources import ingest
 from . import params
 
@@ -455,6 +456,47 @@ def staged_vs_exact_overlap(spark, sf):
     return evaluate.overlap_at_k(_staged(spark, sf), maxsim_topk(spark, sf), K)
 
 
+# -- the index on disk
+
+
+def _new_folder(spark) -> str:
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def _searched(spark, sf, index: VectorIndex) -> DataFrame:
+    p = SearchParameters(n_full_scores=CAP, n_ivf_probe=PROBE, top_k=K, centroid_score_threshold=None)
+    return index.search(query_tokens(spark, sf), p)
+
+
+INDEXED = IndexConfig(nbits=NBITS, centroids="deterministic", every=EVERY)
+
+
+@query(SQL["staged_search"])
+def index_create_search(spark, sf):
+    """An index is written, opened again and searched."""
+    path = _new_folder(spark)
+    VectorIndex.create(spark, path, tokens(spark, sf), INDEXED)
+    return _searched(spark, sf, VectorIndex.open(spark, path))
+
+
+@query(SQL["staged_search"])
+def index_append_search(spark, sf):
+    """An index of the first 40 documents to which the others are appended, numbered from 0."""
+    path, t = _new_folder(spark), tokens(spark, sf)
+    VectorIndex.create(spark, path, t.where("doc_id < 40"), INDEXED)
+    VectorIndex.open(spark, path).append(t.where("doc_id >= 40").withColumn("doc_id", F.col("doc_id") - 40))
+    return _searched(spark, sf, VectorIndex.open(spark, path))
+
+
+@query("SELECT row_number() OVER (ORDER BY o) - 1 AS doc_id, n_tokens FROM (SELECT vec_id // 8 AS o, count(*) AS n_tokens FROM embeddings WHERE (vec_id // 8) % 3 <> 1 GROUP BY o)")
+def index_delete(spark, sf):
+    """Documents leave an index on disk, survivors are renumbered in order."""
+    path = _new_folder(spark)
+    index = VectorIndex.create(spark, path, tokens(spark, sf), INDEXED)
+    index.delete(spark.range(1, index.num_documents, 3).select(F.col("id").alias("doc_id")))
+    return VectorIndex.open(spark, path).table("doclens").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("n_tokens").cast("long").alias("n_tokens"))
+
+
 # -- parameters
 
 
@@ -665,7 +707,6 @@ def stream_ingest_equivalence(spark, sf):
     """A stream of the table, appended batch by batch to a Parquet sink, is what a batch reads."""
     batch = table(spark, sf, "events")
     stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 4).parquet(f"{sf}/events.parquet*")
-    conf = spark.sparkContext.getConf()
-    out = f"{conf.get('spark.checkpoint.dir') or tempfile.mkdtemp(prefix='stream-')}/{np.random.default_rng().integers(1 << 60):x}"
+    out = _new_folder(spark)
     stream.select("event_type", "value").writeStream.format("parquet").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start(f"{out}/data").awaitTermination()
     return spark.read.parquet(f"{out}/data").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))

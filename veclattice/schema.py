@@ -70,6 +70,7 @@ class IndexConfig:
     batch_size: int = 64
     rebuild_up_to: int = 999
     centroids: str = "kmeans"  # or "deterministic"
+    every: int | None = None  # deterministic centroids: each token of so many; else as many as k-means would have
 
     def __post_init__(self):
         if self.nbits not in (1, 2, 4, 8):
