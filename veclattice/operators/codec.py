@@ -41,6 +41,8 @@ def kmeans_centroids(tokens: DataFrame, k: int, iterations: int = 4, per_centroi
     n = tokens.count()
     fraction = min(1.0, k * per_centroid / max(n, 1))
     sample = tokens if fraction >= 1 else tokens.sample(fraction, seed=seed or 0)
+    # the fit needs as many different vectors as centroids
+    k = max(1, min(k, sample.agg(F.count_distinct(F.xxhash64("v"))).first()[0]))
     model = KMeans(k=k, maxIter=iterations, seed=seed or 0, initMode="random", featuresCol="f").fit(sample.select(array_to_vector(V.doubles("v")).alias("f")))
     rows = [(i, (c / max(float(np.linalg.norm(c)), 1e-12)).tolist()) for i, c in enumerate(model.clusterCenters())]
     return tokens.sparkSession.createDataFrame(rows, "centroid_id long, v array<double>")
