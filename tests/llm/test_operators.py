@@ -10,7 +10,9 @@ import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from conftest import SF
@@ -712,3 +714,77 @@ def test_urls(spark):
     verdict = {urls[r["page_id"]]: r["verdict"] for r in got}
     assert verdict["http://x.net/fr"] == "block" and verdict["http://x.net/en/3"] == "allow" and verdict[None] == "allow"
     assert urlfilter.filter_urls(rows.where("false")).count() == 0
+
+
+def brute_templates(urls):
+    """Verdict, template and purity of each url by recursion over lists of paths."""
+    U, forms = urlfilter, [(re.compile(form), to) for form, to in urlfilter.FORMS]
+    hosts = {}
+    for i, url in enumerate(urls):
+        host, path, rule = brute_rule(url)
+        segs = [next((to for form, to in forms if form.search(s)), s) for s in path.split("/")[1:]]
+        hosts.setdefault(host, []).append((i, segs + ["/"], rule and rule.verdict))
+    out = {}
+
+    def grow(rows, level, purity, templates):
+        """templates: the path of names of each row, before its node was merged."""
+        kids = Counter(segs[level] for _, segs, _ in rows)
+        name = {s: s if len(kids) <= U.MAX_KIDS or U.SHARE * n >= len(rows) or s == "/" else "*" for s, n in kids.items()}
+        groups = defaultdict(list)
+        for row in rows:
+            groups[name[row[1][level]]].append(row)
+        labels = {s: (sum(v == "block" for *_, v in g), sum(v is not None for *_, v in g)) for s, g in groups.items()}
+        known = sorted((b / n, s) for s, (b, n) in labels.items() if n >= U.LEAST_LABELLED)
+        classes, last = [[s] for s, (_, n) in labels.items() if n < U.LEAST_LABELLED], None
+        for _, s in known:
+            b, n = labels[s]
+            if last:
+                b0, n0 = labels[last]
+                p = (b + b0) / (n + n0)
+                if abs(b / n - b0 / n0) <= U.SIGMAS * (p * (1 - p) * (1 / n + 1 / n0)) ** 0.5:
+                    classes[-1].append(s)
+                    last = s
+                    continue
+            classes.append([s])
+            last = s
+        for members in classes:
+            inside = [row for s in members for row in groups[s]]
+            b, n = sum(labels[s][0] for s in members), sum(labels[s][1] for s in members)
+            here = purity if level and len(inside) == len(rows) else (b + U.WEIGHT * purity) / (n + U.WEIGHT)
+            longer = {}
+            for i, segs, _ in inside:
+                longer[i] = templates[i] if segs[level] == "/" else templates[i] + "/" + name[segs[level]]
+            deeper = [row for row in inside if row[1][level] != "/"]
+            for i, segs, v in inside:
+                if segs[level] == "/":
+                    out[i] = (v or ("block" if here >= U.REJECT else "allow"), longer[i], round(here, 6))
+            if deeper:
+                # what ends here is another child than what goes on, so it counts among the node's rows
+                grow(deeper, level + 1, here, longer)
+
+    for rows in hosts.values():
+        grow(rows, 0, U.PRIOR, dict.fromkeys((i for i, *_ in rows), ""))
+    return out
+
+
+def test_templates_deep(spark):
+    """Trees of several levels, wildcards, merged branches, a very deep path; against recursion in Python and in SQL."""
+    r = random.Random(3)
+    urls = []
+    for _ in range(3000):
+        segs = [r.choice(["fr", "es", "en", "de", "it"]), *(r.choice(["p", "q", str(r.randrange(99)), "w" + r.choice("abcdefghijklmnopqrstuvwxyz") * 2, "*", "", "x|y"]) for _ in range(r.randrange(6)))]
+        urls.append("http://" + r.choice(["a.net", "b.net", "example.com", "www.example.com", "x.org"]) + r.choice(["", "/" + "/".join(segs)]))
+    urls += [f"http://a.net/{'fr' if i % 3 else 'en'}/{i}/x" for i in range(40)]
+    deep = "http://deep.net/" + "a/" * 3000
+    frame = pd.DataFrame({"page_id": range(len(urls) + 1), "url": [*urls, deep]})
+    got = {g["page_id"]: (g["verdict"], g["template"], g["purity"]) for g in urlfilter.filter_urls(spark.createDataFrame(frame)).collect()}
+    assert got.pop(len(urls)) == ("allow", "/" + "a/" * 3000, urlfilter.PRIOR)
+    con = duckdb.connect()
+    con.register("frame", frame[:-1])
+    con.execute("CREATE TABLE pages AS SELECT * FROM frame")
+    want = {i: (verdict, template, purity) for i, _, _, _, verdict, template, purity in con.execute(urlfilter.ORACLE).fetchall()}
+    assert got == want
+    brute = brute_templates(urls)
+    assert {i: (v, t) for i, (v, t, _) in got.items()} == {i: (v, t) for i, (v, t, _) in brute.items()}
+    assert all(abs(got[i][2] - brute[i][2]) < 2e-6 for i in got)
+    assert any("*" in t for _, t, _ in got.values()) and any(v == "block" and brute_rule(urls[i])[2] is None for i, (v, _, _) in got.items())

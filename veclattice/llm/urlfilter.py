@@ -1,18 +1,28 @@
 """URL filter by a path-template tree.
 
-Per host, paths form a tree of three levels of segments (deeper ones are the
-third).  A segment is generalised by its form (numbers, hexadecimal names,
-dates), and where a node has more than MAX_KIDS children, each child with
-under 1 / SHARE of the node's urls becomes a wildcard.  First-level branches with enough
-labelled urls whose share of blocked ones does not differ significantly from
-that of all such branches of the host are merged and share their statistics.
-A template's purity is its share of blocked urls among labelled ones,
-smoothed towards its branch's, and that towards a fixed prior; templates at
-or above the threshold are rejected.  Labels are the verdicts of the rules,
-so templates without labelled urls are allowed.
-
-Everything is SQL over counts by distinct template; urls meet their template
-by a join that adaptive execution can split.
+Per host, paths form a tree of their segments, as deep as they are.  A segment
+is generalised by its form (numbers, hexadecimal names, dates), and where a
+node has more than MAX_KIDS children, each child with under 1 / SHARE of the
+node's urls becomes a wildcard; what follows wildcards is one subtree.  The
+end of a path is a child too, never a wildcard.
+
+Siblings with LEAST_LABELLED labelled urls or more are put in order of their
+share of blocked ones, and neighbours whose shares do not differ by more than
+SIGMAS standard errors are merged: they become one node and share statistics
+and subtrees.  A node's purity is its share of blocked urls among labelled
+ones, smoothed towards its parent's purity, and at the first level towards a
+fixed prior; below the first level a node that holds all urls of its parent
+adds nothing and keeps the parent's purity.  Urls that no rule fits are
+blocked where the purity of their path's node reaches REJECT.  Labels are the
+verdicts of the rules: under a first-level branch without labelled urls all
+is allowed.
+
+The tree grows level by level over counts by distinct generalised path, each
+level a few joins and sums; a path that is alone in its node is finished, so
+the levels end where the last two paths part.  A node has at most
+SHARE + MAX_KIDS + 2 children after wildcards, which bounds the windows that
+merge.  Urls meet their path's verdict by a join that adaptive execution can
+split.
 
 Defined results: a null url or one without `://` has an empty host and path,
 no rule, and is allowed unless its empty template was rejected; repeated rows
@@ -21,10 +31,11 @@ each get their row; columns other than page_id and url are not read.
 
 from __future__ import annotations
 
-import re
+from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 from .common import cut
 
@@ -65,81 +76,102 @@ def _shape(segment: str, matches: str) -> str:
     return "CASE " + " ".join(f"WHEN {matches}({segment}, {_quote(form)}) THEN {_quote(to)}" for form, to in FORMS) + f" ELSE {segment} END"
 
 
-def steps(pages: str, rules: tuple[Rule, ...] = RULES, matches: str = "regexp_like") -> dict[str, str]:
-    """The statement's steps by name; matches: the dialect's function for a regular expression found in a string."""
+def paths(pages: str, rules: tuple[Rule, ...] = RULES, matches: str = "regexp_like", lambda_: str = "s ->", shaped: str = "array_join(transform(split(path, '/'), {}), '/')") -> str:
+    """page_id, host, path, rule, ruling and shape (the generalised path) of every url; the later arguments: the dialect."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    double = "CAST({} AS DOUBLE)".format
-    return {
-        "rest": f"""SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substring(url, instr(url, '://') + 3) ELSE '' END AS rest FROM {pages}""",
-        "hosts": f"""SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*', 0) AS raw FROM rest""",
-        "paths": f"""SELECT page_id, translate(raw, '{upper}', '{lower}') AS host, regexp_extract(substring(rest, length(raw) + 1), '^[^?#]*', 0) AS path FROM hosts""",
-        "ruled": f"""SELECT page_id, host, path, {_rule(rules, 0)} AS rule, {_rule(rules, 1)} AS ruling FROM paths""",
-        "cut": f"""SELECT *, split_part(path, '/', 2) AS c1, split_part(path, '/', 3) AS c2,
-CASE WHEN {matches}(path, '^[^/]*/[^/]*/[^/]*/') THEN regexp_replace(path, '^[^/]*/[^/]*/[^/]*/', '') ELSE '' END AS c3 FROM ruled""",
-        "urls": f"""SELECT page_id, host, path, rule, ruling, {_shape("c1", matches)} AS s1, {_shape("c2", matches)} AS s2, {_shape("c3", matches)} AS s3 FROM cut""",
-        "leaves": f"""SELECT host, s1, s2, s3, count(*) AS n, sum(CASE WHEN ruling = 'allow' THEN 1 ELSE 0 END) AS good, sum(CASE WHEN ruling = 'block' THEN 1 ELSE 0 END) AS bad
-FROM urls GROUP BY host, s1, s2, s3""",
-        "kids1": f"""SELECT host, s1, sum(n) AS n FROM leaves GROUP BY host, s1""",
-        "nodes1": f"""SELECT host, count(*) AS kids, sum(n) AS total FROM kids1 GROUP BY host""",
-        "named1": f"""SELECT k.host, k.s1, CASE WHEN o.kids <= {MAX_KIDS} OR {SHARE} * k.n >= o.total THEN k.s1 ELSE '*' END AS t1 FROM kids1 k JOIN nodes1 o ON k.host = o.host""",
-        "level1": f"""SELECT l.*, m.t1 FROM leaves l JOIN named1 m ON l.host = m.host AND l.s1 = m.s1""",
-        "kids2": f"""SELECT host, t1, s2, sum(n) AS n FROM level1 GROUP BY host, t1, s2""",
-        "nodes2": f"""SELECT host, t1, count(*) AS kids, sum(n) AS total FROM kids2 GROUP BY host, t1""",
-        "named2": f"""SELECT k.host, k.t1, k.s2, CASE WHEN o.kids <= {MAX_KIDS} OR {SHARE} * k.n >= o.total THEN k.s2 ELSE '*' END AS t2
-FROM kids2 k JOIN nodes2 o ON k.host = o.host AND k.t1 = o.t1""",
-        "level2": f"""SELECT l.*, m.t2 FROM level1 l JOIN named2 m ON l.host = m.host AND l.t1 = m.t1 AND l.s2 = m.s2""",
-        "kids3": f"""SELECT host, t1, t2, s3, sum(n) AS n FROM level2 GROUP BY host, t1, t2, s3""",
-        "nodes3": f"""SELECT host, t1, t2, count(*) AS kids, sum(n) AS total FROM kids3 GROUP BY host, t1, t2""",
-        "named3": f"""SELECT k.host, k.t1, k.t2, k.s3, CASE WHEN o.kids <= {MAX_KIDS} OR {SHARE} * k.n >= o.total THEN k.s3 ELSE '*' END AS t3
-FROM kids3 k JOIN nodes3 o ON k.host = o.host AND k.t1 = o.t1 AND k.t2 = o.t2""",
-        "tree": f"""SELECT l.*, m.t3 FROM level2 l JOIN named3 m ON l.host = m.host AND l.t1 = m.t1 AND l.t2 = m.t2 AND l.s3 = m.s3""",
-        "branches": f"""SELECT host, t1, sum(good) AS good, sum(bad) AS bad FROM tree GROUP BY host, t1""",
-        "pooled": f"""SELECT host, {double("sum(bad)")} / sum(good + bad) AS share FROM branches WHERE good + bad >= {LEAST_LABELLED} GROUP BY host""",
-        "merged": f"""SELECT b.host, b.t1, b.good, b.bad,
-CASE WHEN b.good + b.bad >= {LEAST_LABELLED} AND abs({double("b.bad")} / (b.good + b.bad) - p.share) <= {SIGMAS} * sqrt(p.share * (1 - p.share) / (b.good + b.bad)) THEN '~' ELSE concat('=', b.t1) END AS branch
-FROM branches b LEFT JOIN pooled p ON b.host = p.host""",
-        "branch_purity": f"""SELECT host, branch, ({double("sum(bad)")} + {WEIGHT} * {PRIOR}) / ({double("sum(good + bad)")} + {WEIGHT}) AS purity FROM merged GROUP BY host, branch""",
-        "templates": f"""SELECT t.host, m.branch, t.t2, t.t3, {double("sum(t.good)")} AS good, {double("sum(t.bad)")} AS bad
-FROM tree t JOIN merged m ON t.host = m.host AND t.t1 = m.t1 GROUP BY t.host, m.branch, t.t2, t.t3""",
-        "judged": f"""SELECT t.host, t.branch, t.t2, t.t3, (t.bad + {WEIGHT} * b.purity) / (t.good + t.bad + {WEIGHT}) AS purity
-FROM templates t JOIN branch_purity b ON t.host = b.host AND t.branch = b.branch""",
-        "shapes": f"""SELECT t.host, t.s1, t.s2, t.s3, concat('/', t.t1, '/', t.t2, '/', t.t3) AS template, j.purity
-FROM tree t JOIN merged m ON t.host = m.host AND t.t1 = m.t1
-JOIN judged j ON j.host = t.host AND j.branch = m.branch AND j.t2 = t.t2 AND j.t3 = t.t3""",
-        "": f"""SELECT u.page_id, u.host, u.path, u.rule, coalesce(u.ruling, CASE WHEN s.purity >= {REJECT} THEN 'block' ELSE 'allow' END) AS verdict, s.template, round(s.purity, 6) AS purity
-FROM urls u LEFT JOIN shapes s ON u.host = s.host AND u.s1 = s.s1 AND u.s2 = s.s2 AND u.s3 = s.s3""",
-    }
-
-
-def statement(pages: str, rules: tuple[Rule, ...] = RULES, matches: str = "regexp_like") -> str:
-    *named, (_, last) = steps(pages, rules, matches).items()
-    return "WITH " + ",\n".join(f"{k} AS ({v})" for k, v in named) + "\n" + last
-
-
-#: Steps that more than one later step reads are kept as tables; the others are inlined.
-PER_URL = ("rest", "hosts", "paths", "ruled", "cut", "urls")
-KEPT = ("leaves", "level1", "level2", "tree", "merged")
+    return f"""WITH rests AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substring(url, instr(url, '://') + 3) ELSE '' END AS rest FROM {pages}),
+hosts AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*', 0) AS raw FROM rests),
+paths AS (SELECT page_id, translate(raw, '{upper}', '{lower}') AS host, regexp_extract(substring(rest, length(raw) + 1), '^[^?#]*', 0) AS path FROM hosts)
+SELECT page_id, host, path, {_rule(rules, 0)} AS rule, {_rule(rules, 1)} AS ruling, {shaped.format(lambda_ + " " + _shape("s", matches))} AS shape FROM paths"""
+
+
+#: The end of a path as a segment; no segment holds a slash.
+END = "/"
+
+
+def _apart(bad: Column, n: Column, bad0: Column, n0: Column) -> Column:
+    """Whether two shares differ significantly."""
+    pooled = (bad + bad0) / (n + n0)
+    return F.abs(bad / n - bad0 / n0) > F.lit(SIGMAS) * F.sqrt(pooled * (F.lit(1.0) - pooled) * (F.lit(1.0) / n + F.lit(1.0) / n0))
+
+
+def _children(active: DataFrame, first: bool) -> DataFrame:
+    """For each node and next segment: its name, the node it becomes, that node's purity and number of distinct paths."""
+    node, named = ["host", "node"], ["host", "node", "name"]
+    sums = [F.sum(c).alias(c) for c in ("n", "good", "bad", "leaves")]
+    kids = active.groupBy(*node, "seg").agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.count(F.lit(1)).alias("leaves"), F.first("purity").alias("purity"))
+    nodes = kids.groupBy(*node).agg(F.count(F.lit(1)).alias("kids"), F.sum("n").alias("total"))
+    keeps = (F.col("kids") <= MAX_KIDS) | (F.lit(SHARE) * F.col("n") >= F.col("total")) | (F.col("seg") == END)
+    kids = kids.join(nodes, node).withColumn("name", F.when(keeps, F.col("seg")).otherwise("*"))
+    names = kids.groupBy(*named).agg(*sums, F.first("total").alias("total"), F.first("purity").alias("purity"))
+    # merge neighbours in order of their shares; the windows hold a node's few names
+    n = (F.col("good") + F.col("bad")).cast("double")
+    known = n >= LEAST_LABELLED
+    ordered = Window.partitionBy(*node, "known").orderBy("share", "name")
+    names = names.withColumn("known", known).withColumn("share", F.when(known, F.col("bad") / n))
+    before = (F.lag("bad").over(ordered), F.lag(F.col("good") + F.col("bad")).over(ordered))
+    names = names.withColumn("parts", F.when(F.col("known") & ~_apart(F.col("bad").cast("double"), n, before[0].cast("double"), before[1].cast("double")), 0).otherwise(1))
+    names = names.withColumn("class", F.sum("parts").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    classes = Window.partitionBy(*node, "known", "class")
+    merged = {c: F.sum(c).over(classes) for c in ("n", "good", "bad", "leaves")}
+    names = names.select(*named, "total", "purity", F.min("name").over(classes).alias("least"), *[v.alias(c) for c, v in merged.items()])
+    fresh = (F.col("bad") + F.lit(WEIGHT) * F.col("purity")) / (F.col("good") + F.col("bad") + F.lit(WEIGHT))
+    purity = fresh if first else F.when(F.col("n") == F.col("total"), F.col("purity")).otherwise(fresh)
+    names = names.select(*named, F.concat("node", F.lit("/"), "least").alias("child"), purity.alias("child_purity"), "leaves")
+    return kids.select(*named, "seg").join(names, named)
+
+
+def templates(leaves: DataFrame) -> DataFrame:
+    """host, shape, template and purity of leaves(host, shape, n, good, bad), one row for each distinct generalised path."""
+    # a path's segments follow its first slash; what stands before it is empty
+    segs = F.concat(F.slice(F.split("shape", "/"), F.lit(2), F.greatest(F.size(F.split("shape", "/")) - 1, F.lit(0))), F.array(F.lit(END)))
+    active = leaves.select("host", "shape", "n", "good", "bad", segs.alias("segs"), F.lit("").alias("node"), F.lit("").alias("template"), F.lit(PRIOR).alias("purity"))
+    done, level = [], 0
+    while level == 0 or not active.isEmpty():
+        here = active.withColumn("seg", F.get("segs", F.lit(level)))
+        kids = _children(here, level == 0).select("host", "node", "seg", "name", "child", "child_purity", "leaves")
+        grown = here.join(kids, ["host", "node", "seg"])
+        step = F.when(F.col("seg") == END, "").otherwise(F.concat(F.lit("/"), "name"))
+        ended = (F.col("seg") == END) | (F.col("leaves") == 1)
+        grown = cut(grown.select("host", "shape", "n", "good", "bad", "segs", F.col("child").alias("node"), F.concat("template", step).alias("template"), F.col("child_purity").alias("purity"), (F.col("seg") == END).alias("whole"), ended.alias("ended")))
+        level += 1
+        rest = F.slice("segs", F.lit(level + 1), F.greatest(F.size("segs") - level - 1, F.lit(0)))
+        tail = F.when(F.col("whole") | (F.size(rest) == 0), "").otherwise(F.concat(F.lit("/"), F.array_join(rest, "/")))
+        done.append(grown.where("ended").select("host", "shape", F.concat("template", tail).alias("template"), "purity"))
+        active = grown.where("not ended").drop("whole", "ended")
+    return reduce(DataFrame.unionAll, done)
 
 
 def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, template and its purity of every row."""
-    spark, tables = pages.sparkSession, {"pages": pages.select("page_id", "url")}
-    inlined: dict[str, str] = {}
-    for name, text in steps("{pages}", rules).items():
-        # braces are names of tables only where they are meant so
-        text = text.replace("{", "{{").replace("}", "}}").replace("{{pages}}", "{pages}")
-        for k in KEPT:
-            text = re.sub(rf"\b(FROM|JOIN) {k}\b", rf"\1 {{{k}}}", text)
-        if name in KEPT or not name:
-            whole = ("WITH " + ", ".join(f"{k} AS ({v})" for k, v in inlined.items()) + " " if inlined else "") + text
-            tables[name] = spark.sql(whole, **{k: v for k, v in tables.items() if f"{{{k}}}" in whole.replace("{{", "")})
-            if not name:
-                return tables[name]
-            tables[name] = cut(tables[name])
-            inlined = {k: v for k, v in inlined.items() if k in PER_URL}
-        else:
-            inlined[name] = text
-    raise AssertionError("the last step has no name")
-
-
-ORACLE = statement("pages", matches="regexp_matches")
+    text = paths("{pages}", rules)
+    # braces are names of tables only where they are meant so
+    text = text.replace("{", "{{").replace("}", "}}").replace("{{pages}}", "{pages}")
+    urls = pages.sparkSession.sql(text, pages=pages.select("page_id", "url"))
+    count = lambda ruling: F.sum((F.coalesce("ruling", F.lit("")) == ruling).cast("long"))
+    leaves = cut(urls.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"), count("allow").alias("good"), count("block").alias("bad")))
+    verdict = F.coalesce("ruling", F.when(F.col("purity") >= REJECT, "block").otherwise("allow"))
+    return urls.join(templates(leaves), ["host", "shape"], "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", F.round("purity", 6).alias("purity"))
+
+
+#: The same results by another way: the tree grows by recursion over paths, with windows in place of grouped joins.
+ORACLE = f"""WITH RECURSIVE urls AS ({paths("pages", RULES, "regexp_matches", "lambda s:", "array_to_string(list_transform(string_split(path, '/'), {}), '/')")}),
+tree AS (
+SELECT host, shape, list_append(string_split(shape, '/')[2:], '/') AS segs, count(*) AS n, count(*) FILTER (WHERE ruling = 'allow') AS good, count(*) FILTER (WHERE ruling = 'block') AS bad,
+  0 AS level, '' AS node, '' AS template, {PRIOR}::DOUBLE AS purity FROM urls GROUP BY host, shape
+UNION ALL
+SELECT host, shape, segs, n, good, bad, level + 1, node || '/' || min(name) OVER class, CASE WHEN seg = '/' THEN template ELSE template || '/' || name END,
+  CASE WHEN level > 0 AND sum(n) OVER class = total THEN purity ELSE (sum(bad) OVER class + {WEIGHT}::DOUBLE * purity) / (sum(good + bad) OVER class + {WEIGHT}::DOUBLE) END
+FROM (SELECT *, sum(parts) OVER (PARTITION BY host, node, known ORDER BY share, name, shape ROWS UNBOUNDED PRECEDING) AS part FROM (
+  SELECT *, CASE WHEN lag(name) OVER o = name THEN 0
+    WHEN known AND abs(b / m - lag(b) OVER o / lag(m) OVER o) <= {SIGMAS}::DOUBLE * sqrt((b + lag(b) OVER o) / (m + lag(m) OVER o) * (1::DOUBLE - (b + lag(b) OVER o) / (m + lag(m) OVER o)) * (1::DOUBLE / m + 1::DOUBLE / lag(m) OVER o)) THEN 0 ELSE 1 END AS parts
+  FROM (SELECT *, m >= {LEAST_LABELLED} AS known, CASE WHEN m >= {LEAST_LABELLED} THEN b / m END AS share FROM (
+    SELECT *, (sum(bad) OVER nm)::DOUBLE AS b, (sum(good + bad) OVER nm)::DOUBLE AS m FROM (
+      SELECT *, CASE WHEN kids <= {MAX_KIDS} OR {SHARE} * kn >= total OR seg = '/' THEN seg ELSE '*' END AS name FROM (
+        SELECT *, count(DISTINCT seg) OVER (PARTITION BY host, node) AS kids, sum(n) OVER (PARTITION BY host, node, seg) AS kn, sum(n) OVER (PARTITION BY host, node) AS total
+        FROM (SELECT *, segs[level + 1] AS seg FROM tree WHERE level < len(segs))))
+    WINDOW nm AS (PARTITION BY host, node, name)))
+  WINDOW o AS (PARTITION BY host, node, known ORDER BY share, name, shape)))
+WINDOW class AS (PARTITION BY host, node, known, part))
+SELECT u.page_id, u.host, u.path, u.rule, coalesce(u.ruling, CASE WHEN t.purity >= {REJECT} THEN 'block' ELSE 'allow' END) AS verdict, t.template, round(t.purity, 6) AS purity
+FROM urls u LEFT JOIN tree t ON u.host = t.host AND u.shape = t.shape AND t.level = len(t.segs)"""
