@@ -723,13 +723,13 @@ def brute_templates(urls):
     for i, url in enumerate(urls):
         host, path, rule = brute_rule(url)
         segs = [next((to for form, to in forms if form.search(s)), s) for s in path.split("/")[1:]]
-        hosts.setdefault(host, []).append((i, segs + ["/"], rule and rule.verdict))
+        hosts.setdefault(host, []).append((i, segs + ["?"], rule and rule.verdict))
     out = {}
 
     def grow(rows, level, purity, templates):
         """templates: the path of names of each row, before its node was merged."""
         kids = Counter(segs[level] for _, segs, _ in rows)
-        name = {s: s if len(kids) <= U.MAX_KIDS or U.SHARE * n >= len(rows) or s == "/" else "*" for s, n in kids.items()}
+        name = {s: s if len(kids) <= U.MAX_KIDS or U.SHARE * n >= len(rows) or s == "?" else "*" for s, n in kids.items()}
         groups = defaultdict(list)
         for row in rows:
             groups[name[row[1][level]]].append(row)
@@ -738,7 +738,7 @@ def brute_templates(urls):
         classes, last = [[s] for s, (_, n) in labels.items() if n < U.LEAST_LABELLED], None
         for _, s in known:
             b, n = labels[s]
-            if last:
+            if last is not None:
                 b0, n0 = labels[last]
                 p = (b + b0) / (n + n0)
                 if abs(b / n - b0 / n0) <= U.SIGMAS * (p * (1 - p) * (1 / n + 1 / n0)) ** 0.5:
@@ -753,10 +753,10 @@ def brute_templates(urls):
             here = purity if level and len(inside) == len(rows) else (b + U.WEIGHT * purity) / (n + U.WEIGHT)
             longer = {}
             for i, segs, _ in inside:
-                longer[i] = templates[i] if segs[level] == "/" else templates[i] + "/" + name[segs[level]]
-            deeper = [row for row in inside if row[1][level] != "/"]
+                longer[i] = templates[i] if segs[level] == "?" else templates[i] + "/" + name[segs[level]]
+            deeper = [row for row in inside if row[1][level] != "?"]
             for i, segs, v in inside:
-                if segs[level] == "/":
+                if segs[level] == "?":
                     out[i] = (v or ("block" if here >= U.REJECT else "allow"), longer[i], round(here, 6))
             if deeper:
                 # what ends here is another child than what goes on, so it counts among the node's rows

@@ -85,8 +85,8 @@ paths AS (SELECT page_id, translate(raw, '{upper}', '{lower}') AS host, regexp_e
 SELECT page_id, host, path, {_rule(rules, 0)} AS rule, {_rule(rules, 1)} AS ruling, {shaped.format(lambda_ + " " + _shape("s", matches))} AS shape FROM paths"""
 
 
-#: The end of a path as a segment; no segment holds a slash.
-END = "/"
+#: The end of a path as a segment; no path holds a question mark.
+END = "?"
 
 
 def _apart(bad: Column, n: Column, bad0: Column, n0: Column) -> Column:
@@ -157,17 +157,17 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 #: The same results by another way: the tree grows by recursion over paths, with windows in place of grouped joins.
 ORACLE = f"""WITH RECURSIVE urls AS ({paths("pages", RULES, "regexp_matches", "lambda s:", "array_to_string(list_transform(string_split(path, '/'), {}), '/')")}),
 tree AS (
-SELECT host, shape, list_append(string_split(shape, '/')[2:], '/') AS segs, count(*) AS n, count(*) FILTER (WHERE ruling = 'allow') AS good, count(*) FILTER (WHERE ruling = 'block') AS bad,
+SELECT host, shape, list_append(string_split(shape, '/')[2:], '{END}') AS segs, count(*) AS n, count(*) FILTER (WHERE ruling = 'allow') AS good, count(*) FILTER (WHERE ruling = 'block') AS bad,
   0 AS level, '' AS node, '' AS template, {PRIOR}::DOUBLE AS purity FROM urls GROUP BY host, shape
 UNION ALL
-SELECT host, shape, segs, n, good, bad, level + 1, node || '/' || min(name) OVER class, CASE WHEN seg = '/' THEN template ELSE template || '/' || name END,
+SELECT host, shape, segs, n, good, bad, level + 1, node || '/' || min(name) OVER class, CASE WHEN seg = '{END}' THEN template ELSE template || '/' || name END,
   CASE WHEN level > 0 AND sum(n) OVER class = total THEN purity ELSE (sum(bad) OVER class + {WEIGHT}::DOUBLE * purity) / (sum(good + bad) OVER class + {WEIGHT}::DOUBLE) END
 FROM (SELECT *, sum(parts) OVER (PARTITION BY host, node, known ORDER BY share, name, shape ROWS UNBOUNDED PRECEDING) AS part FROM (
   SELECT *, CASE WHEN lag(name) OVER o = name THEN 0
     WHEN known AND abs(b / m - lag(b) OVER o / lag(m) OVER o) <= {SIGMAS}::DOUBLE * sqrt((b + lag(b) OVER o) / (m + lag(m) OVER o) * (1::DOUBLE - (b + lag(b) OVER o) / (m + lag(m) OVER o)) * (1::DOUBLE / m + 1::DOUBLE / lag(m) OVER o)) THEN 0 ELSE 1 END AS parts
   FROM (SELECT *, m >= {LEAST_LABELLED} AS known, CASE WHEN m >= {LEAST_LABELLED} THEN b / m END AS share FROM (
     SELECT *, (sum(bad) OVER nm)::DOUBLE AS b, (sum(good + bad) OVER nm)::DOUBLE AS m FROM (
-      SELECT *, CASE WHEN kids <= {MAX_KIDS} OR {SHARE} * kn >= total OR seg = '/' THEN seg ELSE '*' END AS name FROM (
+      SELECT *, CASE WHEN kids <= {MAX_KIDS} OR {SHARE} * kn >= total OR seg = '{END}' THEN seg ELSE '*' END AS name FROM (
         SELECT *, count(DISTINCT seg) OVER (PARTITION BY host, node) AS kids, sum(n) OVER (PARTITION BY host, node, seg) AS kn, sum(n) OVER (PARTITION BY host, node) AS total
         FROM (SELECT *, segs[level + 1] AS seg FROM tree WHERE level < len(segs))))
     WINDOW nm AS (PARTITION BY host, node, name)))
