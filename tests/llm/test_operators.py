@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import html as entities
+import os
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 from veclattice.llm import decontaminate, htmltext, langid, mixing, ngram_join, quality, queries, secrets, substring_dedup, textcodes, toxicity, urlfilter
 from veclattice.llm.common import table
 
+ROOT = Path(__file__).resolve().parents[2]
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use inside.
@@ -788,3 +791,13 @@ def test_templates_deep(spark):
     assert {i: (v, t) for i, (v, t, _) in got.items()} == {i: (v, t) for i, (v, t, _) in brute.items()}
     assert all(abs(got[i][2] - brute[i][2]) < 2e-6 for i in got)
     assert any("*" in t for _, t, _ in got.values()) and any(v == "block" and brute_rule(urls[i])[2] is None for i, (v, _, _) in got.items())
+
+
+def test_dictionaries_same_in_every_process():
+    """The order of sets of words differs from process to process and must not reach the dictionaries."""
+    import subprocess
+    import sys
+
+    code = "import random, hashlib; from veclattice.llm import toxicity as t; r = random.Random(1); w = ['w%d' % i for i in range(400)]; x = [' '.join(r.choices(w, k=60)) for _ in range(80)]; print(hashlib.sha256(b'|'.join(t.dictionaries([a + ' nastyword' for a in x[:30]], x[30:]))).hexdigest())"
+    out = {subprocess.run([sys.executable, "-c", code], env={**os.environ, "PYTHONHASHSEED": str(k)}, capture_output=True, text=True, check=True, cwd=ROOT).stdout for k in (1, 2, 3)}
+    assert len(out) == 1

@@ -98,7 +98,7 @@ def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
     rng = np.random.default_rng(11)
     bad = [w for t in tox for w in t if any(w[:n] in marks for n in STEMS)]
     common = Counter(w for t in plain_ for w in set(t) if len(w) > 4)
-    good = [w for w, n in common.items() if n > 1 for _ in range(min(n, 5))]
+    good = [w for w, n in sorted(common.items()) if n > 1 for _ in range(min(n, 5))]  # in an order that is the same in every process
     bad, good = [bad[i] for i in rng.permutation(len(bad))], [good[i] for i in rng.permutation(len(good))]
     return _dictionary(bad, TOXIC_DICT, 24), _dictionary(good, ORDINARY_DICT, 32)
 
