@@ -8,6 +8,7 @@ search are the documents (or benchmark items) whose id is divisible by 100.
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -456,6 +457,28 @@ def staged_vs_exact_overlap(spark, sf):
     return evaluate.overlap_at_k(_staged(spark, sf), maxsim_topk(spark, sf), K)
 
 
+_ADAPTIVE_SQL = (STAGES + ", " + _approximate_sql(None)).replace(f"rn <= {PROBE})", "rn <= (SELECT probe FROM par))").replace(f"<= {CAP})", "<= (SELECT full_scores FROM par))").replace("t.dv)) AS m FROM kept", "d.dv)) AS m FROM kept").replace("JOIN t ON kept.doc_id = t.doc_id", "JOIN d ON kept.doc_id = d.doc_id")
+_ADAPTIVE_SQL = f"""WITH num AS (SELECT count(DISTINCT vec_id // 8) AS n FROM embeddings),
+par AS (SELECT CASE WHEN n <= 100 THEN n WHEN n <= 500 THEN greatest({40 * K}, least(200, n)) WHEN n <= 2000 THEN greatest({60 * K}, 250) ELSE greatest({80 * K}, 300) END AS full_scores,
+CASE WHEN n <= 100 THEN least(16, n) WHEN n <= 500 THEN greatest(8, least(24, n // 4)) WHEN n <= 2000 THEN least(32, greatest(24, n // 80)) ELSE least(48, greatest(32, n // 100)) END AS probe FROM num),
+{_ADAPTIVE_SQL}"""
+
+
+@query(f"{_ADAPTIVE_SQL} {TOP}")
+def staged_search_adaptive(spark, sf):
+    """Probes and cap by the number of documents; what the cap keeps is scored with the original vectors."""
+    n = tokens(spark, sf).select("doc_id").distinct().count()
+    p = replace(params.adaptive(n, K), centroid_score_threshold=None)
+    assigned = _assigned(spark, sf)
+    return search.staged(tokens(spark, sf), assigned, codec.inverted_lists(assigned), _centroids(spark, sf), query_tokens(spark, sf), p)
+
+
+@query(f"{_ADAPTIVE_SQL}, h AS ({TOP}), em AS (SELECT query_id, doc_id, qtok, max(list_inner_product(qv, dv)) AS best FROM q CROSS JOIN d GROUP BY ALL), es AS (SELECT query_id, doc_id, round(sum(best), 6) AS score FROM em GROUP BY ALL), eh AS ({TOP.replace('FROM s', 'FROM es')}) SELECT h.query_id, count(eh.doc_id) / count(*) AS overlap FROM h LEFT JOIN eh ON h.query_id = eh.query_id AND h.doc_id = eh.doc_id GROUP BY h.query_id")
+def staged_adaptive_recall(spark, sf):
+    """Recall of the adaptive search against exact search, for each query."""
+    return evaluate.overlap_at_k(staged_search_adaptive(spark, sf), maxsim_topk(spark, sf), K)
+
+
 # -- the index on disk
 
 
