@@ -50,10 +50,10 @@ def kmeans_centroids(tokens: DataFrame, k: int, iterations: int = 4, per_centroi
 
 def centroid_block(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Ids and matrix; bounded, as centroids grow with the square root of the tokens."""
+    if (centroids.agg(F.sum(F.size("v").cast("long"))).first()[0] or 0) > CENTROID_BLOCK:
+        raise ValueError("too many centroids for one block")
     rows = centroids.select("centroid_id", V.doubles("v").alias("v")).orderBy("centroid_id").collect()
     matrix = np.array([r[1] for r in rows], dtype=np.float64)
-    if matrix.size > CENTROID_BLOCK:
-        raise ValueError("too many centroids for one block")
     return np.array([r[0] for r in rows], dtype=np.int64), matrix
 
 

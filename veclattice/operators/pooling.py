@@ -24,20 +24,41 @@ def pool(rows: np.ndarray, factor: int) -> np.ndarray:
     want = max(1, len(tail) // factor)
     if want >= len(tail):
         return rows
-    sums, sizes = [r.copy() for r in tail], [1] * len(tail)
-    while len(sums) > want:
-        c = np.stack(sums) / np.array(sizes)[:, None]
-        n = np.sqrt((c * c).sum(1))
-        unit = c / np.where(n == 0, 1, n)[:, None]
-        distance = 1 - unit @ unit.T
-        distance[np.tril_indices(len(c))] = np.inf
-        i, j = divmod(int(distance.argmin()), len(c))
-        merged, size = sums[i] + sums[j], sizes[i] + sizes[j]
-        for k in (j, i):
-            del sums[k], sizes[k]
-        sums.append(merged)
-        sizes.append(size)
-    return np.vstack([np.stack(sums) / np.array(sizes)[:, None], first])
+    # clusters lie in slots in the order of the list; a merged one takes the next slot, the two it is made of are closed
+    n, dim = tail.shape
+    last = 2 * n - want
+    sums, sizes, unit = np.zeros((last, dim)), np.ones(last), np.zeros((last, dim))
+    distance = np.full((last, last), np.inf)
+    sums[:n] = tail
+    unit[:n] = _unit(tail)
+    distance[:n, :n] = 1 - unit[:n] @ unit[:n].T
+    distance[np.tril_indices(last)] = np.inf
+    live = np.arange(last) < n
+    # the first of each slot's nearest later slots; only rows that lose theirs look again
+    near = distance.argmin(1)
+    least = distance[np.arange(last), near]
+    for new in range(n, last):
+        i = int(least.argmin())
+        j = int(near[i])
+        live[[i, j]] = False
+        distance[[i, j]] = distance[:, [i, j]] = np.inf
+        least[[i, j]] = np.inf
+        for k in np.flatnonzero(live & ((near == i) | (near == j))):
+            near[k] = distance[k].argmin()
+            least[k] = distance[k, near[k]]
+        sums[new], sizes[new] = sums[i] + sums[j], sizes[i] + sizes[j]
+        unit[new] = _unit(sums[new : new + 1] / sizes[new])[0]
+        others = np.flatnonzero(live)
+        distance[others, new] = 1 - unit[others] @ unit[new]
+        closer = others[distance[others, new] < least[others]]
+        near[closer], least[closer] = new, distance[closer, new]
+        live[new] = True
+    return np.vstack([sums[live] / sizes[live][:, None], first])
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    n = np.sqrt((rows * rows).sum(1))
+    return rows / np.where(n == 0, 1, n)[:, None]
 
 
 def pool_tokens(tokens: DataFrame, factor: int) -> DataFrame:

@@ -27,13 +27,18 @@ def unit_tokens(tokens: DataFrame) -> DataFrame:
     return tokens.select("doc_id", "token_pos", V.normalize(V.doubles("v")).alias("v"))
 
 
+def _block_rows(queries: DataFrame) -> list:
+    """Query tokens in order; their numbers are counted before any vector comes to the driver."""
+    if (queries.agg(F.sum(F.greatest(F.size("v"), F.lit(1)).cast("long"))).first()[0] or 0) > QUERY_BLOCK:
+        raise ValueError("too many query tokens for one block; split the queries")
+    return queries.select("query_id", "qtok", "v").orderBy("query_id", "qtok").collect()
+
+
 class QueryBlock:
     """Query tokens as one matrix, ordered by query and token; all-zero rows are padding and score nothing."""
 
     def __init__(self, queries: DataFrame):
-        rows = queries.select("query_id", "qtok", "v").orderBy("query_id", "qtok").limit(QUERY_BLOCK + 1).collect()
-        if sum(len(r[2] or []) for r in rows) > QUERY_BLOCK:
-            raise ValueError("too many query tokens for one block; split the queries")
+        rows = _block_rows(queries)
         sizes = {len(r[2]) for r in rows}
         if len(sizes) > 1:
             raise DimensionMismatch(*sorted(sizes)[:2])
@@ -108,11 +113,9 @@ def search_exact(documents: DataFrame, queries: DataFrame, k: int, subset: DataF
 
 def interaction_matrix(documents: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, qtok, doc_id, token_pos and dot of every pair of tokens; queries are a checked block."""
-    rows = queries.select("query_id", "qtok", "v").orderBy("query_id", "qtok").limit(QUERY_BLOCK + 1).collect()
+    rows = _block_rows(queries)
     ids = [(r[0], r[1]) for r in rows]
     matrix = np.array([r[2] for r in rows], dtype=np.float64)
-    if matrix.size > QUERY_BLOCK:
-        raise ValueError("too many query tokens for one block; split the queries")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q, t = np.array([i for i, _ in ids], dtype=np.int64), np.array([j for _, j in ids], dtype=np.int64)
