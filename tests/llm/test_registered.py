@@ -29,7 +29,7 @@ def test_sql(spark, name):
 
 
 def test_names():
-    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 14))
 
 
 def test_pipeline(spark):

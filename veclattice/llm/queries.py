@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, htmltext, langid, mixing, ngram_join, quality, secrets, substring_dedup, toxicity, urlfilter
+from . import decontaminate, htmltext, langid, lexical, mixing, ngram_join, quality, secrets, substring_dedup, tokencount, toxicity, urlfilter, whitening
 from .common import table
 
 
@@ -58,7 +58,19 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_secret_scan, op3_source_mix, op4_toxicity, op5_language_id, op6_substring_dedup, op7_ngram_jaccard_join, op8_html_extraction, op9_quality_rules, op10_url_filter)}
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_secret_scan, op3_source_mix, op4_toxicity, op5_language_id, op6_substring_dedup, op7_ngram_jaccard_join, op8_html_extraction, op9_quality_rules, op10_url_filter, op11_embedding_whitening, op12_ranked_search, op13_token_counts)}
 #: Further queries of operators that have one above.
 FURTHER = {f.__name__: f for f in (ngram_jaccard_links,)}
 _SPLIT = "list_filter(string_split_regex(coalesce({}, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
@@ -89,7 +101,7 @@ f AS (SELECT x, min(y) AS least FROM e WHERE same GROUP BY x),
 u AS (SELECT doc_id FROM d LEFT JOIN f ON f.x = doc_id WHERE least IS NULL OR least > doc_id)
 SELECT x AS doc_id, y AS linked_id FROM l WHERE NOT same AND x IN (SELECT doc_id FROM u) AND y IN (SELECT doc_id FROM u)"""
 
-#: Mixing (3) is a search for a subset, and 4, 5, 8 and 9 are trained or read HTML: they have no SQL and are tested by brute force.
+#: Mixing (3) is a search for a subset, 4, 5, 8 and 9 are trained or read HTML, 11 needs eigenvectors and 13 a tokenizer: they have no SQL and are tested by brute force.
 SQL: dict[str, str] = {
     "op1_decontamination": decontaminate.oracle(),
     "op2_secret_scan": secrets.oracle(),
@@ -97,4 +109,5 @@ SQL: dict[str, str] = {
     "op7_ngram_jaccard_join": _JACCARD,
     "ngram_jaccard_links": _PAIRS,
     "op10_url_filter": urlfilter.ORACLE,
+    "op12_ranked_search": lexical.ORACLE,
 }
