@@ -19,6 +19,7 @@ from ..functions import vectors as V
 from ..operators import catalog, chunk, codec, encode, evaluate, metadata, mutate, pooling, score, search
 from ..operators.predicate import where
 from ..operators.index import VectorIndex
+from ..operators.segments import SegmentIndex
 from ..schema import IndexConfig, SearchParameters
 from ..session import shared_folder
 from ..sources import ingest
@@ -520,6 +521,83 @@ def index_delete(spark, sf):
     return VectorIndex.open(spark, path).table("doclens").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("n_tokens").cast("long").alias("n_tokens"))
 
 
+# -- the segmented index
+
+#: Small blocks and files of lists, so that small tables have many; nothing is built anew.
+SEGMENTED = replace(INDEXED, rebuild_up_to=0, block=16, bucket=2)
+
+
+def _segmented(spark, sf, config: IndexConfig = SEGMENTED) -> SegmentIndex:
+    path = _new_folder(spark)
+    SegmentIndex.create(spark, path, tokens(spark, sf), config)
+    return SegmentIndex.open(spark, path)
+
+
+@query(SQL["staged_search"])
+def packed_search(spark, sf):
+    """Packed codes on disk, scored by look-up tables."""
+    return _searched(spark, sf, _segmented(spark, sf))
+
+
+@query(SQL["staged_search_threshold"])
+def packed_search_threshold(spark, sf):
+    p = SearchParameters(n_full_scores=CAP, n_ivf_probe=PROBE, top_k=K, centroid_score_threshold=0.25)
+    return _segmented(spark, sf).search(query_tokens(spark, sf), p)
+
+
+@query(SQL["maxsim_topk"])
+def certified_search(spark, sf):
+    """Exactly the result of exact search, from bounds and the documents that could pass them."""
+    return _segmented(spark, sf, replace(SEGMENTED, nbits=4)).certified(query_tokens(spark, sf), K)[0]
+
+
+@query()
+def certified_effort(spark, sf):
+    """Of each query: all documents, those in probed lists, those that were scored, and lists probed for each token."""
+    report = _segmented(spark, sf, replace(SEGMENTED, nbits=4)).certified(query_tokens(spark, sf), K)[1]
+    return spark.createDataFrame([tuple(r.values()) for r in report], "query_id long, documents long, candidates long, scored long, probes long")
+
+
+@query(SQL["maxsim_subset"].replace("(SELECT doc_id FROM labels WHERE quality = 1)", "(SELECT doc_id FROM labels WHERE quality = 1)"))
+def certified_subset(spark, sf):
+    """A query that may see some documents only: the others are neither candidates nor scored."""
+    allowed = table(spark, sf, "labels").where("quality = 1").select(F.lit(0).cast("long").alias("query_id"), "doc_id")
+    return _segmented(spark, sf, replace(SEGMENTED, nbits=4)).certified(query_tokens(spark, sf), K, subset=allowed)[0]
+
+
+_APPENDED = SQL["staged_search"].replace(f"FROM n WHERE vec_id % {EVERY} = 0", f"FROM n WHERE vec_id % {EVERY} = 0 AND vec_id < 320").replace("unnest(r) AS x FROM r)", "unnest(r) AS x FROM r WHERE doc_id < 40)")
+
+
+@query(_APPENDED)
+def index_append_incremental(spark, sf):
+    """Segments: the first 40 documents give the codebook, the others come in four appends, which are merged; no vectors are kept."""
+    path, t = _new_folder(spark), tokens(spark, sf)
+    index = SegmentIndex.create(spark, path, t.where("doc_id < 40"), replace(SEGMENTED, keep_vectors=False, fan=2))
+    last = t.agg(F.max("doc_id")).first()[0] + 1
+    ends = [40 + (last - 40) * i // 4 for i in range(5)]
+    for a, b in zip(ends[:-1], ends[1:], strict=True):
+        index, _ = index.append(t.where(f"doc_id >= {a} and doc_id < {b}").withColumn("doc_id", F.col("doc_id") - a))
+    return _searched(spark, sf, SegmentIndex.open(spark, path))
+
+
+@query(SQL["staged_search"].replace("JOIN a ON p.centroid_id = a.centroid_id)", "JOIN a ON p.centroid_id = a.centroid_id WHERE a.doc_id % 3 <> 1)").replace(TOP, f"SELECT query_id, rank, doc_id - (doc_id + 1) // 3 AS doc_id, score FROM ({TOP})"))
+def index_delete_search(spark, sf):
+    """A third of the documents leave by bitmaps; codes stay as they are, survivors are renumbered where they are read."""
+    index = _segmented(spark, sf)
+    index, _ = index.delete(spark.range(1, index.num_documents, 3).select(F.col("id").alias("doc_id")))
+    return _searched(spark, sf, index)
+
+
+@query("SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_id, source AS document_name, doc_id AS chunk_index FROM documents WHERE doc_id IN (SELECT vec_id // 8 FROM embeddings) AND doc_id % 3 <> 1 AND doc_id % 7 <> 0")
+def index_delete_metadata(spark, sf):
+    """Metadata after two deletes, of which the second names the new ids."""
+    path, t = _new_folder(spark), tokens(spark, sf)
+    index = SegmentIndex.create(spark, path, t, SEGMENTED, _chunks(spark, sf).join(t.select("doc_id").distinct(), "doc_id", "left_semi"))
+    index, _ = index.delete(spark.range(1, index.num_documents, 3).select(F.col("id").alias("doc_id")))
+    index, _ = index.delete(index.chunks().where("chunk_index % 7 = 0").select("doc_id"))
+    return SegmentIndex.open(spark, path).chunks().select("doc_id", "document_name", F.col("chunk_index").cast("long").alias("chunk_index"))
+
+
 # -- parameters
 
 

@@ -71,6 +71,11 @@ class IndexConfig:
     rebuild_up_to: int = 999
     centroids: str = "kmeans"  # or "deterministic"
     every: int | None = None  # deterministic centroids: each token of so many; else as many as k-means would have
+    # of segmented indexes: documents of a block, centroids of a file of lists, whether vectors are kept, segments of a size that are merged
+    block: int = 4096
+    bucket: int = 64
+    keep_vectors: bool = True
+    fan: int = 4
 
     def __post_init__(self):
         if self.nbits not in (1, 2, 4, 8):
