@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 #: Documents of one tree, bytes of items that are searched at a time, and children of a node whose bounds are summed as arrays.
-BLOCK, ITEM_BYTES, WIDE = 8192, 8_000_000, 64
+BLOCK, ITEM_BYTES, WIDE = 4096, 8_000_000, 64
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
