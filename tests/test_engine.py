@@ -13,7 +13,9 @@ from veclattice.errors import DimensionMismatch, EmptyEmbeddingSet, EmptyInput,
 from veclattice.functions import text as X
 from veclattice.functions import vectors as V
 from veclattice.operators import chunk, codec, encode, evaluate, metadata, mutate, pooling, predicate, score, search
+from veclattice.operators import packed
 from veclattice.operators.index import VectorIndex
+from veclattice.operators.segments import SegmentIndex
 from veclattice.plans import params
 from veclattice.schema import IndexConfig, SearchParameters
 from veclattice.sources import ingest
@@ -166,7 +168,7 @@ def test_vectors(spark):
 @given(st.sampled_from([1, 2, 4, 8]), st.lists(st.integers(0, 255), min_size=1, max_size=40))
 def test_codes_round_trip(nbits, values):
     v = np.array(values) % (1 << nbits)
-    assert (codec.unpack_codes(codec.pack_codes(v, nbits), nbits, len(v)) == v).all()
+    assert (packed.unpack(packed.pack(v[None], nbits), nbits, len(v))[0] == v).all()
 
 
 def test_pooling():
@@ -247,7 +249,7 @@ def test_stream(spark, tmp_path):
         spark.createDataFrame([(name, text)], "document_name string, text string").write.mode("append").parquet(str(tmp_path / "in"))
     stream = streaming.stream_files(spark, str(tmp_path / "in"), "document_name string, text string", files_per_batch=2)
     streaming.ingest(stream, str(tmp_path / "index"), encode.HashEncoder(), str(tmp_path / "state"), IndexConfig(nbits=8, centroids="deterministic")).awaitTermination()
-    index = VectorIndex.open(spark, str(tmp_path / "index"))
+    index = SegmentIndex.open(spark, str(tmp_path / "index"))
     assert index.num_documents == 3 and index.num_embeddings == 9
     q = spark.createDataFrame([(0, i, v.tolist()) for i, v in enumerate(encode.encode_query("two three", encode.HashEncoder(), 2))], "query_id long, qtok int, v array<double>")
     hit = metadata.enrich(index.search(q, EVERYTHING).where("rank = 1"), index.chunks()).first()
@@ -273,6 +275,16 @@ def test_service(spark, tmp_path):
     assert s.delete_document("b.txt") == 2
     with pytest.raises(IndexNotFound):
         s.search("blue")
+    s.delete_index()
+    s.index_documents(spark.createDataFrame([("c", "one , two . three")], "document_name string, text string"))
+    # punctuation is not encoded; the same model keeps the index, another one removes it
+    assert s.cache.open(spark, s.path).num_embeddings == 3
+    assert not s.switch_model("hash", encode.HashEncoder(), schema.ModelConfig(32)) and s.documents().count() == 1
+    assert s.switch_model("other", encode.HashEncoder(), schema.ModelConfig(32, document_length=4))
+    with pytest.raises(IndexNotFound):
+        s.documents()
+    s.index_documents(spark.createDataFrame([("c", "one two three")], "document_name string, text string"))
+    assert s.cache.open(spark, s.path).num_embeddings == 2 and s.cache.open(spark, s.path).meta["model_id"] == "other"
 
 
 def test_generator_and_progress():
@@ -300,10 +312,27 @@ def test_split_long_keeps_the_text():
     assert chunk.split_long("a; b", 9, count) == ["a; b"]
 
 
+@pytest.mark.parametrize("flat", [64, 4])
+def test_kmeans(spark, monkeypatch, flat):
+    """Reruns agree, ids are dense, and centroids fit better than they did at first; hot cells are dealt over several groups."""
+    r = np.random.default_rng(3)
+    centres = r.standard_normal((5, 6))
+    x = np.vstack([centres[r.integers(0, 5, 150)] + 0.2 * r.standard_normal((150, 6)), np.tile(centres[0], (150, 1))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tokens = spark.createDataFrame([(i // 3, i % 3, v.tolist()) for i, v in enumerate(x)], "doc_id long, token_pos int, v array<double>")
+    monkeypatch.setattr(codec, "FLAT", flat)
+    monkeypatch.setattr(codec, "CELL", 40)
+    fit = lambda n: np.array([r["v"] for r in codec.kmeans_centroids(tokens.repartition(n), 20, iterations=3).orderBy("centroid_id").collect()])
+    a, b = fit(1), fit(3)
+    assert a.shape[0] <= 20 and a.shape == b.shape and np.allclose(a, b, atol=1e-8)
+    assert (x @ a.T).max(1).mean() > 0.95 and np.allclose(np.linalg.norm(a, axis=1), 1)
+
+
 def test_replayed_batch(spark, tmp_path):
     docs = spark.createDataFrame([("a", "one two three"), ("b", "four five")], "document_name string, text string")
     run = streaming.index_batch(f"{tmp_path}/index", encode.HashEncoder())
-    counted = lambda: VectorIndex.open(spark, f"{tmp_path}/index").num_documents
-    for batch, want in ((0, 2), (0, 2), (1, 4), (1, 4)):
+    counted = lambda: SegmentIndex.open(spark, f"{tmp_path}/index").num_documents
+    # also out of turn
+    for batch, want in ((0, 2), (0, 2), (1, 4), (0, 4), (1, 4)):
         run(docs, batch)
         assert counted() == want

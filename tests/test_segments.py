@@ -83,7 +83,7 @@ def test_bitmaps():
 def test_certified_is_exact(spark, tmp_path, rows, queries):
     index = SegmentIndex.create(spark, f"{tmp_path}/i", frame(spark, rows), replace(CONFIG, nbits=4))
     want = exact(spark, rows, queries)
-    got, report = index.certified(queries, 5, probes=1)
+    got, report = index.certified(queries, 5, probes=3)
     assert hits(got) == want
     assert all(5 <= r["scored"] <= r["candidates"] <= r["documents"] == 60 for r in report) and min(r["scored"] for r in report) < 30
     # more than there are, a subset, and a query that sees all

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .errors import EmptyInput, EngineError
 from .functions import text as X
 from .operators import encode, metadata
-from .operators.index import VectorIndex
+from .operators.segments import SegmentIndex
 from .operators.mutate import append_ids
 from .plans import params
 from .schema import IndexConfig, resolve_model
@@ -61,7 +61,7 @@ def _query(spark: SparkSession, text: str, encoder: encode.Encoder, length: int)
     return spark.createDataFrame([(0, i, v.tolist()) for i, v in enumerate(m)], "query_id long, qtok int, v array<double>")
 
 
-def _show(index: VectorIndex, hits: DataFrame) -> None:
+def _show(index: SegmentIndex, hits: DataFrame) -> None:
     chunks = index.chunks()
     rows = metadata.enrich(hits, chunks).orderBy("rank").collect() if chunks is not None else hits.orderBy("rank").collect()
     for r in rows:
@@ -73,25 +73,25 @@ def demo(spark: SparkSession, a) -> int:
     encoder = _encoder(a.model)
     path = index_path(a.index_name)
     if a.existing:
-        index = VectorIndex.open(spark, path, a.model)
+        index = SegmentIndex.open(spark, path, a.model)
         p = params.for_existing_index(index.num_documents, a.top_k, index.meta["num_partitions"])
     else:
         docs = _texts(spark, a.docs, a.files, True).cache()
         if docs.isEmpty():
             raise EmptyInput("no text to index")
         chunks = docs.select("doc_id", F.concat(F.lit("document "), F.col("doc_id").cast("string")).alias("document_name"), "chunk_text")
-        index = VectorIndex.create(spark, path, encode.encode_documents(docs, encoder), IndexConfig(nbits=a.nbits, seed=a.seed), chunks, a.model)
+        index = SegmentIndex.create(spark, path, encode.encode_documents(docs, encoder), IndexConfig(nbits=a.nbits, seed=a.seed), chunks, a.model)
         p = params.for_new_index(index.num_documents, a.top_k, a.nbits)
     print(f"{path}: {index.num_documents} documents, {index.num_embeddings} embeddings of {index.dim} dimensions")
     if a.query:
         _show(index, index.search(_query(spark, a.query, encoder, config.query_length), p))
     if not a.existing and not a.keep and a.index_name is None:
-        VectorIndex.drop(spark, path)
+        SegmentIndex.drop(spark, path)
     return 0
 
 
 def update(spark: SparkSession, a) -> int:
-    index = VectorIndex.open(spark, index_path(a.index_name), a.model)
+    index = SegmentIndex.open(spark, index_path(a.index_name), a.model)
     docs = _texts(spark, a.docs, a.files, False).cache()
     chunks = docs.select("doc_id", F.concat(F.lit("document "), (F.col("doc_id") + index.num_documents).cast("string")).alias("document_name"), "chunk_text")
     _, ids = index.append(encode.encode_documents(docs, _encoder(a.model)), chunks)
@@ -100,7 +100,7 @@ def update(spark: SparkSession, a) -> int:
 
 
 def delete(spark: SparkSession, a) -> int:
-    index = VectorIndex.open(spark, index_path(a.index_name))
+    index = SegmentIndex.open(spark, index_path(a.index_name))
     ids = spark.createDataFrame([(i,) for i in a.doc_ids], "doc_id long")
     if a.ids_file:
         ids = ids.unionByName(ingest.ids_file(spark, a.ids_file))
@@ -121,7 +121,7 @@ def remap_test(spark: SparkSession, a) -> int:
         return index.search(q, SearchParameters(n_ivf_probe=1024, centroid_score_threshold=None, top_k=1)).first()["doc_id"]
 
     with tempfile.TemporaryDirectory() as folder:
-        index = VectorIndex.create(spark, os.path.join(folder, "i"), tokens(range(5)), IndexConfig(nbits=4, centroids="deterministic"))
+        index = SegmentIndex.create(spark, os.path.join(folder, "i"), tokens(range(5)), IndexConfig(nbits=4, centroids="deterministic"))
         index, ids = index.append(tokens([5, 6]))
         checks = [ids == [5, 6]]
         index, _ = index.delete([2])

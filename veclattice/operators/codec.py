@@ -14,10 +14,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..session import checkpointed
 
 #: Centroids may travel with the plan up to so many numbers.
 CENTROID_BLOCK = 64_000_000
 EXACT_CUTOFFS_UP_TO = 1_000_000
+#: More centroids than this are fitted in two levels; a cell's tokens meet its fine centroids in groups of about so many.
+FLAT, CELL = 4096, 65_536
 
 
 def partitions_for(tokens: int) -> int:
@@ -34,18 +37,150 @@ def deterministic_centroids(tokens: DataFrame, every: int) -> DataFrame:
 
 
 def kmeans_centroids(tokens: DataFrame, k: int, iterations: int = 4, per_centroid: int = 256, seed: int | None = 42) -> DataFrame:
-    """centroid_id and unit v from a sample of at most k * per_centroid tokens (documented bound of the fit)."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+    """centroid_id and unit v, from at most about k * per_centroid tokens (documented bound of the fit), drawn by hash.
 
+    Reruns agree: tokens and the first centroids are those of least hash.  There are never more centroids than different
+    vectors; one that no token is nearest to stays where it is.  Beyond FLAT centroids two levels are fitted.
+    """
     n = tokens.count()
-    fraction = min(1.0, k * per_centroid / max(n, 1))
-    sample = tokens if fraction >= 1 else tokens.sample(fraction, seed=seed or 0)
-    # the fit needs as many different vectors as centroids
-    k = max(1, min(k, sample.agg(F.count_distinct(F.xxhash64("v"))).first()[0]))
-    model = KMeans(k=k, maxIter=iterations, seed=seed or 0, initMode="random", featuresCol="f").fit(sample.select(array_to_vector(V.doubles("v")).alias("f")))
-    rows = [(i, (c / max(float(np.linalg.norm(c)), 1e-12)).tolist()) for i, c in enumerate(model.clusterCenters())]
-    return tokens.sparkSession.createDataFrame(rows, "centroid_id long, v array<double>")
+    drawn = F.xxhash64("doc_id", "token_pos", F.lit(seed or 0))
+    share = min(1.0, k * per_centroid / max(n, 1))
+    sample = tokens.select("doc_id", F.col("token_pos").cast("int").alias("token_pos"), V.doubles("v").alias("v"), drawn.alias("draw"))
+    sample = (sample if share >= 1 else sample.where(F.shiftrightunsigned("draw", 1) < int(share * 2**63))).persist()
+    coarse = k if k <= FLAT else 2 ** int(np.ceil(np.log2(k) / 2))
+    first = sample.groupBy("v").agg(F.min("draw").alias("draw")).orderBy("draw").limit(coarse).select("v").collect()  # `coarse` rows
+    matrix = np.array([r[0] for r in first], dtype=np.float64)
+    matrix = lloyd(sample, _unit(matrix), iterations)
+    if k <= FLAT:
+        rows = [(i, v.tolist()) for i, v in enumerate(matrix)]
+        out = tokens.sparkSession.createDataFrame(rows, "centroid_id long, v array<double>")
+    else:
+        out = two_level(sample, matrix, max(1, k // len(matrix)), iterations)
+    sample.unpersist()
+    return out
+
+
+def _unit(matrix: np.ndarray) -> np.ndarray:
+    length = np.linalg.norm(matrix, axis=1, keepdims=True)
+    return matrix / np.where(length <= 1e-12, 1.0, length)
+
+
+def _nearest(v: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """The row of greatest product, rounded; the first of equal ones."""
+    return np.concatenate([np.round(v[i : i + 4096] @ matrix.T, 9).argmax(1) for i in range(0, len(v), 4096)]) if len(v) else np.zeros(0, dtype=np.int64)
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def means(sums: DataFrame) -> DataFrame:
+    """centroid_id and the unit mean, rounded before, of partial sums(centroid_id, n, s); a row a task and centroid comes in."""
+
+    def add(part: pa.Table) -> pa.Table:
+        mean = np.round(_matrix(part["s"]).sum(0) / sum(part["n"].to_pylist()), 9)
+        return pa.table({"centroid_id": pa.array([part["centroid_id"][0].as_py()], pa.int64()), "v": pa.array([_unit(mean[None])[0].tolist()], pa.list_(pa.float64()))})
+
+    return sums.groupBy("centroid_id").applyInArrow(add, "centroid_id long, v array<double>")
+
+
+def lloyd(tokens: DataFrame, matrix: np.ndarray, iterations: int) -> np.ndarray:
+    """Centroids after so many Lloyd steps: each task sums its tokens by centroid, and sums meet by centroid."""
+    for _ in range(iterations):
+        held = matrix
+
+        def run(batches: Iterator[pa.RecordBatch], held: np.ndarray = held) -> Iterator[pa.RecordBatch]:
+            total, count = np.zeros_like(held), np.zeros(len(held), dtype=np.int64)
+            for batch in batches:
+                v = _matrix(batch.column(0))
+                best = _nearest(v, held)
+                np.add.at(total, best, v)
+                count += np.bincount(best, minlength=len(held))
+            at = np.flatnonzero(count)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(count[at]), pa.array(list(total[at]), pa.list_(pa.float64()))], ["centroid_id", "n", "s"])
+
+        moved = means(tokens.select("v").mapInArrow(run, "centroid_id long, n long, s array<double>")).collect()  # a row a centroid
+        matrix = held.copy()
+        for i, v in moved:
+            matrix[i] = v
+    return matrix
+
+
+# -- two levels: few coarse centroids travel, the fine ones of a cell meet its tokens
+
+
+def in_cells(tokens: DataFrame, coarse: np.ndarray) -> DataFrame:
+    """tokens with cell, the nearest coarse centroid."""
+    return assign(tokens, (np.arange(len(coarse)), coarse)).withColumnRenamed("centroid_id", "cell")
+
+
+def _with_cells(tokens: DataFrame, fine: DataFrame, run, schema: str) -> DataFrame:
+    """`run` of the tokens and the fine centroids of each cell; a cell of more than CELL tokens is dealt over several groups."""
+    parts = tokens.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("parts"))  # a row a cell
+    salt = F.pmod(F.xxhash64("doc_id", "token_pos"), F.col("parts")).cast("int").alias("salt")
+    left = tokens.join(F.broadcast(parts), "cell").select("cell", salt, "doc_id", "token_pos", "v")
+    # fine centroids may come from the same rows as the tokens: their columns get names of their own
+    right = fine.join(F.broadcast(parts), "cell").select(F.col("cell").alias("of"), F.explode(F.expr("sequence(0, parts - 1)")).alias("dealt"), F.col("centroid_id").alias("fine"), F.col("v").alias("c"))
+    return left.groupBy("cell", "salt").cogroup(right.groupBy("of", "dealt")).applyInArrow(run, schema)
+
+
+def _block(fine: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    ids = fine["fine"].to_numpy()
+    order = np.argsort(ids)
+    return ids[order], _matrix(fine["c"])[order]
+
+
+def assign_in_cells(tokens: DataFrame, fine: DataFrame) -> DataFrame:
+    """doc_id, token_pos, v and centroid_id: of the fine centroids(cell, centroid_id, v) of a token's cell the nearest; ties go to the lower id."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"doc_id": pa.array([], pa.int64()), "token_pos": pa.array([], pa.int32()), "v": pa.array([], pa.list_(pa.float64())), "centroid_id": pa.array([], pa.int64())})
+        ids, matrix = _block(right)
+        return pa.table({"doc_id": left["doc_id"], "token_pos": left["token_pos"], "v": left["v"], "centroid_id": pa.array(ids[_nearest(_matrix(left["v"]), matrix)])})
+
+    return _with_cells(tokens, fine, run, "doc_id long, token_pos int, v array<double>, centroid_id long")
+
+
+def lloyd_in_cells(tokens: DataFrame, fine: DataFrame, iterations: int) -> DataFrame:
+    """Fine centroids after Lloyd steps inside their cells; nothing but the groups' sums moves between steps."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"centroid_id": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "s": pa.array([], pa.list_(pa.float64()))})
+        ids, matrix = _block(right)
+        v = _matrix(left["v"])
+        best = _nearest(v, matrix)
+        total = np.zeros_like(matrix)
+        np.add.at(total, best, v)
+        count = np.bincount(best, minlength=len(ids))
+        at = np.flatnonzero(count)
+        return pa.table({"centroid_id": pa.array(ids[at]), "n": pa.array(count[at]), "s": pa.array(list(total[at]), pa.list_(pa.float64()))})
+
+    for _ in range(iterations):
+        moved = means(_with_cells(tokens, fine, run, "centroid_id long, n long, s array<double>")).withColumnRenamed("v", "m")
+        # one that no token is nearest to stays
+        fine = checkpointed(fine.join(moved, "centroid_id", "left").select("cell", "centroid_id", F.coalesce("m", "v").alias("v")))
+    return fine
+
+
+def two_level(tokens: DataFrame, coarse: np.ndarray, each: int, iterations: int) -> DataFrame:
+    """centroid_id and v: in each cell at most `each` fine centroids, begun at its different vectors of least draw; ids are dense, by cell."""
+    cells = tokens.select("doc_id", "token_pos", "v").transform(lambda t: in_cells(t, coarse)).persist()
+    # a cell's first `each` vectors: partial ranks are cut before the shuffle
+    seen = cells.groupBy("cell", "v").agg(F.min(F.xxhash64("doc_id", "token_pos")).alias("draw"))
+    first = seen.withColumn("r", F.row_number().over(Window.partitionBy("cell").orderBy("draw"))).where(F.col("r") <= each)
+    sizes = first.groupBy("cell").count().orderBy("cell").collect()  # a row a cell
+    base, at = [], 0
+    for cell, n in sizes:
+        base += [F.lit(cell), F.lit(at).cast("long")]
+        at += n
+    start = F.element_at(F.create_map(*base), F.col("cell"))
+    fine = checkpointed(first.select("cell", (start + F.col("r") - 1).alias("centroid_id"), "v"))
+    out = lloyd_in_cells(cells, fine, iterations).select("centroid_id", "v")
+    cells.unpersist()
+    return out
 
 
 def centroid_block(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -105,17 +240,6 @@ def reconstruct(coded: DataFrame, centroids: DataFrame, weights: list[float]) ->
     return raw.select("doc_id", "token_pos", "centroid_id", V.normalize(F.col("v")).alias("v"))
 
 
-def pack_codes(coded: np.ndarray, nbits: int) -> bytes:
-    """Codes at nbits each, first component in the highest bits."""
-    bits = (coded[:, None] >> np.arange(nbits - 1, -1, -1)) & 1
-    return np.packbits(bits.astype(np.uint8).ravel()).tobytes()
-
-
-def unpack_codes(data: bytes, nbits: int, dim: int) -> np.ndarray:
-    bits = np.unpackbits(np.frombuffer(data, dtype=np.uint8))[: dim * nbits].reshape(dim, nbits)
-    return (bits * (1 << np.arange(nbits - 1, -1, -1))).sum(1)
-
-
 def inverted_lists(assigned: DataFrame) -> DataFrame:
     """centroid_id, doc_ids (ascending) and n; hot lists are built from rows already distinct."""
     return assigned.select("centroid_id", "doc_id").distinct().groupBy("centroid_id").agg(F.array_sort(F.collect_list("doc_id")).alias("doc_ids"), F.count(F.lit(1)).alias("n"))

@@ -83,6 +83,11 @@ def maxsim(documents: DataFrame, queries: DataFrame | QueryBlock, subset: DataFr
     documents that a query may see; queries that it does not list see all.
     """
     block = queries if isinstance(queries, QueryBlock) else QueryBlock(queries)
+    if subset is not None:
+        # documents that no query may see are not scored, if each query names its own
+        listed = {r[0] for r in subset.select("query_id").where(F.col("query_id").isin(block.ids)).distinct().collect()}
+        if listed == set(block.ids):
+            documents = documents.join(subset.where(F.col("query_id").isin(block.ids)).select("doc_id").distinct(), "doc_id", "left_semi")
     best = token_best(documents, block)
     width = len(block.query)
     merged = best.groupBy("doc_id").agg(*[F.max(F.get("best", F.lit(k))).alias(f"b{k}") for k in range(width)])

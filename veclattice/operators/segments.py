@@ -178,6 +178,19 @@ class SegmentIndex(VectorIndex):
 
     # -- building
 
+    @classmethod
+    def start(cls, spark: SparkSession, path: str, tokens: DataFrame, config: IndexConfig | None = None, chunks: DataFrame | None = None, model_id: str = "hash", dim: int | None = None, batch: str | None = None) -> SegmentIndex:
+        """Like create, but an index that is there meanwhile stays, and is a concurrent write."""
+        return cls._build(spark, path, 0, tokens, config or IndexConfig(), chunks, model_id, dim, batch)
+
+    @classmethod
+    def holds(cls, spark: SparkSession, path: str, batch: str) -> bool:
+        """Whether there is an index at the path that has taken a batch."""
+        try:
+            return batch in cls.open(spark, path).batches
+        except IndexNotFound:
+            return False
+
     @classmethod
     def _build(cls, spark, path, version, tokens, config, chunks, model_id, dim, batch=None, batches: list[str] | None = None) -> SegmentIndex:
         unit = tokens.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("token_pos").cast("int").alias("token_pos"), V.normalize(V.doubles("v")).alias("v"))
@@ -263,6 +276,7 @@ class SegmentIndex(VectorIndex):
             return self, []
         n, version = self.num_documents, self.version + 1
         unit = tokens.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("token_pos").cast("int").alias("token_pos"), V.normalize(V.doubles("v")).alias("v"))
+        unit = unit.persist()
         added, least, most = unit.agg(F.max("doc_id") + 1, F.min(F.size("v")), F.max(F.size("v"))).first()
         if least != self.dim or most != self.dim:
             raise DimensionMismatch(self.dim, most if least == self.dim else least)
@@ -272,9 +286,11 @@ class SegmentIndex(VectorIndex):
             every = more if every is None else every if more is None else every.unionByName(more)
             both = old.unionByName(unit.withColumn("doc_id", F.col("doc_id") + n))
             index = self._build(self.spark, self.path, version, both, self._config(), every, self.meta["model_id"], self.dim, batch, sorted(self.batches))
+            unit.unpersist()
             return index, list(range(n, n + added))
         made = replace(self, version=version)
         segment = made._write_segment(unit, self.encoder(), added, chunks, [batch] if batch is not None else [])
+        unit.unpersist()
         index = self._publish_with([*map(_plain, self.segments), segment], version, batch)
         return index.compact(), list(range(n, n + added))
 

@@ -15,7 +15,7 @@ from ..schema import IndexConfig, ModelConfig
 from ..sources import ingest, sink
 from ..streaming.ingest import chunked
 from . import encode, metadata, mutate
-from .index import VectorIndex
+from .segments import SegmentIndex
 
 
 class SnapshotCache:
@@ -24,15 +24,15 @@ class SnapshotCache:
     def __init__(self):
         self._lock, self._open = threading.Lock(), {}
 
-    def open(self, spark: SparkSession, path: str) -> VectorIndex:
+    def open(self, spark: SparkSession, path: str) -> SegmentIndex:
         with self._lock:
             held = self._open.get(path)
-            latest = VectorIndex._latest(spark, path)
+            latest = SegmentIndex._latest(spark, path)
             if latest is None:
                 self._open.pop(path, None)
                 raise IndexNotFound(path)
             if held is None or held.version != latest:
-                held = self._open[path] = VectorIndex.open(spark, path)
+                held = self._open[path] = SegmentIndex.open(spark, path)
             return held
 
     def drop(self, path: str) -> None:
@@ -50,22 +50,23 @@ class SearchService:
     size: int = 180
     overlap: int = 64
     cache: SnapshotCache = field(default_factory=SnapshotCache)
+    model_id: str = "hash"
 
-    def index_directory(self, folder: str) -> VectorIndex:
+    def index_directory(self, folder: str) -> SegmentIndex:
         return self.index_documents(ingest.directory(self.spark, folder))
 
-    def index_documents(self, documents: DataFrame) -> VectorIndex:
+    def index_documents(self, documents: DataFrame) -> SegmentIndex:
         """A new index of documents(document_name, text, file_path), one row a chunk."""
         pieces = chunked(documents.select("document_name", "text"), self.size, self.overlap)
         pieces = pieces.withColumn("key", F.concat_ws("\u0001", "document_name", F.lpad(F.col("chunk_index").cast("string"), 12, "0")))
         rows = mutate.append_ids(pieces, 0, "key").drop("key")
-        tokens = encode.encode_documents(rows, self.encoder)
+        tokens = encode.encode_documents(rows, self.encoder, self.model)
         counts = tokens.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("embedding_count"))
         chunks = rows.join(counts, "doc_id")
         if "file_path" in documents.columns:
             chunks = chunks.join(documents.select("document_name", "file_path").dropDuplicates(["document_name"]), "document_name", "left")
         self.cache.drop(self.path)
-        index = VectorIndex.create(self.spark, self.path, tokens, self.config, chunks)
+        index = SegmentIndex.create(self.spark, self.path, tokens, self.config, chunks, self.model_id)
         sink.write_state(index, f"{self.path}/state")
         return index
 
@@ -90,3 +91,16 @@ class SearchService:
         else:
             sink.write_state(index, f"{self.path}/state")
         return gone.count()
+
+    def delete_index(self) -> None:
+        """Removes the index; one that is not there is no error."""
+        self.cache.drop(self.path)
+        SegmentIndex.drop(self.spark, self.path)
+
+    def switch_model(self, model_id: str, encoder: encode.Encoder, model: ModelConfig) -> bool:
+        """Another model for what comes; vectors of one model mean nothing to another, so a change removes the index."""
+        changed = model_id != self.model_id
+        if changed:
+            self.delete_index()
+        self.model_id, self.encoder, self.model = model_id, encoder, model
+        return changed

@@ -10,6 +10,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import replace
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +24,8 @@ from ..operators.segments import SegmentIndex
 from ..schema import IndexConfig, SearchParameters
 from ..session import shared_folder
 from ..sources import ingest
+from ..streaming.ingest import index_batch, stream_files
+from ..streaming.ingest import ingest as ingest_stream
 from . import params
 
 K = 5
@@ -300,6 +303,41 @@ a AS (SELECT vec_id // 8 AS doc_id, vec_id % 8 AS token_pos, v, centroid_id, cv
   SELECT n.vec_id, n.v, c.centroid_id, c.cv, row_number() OVER (PARTITION BY n.vec_id ORDER BY round(list_inner_product(n.v, c.cv), 9) DESC, c.centroid_id) AS rn FROM n CROSS JOIN c) WHERE rn = 1)"""
 
 
+def _moved_sql(assigned: str, before: str, after: str) -> str:
+    """Centroids after one Lloyd step."""
+    return f"""{after}_m AS (SELECT centroid_id, list(x ORDER BY i) AS x FROM (SELECT centroid_id, i, round(avg(v[i]), 9) AS x FROM {assigned}, unnest(range(1, len(v) + 1)) u(i) GROUP BY ALL) GROUP BY centroid_id),
+{after} AS (SELECT {before}.* EXCLUDE (cv), coalesce(list_transform(x, lambda y: y / sqrt(list_inner_product(x, x))), cv) AS cv FROM {before} LEFT JOIN {after}_m USING (centroid_id))"""
+
+
+def _nearest_sql(tokens: str, centroids: str, on: str = "true") -> str:
+    return f"""SELECT * EXCLUDE (rn) FROM (SELECT {tokens}.*, y.centroid_id, row_number() OVER (PARTITION BY {tokens}.vec_id ORDER BY round(list_inner_product({tokens}.v, y.cv), 9) DESC, y.centroid_id) AS rn FROM {tokens} JOIN {centroids} y ON {on}) WHERE rn = 1"""
+
+
+LLOYD = f"{UNIT}, c0 AS (SELECT vec_id // {EVERY} AS centroid_id, v AS cv FROM n WHERE vec_id % {EVERY} = 0), a0 AS ({_nearest_sql('n', 'c0')}), {_moved_sql('a0', 'c0', 'c1')}, a1 AS ({_nearest_sql('n', 'c1')}), {_moved_sql('a1', 'c1', 'c2')}"
+CELLS = f"""{UNIT}, k AS (SELECT vec_id // 128 AS centroid_id, v AS cv FROM n WHERE vec_id % 128 = 0), t AS (SELECT vec_id, v, centroid_id AS cell FROM ({_nearest_sql('n', 'k')})),
+f0 AS (SELECT vec_id // {EVERY} AS centroid_id, cell, v AS cv FROM t WHERE vec_id % {EVERY} = 0), b0 AS ({_nearest_sql('t', 'f0', 't.cell = y.cell')}), {_moved_sql('b0', 'f0', 'f1')}, b1 AS ({_nearest_sql('t', 'f1', 't.cell = y.cell')})"""
+
+
+@query(f"WITH {LLOYD} SELECT centroid_id, i - 1 AS pos, round(cv[i], 6) AS x FROM c2, unnest(range(1, len(cv) + 1)) t(i)")
+def lloyd_centroids(spark, sf):
+    """Two Lloyd steps from every sixteenth token, as sums over the tokens."""
+    t = tokens(spark, sf)
+    start = np.array([r[0] for r in codec.deterministic_centroids(t, EVERY).orderBy("centroid_id").select("v").collect()])
+    rows = [(i, j, x) for i, v in enumerate(codec.lloyd(t, start, 2).tolist()) for j, x in enumerate(v)]
+    return spark.createDataFrame(rows, "centroid_id long, pos long, x double").select("centroid_id", "pos", F.round("x", 6).alias("x"))
+
+
+@query(f"WITH {CELLS} SELECT vec_id // 8 AS doc_id, vec_id % 8 AS token_pos, centroid_id FROM b1")
+def two_level_assign(spark, sf):
+    """Cells of every 128th token; inside them one Lloyd step from every sixteenth token, then assignment, joined by cell."""
+    t = tokens(spark, sf)
+    coarse = np.array([r[0] for r in codec.deterministic_centroids(t, 128).orderBy("centroid_id").select("v").collect()])
+    cells = codec.in_cells(t, coarse)
+    first = cells.where(f"(doc_id * 8 + token_pos) % {EVERY} = 0").select("cell", F.expr(f"(doc_id * 8 + token_pos) div {EVERY}").alias("centroid_id"), "v")
+    fine = codec.lloyd_in_cells(cells, first, 1)
+    return codec.assign_in_cells(cells, fine).select("doc_id", F.col("token_pos").cast("long").alias("token_pos"), "centroid_id")
+
+
 def _codec_sql(nbits: int, s: str = "") -> str:
     n = 2**nbits
     inner, middle = [i / n for i in range(1, n)], [(i + 0.5) / n for i in range(n)]
@@ -598,6 +636,35 @@ def index_delete_metadata(spark, sf):
     return SegmentIndex.open(spark, path).chunks().select("doc_id", "document_name", F.col("chunk_index").cast("long").alias("chunk_index"))
 
 
+STREAMED = IndexConfig(nbits=2, centroids="deterministic", every=4000, rebuild_up_to=0, keep_vectors=False, fan=3)
+
+
+@query(_window_sql(180, 64) + " SELECT doc_id::VARCHAR AS document_name, count(*) AS chunk_count, sum(len(w))::BIGINT AS embedding_count FROM w GROUP BY doc_id")
+def index_stream(spark, sf):
+    """The documents as a stream of files into an index, batch by batch; then the first and the second batch come again."""
+    folder = _new_folder(spark)
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("document_name"), "text")
+    docs.repartition(4, "document_name").write.parquet(f"{folder}/files")
+    stream = stream_files(spark, f"{folder}/files", "document_name string, text string", files_per_batch=1)
+    encoder = encode.HashEncoder()
+    run = ingest_stream(stream, f"{folder}/index", encoder, f"{folder}/state", STREAMED)
+    run.awaitTermination()
+    spark.sparkContext.setLocalProperty("sql.streaming.queryId", str(run.id))
+    again = index_batch(f"{folder}/index", encoder, STREAMED)
+    for batch in (1, 0):
+        again(docs, batch)
+    spark.sparkContext.setLocalProperty("sql.streaming.queryId", None)
+    return SegmentIndex.open(spark, f"{folder}/index").documents().select("document_name", "chunk_count", "embedding_count")
+
+
+@query("SELECT count(DISTINCT vec_id // 8) AS deleted, 0::BIGINT AS remaining FROM embeddings")
+def index_wipe(spark, sf):
+    """Deleting all documents removes the index."""
+    index = _segmented(spark, sf)
+    left, gone = index.delete(index.table("doclens").select("doc_id"))
+    return gone.agg(F.count(F.lit(1)).alias("deleted")).select("deleted", F.lit(0 if left is None else left.num_documents).cast("long").alias("remaining"))
+
+
 # -- parameters
 
 
