@@ -129,17 +129,53 @@ def test_windows(spark):
     assert windows(spark, 0, 5, 2) == [] and len(windows(spark, 1000, 180, 64)) == 9
 
 
-def test_sentences():
-    assert chunk.sentence_chunks("", 10, 2) == []
-    text = "Dr. Smith met Mr. Jones at 9 a.m. on Monday. They spoke at length. Nothing came of it."
-    parts = chunk.split_sentences(text)
+def of_text(spark, text, expression):
+    return spark.createDataFrame([(text,)], "text string").select(expression(F.col("text"))).first()[0]
+
+
+def greedy(counts, size, overlap):
+    """Chunks of greedy packing, item by item."""
+    out, held = [], []
+    for i, n in enumerate(counts):
+        if n > size:
+            out += [held] * bool(held) + [[i]]
+            held = []
+            continue
+        if held and sum(counts[j] for j in held) + n > size:
+            out.append(held)
+            kept = []
+            for j in reversed(held):
+                if sum(counts[k] for k in kept) + counts[j] > overlap:
+                    break
+                kept.insert(0, j)
+            held = kept
+        held = [*held, i]
+    return out + [held] * bool(held)
+
+
+def test_packed_ranges(spark):
+    r = np.random.default_rng(1)
+    for size, overlap in ((1, 0), (5, 0), (9, 4), (20, 19)):
+        rows = [[int(x) for x in r.integers(1, size + 4, r.integers(0, 40))] for _ in range(30)] + [[1] * 3000, []]
+        got = spark.createDataFrame([(i, c) for i, c in enumerate(rows)], "i int, counts array<int>").select("i", X.packed_ranges(F.col("counts"), size, overlap).alias("r")).collect()
+        for i, ranges in got:
+            assert [list(range(x["first"], x["end"])) for x in ranges or []] == greedy(rows[i], size, overlap)
+
+
+def test_sentences(spark):
+    packed = lambda text, size, overlap: of_text(spark, text, lambda t: chunk.sentence_chunks(t, size, overlap))
+    split = lambda text: of_text(spark, text, X.sentences)
+    assert packed("", 10, 2) == [] and packed(None, 10, 2) == [] and packed(" \n ", 10, 2) == []
+    parts = split("Dr. Smith met Mr. Jones at 9 a.m. on Monday. They spoke at length. Nothing came of it.")
     assert parts[0] == "Dr. Smith met Mr. Jones at 9 a.m. on Monday." and len(parts) == 3
-    packed = chunk.sentence_chunks("One two three. Four five six. Seven eight nine. Ten eleven twelve.", 7, 3)
-    assert packed[0] == "One two three. Four five six." and packed[1].startswith("Four five six.")
-    long = chunk.sentence_chunks("this is a long sentence, with a clause in it; and another clause after that one, and more words to come here.", 8, 2)
+    assert split("He left at 9 p.m. Nobody saw J. Doe. \"Prof. Dr. Who?\" she said.") == ["He left at 9 p.m.", "Nobody saw J. Doe.", "\"Prof. Dr. Who?\"", "she said."]
+    chunks = packed("One two three. Four five six. Seven eight nine. Ten eleven twelve.", 7, 3)
+    assert chunks[0] == "One two three. Four five six." and chunks[1].startswith("Four five six.")
+    long = packed("this is a long sentence, with a clause in it; and another clause after that one, and more words to come here.", 8, 2)
     assert len(long) > 1 and all(c[-1] in ",;." for c in long)
-    assert len(chunk.sentence_chunks("No end " * 50, 10, 0)) == 10
-    assert chunk.split_sentences("Really?! Yes! No... Maybe?") == ["Really?!", "Yes!", "No...", "Maybe?"]
+    assert len(packed("No end " * 50, 10, 0)) == 10
+    assert split("Really?! Yes! No... Maybe?") == ["Really?!", "Yes!", "No...", "Maybe?"]
+    assert split("a\u0001b\u0002 c. d") == ["ab c.", "d"]
 
 
 def test_masks(spark):
@@ -303,13 +339,14 @@ def test_generator_and_progress():
     assert seen == [(0, 3), (1, 6)]
 
 
-def test_split_long_keeps_the_text():
-    count = lambda s: len(s.split())
-    pieces = chunk.split_long("it costs 3,000 at noon, and more words follow here, then the end of it all", 6, count)
-    assert "".join(pieces).replace(" ", "") == "itcosts3,000atnoon,andmorewordsfollowhere,thentheendofitall"
-    assert any("3,000" in p for p in pieces)
-    assert chunk.split_long("one two three four five", 2, count) == ["one two", "three four", "five"]
-    assert chunk.split_long("a; b", 9, count) == ["a; b"]
+def test_long_pieces_keep_the_text(spark):
+    pieces = lambda text, size: of_text(spark, text, lambda t: chunk.long_pieces(t, size))
+    got = pieces("it costs 3,000 at noon, and more words follow here, then the end of it all", 6)
+    assert "".join(got).replace(" ", "") == "itcosts3,000atnoon,andmorewordsfollowhere,thentheendofitall"
+    assert any("3,000" in p for p in got)
+    assert pieces("one two three four five", 2) == ["one two", "three four", "five"]
+    # a delimiter at the end parts nothing
+    assert pieces("one two three,", 2) == ["one two", "three,"]
 
 
 @pytest.mark.parametrize("flat", [64, 4])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Protocol
 
 from pyspark.sql import Column
@@ -100,7 +101,79 @@ def hash_id(token: Column) -> Column:
     return F.conv(F.substring(F.md5(token), 1, 4), 16, 10).cast("long")
 
 
+#: Abbreviations that end no sentence, and those that end one unless a lower-case letter follows.
+ABBREVIATIONS = "dr mr mrs ms prof sr jr st vs e.g i.e co corp no fig vol al approx dept est".split()
+ENDING_ABBREVIATIONS = "a.m p.m etc inc ltd u.s u.k".split()
+#: Marks of a sentence's end and of an end that is none; they are dropped from texts that hold them.
+_END, _NONE = "\u0001", "\u0002"
+_LEAD = "(^|[ \\n\\t\\r(\"'\\[])"
+
+
+def _any(words: list[str]) -> str:
+    return "((?i:" + "|".join(w.replace(".", "\\.") for w in words) + "))\\."
+
+
+#: Patterns and what they put in their groups' place, in order; the same in Java's expressions and RE2.
+SENTENCE_STEPS = (
+    ("[\u0001\u0002]", ("",)),
+    (_LEAD + _any(ABBREVIATIONS), (1, 2, "." + _NONE)),
+    (_LEAD + _any(ENDING_ABBREVIATIONS) + "([ \\n\\t\\r]+\\p{Ll})", (1, 2, "." + _NONE, 3)),
+    (_LEAD + "(\\p{Lu})\\.", (1, 2, "." + _NONE)),
+    ("([.!?]+[\"')\\]]*)[ \\n\\t\\r]+", (1, _END)),
+)
+
+
 def sentences(text: Column) -> Column:
-    """Sentences by closing punctuation before white space, trimmed, without empty ones."""
-    parts = F.split(F.regexp_replace(text, "([.!?]+)[ \n\t\r]+", "$1\u0001"), "\u0001")
+    """Sentences by closing punctuation before white space, but not after abbreviations and initials; trimmed, without empty ones."""
+    for pattern, into in SENTENCE_STEPS:
+        text = F.regexp_replace(text, F.lit(pattern), F.lit("".join(f"${x}" if isinstance(x, int) else x for x in into)))
+    parts = F.split(F.translate(text, _NONE, ""), _END)
     return F.filter(F.transform(parts, trim), lambda s: s != "")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, inside one expression."""
+    return F.transform(F.array(value), body)[0]
+
+
+def packed_ranges(counts: Column, size: int, overlap: int) -> Column:
+    """Which items each chunk of greedy packing takes: structs of first, end (exclusive) and alone, in order.
+
+    Items are taken while their counts fit in size; a chunk begins with the last items before it that fit in overlap, and
+    its first new item is added whatever it makes.  An item over size is alone, without overlap on either side.
+
+    Where the chunk ends that a new item i opens depends on i alone: an array from token places to items gives it without
+    search.  From these next pointers, doubled as long as there are items, come the items that open chunks.
+    """
+    gap = size + overlap + 1  # what an item over size takes, so that neither a chunk nor an overlap reaches over it
+
+    def with_places(weights: Column) -> Column:
+        of = F.flatten(F.transform(weights, lambda w, i: F.array_repeat(i, w)))
+        return let(F.concat(of, F.array(F.size(weights))), lambda item: with_starts(weights, item))
+
+    def with_starts(weights: Column, item: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(item) - 1), lambda t: (t == 0) | (F.get(item, t) != F.get(item, t - 1)))
+        return let(starts, lambda begin: with_pointers(weights, item, begin))
+
+    def with_pointers(weights: Column, item: Column, begin: Column) -> Column:
+        def first(i: Column) -> Column:
+            at = F.greatest(F.get(begin, i) - overlap, F.lit(0))
+            return F.when(F.get(weights, i) > size, i).otherwise(F.get(item, at) + F.when(F.get(begin, F.get(item, at)) == at, 0).otherwise(1))
+
+        def end(i: Column) -> Column:
+            return F.greatest(F.get(item, F.least(F.get(begin, first(i)) + size, F.size(item) - 1)), i + 1)
+
+        n = F.size(weights)
+        following = F.concat(F.transform(F.sequence(F.lit(0), n - 1), end), F.array(n))
+
+        def chain(state: Column, _: Column) -> Column:
+            met, hop = state["met"], state["hop"]
+            return F.struct(F.array_distinct(F.concat(met, F.transform(met, lambda i: F.get(hop, i)))).alias("met"), F.transform(hop, lambda i: F.get(hop, i)).alias("hop"))
+
+        rounds = F.sequence(F.lit(0), F.ceil(F.log2(n + 1)).cast("int"))
+        start = F.struct(F.array(F.lit(0)).alias("met"), following.alias("hop"))
+        opened = F.array_sort(F.filter(F.aggregate(rounds, start, chain)["met"], lambda i: i < n))
+        return F.transform(opened, lambda i: F.struct(first(i).alias("first"), end(i).alias("end"), (F.get(weights, i) > size).alias("alone")))
+
+    weights = F.transform(counts, lambda c: F.when(c > size, gap).otherwise(c))
+    return F.when(F.size(counts) > 0, let(weights, with_places)).otherwise(F.array().cast("array<struct<first:int,end:int,alone:boolean>>"))

@@ -223,7 +223,39 @@ def chunk_text(spark, sf):
     return chunk.chunk_rows(table(spark, sf, "documents"), *X.chunk_budget(512)).withColumn("chunk_index", F.col("chunk_index").cast("long"))
 
 
-SENTENCES = "list_filter(list_transform(string_split(regexp_replace(text, '([.!?]+)[ \\n\\t\\r]+', '\\1' || chr(1), 'g'), chr(1)), lambda s: regexp_replace(s, '^[ \\n\\t\\r]+|[ \\n\\t\\r]+$', '', 'g')), lambda s: s <> '')"
+def _sentences_sql(text: str) -> str:
+    quoted = lambda x: "'" + x.replace("'", "''").replace("\\n", "\n").replace("\\t", "\t").replace("\\r", "\r") + "'"
+    for pattern, into in X.SENTENCE_STEPS:
+        text = f"regexp_replace({text}, {quoted(pattern)}, {quoted(''.join(chr(92) + str(x) if isinstance(x, int) else x for x in into))}, 'g')"
+    return f"list_filter(list_transform(string_split(replace({text}, chr(2), ''), chr(1)), lambda s: regexp_replace(s, '^[ \n\t\r]+|[ \n\t\r]+$', '', 'g')), lambda s: s <> '')"
+
+
+SENTENCES = _sentences_sql("text")
+
+
+def _packing_sql(name: str, size: int, overlap: int) -> str:
+    """first, end and alone of the chunks of {name}(key, counts), chunk by chunk, in {name}_r."""
+    gap = size + overlap + 1
+    return f"""{name}_w AS (SELECT key, w, list_transform(range(0, len(w) + 1), lambda k: coalesce(list_sum(w[1:k]), 0)::BIGINT) AS s FROM (SELECT key, list_transform(counts, lambda c: CASE WHEN c > {size} THEN {gap} ELSE c END) AS w FROM {name} WHERE len(counts) > 0)),
+{name}_o AS (SELECT key, 0::BIGINT AS i, 0::BIGINT AS o FROM {name}_w UNION ALL SELECT key, j, CASE WHEN w[j + 1] > {size} THEN j ELSE list_min(list_filter(range(0, j + 1), lambda a: s[j + 1] - s[a + 1] <= {overlap})) END FROM (
+  SELECT key, w, s, greatest(i + 1, list_min(list_filter(range(o, len(w) + 1), lambda p: p = len(w) OR s[p + 2] - s[o + 1] > {size}))) AS j FROM {name}_o JOIN {name}_w USING (key)) WHERE j < len(w)),
+{name}_r AS (SELECT key, o AS first, lead(i, 1, len(w)) OVER (PARTITION BY key ORDER BY i) AS "end", w[i + 1] > {size} AS alone FROM {name}_o JOIN {name}_w USING (key))"""
+
+
+def _sentence_chunks_sql(size: int, overlap: int) -> str:
+    count = f"len({WORDS.format('x')})"
+    marks = ", ".join(f"list_filter(string_split(replace(t, '{m}', '{m}' || chr(1)), chr(1)), lambda c: regexp_replace(c, '[ \n\t\r]+', '', 'g') <> '')" for m in chunk.DELIMITERS)
+    return f"""WITH RECURSIVE d AS (SELECT doc_id AS key, {SENTENCES} AS x FROM documents WHERE text IS NOT NULL), a AS (SELECT key, x AS items, list_transform(x, lambda x: {count}) AS counts FROM d),
+{_packing_sql('a', size, overlap)},
+l AS (SELECT {{'doc': key, 'pos': first}} AS key, items[first + 1] AS t FROM a JOIN a_r USING (key) WHERE alone),
+m AS (SELECT key, t, list_filter([{marks}], lambda c: len(c) > 1)[1] AS items FROM l),
+b AS (SELECT key, items, list_transform(items, lambda x: {count}) AS counts FROM m WHERE items IS NOT NULL),
+{_packing_sql('b', size, 0)},
+pieces AS (SELECT key AS doc_id, first AS pos, "end" AS nth, array_to_string(items[first + 1:"end"], ' ') AS text FROM a JOIN a_r USING (key) WHERE NOT alone
+UNION ALL SELECT key.doc, key.pos, first, array_to_string(items[first + 1:"end"], '') FROM b JOIN b_r USING (key)
+UNION ALL SELECT key.doc, key.pos, k, array_to_string(w[k * {size} + 1:k * {size} + {size}], ' ') FROM (SELECT key, {WORDS.format('t')} AS w FROM m WHERE items IS NULL), unnest(range(0, (len(w) - 1) // {size} + 1)) u(k)),
+plain AS (SELECT doc_id, pos, nth, regexp_replace(replace(text, chr(10), ' '), '^[ \n\t\r]+|[ \n\t\r]+$', '', 'g') AS chunk_text FROM pieces)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos, nth) - 1 AS chunk_index, chunk_text FROM plain WHERE chunk_text <> ''"""
 
 
 @query(f"SELECT doc_id, i - 1 AS pos, s[i] AS sentence FROM (SELECT doc_id, {SENTENCES} AS s FROM documents), unnest(range(1, len(s) + 1)) x(i)")
@@ -236,14 +268,21 @@ def sentence_counts(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.size(X.sentences(F.col("text"))).cast("long").alias("n"))
 
 
-@query()
+@query(_sentence_chunks_sql(180, 64))
 def sentence_chunks(spark, sf):
-    return chunk.sentence_chunk_rows(table(spark, sf, "documents"))
+    return chunk.sentence_chunk_rows(table(spark, sf, "documents")).withColumn("chunk_index", F.col("chunk_index").cast("long"))
 
 
-@query()
+@query(_sentence_chunks_sql(15, 3))
 def clause_split(spark, sf):
-    return chunk.sentence_chunk_rows(table(spark, sf, "documents"), 15, 3)
+    return chunk.sentence_chunk_rows(table(spark, sf, "documents"), 15, 3).withColumn("chunk_index", F.col("chunk_index").cast("long"))
+
+
+@query(_window_sql(120, 30) + " SELECT doc_id, chunk_index, array_to_string(list_transform(w, lambda t: ('0x' || substr(md5(t), 1, 4))::BIGINT::VARCHAR), ',') AS ids FROM w")
+def sentence_chunk_ids(spark, sf):
+    ids = table(spark, sf, "documents").select("doc_id", F.transform(X.tokens(F.col("text")), X.hash_id).alias("ids"))
+    rows = ids.select("doc_id", F.posexplode(chunk.sentence_chunk_ids(F.col("ids"), 120, 30)).alias("chunk_index", "w"))
+    return rows.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.array_join(F.col("w").cast("array<string>"), ",").alias("ids"))
 
 
 IDS = f"SELECT doc_id, list_transform({WORDS.format('text')}, lambda t: ('0x' || substr(md5(t), 1, 4))::BIGINT) AS ids FROM documents"
