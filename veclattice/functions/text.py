@@ -34,7 +34,12 @@ def tokens(text: Column) -> Column:
 
 
 def trim(text: Column) -> Column:
-    return F.regexp_replace(text, "^[ \n\t\r]+|[ \n\t\r]+$", "")
+    return F.btrim(text, F.lit(" \n\t\r"))
+
+
+def count_tokens(trimmed: Column) -> Column:
+    """How many tokens a trimmed text has, without making them."""
+    return F.when(trimmed == "", 0).otherwise(F.regexp_count(trimmed, F.lit("[ \n\t\r]+")) + 1)
 
 
 def window_sizes(size: int, overlap: int) -> tuple[int, int]:
@@ -106,29 +111,25 @@ ABBREVIATIONS = "dr mr mrs ms prof sr jr st vs e.g i.e co corp no fig vol al app
 ENDING_ABBREVIATIONS = "a.m p.m etc inc ltd u.s u.k".split()
 #: Marks of a sentence's end and of an end that is none; they are dropped from texts that hold them.
 _END, _NONE = "\u0001", "\u0002"
-_LEAD = "(^|[ \\n\\t\\r(\"'\\[])"
+_LEAD = "(?:^|[ \\n\\t\\r(\"'\\[])"
 
 
-def _any(words: list[str]) -> str:
-    return "((?i:" + "|".join(w.replace(".", "\\.") for w in words) + "))\\."
+def any_of(words: list[str]) -> str:
+    return "(?i:" + "|".join(w.replace(".", "\\.") for w in words) + ")"
 
 
-#: Patterns and what they put in their groups' place, in order; the same in Java's expressions and RE2.
-SENTENCE_STEPS = (
-    ("[\u0001\u0002]", ("",)),
-    (_LEAD + _any(ABBREVIATIONS), (1, 2, "." + _NONE)),
-    (_LEAD + _any(ENDING_ABBREVIATIONS) + "([ \\n\\t\\r]+\\p{Ll})", (1, 2, "." + _NONE, 3)),
-    (_LEAD + "(\\p{Lu})\\.", (1, 2, "." + _NONE)),
-    ("([.!?]+[\"')\\]]*)[ \\n\\t\\r]+", (1, _END)),
-)
+#: A full stop that ends no sentence: it is looked at from behind, as there are few of them, and an end with its closing marks.
+_NO_END = f"\\.(?:(?<={_LEAD}{any_of(ABBREVIATIONS)}\\.)|(?<={_LEAD}{any_of(ENDING_ABBREVIATIONS)}\\.)(?=[ \\n\\t\\r]+\\p{{Ll}})|(?<={_LEAD}\\p{{Lu}}\\.))"
+_AN_END = "([.!?]+[\"')\\]]*)[ \\n\\t\\r]+"
 
 
 def sentences(text: Column) -> Column:
     """Sentences by closing punctuation before white space, but not after abbreviations and initials; trimmed, without empty ones."""
-    for pattern, into in SENTENCE_STEPS:
-        text = F.regexp_replace(text, F.lit(pattern), F.lit("".join(f"${x}" if isinstance(x, int) else x for x in into)))
-    parts = F.split(F.translate(text, _NONE, ""), _END)
-    return F.filter(F.transform(parts, trim), lambda s: s != "")
+    # sentences of a trimmed text are trimmed: white space after an end goes, and there is none before it
+    text = trim(F.translate(text, _END + _NONE, ""))
+    text = F.regexp_replace(text, F.lit(_NO_END), F.lit("." + _NONE))
+    text = F.regexp_replace(text, F.lit(_AN_END), F.lit("$1" + _END))
+    return F.array_remove(F.split(F.translate(text, _NONE, ""), _END), "")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

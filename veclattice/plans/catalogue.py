@@ -224,9 +224,13 @@ def chunk_text(spark, sf):
 
 
 def _sentences_sql(text: str) -> str:
-    quoted = lambda x: "'" + x.replace("'", "''").replace("\\n", "\n").replace("\\t", "\t").replace("\\r", "\r") + "'"
-    for pattern, into in X.SENTENCE_STEPS:
-        text = f"regexp_replace({text}, {quoted(pattern)}, {quoted(''.join(chr(92) + str(x) if isinstance(x, int) else x for x in into))}, 'g')"
+    """The detector without looking around: what is no end is marked, in several passes."""
+    lead, blank, mark = "(^|[ \n\t\r(\"''\\[])", "[ \n\t\r]+", "' || chr(2) || '"
+    before_lower = (lead + f"({X.any_of(X.ENDING_ABBREVIATIONS)})\\.({blank}\\p{{Ll}})", f"\\1\\2.{mark}\\3")
+    text = f"replace(replace({text}, chr(1), ''), chr(2), '')"
+    # neighbours share the white space between them, so every other one is left for a second pass
+    for pattern, into in ((lead + f"({X.any_of(X.ABBREVIATIONS)})\\.", f"\\1\\2.{mark}"), before_lower, before_lower, (lead + "(\\p{Lu})\\.", f"\\1\\2.{mark}"), (f"([.!?]+[\"'')\\]]*){blank}", "\\1' || chr(1) || '")):
+        text = f"regexp_replace({text}, '{pattern}', '{into}', 'g')"
     return f"list_filter(list_transform(string_split(replace({text}, chr(2), ''), chr(1)), lambda s: regexp_replace(s, '^[ \n\t\r]+|[ \n\t\r]+$', '', 'g')), lambda s: s <> '')"
 
 
