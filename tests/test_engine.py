@@ -365,6 +365,22 @@ def test_kmeans(spark, monkeypatch, flat):
     assert (x @ a.T).max(1).mean() > 0.95 and np.allclose(np.linalg.norm(a, axis=1), 1)
 
 
+def test_subwords(spark, tmp_path):
+    from veclattice.functions.subword import MARK, SubwordTokenizer
+
+    (tmp_path / "v.json").write_text('{"%sab": 3, "%s": 5, "a": 1, "abc": 2,\n "cd": 7}' % (MARK, MARK))
+    t = SubwordTokenizer.load(spark, str(tmp_path / "v.json"))
+    assert t.tokenize("abcd  xabc\n") == [MARK + "ab", "cd", MARK, "x", "abc"] and t.ids("abcd  xabc\n") == [3, 7, 5, 0, 2]
+    assert t.detokenize(t.tokenize(" abcd \t xabc")) == "abcd xabc"
+    rows = spark.createDataFrame([(1, None), (2, ""), (3, "abcd ab"), (4, "é" * 5000)], "i int, text string").select("i", t.column(F.col("text")).alias("ids"))
+    got = dict(map(tuple, rows.collect()))
+    assert got[1] == got[2] == [] and got[3] == [3, 7, 3] and got[4] == [5] + [0] * 5000
+    (tmp_path / "v.txt").write_text("a\nb\n")
+    assert SubwordTokenizer.load(spark, str(tmp_path / "v.txt")).vocabulary == {"a": 1, "b": 2}
+    with pytest.raises(EngineError):
+        SubwordTokenizer({"": 1})
+
+
 def test_replayed_batch(spark, tmp_path):
     docs = spark.createDataFrame([("a", "one two three"), ("b", "four five")], "document_name string, text string")
     run = streaming.index_batch(f"{tmp_path}/index", encode.HashEncoder())

@@ -11,12 +11,15 @@ import uuid
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import display as D
+from ..functions import subword
 from ..functions import text as X
 from ..functions import vectors as V
+from ..functions.subword import MARK
 from ..operators import catalog, chunk, codec, encode, evaluate, metadata, mutate, pooling, score, search
 from ..operators.predicate import where
 from ..operators.index import VectorIndex
@@ -45,6 +48,10 @@ def query(sql: str | None = None):
     return add
 
 
+def _new_folder(spark) -> str:
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -289,6 +296,45 @@ def sentence_chunk_ids(spark, sf):
     return rows.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.array_join(F.col("w").cast("array<string>"), ",").alias("ids"))
 
 
+_VOCABULARY = f"""m AS (SELECT DISTINCT '{MARK}' || unnest({WORDS.format('text')}) AS w FROM benchmark),
+v AS (SELECT piece, row_number() OVER (ORDER BY piece) AS id FROM (SELECT DISTINCT w[i:i + n - 1] AS piece FROM m, unnest(range(1, length(w) + 1)) x(i), unnest(range(1, 5)) y(n)))"""
+_SUBWORDS = f"""WITH RECURSIVE {_VOCABULARY},
+q AS (SELECT DISTINCT '{MARK}' || unnest({WORDS.format('text')}) AS w FROM documents),
+r AS (SELECT w, 1::BIGINT AS pos, []::BIGINT[] AS ids FROM q UNION ALL
+  SELECT w, pos + coalesce(length(a.piece), length(b.piece), length(c.piece), 1), list_append(ids, coalesce(a.id, b.id, c.id, d.id, 0)) FROM r
+  LEFT JOIN v a ON a.piece = w[pos:pos + 3] LEFT JOIN v b ON b.piece = w[pos:pos + 2] LEFT JOIN v c ON c.piece = w[pos:pos + 1] LEFT JOIN v d ON d.piece = w[pos:pos] WHERE pos <= length(w)),
+t AS (SELECT w, ids FROM r WHERE pos > length(w)),
+p AS (SELECT doc_id, i, '{MARK}' || x[i] AS w FROM (SELECT doc_id, {WORDS.format('text')} AS x FROM documents), unnest(range(1, len(x) + 1)) u(i))
+SELECT doc_id, array_to_string(flatten(list(ids ORDER BY i)), ',') AS ids, sum(len(ids))::BIGINT AS n FROM p JOIN t USING (w) GROUP BY doc_id"""
+
+
+def _subwords(spark, sf) -> subword.SubwordTokenizer:
+    """A vocabulary file of the benchmark's pieces of up to four characters, written and loaded."""
+    words = table(spark, sf, "benchmark").select(F.explode(X.tokens(F.col("text"))).alias("word"))
+    path = _new_folder(spark)
+    subword.pieces_of(words, 4).orderBy("piece").coalesce(1).write.text(path)
+    return subword.SubwordTokenizer.load(spark, path)
+
+
+@query(_SUBWORDS)
+def subword_ids(spark, sf):
+    """Ids of longest matches, of documents with a token."""
+    ids = table(spark, sf, "documents").select("doc_id", _subwords(spark, sf).column(F.col("text")).alias("ids")).where("size(ids) > 0")
+    return ids.select("doc_id", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"), F.size("ids").cast("long").alias("n"))
+
+
+@query(f"SELECT doc_id, array_to_string({WORDS.format('text')}, ' ') AS text FROM documents WHERE text IS NOT NULL")
+def subword_round_trip(spark, sf):
+    """Tokens of each text put together again."""
+    tokenizer = _subwords(spark, sf)
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([tokenizer.detokenize(tokenizer.tokenize(t)) for t in b.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
+
+    return table(spark, sf, "documents").where("text is not null").select("doc_id", "text").mapInArrow(run, "doc_id long, text string")
+
+
 IDS = f"SELECT doc_id, list_transform({WORDS.format('text')}, lambda t: ('0x' || substr(md5(t), 1, 4))::BIGINT) AS ids FROM documents"
 SEQUENCE = "list_concat([1, 2], ids[1:254], list_transform(range(0, 254 - least(len(ids), 254)), lambda i: 0))"
 MASK = "list_transform(range(1, 257), lambda i: CASE WHEN i - 1 < 256 AND seq[i] <> 0 AND NOT (i >= 3 AND list_contains(skip, seq[i])) THEN 1 ELSE 0 END)"
@@ -564,10 +610,6 @@ def staged_adaptive_recall(spark, sf):
 # -- the index on disk
 
 
-def _new_folder(spark) -> str:
-    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-
-
 def _searched(spark, sf, index: VectorIndex) -> DataFrame:
     p = SearchParameters(n_full_scores=CAP, n_ivf_probe=PROBE, top_k=K, centroid_score_threshold=None)
     return index.search(query_tokens(spark, sf), p)
