@@ -7,6 +7,7 @@ search are the documents (or benchmark items) whose id is divisible by 100.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from dataclasses import replace
 
@@ -38,6 +39,15 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
+class _DigitEncoder:
+    """One number a token: the first hexadecimal digit of its md5."""
+
+    dim = 1
+
+    def encode(self, tokens: list[str]) -> np.ndarray:
+        return np.array([[int(hashlib.md5(t.encode()).hexdigest()[0], 16)] for t in tokens], dtype=np.float64).reshape(-1, 1)
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
@@ -241,6 +251,15 @@ def _sentences_sql(text: str) -> str:
     return f"list_filter(list_transform(string_split(replace({text}, chr(2), ''), chr(1)), lambda s: regexp_replace(s, '^[ \n\t\r]+|[ \n\t\r]+$', '', 'g')), lambda s: s <> '')"
 
 
+@query(_window_sql(180, 64) + " SELECT doc_id, sum(len(w))::BIGINT AS rows, (sum(len(w)) - 1)::BIGINT AS last, md5(array_to_string(flatten(list(list_transform(w, lambda t: ('0x' || substr(md5(t), 1, 1))::BIGINT::VARCHAR) ORDER BY chunk_index)), '')) AS firsts FROM w GROUP BY doc_id")
+def encode_concatenated(spark, sf):
+    """Rows of each document's windows in one run, in order."""
+    rows = encode.encode_long(table(spark, sf, "documents"), _DigitEncoder())
+    digits = F.array_sort(F.collect_list(F.struct("token_pos", F.col("v")[0].cast("int").cast("string").alias("x"))))
+    out = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max("token_pos").cast("long").alias("last"), digits.alias("d"))
+    return out.select("doc_id", "rows", "last", F.md5(F.array_join(F.transform("d", lambda x: x["x"]), "")).alias("firsts"))
+
+
 SENTENCES = _sentences_sql("text")
 
 
