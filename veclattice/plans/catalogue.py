@@ -690,13 +690,13 @@ def packed_search_threshold(spark, sf):
 @query(SQL["maxsim_topk"])
 def certified_search(spark, sf):
     """Exactly the result of exact search, from bounds and the documents that could pass them."""
-    return _segmented(spark, sf, replace(SEGMENTED, nbits=4)).certified(query_tokens(spark, sf), K)[0]
+    return _segmented(spark, sf, replace(SEGMENTED, nbits=8)).certified(query_tokens(spark, sf), K)[0]
 
 
 @query()
 def certified_effort(spark, sf):
     """Of each query: all documents, those in probed lists, those that were scored, and lists probed for each token."""
-    report = _segmented(spark, sf, replace(SEGMENTED, nbits=4)).certified(query_tokens(spark, sf), K)[1]
+    report = _segmented(spark, sf, replace(SEGMENTED, nbits=8)).certified(query_tokens(spark, sf), K)[1]
     return spark.createDataFrame([tuple(r.values()) for r in report], "query_id long, documents long, candidates long, scored long, probes long")
 
 
@@ -704,7 +704,7 @@ def certified_effort(spark, sf):
 def certified_subset(spark, sf):
     """A query that may see some documents only: the others are neither candidates nor scored."""
     allowed = table(spark, sf, "labels").where("quality = 1").select(F.lit(0).cast("long").alias("query_id"), "doc_id")
-    return _segmented(spark, sf, replace(SEGMENTED, nbits=4)).certified(query_tokens(spark, sf), K, subset=allowed)[0]
+    return _segmented(spark, sf, replace(SEGMENTED, nbits=8)).certified(query_tokens(spark, sf), K, subset=allowed)[0]
 
 
 _APPENDED = SQL["staged_search"].replace(f"FROM n WHERE vec_id % {EVERY} = 0", f"FROM n WHERE vec_id % {EVERY} = 0 AND vec_id < 320").replace("unnest(r) AS x FROM r)", "unnest(r) AS x FROM r WHERE doc_id < 40)")
