@@ -23,8 +23,9 @@ threshold:
   its pairs, and no task holds more than two blocks however large a family is.
 
 A family of m sets takes about m * m * size / BLOCK_CELLS cells through the
-shuffle, as all of its links are counted; columns that most documents have
-are in no block, being the last of each row.
+shuffle, whether its rows link or only share columns: families are components
+over shared columns, so they can be much larger than groups of links.  Columns
+that most documents have are in no block, being the last of each row.
 
 Defined results: null and empty texts have an empty set, link with nothing
 and are their own component; rows without a doc_id take part, their component
