@@ -19,6 +19,8 @@ def session(master: str | None = None, partitions: int | None = None, **conf: st
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        # files of checkpoints that nothing refers to go
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     if partitions:
         settings["spark.sql.shuffle.partitions"] = str(partitions)
