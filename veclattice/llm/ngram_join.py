@@ -10,22 +10,32 @@ threshold:
   bounded size; any order is exact, a good one is cheap).  Two sets that link
   share one of their first n - ceil(t n) + 1 columns, so this block of columns
   is multiplied first.
-* Rows that meet in a column of at most COMMON rows are multiplied cell by
-  cell; the overlap over the block is accumulated for each pair, and pairs are
-  discarded whose overlap can't reach the bound that follows from their sizes
-  even if the rest of the smaller row were shared.  Survivors add the overlap
-  of their other columns and are held against the threshold exactly.
-* Rows that meet in more common columns form families.  A family's rows are
+* Of two rows one of which has no first column of more than COMMON rows, all
+  shared first columns are rare; these are multiplied cell by cell.  The overlap
+  over the block is accumulated for each pair, and pairs are discarded whose
+  overlap can't reach the bound that follows from their sizes even if the rest
+  of the smaller row were shared.
+* Two rows with common first columns both are compared by blocks of columns:
+  a hash deals all columns over parts, more parts than two sets of these sizes
+  may differ in columns, so that sets that link have some part in common to the
+  last column.  A part of few columns is left out, as there are enough others
+  (rows of too many such parts are dealt anew, at last by their first columns).
+  The parts that two rows have in common are counted and pairs below the count
+  that their sizes ask for discarded.  One shared passage does not make two
+  rows meet here, nor does any number of columns each of which is common.
+* Parts that more than COMMON rows have in common make families.  A family's rows are
   dealt over blocks of bounded size by their set size and a hash, and each two
   blocks whose sizes can link are multiplied as matrices, COLUMNS columns at a
   time; rows leave as soon as no pair of theirs can reach its bound.  A block
   gives the number of links of each row and a tree of what it connects, never
   its pairs, and no task holds more than two blocks however large a family is.
+* All pairs that are left are held against the threshold exactly.
 
 A family of m sets takes about m * m * size / BLOCK_CELLS cells through the
-shuffle, whether its rows link or only share columns: families are components
-over shared columns, so they can be much larger than groups of links.  Columns
-that most documents have are in no block, being the last of each row.
+shuffle.  A row of n columns has about n / 7 parts of three columns or more at
+90 percent and n / 4 of one or more at 80; where sets are too small or the
+threshold too low (below about 75) for parts, rows go by their first columns.
+Columns that most documents have are in no block, being the last of each row.
 
 Defined results: null and empty texts have an empty set, link with nothing
 and are their own component; rows without a doc_id take part, their component
@@ -36,6 +46,8 @@ columns other than doc_id and text are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from math import factorial
 
 import numpy as np
 import pandas as pd
@@ -53,8 +65,10 @@ LOAD, LEAST_BITS, MOST_BITS = 64, 16, 26
 SKETCH_BLOCK_BITS = 16
 #: Bits of the filter that picks the texts to be verified; a full filter only lets more through.
 FILTER_BITS = 26
-#: Columns of more rows than this make families; cells and rows of a block of a family, and columns that two blocks multiply at a time.
+#: Columns of more rows than this are common, parts of more rows make families; cells and rows of a block of a family, and columns that two blocks multiply at a time.
 COMMON, BLOCK_CELLS, BLOCK_ROWS, COLUMNS = 16, 150_000, 400, 4096
+#: A part has so many columns or more, if sets are large enough for it; so many times a row is dealt anew.
+PART_COLUMNS, DEALS = 4, 3
 
 
 def shingle_sets(texts: pa.Array, i: int, j: int, n: int) -> list[np.ndarray]:
@@ -212,12 +226,12 @@ def _cells(classes: DataFrame) -> DataFrame:
     return cut(cells.join(met, "h").select("h", "met", "head", "node", "n"))
 
 
-def _pairs(cells: DataFrame, families: DataFrame, percent: int) -> DataFrame:
-    """The pairs(a, b) of rows outside of common families that their first columns don't rule out."""
-    rare = cells.where(F.col("met") <= COMMON).join(families, "node", "left")
+def _pairs(cells: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
+    """The pairs(a, b) of rows that their first columns don't rule out; of hot rows, which have common columns, one at most is in a pair."""
+    rare = cells.where(F.col("met") <= COMMON).join(hot.withColumn("hot", F.lit(True)), "node", "left")
     sizes = f"100 * least(l.n, r.n) >= {percent} * greatest(l.n, r.n)"
-    meet = F.expr(f"l.h = r.h and l.node < r.node and {sizes} and not coalesce(l.family = r.family, false)")
-    # rows of different families share no common column: the count is the whole overlap of their first columns
+    meet = F.expr(f"l.h = r.h and l.node < r.node and {sizes} and (l.hot is null or r.hot is null)")
+    # a row that is not hot shares rare columns only: the count is the whole overlap of their first columns
     made = rare.alias("l").join(rare.alias("r"), meet).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"), F.col("l.n").alias("m"), F.col("r.n").alias("n"))
     pairs = made.groupBy("a", "b").agg(F.count(F.lit(1)).alias("overlap"), F.any_value("m").alias("m"), F.any_value("n").alias("n"))
     # of the row whose first columns end first, no column behind them has been counted
@@ -225,11 +239,89 @@ def _pairs(cells: DataFrame, families: DataFrame, percent: int) -> DataFrame:
     return cut(pairs.where((100 + percent) * (F.col("overlap") + rest) >= percent * (F.col("m") + F.col("n"))).select("a", "b"))
 
 
+def _width(percent: int) -> float:
+    """Sets that link have sizes in the same step of this width, by logarithm, or in neighbouring ones."""
+    return max(float(np.log(100 / percent)), 1e-6) * 1.0001
+
+
+@lru_cache(maxsize=4096)
+def dealing(step: int, percent: int) -> tuple[int, int, int]:
+    """For pairs whose larger set is in a step: the number of parts, the least columns of a part, and how many smaller parts are allowed; no parts, if there are too few columns."""
+    low, high = np.exp((step - 1) * _width(percent)), int(np.exp((step + 1) * _width(percent))) + 1
+    apart = (100 - percent) * 2 * high // (100 + percent)
+    if apart == 0:
+        return 1, 1, 0
+    for least in range(PART_COLUMNS, 0, -1):
+        for parts in range(apart + 1, 2 * apart + 16, max(1, apart // 64)):
+            mean = max(low, 1.0) / parts
+            few = parts * np.exp(-mean) * sum(mean**i / factorial(i) for i in range(least))
+            if parts - apart - 1 >= few + 1.5 * np.sqrt(few):
+                return parts, least, parts - apart - 1
+    return 0, 0, 0
+
+
+def parts(s: np.ndarray, step: int, deal: int, count: int, least: int) -> tuple[np.ndarray, int]:
+    """Codes of the parts of a set, one for all columns of a part, and the number of parts of fewer than least columns, which have none."""
+    x = mix(s ^ U64(0x9E3779B97F4A7C15 * (deal + 1) % 2**64))
+    part = ((x >> U64(32)) * U64(count)) >> U64(32)
+    order = np.argsort(part, kind="stable")
+    name, first, size = np.unique(part[order], return_index=True, return_counts=True)
+    code = mix(np.add.reduceat(mix(x + U64(deal))[order], first) ^ mix(name + U64((step * DEALS + deal) << 32)))
+    return code[size >= least].view(np.int64), count - int((size >= least).sum())
+
+
+@tidied
+def _dealt(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """The parts of each row, for pairs whose larger set is in its own step and for those where it is in the next."""
+    opened = zstandard.ZstdDecompressor()
+    names = ["node", "n", "step", "larger", "deal", "parts", "few", "codes"]
+    for batch in batches:
+        for k in range(0, batch.num_rows, 256):
+            part = batch.slice(k, 256)
+            texts = plain(pa.array([opened.decompress(x).decode() for x in part.column(1).to_pylist()], pa.large_string()))
+            sets = [s for i, j in chunks(texts) for s in shingle_sets(texts, i, j, n)]
+            rows = []
+            for node, s in zip(part.column(0).to_pylist(), sets, strict=True):
+                step = int(np.log(len(s)) / _width(percent))
+                for larger in (step, step + 1):
+                    count, least, allowed = dealing(larger, percent)
+                    few = allowed + 1
+                    for deal in range(DEALS if count else 0):
+                        codes, few = parts(s, larger, deal, count, least)
+                        rows.append((node, len(s), step, larger, deal, count, few, codes))
+                        if few <= allowed:
+                            break
+                    if few > allowed:  # by its first columns
+                        rows.append((node, len(s), step, larger, DEALS, count, None, None))
+            columns = list(zip(*rows, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.list_(pa.int64()) if name == "codes" else pa.int64()) for c, name in zip(columns, names, strict=True)], names)
+
+
+def _families(bodies: DataFrame, hot: DataFrame, cells: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The families (node, family) of hot rows, and the pairs(a, b) of hot rows outside of one that their parts don't rule out."""
+    dealt = cut(bodies.join(hot, "node").select("node", "body").mapInArrow(lambda b: _dealt(b, n, percent), "node long, n long, step long, larger long, deal long, parts long, few long, codes array<long>"))
+    way = (F.col("larger") * (DEALS + 1) + F.col("deal")).alias("way")
+    first = dealt.where("codes is null").select("node", way, "larger").join(cells.select("node", "h"), "node").select(F.xxhash64("h", "larger").alias("h"), "node", "way")
+    keys = dealt.select(F.explode("codes").alias("h"), "node", way).unionByName(first)
+    met = keys.groupBy("h").agg(F.count(F.lit(1)).alias("met"), F.min("node").alias("head")).where("met > 1")
+    shared = cut(keys.join(met, "h").select("h", "met", "head", "node", "way"))
+    common = shared.where((F.col("met") > COMMON) & (F.col("node") != F.col("head")))
+    families = cut(components(common.select(F.col("node").alias("a"), F.col("head").alias("b"))).select("node", F.col("label").alias("family")))
+    facts = dealt.select("node", way, "n", "step", "larger", "parts", "few").join(families, "node", "left")
+    rare = shared.where(F.col("met") <= COMMON).join(facts, ["node", "way"])
+    sizes = f"100 * least(l.n, r.n) >= {percent} * greatest(l.n, r.n)"
+    meet = F.expr(f"l.h = r.h and l.way = r.way and l.node < r.node and l.larger = greatest(l.step, r.step) and {sizes} and not coalesce(l.family = r.family, false)")
+    made = rare.alias("l").join(rare.alias("r"), meet)
+    # rows of different families share no common part: the count is that of all parts they have in common
+    apart = f"floor((100 - {percent}) * (l.n + r.n) / (100 + {percent}))"
+    made = made.select(F.col("l.node").alias("a"), F.col("r.node").alias("b"), "l.way", F.expr(f"l.parts - {apart} - least(l.few, r.few)").alias("least"))
+    pairs = made.groupBy("a", "b", "way").agg(F.count(F.lit(1)).alias("alike"), F.any_value("least").alias("least"))
+    return families, cut(pairs.where("least is null or alike >= least").select("a", "b").distinct())
+
+
 def _blocks(bodies: DataFrame, families: DataFrame, percent: int) -> DataFrame:
     """The rows of families once for each two blocks that they take part in: family, the blocks (qa, ka) and (qb, kb), node, n, size, body, q and k."""
-    # sets that link have sizes in the same or in neighbouring steps of this width
-    width = max(float(np.log(100 / percent)), 1e-6) * 1.0001
-    rows = families.join(bodies, "node").withColumn("q", F.floor(F.log("n") / width))
+    rows = families.join(bodies, "node").withColumn("q", F.floor(F.log("n") / _width(percent)))
     steps = rows.groupBy("family", "q").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_CELLS, F.count(F.lit(1)) / BLOCK_ROWS)).alias("blocks"))
     near = steps.select("family", "blocks", F.explode(F.array(*map(F.lit, (-1, 0, 1)))).alias("d"), "q").withColumn("q", F.col("q") + F.col("d"))
     near = near.groupBy("family", "q").agg(*[F.coalesce(F.max(F.when(F.col("d") == d, F.col("blocks"))), F.lit(0)).alias(name) for d, name in ((1, "below"), (0, "own"), (-1, "above"))])
@@ -308,11 +400,12 @@ def _multiplied(table: pa.Table, n: int, percent: int, every: bool) -> pa.Table:
 def _joined(docs: DataFrame, classes: DataFrame, n: int, percent: int, every: bool = False) -> tuple[DataFrame, DataFrame]:
     """Links of pairs as (a, b, m, n) with the documents of each, and of families as (node, linked, least), or, if every, as (a, b)."""
     cells = _cells(classes)
-    common = cells.where(F.col("met") > COMMON)
-    families = cut(components(common.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))).select("node", F.col("label").alias("family")))
-    pairs = _pairs(cells, families, percent)
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(families.select("node"))
+    hot = cut(cells.where(F.col("met") > COMMON).select("node").distinct())
+    pairs = _pairs(cells, hot, percent)
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(hot)
     bodies = _bodies(docs, classes, nodes, n)
+    families, further = _families(bodies, hot, cells, n, percent)
+    pairs = pairs.unionByName(further)
     x = bodies.select(F.col("node").alias("a"), F.col("body").alias("x"), F.col("size").alias("m"))
     y = bodies.select(F.col("node").alias("b"), F.col("body").alias("y"), F.col("size").alias("n"))
     schema = "a long, b long, m long, n long"
