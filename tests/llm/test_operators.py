@@ -532,6 +532,45 @@ def test_jaccard(spark, monkeypatch, common, cells):
         assert percent > 50 or links > 4 * n_rows
 
 
+@pytest.mark.parametrize("percent", [75, 80, 90, 99])
+def test_parts(percent):
+    """Sets that link have parts in common, as many as their sizes ask for, or both are dealt anew."""
+    rng = np.random.default_rng(percent)
+    step = lambda s: int(np.log(len(s)) / ngram_join._width(percent))
+    met = 0
+    for n in [2, 5, 9, 12, 20, 40, 100, 300, 1000] * 20:
+        columns = rng.integers(0, 1 << 63, 2 * n, dtype=np.uint64)
+        # x and y share all but what a link may lack, on either side
+        lack = int(rng.integers(0, (100 - percent) * n // 100 + 1))
+        x, y = np.sort(columns[:n]), np.sort(np.concatenate([columns[: n - lack], columns[n : n + int(rng.integers(0, 2)) * ((100 - percent) * n // 100 - lack)]]))
+        both = len(np.intersect1d(x, y))
+        if 100 * both < percent * (len(x) + len(y) - both) or len(x) == both == len(y):
+            continue
+        larger = max(step(x), step(y))
+        assert larger - min(step(x), step(y)) <= 1
+        count, least, allowed = ngram_join.dealing(larger, percent)
+        for deal in range(ngram_join.DEALS if count else 0):
+            (a, few_a), (b, few_b) = (ngram_join.parts(s, larger, deal, count, least) for s in (x, y))
+            if min(few_a, few_b) <= allowed:
+                wanted = count - (100 - percent) * (len(x) + len(y)) // (100 + percent) - min(few_a, few_b)
+                assert len(np.intersect1d(a, b)) >= wanted >= 1
+                met += 1
+                break
+    assert met > 20
+
+
+def test_jaccard_passages(spark, monkeypatch):
+    """Documents that share passages and don't link are in no family, however many they are."""
+    blocks = []
+    made = ngram_join._blocks
+    monkeypatch.setattr(ngram_join, "_blocks", lambda bodies, families, percent: blocks.append(families.count()) or made(bodies, families, percent))
+    r = random.Random(1)
+    passages = [" ".join(f"{r.choice('abcdefgh')}{r.randint(0, 5000)}" for _ in range(60)) for _ in range(40)]
+    rows = [(i, " ".join(r.sample(passages, 6)) + f" own{i}") for i in range(400)]
+    links, _ = check_jaccard(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90)
+    assert links == 0 and blocks == [0]
+
+
 def test_product(monkeypatch):
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 60, 400).astype(np.uint64)
