@@ -21,8 +21,9 @@ threshold:
   last column.  A part of few columns is left out, as there are enough others
   (rows of too many such parts are dealt anew, at last by their first columns).
   The parts that two rows have in common are counted and pairs below the count
-  that their sizes ask for discarded.  One shared passage does not make two
-  rows meet here, nor does any number of columns each of which is common.
+  that their sizes ask for discarded.  Rows that share a passage meet in a part
+  only where the rest of both puts nothing into it: rarely at 90 percent, but
+  now and then at 80, where parts have a column or two.
 * Parts that more than COMMON rows have in common make families.  A family's rows are
   dealt over blocks of bounded size by their set size and a hash, and each two
   blocks whose sizes can link are multiplied as matrices, COLUMNS columns at a
