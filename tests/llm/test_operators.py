@@ -832,6 +832,27 @@ def test_templates_deep(spark):
     assert any("*" in t for _, t, _ in got.values()) and any(v == "block" and brute_rule(urls[i])[2] is None for i, (v, _, _) in got.items())
 
 
+def test_templates_long_stretches(spark):
+    """Rounds follow branchings: long paths that part late, end inside others, or share what follows a wildcard; against recursion in Python."""
+    stem = "http://a.net/" + "/".join(f"s{chr(97 + k % 26)}x" for k in range(499))
+    urls = [stem + "/p", stem + "/q", stem, stem + "//", stem + "/p/" + "z/" * 50 + "end"]
+    urls += [f"http://b.net/fr/w{a}{b}/same/" + "deep/" * 60 + "x" for a in "abcdefgh" for b in "abcdefgh"]  # one rest behind a wildcard
+    urls += [f"http://net/{'fr' if k % 2 else 'en'}/{chr(97 + k)}v/" + "mid/" * 40 + f"{chr(97 + k % 3)}u/z" for k in range(20)]
+    urls += ["http://c.net", "http://c.net/", "http://c.net//", "http://d.org/" + "y/" * 30, "http://d.org/" + "y/" * 31]
+    frame = spark.createDataFrame(pd.DataFrame({"page_id": range(len(urls)), "url": urls}))
+    rounds, real = [], urlfilter._children
+    urlfilter._children = lambda *args: rounds.append(1) or real(*args)
+    try:
+        got = {g["page_id"]: (g["verdict"], g["template"], g["purity"]) for g in urlfilter.filter_urls(frame).collect()}
+    finally:
+        urlfilter._children = real
+    want = brute_templates(urls)
+    assert {i: (v, t) for i, (v, t, _) in got.items()} == {i: (v, t) for i, (v, t, _) in want.items()}
+    assert all(abs(got[i][2] - want[i][2]) < 2e-6 for i in got)
+    assert got[0][1] == stem[len("http://a.net"):] + "/p" and any("/*/same/" in t for _, t, _ in got.values())
+    assert len(rounds) <= 6
+
+
 def test_dictionaries_same_in_every_process():
     """The order of sets of words differs from process to process and must not reach the dictionaries."""
     import subprocess

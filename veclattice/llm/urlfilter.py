@@ -17,11 +17,13 @@ blocked where the purity of their path's node reaches REJECT.  Labels are the
 verdicts of the rules: under a first-level branch without labelled urls all
 is allowed.
 
-The tree grows level by level over counts by distinct generalised path, each
-level a few joins and sums; a path that is alone in its node is finished, so
-the levels end where the last two paths part.  A node has at most
-SHARE + MAX_KIDS + 2 children after wildcards, which bounds the windows that
-merge.  Urls meet their path's verdict by a join that adaptive execution can
+The tree grows in rounds over counts by distinct generalised path, each round a
+few joins and sums.  A stretch on which the paths of a node do not part changes
+no purity and is passed within the round that leads to it: its length is what
+the least and the greatest rest of the node's paths have in common.  Paths with
+one rest between them are finished.  So rounds follow the branchings on a path,
+not its length.  A node has at most SHARE + MAX_KIDS + 2 children after
+wildcards, which bounds the windows that merge.  Urls meet their path's verdict by a join that adaptive execution can
 split.
 
 Defined results: a null url or one without `://` has an empty host and path,
@@ -96,14 +98,14 @@ def _apart(bad: Column, n: Column, bad0: Column, n0: Column) -> Column:
 
 
 def _children(active: DataFrame, first: bool) -> DataFrame:
-    """For each node and next segment: its name, the node it becomes, that node's purity and number of distinct paths."""
+    """For each node and next segment: its name, the node it becomes, that node's purity, how many further segments all its paths share, and whether they share them all."""
     node, named = ["host", "node"], ["host", "node", "name"]
-    sums = [F.sum(c).alias(c) for c in ("n", "good", "bad", "leaves")]
-    kids = active.groupBy(*node, "seg").agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.count(F.lit(1)).alias("leaves"), F.first("purity").alias("purity"))
+    sums = [F.sum(c).alias(c) for c in ("n", "good", "bad")]
+    kids = active.groupBy(*node, "seg").agg(*sums, F.min("rest").alias("low"), F.max("rest").alias("high"), F.first("purity").alias("purity"))
     nodes = kids.groupBy(*node).agg(F.count(F.lit(1)).alias("kids"), F.sum("n").alias("total"))
     keeps = (F.col("kids") <= MAX_KIDS) | (F.lit(SHARE) * F.col("n") >= F.col("total")) | (F.col("seg") == END)
     kids = kids.join(nodes, node).withColumn("name", F.when(keeps, F.col("seg")).otherwise("*"))
-    names = kids.groupBy(*named).agg(*sums, F.first("total").alias("total"), F.first("purity").alias("purity"))
+    names = kids.groupBy(*named).agg(*sums, F.min("low").alias("low"), F.max("high").alias("high"), F.first("total").alias("total"), F.first("purity").alias("purity"))
     # merge neighbours in order of their shares; the windows hold a node's few names
     n = (F.col("good") + F.col("bad")).cast("double")
     known = n >= LEAST_LABELLED
@@ -113,11 +115,13 @@ def _children(active: DataFrame, first: bool) -> DataFrame:
     names = names.withColumn("parts", F.when(F.col("known") & ~_apart(F.col("bad").cast("double"), n, before[0].cast("double"), before[1].cast("double")), 0).otherwise(1))
     names = names.withColumn("class", F.sum("parts").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
     classes = Window.partitionBy(*node, "known", "class")
-    merged = {c: F.sum(c).over(classes) for c in ("n", "good", "bad", "leaves")}
+    merged = {c: F.sum(c).over(classes) for c in ("n", "good", "bad")} | {"low": F.min("low").over(classes), "high": F.max("high").over(classes)}
     names = names.select(*named, "total", "purity", F.min("name").over(classes).alias("least"), *[v.alias(c) for c, v in merged.items()])
     fresh = (F.col("bad") + F.lit(WEIGHT) * F.col("purity")) / (F.col("good") + F.col("bad") + F.lit(WEIGHT))
     purity = fresh if first else F.when(F.col("n") == F.col("total"), F.col("purity")).otherwise(fresh)
-    names = names.select(*named, F.concat("node", F.lit("/"), "least").alias("child"), purity.alias("child_purity"), "leaves")
+    # all rests lie between the two in order, so they begin with what these two begin with; where the two are equal, no place differs
+    parted = F.array_position(F.zip_with("low", "high", lambda x, y: x.eqNullSafe(y)), F.lit(False)).cast("int")
+    names = names.select(*named, F.concat("node", F.lit("/"), "least").alias("child"), purity.alias("child_purity"), F.greatest(parted - 1, F.lit(0)).alias("shared"), (parted == 0).alias("alike"))
     return kids.select(*named, "seg").join(names, named)
 
 
@@ -126,19 +130,22 @@ def templates(leaves: DataFrame) -> DataFrame:
     # a path's segments follow its first slash; what stands before it is empty
     segs = F.concat(F.slice(F.split("shape", "/"), F.lit(2), F.greatest(F.size(F.split("shape", "/")) - 1, F.lit(0))), F.array(F.lit(END)))
     active = leaves.select("host", "shape", "n", "good", "bad", segs.alias("segs"), F.lit("").alias("node"), F.lit("").alias("template"), F.lit(PRIOR).alias("purity"))
-    done, level = [], 0
-    while level == 0 or not active.isEmpty():
-        here = active.withColumn("seg", F.get("segs", F.lit(level)))
-        kids = _children(here, level == 0).select("host", "node", "seg", "name", "child", "child_purity", "leaves")
+    done, first = [], True
+    while first or not active.isEmpty():
+        seg = F.get("segs", F.lit(0))
+        # an ended path has no rest and no say in what the others share
+        here = active.select("*", seg.alias("seg"), F.when(seg != END, F.slice("segs", F.lit(2), F.size("segs") - 1)).alias("rest"))
+        kids = _children(here, first).select("host", "node", "seg", "name", "child", "child_purity", "shared", "alike")
         grown = here.join(kids, ["host", "node", "seg"])
-        step = F.when(F.col("seg") == END, "").otherwise(F.concat(F.lit("/"), "name"))
-        ended = (F.col("seg") == END) | (F.col("leaves") == 1)
-        grown = cut(grown.select("host", "shape", "n", "good", "bad", "segs", F.col("child").alias("node"), F.concat("template", step).alias("template"), F.col("child_purity").alias("purity"), (F.col("seg") == END).alias("whole"), ended.alias("ended")))
-        level += 1
-        rest = F.slice("segs", F.lit(level + 1), F.greatest(F.size("segs") - level - 1, F.lit(0)))
-        tail = F.when(F.col("whole") | (F.size(rest) == 0), "").otherwise(F.concat(F.lit("/"), F.array_join(rest, "/")))
-        done.append(grown.where("ended").select("host", "shape", F.concat("template", tail).alias("template"), "purity"))
-        active = grown.where("not ended").drop("whole", "ended")
+        ended = F.col("rest").isNull() | F.col("alike")
+        passed = F.when(ended, F.size("rest") - 1).otherwise(F.col("shared"))
+        stretch = F.when(passed > 0, F.concat(F.lit("/"), F.array_join(F.slice("rest", F.lit(1), passed), "/"))).otherwise("")
+        step = F.when(F.col("rest").isNull(), "").otherwise(F.concat(F.lit("/"), "name", stretch))
+        left = F.slice("rest", passed + 1, F.size("rest") - passed)
+        grown = cut(grown.select("host", "shape", "n", "good", "bad", left.alias("segs"), F.col("child").alias("node"), F.concat("template", step).alias("template"), F.col("child_purity").alias("purity"), ended.alias("ended")))
+        first = False
+        done.append(grown.where("ended").select("host", "shape", "template", "purity"))
+        active = grown.where("not ended").drop("ended")
     return reduce(DataFrame.unionAll, done)
 
 
