@@ -389,3 +389,18 @@ def test_replayed_batch(spark, tmp_path):
     for batch, want in ((0, 2), (0, 2), (1, 4), (0, 4), (1, 4)):
         run(docs, batch)
         assert counted() == want
+
+
+def test_vectors_are_written_with_ties_to_even(spark, tmp_path):
+    """2 ** -10 has ten decimals, the last a 5; the next double above 0.1234567885 is no tie."""
+    import duckdb
+
+    from veclattice.plans import catalogue
+
+    values = [2**-10, 3 * 2**-10, -(2**-10), 1.5, 0.1234567885, float(np.nextafter(0.1234567885, 1)), 7 * 2**-10, 0.0, 153 * 2**-10, -5 * 2**-10, 1e-12]
+    spark.createDataFrame([(0, values), (1, values[::-1]), (2, None)], "vec_id long, embedding array<double>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = catalogue.format_vector(spark, str(tmp_path)).orderBy("vec_id").collect()
+    assert [tuple(r) for r in got] == sorted(db.sql(catalogue.SQL["format_vector"]).fetchall())
+    assert got[0][1].startswith("[0.000976562, 0.002929688, -0.000976562, 1.500000000, ")

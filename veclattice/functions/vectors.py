@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def doubles(v: Column | str) -> Column:
@@ -38,11 +40,17 @@ def is_padding(v: Column) -> Column:
     return ~F.exists(v, lambda x: x != 0)
 
 
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def nine_decimals(v: pa.Array) -> pa.Array:
+    """The numbers with nine decimals, rounded as they are in binary and ties to even; Java rounds ties of its own shortest form up."""
+    return pa.array([None if x is None else [None if y is None else f"{y:.9f}" for y in x] for x in v.to_pylist()], pa.list_(pa.string()))
+
+
 def format_vector(v: Column, head: int = 5, tail: int = 5) -> Column:
     """Nine decimals; the middle of vectors longer than head + tail is left out."""
 
     def text(part: Column) -> Column:
-        return F.array_join(F.transform(part, lambda x: F.format_string("%.9f", x)), ", ")
+        return F.array_join(nine_decimals(part), ", ")
 
     long = F.concat(F.lit("["), text(F.slice(v, 1, head)), F.lit(", ..., "), text(F.slice(v, -tail, tail)), F.lit("]"))
     return F.when(F.size(v) == 0, F.lit("(empty)")).when(F.size(v) > head + tail, long).otherwise(F.concat(F.lit("["), text(v), F.lit("]")))
