@@ -212,3 +212,19 @@ def test_small_indexes_are_built_anew(spark, tmp_path, rows, queries):
     whole = SegmentIndex.create(spark, f"{tmp_path}/w", frame(spark, kept), config)
     assert ids == list(range(19, 59)) and len(index.segments) == 1 and index.batches == {"x:0", "x:1"}
     assert hits(index.search(queries, ALL)) == hits(whole.search(queries, ALL))
+
+
+def test_scorers_hold_no_products():
+    """What travels with a function grows with centroids plus query tokens, and tiles of queries give the same sums."""
+    import pickle
+
+    r = np.random.default_rng(0)
+    centroids, matrix = r.standard_normal((3000, 16)), r.standard_normal((900, 16))
+    encoder = packed.Encoder(centroids, [], r.standard_normal(256), 8)
+    scorer = packed.Scorer.of(list(range(300)), np.repeat(np.arange(300), 3), matrix, encoder)
+    best, data, lengths, counts = r.integers(0, 3000, 40), r.integers(0, 256, (40, 16)).astype(np.uint8), r.random(40) + 0.5, np.array([7, 3, 30])
+    want = scorer.sums(encoder.decode(best, data, lengths) @ matrix.T, counts)
+    tiles = list(scorer.tiles())
+    assert len(tiles) > 2 and [i for i, _ in tiles] == np.cumsum([0, *(len(t.ids) for _, t in tiles[:-1])]).tolist()
+    assert np.allclose(np.hstack([t.sums(t.products(best, data, lengths), counts) for _, t in tiles]), want)
+    assert len(pickle.dumps(scorer)) < 2 * (centroids.nbytes + matrix.nbytes)

@@ -8,12 +8,23 @@ of the de-quantised vector; nothing is rebuilt.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 
-#: Numbers of one block of products, and of the table of centroid scores that may travel with a function.
-PRODUCTS, TABLE = 4_000_000, 16_000_000
+#: Numbers of one block of products or of one set of look-up tables, whatever the number of centroids and queries.
+PRODUCTS = 1_000_000
+
+
+def nearest(v: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """The row of greatest product, rounded; the first of equal ones.  Products are held in blocks of PRODUCTS numbers."""
+    out, room = np.zeros(len(v), dtype=np.int64), max(1, PRODUCTS // max(1, len(matrix)))
+    for i in range(0, len(v), room):
+        products = v[i : i + room] @ matrix.T
+        out[i : i + room] = np.round(products, 9, out=products).argmax(1)
+    return out
 
 
 def pack(codes: np.ndarray, nbits: int) -> np.ndarray:
@@ -55,7 +66,7 @@ class Encoder:
         parts = []
         for i in range(0, len(v), 4096):
             x = v[i : i + 4096]
-            best = np.round(x @ self.centroids.T, 9).argmax(1)
+            best = nearest(x, self.centroids)
             c = self.centroids[best]
             codes = np.searchsorted(self.cutoffs, np.round(x - c, 9), "right").astype(np.uint8)
             raw = c + np.asarray(self.weights)[codes]
@@ -70,18 +81,40 @@ class Encoder:
 
 @dataclass(frozen=True)
 class Scorer:
-    """Query tokens against packed tokens: queries in order, their tokens' rows, products with centroids, look-up tables."""
+    """Query tokens against packed tokens: queries in order and their tokens' rows.
+
+    What grows with queries times centroids or values of a byte is made where it is used, for a tile of queries at a time.
+    """
 
     ids: tuple[int, ...]
     starts: tuple[int, ...]  # of each query among the tokens; queries without real tokens are left out
     lengths: np.ndarray  # of the query tokens
-    against: np.ndarray  # centroid x query token
-    lookup: np.ndarray
+    matrix: np.ndarray
+    encoder: Encoder
 
     @classmethod
     def of(cls, ids: list[int], query: np.ndarray, matrix: np.ndarray, encoder: Encoder) -> Scorer:
         starts = tuple(int(np.searchsorted(query, i)) for i in ids)
-        return cls(tuple(ids), starts, np.linalg.norm(matrix, axis=1), encoder.centroids @ matrix.T, tables(matrix, encoder.weights, encoder.nbits))
+        return cls(tuple(ids), starts, np.linalg.norm(matrix, axis=1), matrix, encoder)
+
+    @cached_property
+    def lookup(self) -> np.ndarray:
+        return tables(self.matrix, self.encoder.weights, self.encoder.nbits)
+
+    def spans(self) -> list[tuple[int, int]]:
+        """The rows of each query."""
+        return list(zip(self.starts, [*self.starts[1:], len(self.lengths)], strict=True))
+
+    def tiles(self) -> Iterator[tuple[int, Scorer]]:
+        """Scorers of consecutive queries whose look-up tables fit in one block, with the place of their first; a longer query is alone."""
+        width = self.matrix.shape[1] if self.matrix.ndim == 2 else 1
+        room = max(1, PRODUCTS // (256 * -(-width * self.encoder.nbits // 8)))
+        first, spans = 0, self.spans()
+        for k in range(1, len(spans) + 1):
+            if k == len(spans) or spans[k][1] - spans[first][0] > room:
+                a, b = spans[first][0], spans[k - 1][1]
+                yield first, Scorer(self.ids[first:k], tuple(x - a for x in self.starts[first:k]), self.lengths[a:b], self.matrix[a:b], self.encoder)
+                first = k
 
     def blocks(self, counts: np.ndarray) -> list[tuple[int, int]]:
         """Ranges of documents whose tokens' products fit in one block; a longer document is alone."""
@@ -93,12 +126,22 @@ class Scorer:
             held += int(n)
         return [*out, (first, len(counts))] if len(counts) else out
 
+    def near(self, centroids: np.ndarray, threshold: float | None) -> np.ndarray:
+        """Centroid x query token, rounded; where no token of a query reaches the threshold all of its are -inf."""
+        out = self.encoder.centroids[centroids] @ self.matrix.T
+        np.round(out, 9, out=out)
+        if threshold is not None:
+            for a, b in self.spans():
+                out[out[:, a:b].max(1) < threshold, a:b] = -np.inf
+        return out
+
     def products(self, best: np.ndarray, packed: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Token x query token."""
-        out = self.against[best]
+        out = self.encoder.centroids[best] @ self.matrix.T
         for p in range(packed.shape[1]):
             out += self.lookup[p][packed[:, p]]
-        return out / length[:, None]
+        out /= length[:, None]
+        return out
 
     def sums(self, products: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Document x query: the sum of each query token's best product; every document has tokens."""

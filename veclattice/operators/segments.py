@@ -47,7 +47,7 @@ from ..functions import vectors as V
 from ..schema import IndexConfig, SearchParameters
 from . import codec, metadata, mutate
 from .index import META, VectorIndex
-from .packed import TABLE, Encoder, Scorer
+from .packed import Encoder, Scorer
 from .score import DECIMALS, QueryBlock, restrict, top_k
 
 SEGMENT = "struct<seg: string, docs: bigint, alive: bigint, tokens: bigint, state: int, batches: array<string>>"
@@ -58,6 +58,8 @@ LISTS = "bucket int, centroid_id int, block int, docs array<int>, reach array<do
 ALIVE = "state int, block int, n int, before long, words array<bigint>"
 #: Literals of a filter on blocks; more blocks than this are most of a table.
 BLOCKS = 10_000
+#: Pairs of a document and a query that a task holds at a time.
+PAIRS = 100_000
 #: What rounding may add to a score or take from a bound.
 SLACK = 2e-6
 
@@ -439,33 +441,44 @@ class SegmentIndex(VectorIndex):
         return block
 
     def _scorers(self, queries: DataFrame) -> Iterator[tuple[Scorer, np.ndarray]]:
-        """Scorers of as many queries as their centroid scores have room for, with the queries' tokens."""
-        block, encoder = self._queries(queries), self.encoder()
-        room = max(1, TABLE // max(1, len(encoder.centroids)))
-        ids: list[int] = []
-        for i in [i for i in block.ids if block.real_rows[i]] + [None]:
-            if ids and (i is None or sum(block.real_rows[j] for j in [*ids, i]) > room):
-                own = np.isin(block.query, ids)
-                yield Scorer.of(ids, block.query[own], block.matrix[own], encoder), block.matrix[own]
-                ids = []
-            if i is not None:
-                ids.append(i)
-
-    def candidates(self, probed: dict[int, list[int]], scorer: Scorer, subset: DataFrame | None = None) -> DataFrame:
+        """The scorer of the queries that have a row other than zeros, and the queries' tokens; none without such queries."""
+        block = self._queries(queries)
+        ids = [i for i in block.ids if block.real_rows[i]]
+        if ids:
+            yield Scorer.of(ids, block.query, block.matrix, self.encoder()), block.matrix
+
+    def candidates(self, probed: dict[int, list[int]] | DataFrame, scorer: Scorer, subset: DataFrame | None = None) -> DataFrame:
         """seg, block, doc, doc_id and qs (queries, by their place) of the survivors in the lists of probed centroids.
 
-        probed: the queries that probe a centroid.  Only the files of their buckets are read.
+        probed: the queries that probe a centroid (as rows: centroid_id, qs).  Only the files of their buckets are read.
         """
-        spark, bucket = self.spark, self.meta["bucket"]
-        wanted = spark.createDataFrame([(c, qs) for c, qs in probed.items()], "centroid_id int, qs array<int>")
-        lists = self._read("lists", LISTS).where(F.col("bucket").isin(sorted({c // bucket for c in probed})) & F.col("centroid_id").isin(sorted(probed)))
-        rows = lists.join(F.broadcast(wanted), "centroid_id").select("seg", "block", F.explode("docs").alias("doc"), "qs")
-        rows = rows.select("seg", "block", "doc", F.explode("qs").alias("q")).distinct()
+        bucket = self.meta["bucket"]
+        wanted = self.spark.createDataFrame(list(probed.items()), "centroid_id int, qs array<int>") if isinstance(probed, dict) else probed
+        ids = sorted(probed) if isinstance(probed, dict) else sorted(r[0] for r in wanted.select("centroid_id").limit(BLOCKS + 1).collect())
+        lists = self._read("lists", LISTS)
+        if len(ids) <= BLOCKS:
+            lists = lists.where(F.col("bucket").isin(sorted({c // bucket for c in ids})) & F.col("centroid_id").isin(ids))
+        rows = lists.join(wanted, "centroid_id").select("seg", "block", F.explode("docs").alias("doc"), "qs")
+        # a document has as many rows as centroids: queries meet in arrays and never as pairs
+        rows = rows.groupBy("seg", "block", "doc").agg(F.array_distinct(F.flatten(F.collect_list("qs"))).alias("qs"))
+        return self._seen_by(self.placed(rows), scorer, subset)
+
+    def _all(self, queries: list[int], scorer: Scorer, subset: DataFrame | None) -> DataFrame:
+        """Like candidates of queries that probe all lists, with the documents' own columns; no list is read."""
+        rows = self.placed(self._read("docs", DOCS)).withColumn("qs", F.lit(queries).cast("array<int>"))
+        return self._seen_by(rows, scorer, subset)
+
+    def _seen_by(self, rows: DataFrame, scorer: Scorer, subset: DataFrame | None) -> DataFrame:
+        """rows whose qs are those that may see the document; queries that subset does not list see all."""
         if subset is None:
-            return self.placed(rows.groupBy("seg", "block", "doc").agg(F.collect_list("q").alias("qs")))
-        names = spark.createDataFrame([*enumerate(scorer.ids)], "q int, query_id long")
-        seen = restrict(self.placed(rows).join(F.broadcast(names), "q"), subset)
-        return seen.groupBy("seg", "block", "doc", "doc_id").agg(F.collect_list("q").alias("qs"))
+            return rows
+        place = self.spark.createDataFrame([*enumerate(map(int, scorer.ids))], "q int, query_id long")
+        allowed = subset.select("query_id", "doc_id").join(F.broadcast(place), "query_id").select("q", "doc_id")
+        listed = [r[0] for r in subset.select("query_id").distinct().join(F.broadcast(place), "query_id").select("q").collect()]  # queries of the scorer
+        own = allowed.groupBy("doc_id").agg(F.collect_set("q").alias("own"))
+        bound = F.lit(listed).cast("array<int>") if listed else F.array().cast("array<int>")
+        qs = F.concat(F.array_except("qs", bound), F.array_intersect("qs", F.coalesce("own", F.array().cast("array<int>"))))
+        return rows.join(own, "doc_id", "left").withColumn("qs", qs).drop("own").where("size(qs) > 0")
 
     def _at(self, name: str, schema: str, wanted: DataFrame) -> DataFrame:
         """Rows of a table of blocks for wanted(seg, block, doc, ...): only the blocks that hold any are read."""
@@ -481,19 +494,36 @@ class SegmentIndex(VectorIndex):
             rows = rows.where(near)
         return rows.join(wanted, ["seg", "block", "doc"])
 
-    def _scored(self, rows: DataFrame, columns: list[str], sums: Callable[[pa.RecordBatch, np.ndarray], np.ndarray], scorer: Scorer) -> DataFrame:
-        """q, seg, block, doc, doc_id and score of the wanted pairs, from what `sums` makes of a batch's documents."""
+    def _scored(self, rows: DataFrame, columns: list[str], sums: Callable[[pa.RecordBatch, np.ndarray, Scorer], np.ndarray], scorer: Scorer, best: int | None = None, floors: np.ndarray | None = None) -> DataFrame:
+        """q, seg, block, doc, doc_id and score of the wanted pairs, from what `sums` makes of a batch's documents for a tile of queries.
+
+        best: of each query no more pairs than so many leave a part of a batch.  floors: lesser scores of a query don't.
+        """
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                counts = batch.column(5).to_numpy()
-                for i, j in scorer.blocks(counts):
-                    part = batch.slice(i, j - i)
-                    total = sums(part, counts[i:j])
-                    qs = part.column(4)
-                    row = np.repeat(np.arange(len(part)), np.diff(qs.offsets.to_numpy()))
-                    q = qs.flatten().to_numpy()
-                    yield pa.RecordBatch.from_arrays([pa.array(q), *(part.column(c).take(pa.array(row)) for c in range(4)), pa.array(total[row, q])], ["q", "seg", "block", "doc", "doc_id", "score"])
+            for whole in batches:
+                ends = whole.column(4).offsets.to_numpy()
+                at = 0
+                while at < whole.num_rows:
+                    to = max(at + 1, int(np.searchsorted(ends, ends[at] + PAIRS, "right")) - 1)
+                    batch = whole.slice(at, to - at)
+                    counts, at = batch.column(5).to_numpy(), to
+                    row = np.repeat(np.arange(len(batch)), np.diff(batch.column(4).offsets.to_numpy()))
+                    q = batch.column(4).flatten().to_numpy()
+                    total = np.zeros(len(q))
+                    for first, tile in scorer.tiles():
+                        own = np.flatnonzero((q >= first) & (q < first + len(tile.ids)))
+                        if not len(own):
+                            continue
+                        for i, j in tile.blocks(counts):
+                            a, b = np.searchsorted(row[own], (i, j))
+                            if b > a:
+                                here = own[a:b]
+                                total[here] = sums(batch.slice(i, j - i), counts[i:j], tile)[row[here] - i, q[here] - first]
+                    kept = np.arange(len(q)) if floors is None else np.flatnonzero(total >= floors[q])
+                    if best is not None:
+                        kept = kept[_leading(q[kept], total[kept], batch.column(3).to_numpy()[row[kept]], best)]
+                    yield pa.RecordBatch.from_arrays([pa.array(q[kept]), *(batch.column(c).take(pa.array(row[kept])) for c in range(4)), pa.array(total[kept])], ["q", "seg", "block", "doc", "doc_id", "score"])
 
         return rows.select("seg", "block", "doc", "doc_id", "qs", "n_tokens", *columns).mapInArrow(run, "q int, seg string, block int, doc int, doc_id long, score double")
 
@@ -509,23 +539,46 @@ class SegmentIndex(VectorIndex):
             out = part if out is None else out.unionByName(part)
         return self.spark.createDataFrame([], "query_id long, rank long, doc_id long, score double") if out is None else out
 
+    def _probes(self, scorer: Scorer, queries: list[int], n: int, radius: np.ndarray | None = None) -> DataFrame:
+        """centroid_id and q (null: a row with `rest`) of each query token's n best centroids.
+
+        Best by product, or, with a radius of each centroid, by the greatest product that a token so far from it may have;
+        rest is then the sum of the best bounds that were not probed.
+        """
+        spans, encoder, matrix, lengths = scorer.spans(), scorer.encoder, scorer.matrix, scorer.lengths
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for q in batch.column(0).to_pylist():
+                    a, b = spans[q]
+                    found, rest = [], 0.0
+                    for t in range(a, b):
+                        worth = encoder.centroids @ matrix[t]
+                        worth = np.round(worth, 9) if radius is None else worth + radius * lengths[t]
+                        order = np.argsort(-worth, kind="stable")
+                        found.append(order[:n])
+                        rest += worth[order[n]] if n < len(order) else -np.inf
+                    ids = np.unique(np.concatenate(found))
+                    yield pa.RecordBatch.from_arrays([pa.array([*ids.tolist(), None], pa.int32()), pa.array(np.full(len(ids) + 1, q, dtype=np.int32)), pa.array([*[None] * len(ids), float(rest)], pa.float64())], ["centroid_id", "q", "rest"])
+
+        rows = self.spark.createDataFrame([(q,) for q in queries], "q int").repartition(max(1, min(len(queries), int(self.spark.conf.get("spark.sql.shuffle.partitions")))))
+        return rows.mapInArrow(run, "centroid_id int, q int, rest double")
+
     def _staged(self, scorer: Scorer, params: SearchParameters, subset: DataFrame | None) -> DataFrame:
-        near = np.round(scorer.against, 9)
-        order = np.argsort(-near, axis=0, kind="stable")[: params.n_ivf_probe]
-        candidates = self.candidates(_probes(order, scorer), scorer, subset)
-        if params.centroid_score_threshold is not None:
-            for a, b in _spans(scorer):
-                near[near[:, a:b].max(1) < params.centroid_score_threshold, a:b] = -np.inf
-
-        def rough(part: pa.RecordBatch, counts: np.ndarray) -> np.ndarray:
+        probed = self._probes(scorer, list(range(len(scorer.ids))), params.n_ivf_probe).where("centroid_id is not null").groupBy("centroid_id").agg(F.collect_list("q").alias("qs")).persist()
+        candidates = self.candidates(probed, scorer, subset)
+        threshold = params.centroid_score_threshold
+
+        def rough(part: pa.RecordBatch, counts: np.ndarray, tile: Scorer) -> np.ndarray:
             column = part.column(6)
-            return np.round(scorer.sums(near[column.flatten().to_numpy()], np.diff(column.offsets.to_numpy())), DECIMALS)
+            ids, where = np.unique(column.flatten().to_numpy(), return_inverse=True)
+            return np.round(tile.sums(tile.near(ids, threshold)[where], np.diff(column.offsets.to_numpy())), DECIMALS)
 
-        first = self._scored(self._at("docs", DOCS, candidates), ["near"], rough, scorer)
+        first = self._scored(self._at("docs", DOCS, candidates), ["near"], rough, scorer, params.n_full_scores)
         w = Window.partitionBy("q").orderBy(F.desc("score"), "doc_id")
         kept = first.withColumn("r", F.row_number().over(w)).where(F.col("r") <= params.n_full_scores)
-        kept = kept.groupBy("seg", "block", "doc", "doc_id").agg(F.collect_list("q").alias("qs"))
-        return self._scored(self._at("docs", DOCS, kept), ["centroids", "codes", "lengths"], lambda part, counts: scorer.sums(scorer.products(*_coded(part, 6)), counts), scorer)
+        kept = kept.groupBy("seg", "block", "doc", "doc_id").agg(F.collect_list("q").alias("qs")).persist()
+        return self._scored(self._at("docs", DOCS, kept), ["centroids", "codes", "lengths"], lambda part, counts, tile: tile.sums(tile.products(*_coded(part, 6)), counts), scorer)
 
     def certified(self, queries: DataFrame, k: int = 5, probes: int = 8, subset: DataFrame | None = None) -> tuple[DataFrame, list[dict]]:
         """Exactly the k best of exact search, and for each query how many documents were candidates and how many were scored.
@@ -539,48 +592,52 @@ class SegmentIndex(VectorIndex):
             raise EngineError("exact scores need an index that keeps vectors")
         reach = dict(self._read("reach", "centroid_id int, reach double").groupBy("centroid_id").agg(F.max("reach")).collect())  # as many as centroids
         out, reports = None, []
-        for scorer, matrix in self._scorers(queries):
-            radius = np.full(len(scorer.against), -np.inf)
+        for scorer, _ in self._scorers(queries):
+            radius = np.full(len(scorer.encoder.centroids), -np.inf)
             radius[list(reach)] = list(reach.values())
-            bounds = scorer.against + radius[:, None] * scorer.lengths
-            order = np.argsort(-bounds, axis=0, kind="stable")
-            best, report = self._certify(scorer, matrix, order, np.take_along_axis(bounds, order, 0), len(reach), k, probes, subset)
-            out = best if out is None else out.unionByName(best)
-            reports += report
+            out, reports = self._certify(scorer, radius, len(reach), k, probes, subset)
         empty = self.spark.createDataFrame([], "query_id long, rank long, doc_id long, score double")
         return (empty if out is None else out), reports
 
-    def _certify(self, scorer: Scorer, matrix: np.ndarray, order: np.ndarray, falling: np.ndarray, lists: int, k: int, probes: int, subset: DataFrame | None) -> tuple[DataFrame, list[dict]]:
+    def _certify(self, scorer: Scorer, radius: np.ndarray, lists: int, k: int, probes: int, subset: DataFrame | None) -> tuple[DataFrame, list[dict]]:
         open_, n, out, report, total = list(range(len(scorer.ids))), probes, None, [], self.num_documents
 
-        def exact(part: pa.RecordBatch, counts: np.ndarray) -> np.ndarray:
-            return scorer.sums(_bytes(part.column(6), np.float64).reshape(-1, matrix.shape[1]) @ matrix.T, counts)
+        def exact(part: pa.RecordBatch, counts: np.ndarray, tile: Scorer) -> np.ndarray:
+            return tile.sums(_bytes(part.column(6), np.float64).reshape(-1, tile.matrix.shape[1]) @ tile.matrix.T, counts)
 
-        def upper(part: pa.RecordBatch, counts: np.ndarray) -> np.ndarray:
-            products = scorer.products(*_coded(part, 6))
-            return scorer.sums(products + part.column(9).flatten().to_numpy()[:, None] * scorer.lengths, counts)
+        def upper(part: pa.RecordBatch, counts: np.ndarray, tile: Scorer) -> np.ndarray:
+            products = tile.products(*_coded(part, 6))
+            return tile.sums(products + part.column(9).flatten().to_numpy()[:, None] * tile.lengths, counts)
 
+        coded = ["centroids", "codes", "lengths", "errors"]
         while open_:
-            n = min(n, lists)
-            seen = self.candidates(_probes(order[:n], scorer, open_), scorer, subset).persist()
-            bound = self._scored(self._at("docs", DOCS, seen), ["centroids", "codes", "lengths", "errors"], upper, scorer).persist()
-            counts = dict(bound.groupBy("q").count().collect())
+            n, unseen, held = min(n, lists), {}, []
+            if n < lists:
+                probed = self._probes(scorer, open_, n, radius).persist()
+                unseen = dict(probed.where("centroid_id is null").select("q", "rest").collect())
+                wanted = probed.where("centroid_id is not null").groupBy("centroid_id").agg(F.collect_list("q").alias("qs"))
+                seen = self.candidates(wanted, scorer, subset).persist()
+                held, rows = [probed, seen], self._at("docs", DOCS, seen)
+            else:
+                # each list is probed by all: the documents are read as they lie
+                seen = rows = self._all(open_, scorer, subset)
+            counts = dict(seen.select(F.explode("qs").alias("q")).groupBy("q").count().collect())
+            # bounds are made twice, so that no more of them are kept than lead or reach the floor
             w = Window.partitionBy("q").orderBy(F.desc("score"), "doc_id")
-            first = bound.withColumn("r", F.row_number().over(w)).where(F.col("r") <= 2 * k)
+            first = self._scored(rows, coded, upper, scorer, best=2 * k)
+            first = first.withColumn("r", F.row_number().over(w)).where(F.col("r") <= 2 * k).persist()
             lead = self._exact(first, exact, scorer).persist()
             w = Window.partitionBy("q").orderBy(F.desc("score"))
             least = dict(lead.withColumn("r", F.row_number().over(w)).where(F.col("r") == k).select("q", "score").collect())
             # all candidates whose bound reaches the k-th score so far; fewer than k leave none out
-            floors = self.spark.createDataFrame([(q, least.get(q, -1e300) - SLACK) for q in open_], "q int, floor double")
-            rest = bound.join(F.broadcast(floors), "q").where("score >= floor").join(first.select("q", "doc_id"), ["q", "doc_id"], "left_anti")
+            floors = np.array([least.get(q, -1e300) - SLACK for q in range(len(scorer.ids))])
+            rest = self._scored(rows, coded, upper, scorer, floors=floors).join(first.select("q", "doc_id"), ["q", "doc_id"], "left_anti").persist()
             scores = lead.unionByName(self._exact(rest, exact, scorer)).persist()
             scored = dict(scores.groupBy("q").count().collect())
             ends = dict(scores.withColumn("r", F.row_number().over(w)).where(F.col("r") == k).select("q", "score").collect())
             done = []
             for q in open_:
-                a, b = _spans(scorer)[q]
-                unseen = float(falling[n, a:b].sum()) if n < lists else -np.inf
-                if ends.get(q, -np.inf) - SLACK > unseen or n >= lists:
+                if n >= lists or ends.get(q, -np.inf) - SLACK > unseen[q]:
                     done.append(q)
                     report.append({"query_id": int(scorer.ids[q]), "documents": total, "candidates": counts.get(q, 0), "scored": scored.get(q, 0), "probes": n})
             if done:
@@ -588,7 +645,7 @@ class SegmentIndex(VectorIndex):
                 # few rows: they are kept and what they came from is not
                 kept = self.spark.createDataFrame(part.collect(), part.schema)
                 out = kept if out is None else out.unionByName(kept)
-            for df in (scores, lead, bound, seen):
+            for df in (scores, rest, lead, first, *held):
                 df.unpersist()
             open_, n = [q for q in open_ if q not in done], 4 * n
         return out, report
@@ -607,18 +664,12 @@ def _plain(segment) -> dict:
     return segment if isinstance(segment, dict) else segment.asDict()
 
 
-def _spans(scorer: Scorer) -> list[tuple[int, int]]:
-    return list(zip(scorer.starts, [*scorer.starts[1:], len(scorer.lengths)], strict=True))
-
-
-def _probes(order: np.ndarray, scorer: Scorer, queries: list[int] | None = None) -> dict[int, list[int]]:
-    """The queries that probe each centroid, from each query token's best ones."""
-    out: dict[int, list[int]] = {}
-    for q, (a, b) in enumerate(_spans(scorer)):
-        if queries is None or q in queries:
-            for c in np.unique(order[:, a:b]):
-                out.setdefault(int(c), []).append(q)
-    return out
+def _leading(q: np.ndarray, score: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """Places of each query's n greatest scores; equal ones by document."""
+    order = np.lexsort((doc, -score, q))
+    starts = np.flatnonzero(np.diff(q[order], prepend=-1))
+    rank = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
+    return order[rank < n]
 
 
 def _bytes(column: pa.Array, kind: type) -> np.ndarray:
