@@ -404,3 +404,19 @@ def test_vectors_are_written_with_ties_to_even(spark, tmp_path):
     got = catalogue.format_vector(spark, str(tmp_path)).orderBy("vec_id").collect()
     assert [tuple(r) for r in got] == sorted(db.sql(catalogue.SQL["format_vector"]).fetchall())
     assert got[0][1].startswith("[0.000976562, 0.002929688, -0.000976562, 1.500000000, ")
+
+
+def test_products_with_centroids_stay_in_blocks():
+    """Memory of an assignment does not grow with tokens times centroids."""
+    import tracemalloc
+
+    from veclattice.operators import packed
+
+    r = np.random.default_rng(0)
+    v, matrix = r.standard_normal((4096, 4)), r.standard_normal((5000, 4))
+    want = np.concatenate([np.round(x @ matrix.T, 9).argmax(1) for x in np.split(v, 16)])
+    tracemalloc.start()
+    got, _ = packed.nearest(v, matrix), packed.Encoder(matrix, [0.0], [-0.1, 0.1], 1).encode(v)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got == want).all() and peak < 40e6
