@@ -228,3 +228,25 @@ def test_scorers_hold_no_products():
     assert len(tiles) > 2 and [i for i, _ in tiles] == np.cumsum([0, *(len(t.ids) for _, t in tiles[:-1])]).tolist()
     assert np.allclose(np.hstack([t.sums(t.products(best, data, lengths), counts) for _, t in tiles]), want)
     assert len(pickle.dumps(scorer)) < 2 * (centroids.nbytes + matrix.nbytes)
+
+
+def test_counts_of_texts_are_those_of_their_rows(spark):
+    """embedding_count comes without the encoder; words are hashed once."""
+    from veclattice.operators import encode
+    from veclattice.schema import ModelConfig
+
+    class Counting(encode.HashEncoder):
+        hashed: list = []
+
+        def _hashed(self, tokens):
+            Counting.hashed += tokens
+            return encode.HashEncoder._hashed(tokens)
+
+    texts = ["a b\n c\td", "", None, "  ", "a , b . c", ", .", "a a a a a a a a"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, chunk_text string").coalesce(1)
+    for model in (None, ModelConfig(32, document_length=5)):
+        rows = encode.encode_documents(df, encode.HashEncoder(), model).groupBy("doc_id").count()
+        assert hits(rows) == hits(df.select("doc_id", encode.counted(F.col("chunk_text"), model)))
+    one = Counting()
+    twice = np.vstack([one.encode(["x", "y", "x"]), one.encode(["y", "x"])])
+    assert Counting.hashed == ["x", "y"] and (twice == encode.HashEncoder._hashed(["x", "y", "x", "y", "x"])).all()
