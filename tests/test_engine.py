@@ -420,3 +420,25 @@ def test_products_with_centroids_stay_in_blocks():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert (got == want).all() and peak < 40e6
+
+
+def test_quantiles_are_exact(spark):
+    r = np.random.default_rng(1)
+    at = [i / 512 for i in range(1, 512)]
+    for held in ([0.5], [3.0, 1.0], [0.0] * 700 + np.round(r.standard_normal(3000), 3).tolist(), [1e300, -1e300, *r.random(50).tolist()], [float("inf"), float("-inf"), 2.0, 1.0, None]):
+        rows = spark.createDataFrame([(x,) for x in held], "x double").repartition(5)
+        want = rows.agg(F.percentile("x", F.array(*map(F.lit, at)))).first()[0]
+        assert repr(codec.quantiles(rows, at)) == repr(want)
+    assert codec.quantiles(spark.createDataFrame([(None,)], "x double"), at) == []
+    rows = spark.range(200_000).select(F.rand(3).alias("x")).persist()
+    assert codec.quantiles(rows, [0.25, 0.3]) == rows.agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.3)))).first()[0]
+
+
+def test_cutoffs_of_an_index_of_over_a_million_numbers_are_exact(spark, tmp_path):
+    rows = spark.range(2100).select(F.expr("id div 8").alias("doc_id"), (F.col("id") % 8).cast("int").alias("token_pos"), F.transform(F.sequence(F.lit(0), F.lit(499)), lambda i: F.xxhash64("id", i) / 2.0**63).alias("v"))
+    index = VectorIndex.create(spark, str(tmp_path / "i"), rows, IndexConfig(nbits=2, centroids="deterministic", every=500))
+    c = index.table("centroids")
+    rest = codec.residuals(codec.assign(index.table("raw"), c), c).select(F.explode("r").alias("x"))
+    want = rest.agg(F.percentile("x", F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75)])).alias("c"), F.percentile("x", F.array(*[F.lit(p) for p in (0.125, 0.375, 0.625, 0.875)])).alias("w")).first()
+    assert (index.meta["cutoffs"], index.meta["weights"]) == tuple(want)
+    assert not (tmp_path / "i" / "v0" / "residuals").exists()

@@ -92,14 +92,16 @@ class VectorIndex:
         centroids.write.parquet(f"{at}/centroids")
         centroids = spark.read.parquet(f"{at}/centroids")
         block = codec.centroid_block(centroids)
-        rest = codec.residuals(codec.assign(unit, block), centroids)
-        edges, weights = codec.cutoffs(rest, config.nbits, exact=n * most <= codec.EXACT_CUTOFFS_UP_TO)
+        codec.residuals(codec.assign(unit, block), centroids).write.parquet(f"{at}/residuals")
+        rest = spark.read.parquet(f"{at}/residuals")
+        edges, weights = codec.cutoffs(rest, config.nbits)
         cls._write_codes(spark, at, rest, edges)
+        fs, make = cls._fs(spark, path)
+        fs.delete(make(f"{at}/residuals"), True)
         chunks_out = metadata.register(chunks) if chunks is not None else None
         if chunks_out is not None:
             chunks_out.write.parquet(f"{at}/chunks")
         if docs + 1 > config.rebuild_up_to:
-            fs, make = cls._fs(spark, path)
             fs.delete(make(f"{at}/raw"), True)
         row = (version, model_id, most, config.nbits, len(block[0]), docs + 1, n, n / (docs + 1), config.seed, edges, weights, config.centroids, config.every, batch)
         return cls._finish(spark, path, version, row)

@@ -209,7 +209,11 @@ class SegmentIndex(VectorIndex):
         ids, matrix = codec.centroid_block(centroids)
         if len(ids) and ids[-1] != len(ids) - 1:
             raise EngineError("centroid ids must be dense")
-        edges, weights = codec.cutoffs(codec.residuals(codec.assign(unit, (ids, matrix)), centroids), config.nbits, exact=n * most <= codec.EXACT_CUTOFFS_UP_TO)
+        rest = f"{path}/{codebook}-residuals"
+        codec.residuals(codec.assign(unit, (ids, matrix)), centroids).select("r").write.parquet(rest)
+        edges, weights = codec.cutoffs(spark.read.parquet(rest), config.nbits)
+        fs, make = cls._fs(spark, path)
+        fs.delete(make(rest), True)
         row = {"version": version, "model_id": model_id, "dim": most, "nbits": config.nbits, "num_partitions": len(ids), "seed": config.seed, "cutoffs": edges, "weights": weights, "centroids": config.centroids, "every": config.every, "last_batch": batch, "codebook": codebook, "rebuild_up_to": config.rebuild_up_to, "block": config.block, "bucket": config.bucket, "keep_vectors": config.keep_vectors, "fan": config.fan, "segments": []}
         made = cls(spark, path, version, row)
         names = [*(batches or []), *([batch] if batch is not None else [])]

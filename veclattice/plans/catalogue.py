@@ -26,7 +26,7 @@ from ..operators.predicate import where
 from ..operators.index import VectorIndex
 from ..operators.segments import SegmentIndex
 from ..schema import IndexConfig, SearchParameters
-from ..session import shared_folder
+from ..session import checkpointed, shared_folder
 from ..sources import ingest
 from ..streaming.ingest import index_batch, stream_files
 from ..streaming.ingest import ingest as ingest_stream
@@ -471,14 +471,14 @@ def _residuals(spark, sf) -> DataFrame:
     return codec.residuals(_assigned(spark, sf), _centroids(spark, sf))
 
 
-def _coded(spark, sf, nbits: int = NBITS) -> tuple[DataFrame, list[float]]:
-    rest = _residuals(spark, sf)
-    edges, weights = codec.cutoffs(rest, nbits)
+def _coded(spark, sf) -> tuple[DataFrame, list[float]]:
+    rest = checkpointed(_residuals(spark, sf))
+    edges, weights = codec.cutoffs(rest, NBITS)
     return codec.codes(rest, edges), weights
 
 
-def _rebuilt(spark, sf, nbits: int = NBITS) -> DataFrame:
-    coded, weights = _coded(spark, sf, nbits)
+def _rebuilt(spark, sf) -> DataFrame:
+    coded, weights = _coded(spark, sf)
     return codec.reconstruct(coded, _centroids(spark, sf), weights)
 
 
@@ -504,7 +504,7 @@ def doc_lengths(spark, sf):
 
 @query(f"WITH {CODEC}, parts AS (SELECT 'cutoff' AS kind, i - 1 AS pos, round(cut[i], 6) AS x FROM x, unnest(range(1, len(cut) + 1)) t(i) UNION ALL SELECT 'weight', i - 1, round(w[i], 6) FROM x, unnest(range(1, len(w) + 1)) t(i)) SELECT * FROM parts")
 def residual_codec(spark, sf):
-    edges, weights = codec.cutoffs(_residuals(spark, sf), NBITS)
+    edges, weights = codec.cutoffs(checkpointed(_residuals(spark, sf)), NBITS)
     rows = [(kind, i, round(x, 6)) for kind, xs in (("cutoff", edges), ("weight", weights)) for i, x in enumerate(xs)]
     return spark.createDataFrame(rows, "kind string, pos long, x double")
 
@@ -531,9 +531,10 @@ _ERRORS = " UNION ALL ".join(f"SELECT {b} AS nbits, round(avg(list_inner_product
 @query(f"WITH {CENTROIDS}, {', '.join(_codec_sql(b, str(b)) for b in (1, 2, 4))} {_ERRORS}")
 def reconstruct_error_by_nbits(spark, sf):
     own = tokens(spark, sf).select("doc_id", "token_pos", F.col("v").alias("own"))
-    out = None
+    rest, out = checkpointed(_residuals(spark, sf)), None
     for b in (1, 2, 4):
-        both = _rebuilt(spark, sf, b).join(own, ["doc_id", "token_pos"])
+        edges, weights = codec.cutoffs(rest, b)
+        both = codec.reconstruct(codec.codes(rest, edges), _centroids(spark, sf), weights).join(own, ["doc_id", "token_pos"])
         part = both.agg(F.round(F.avg(V.dot(F.col("v"), F.col("own"))), 6).alias("mean_cosine")).select(F.lit(b).alias("nbits"), "mean_cosine")
         out = part if out is None else out.unionByName(part)
     return out
@@ -584,9 +585,10 @@ def candidate_cap(spark, sf):
 
 
 def _staged(spark, sf, threshold=None, probe=PROBE, cap=CAP) -> DataFrame:
-    assigned = _assigned(spark, sf)
+    coded, weights = _coded(spark, sf)
+    centroids = _centroids(spark, sf)
     p = SearchParameters(n_full_scores=cap, n_ivf_probe=probe, top_k=K, centroid_score_threshold=threshold)
-    return search.staged(_rebuilt(spark, sf), assigned, codec.inverted_lists(assigned), _centroids(spark, sf), query_tokens(spark, sf), p)
+    return search.staged(codec.reconstruct(coded, centroids, weights), coded, codec.inverted_lists(coded), centroids, query_tokens(spark, sf), p)
 
 
 @query(f"WITH {STAGES}, {_approximate_sql(None)} {TOP}")
@@ -966,12 +968,11 @@ def kmeans_search(spark, sf):
     t = tokens(spark, sf)
     k = codec.partitions_for(t.count())
     c = codec.kmeans_centroids(t, k)
-    assigned = codec.assign(t, c)
-    rest = codec.residuals(assigned, c)
+    rest = checkpointed(codec.residuals(codec.assign(t, c), c))
     edges, weights = codec.cutoffs(rest, 4)
     rebuilt = codec.reconstruct(codec.codes(rest, edges), c, weights)
     p = SearchParameters(n_full_scores=4096, n_ivf_probe=k, top_k=K, centroid_score_threshold=None)
-    return search.staged(rebuilt, assigned, codec.inverted_lists(assigned), c, query_tokens(spark, sf), p)
+    return search.staged(rebuilt, rest, codec.inverted_lists(rest), c, query_tokens(spark, sf), p)
 
 
 @query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type")
