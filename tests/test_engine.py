@@ -442,3 +442,17 @@ def test_cutoffs_of_an_index_of_over_a_million_numbers_are_exact(spark, tmp_path
     want = rest.agg(F.percentile("x", F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75)])).alias("c"), F.percentile("x", F.array(*[F.lit(p) for p in (0.125, 0.375, 0.625, 0.875)])).alias("w")).first()
     assert (index.meta["cutoffs"], index.meta["weights"]) == tuple(want)
     assert not (tmp_path / "i" / "v0" / "residuals").exists()
+
+
+def test_probing_all_lists_ranks_nothing(spark):
+    r = np.random.default_rng(2)
+    unit = [(i // 4, i % 4, (v / np.linalg.norm(v)).tolist()) for i, v in enumerate(r.standard_normal((80, 8)))]
+    d = spark.createDataFrame(unit, "doc_id long, token_pos int, v array<double>")
+    q = d.where("doc_id < 3").select(F.col("doc_id").alias("query_id"), F.col("token_pos").alias("qtok"), F.when(F.col("doc_id") == 1, F.transform("v", lambda x: F.lit(0.0))).otherwise(F.col("v")).alias("v"))
+    c = codec.every_nth(d, 8)
+    lists = codec.inverted_lists(codec.assign(d, c))
+    scorer, ids = search.scorer_of(c, q)
+    found = search.probe(c, scorer, lists, len(ids))
+    assert sorted(map(tuple, search.pairs(found, scorer).collect())) == [(i, j) for i in (0, 2) for j in range(20)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan

@@ -30,6 +30,10 @@ def scorer_of(centroids: DataFrame, queries: DataFrame) -> tuple[Scorer, np.ndar
 def probe(centroids: DataFrame, scorer: Scorer, lists: DataFrame, n_probe: int) -> DataFrame:
     """doc_id and qs, the places of the queries whose candidate it is: documents in the lists of each query token's best centroids."""
     matrix, spans = scorer.matrix, scorer.spans()
+    listed = lists.select("centroid_id", "doc_ids")
+    if n_probe >= len(scorer.encoder.centroids):  # every list of a known centroid, for every query: nothing to rank
+        own = listed.join(centroids.select("centroid_id"), "centroid_id", "left_semi").select(F.explode("doc_ids").alias("doc_id")).distinct()
+        return own.select("doc_id", F.sequence(F.lit(0), F.lit(len(spans) - 1)).alias("qs"))
     owner = np.repeat(np.arange(len(spans), dtype=np.int32), [b - a for a, b in spans])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,7 +51,7 @@ def probe(centroids: DataFrame, scorer: Scorer, lists: DataFrame, n_probe: int)
     w = Window.partitionBy("row").orderBy(F.desc("s"), "centroid_id")
     best = near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n_probe)
     probed = best.groupBy("centroid_id").agg(F.collect_set("q").alias("qs"))
-    found = probed.join(lists.select("centroid_id", "doc_ids"), "centroid_id").select(F.explode("doc_ids").alias("doc_id"), "qs")
+    found = probed.join(listed, "centroid_id").select(F.explode("doc_ids").alias("doc_id"), "qs")
     return found.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("qs"))).alias("qs"))
 
 
