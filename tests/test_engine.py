@@ -456,3 +456,27 @@ def test_probing_all_lists_ranks_nothing(spark):
     assert sorted(map(tuple, search.pairs(found, scorer).collect())) == [(i, j) for i in (0, 2) for j in range(20)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_set" not in plan
+
+
+def test_many_query_tokens_are_no_columns_of_a_plan(spark, monkeypatch):
+    """Same scores as by columns, ties by rounding and a query of zeros included; the plan does not grow with the query tokens."""
+    rng = np.random.default_rng(5)
+    unit = lambda x: (x / np.linalg.norm(x)).tolist()
+    rows = [(d, p, unit(rng.normal(size=4))) for d in range(60) for p in range(1 + d % 5)]
+    rows += [(60 + i, p, [x + i * 1e-9 for x in v]) for i in range(9) for _, p, v in rows[-5:]]
+    documents = spark.createDataFrame(rows, "doc_id long, token_pos int, v array<double>").repartition(3)
+    asked = [(q, t, unit(rng.normal(size=4))) for q in (3, 7, 9) for t in range(1 + q % 4)] + [(5, 0, [0.0] * 4)] + [(11, p, v) for _, p, v in rows[-5:]]
+    queries = spark.createDataFrame(asked, "query_id long, qtok int, v array<double>")
+    seen = spark.createDataFrame([(3, 4), (3, 64), (7, 8)], "query_id long, doc_id long")
+    calls = [lambda: score.maxsim(documents, queries), lambda: score.search_exact(documents, queries, 5), lambda: score.search_exact(documents, queries, 2, seen)]
+    by_columns = [sorted(map(tuple, f().collect())) for f in calls]
+    assert len(by_columns[0]) == 5 * 69 and len(by_columns[1]) == 25
+    monkeypatch.setattr(score, "COLUMNS", 3)
+    assert [sorted(map(tuple, f().collect())) for f in calls] == by_columns
+    with pytest.raises(Exception, match="dimension|Dimension"):
+        score.maxsim(spark.createDataFrame([(0, 0, [1.0, 2.0])], "doc_id long, token_pos int, v array<double>"), queries).collect()
+    many = spark.createDataFrame([(i // 8, i % 8, unit(rng.normal(size=4))) for i in range(2400)], "query_id long, qtok int, v array<double>")
+    monkeypatch.undo()
+    wide = score.search_exact(documents, many, 5)
+    assert wide._jdf.queryExecution().optimizedPlan().toString().count("max(") == 0
+    assert wide.count() == 300 * 5

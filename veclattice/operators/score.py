@@ -2,7 +2,8 @@
 
 Query tokens are few and travel with the plan once their number is checked;
 document tokens are scored where they lie, in Arrow batches by one matrix
-product, reduced to each document's best before anything is shuffled.
+product, reduced to each document's best before anything is shuffled.  Where
+query tokens are many, a document's vectors meet in one row instead.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ QUERY_BLOCK = 4_000_000
 #: Numbers of one block of products.
 BLOCK = 1_000_000
 DECIMALS = 6
+#: Query tokens up to which a document's best products are columns of a plan; of more they would outgrow its vectors.
+COLUMNS = 256
 
 
 def unit_tokens(tokens: DataFrame) -> DataFrame:
@@ -78,11 +81,56 @@ def token_best(documents: DataFrame, block: QueryBlock) -> DataFrame:
     return documents.select("doc_id", "v").mapInArrow(run, "doc_id long, best array<double>")
 
 
-def maxsim(documents: DataFrame, queries: DataFrame | QueryBlock, subset: DataFrame | None = None) -> DataFrame:
+def whole_scores(documents: DataFrame, block: QueryBlock, keep: int | None = None) -> DataFrame:
+    """query_id, doc_id and score, for many query tokens: products are made in blocks of whole documents.
+
+    keep: of each part's documents only those that may be among a query's so many best, whatever rounding does to ties.
+    """
+    matrix, dim, ids = block.matrix, block.dim, np.array(block.ids, dtype=np.int64)
+    sizes = np.array([block.real_rows[i] for i in block.ids], dtype=np.int64)
+    starts = np.searchsorted(block.query, ids)
+
+    def sums(v: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Document x query; a query's products are added in the order of its tokens."""
+        best = np.maximum.reduceat(v @ matrix.T, np.concatenate([[0], np.cumsum(counts)[:-1]]), axis=0)
+        out = np.zeros((len(counts), len(ids)))
+        for t in range(sizes.max()):
+            own = np.flatnonzero(sizes > t)
+            out[:, own] += best[:, starts[own] + t]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, rows = max(1, BLOCK // len(matrix)), max(1, BLOCK // len(ids))
+        for part in (b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows)):
+            ends = np.cumsum(part.column(1).to_numpy())
+            scores, at = np.zeros((part.num_rows, len(ids))), 0
+            while at < part.num_rows:
+                before = ends[at - 1] if at else 0
+                to = max(at + 1, int(np.searchsorted(ends, before + tokens, "right")))
+                counts = np.diff(ends[at:to], prepend=before)
+                flat = part.column(2).slice(at, to - at).flatten().to_numpy(zero_copy_only=False)
+                if len(flat) != dim * counts.sum():
+                    raise DimensionMismatch(dim, len(flat) // max(1, counts.sum()))
+                scores[at:to] = sums(flat.reshape(-1, dim), counts)
+                at = to
+            wanted = np.ones(scores.shape, dtype=bool)
+            if keep and keep < len(scores):
+                # two scores that round to the same number are nearer than two of its last decimals
+                wanted = ~(scores < np.partition(scores, -keep, axis=0)[-keep] - 2 * 10.0**-DECIMALS)
+            d, q = np.nonzero(wanted)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), part.column(0).take(pa.array(d)), pa.array(scores[d, q])], ["query_id", "doc_id", "score"])
+
+    own = documents.select("doc_id", V.doubles("v").alias("v")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.flatten(F.collect_list("v")).alias("v"))
+    rows = own.select(F.col("doc_id").cast("long").alias("doc_id"), "n", "v").mapInArrow(run, "query_id long, doc_id long, score double")
+    return rows.select("query_id", "doc_id", F.round("score", DECIMALS).alias("score"))
+
+
+def maxsim(documents: DataFrame, queries: DataFrame | QueryBlock, subset: DataFrame | None = None, keep: int | None = None) -> DataFrame:
     """query_id, doc_id and score: the sum over query tokens of the greatest product.
 
     documents: doc_id, v (one row a token).  subset(query_id, doc_id): the
     documents that a query may see; queries that it does not list see all.
+    keep: documents that cannot be among a query's so many best may be left out.
     """
     block = queries if isinstance(queries, QueryBlock) else QueryBlock(queries)
     if subset is not None:
@@ -90,8 +138,10 @@ def maxsim(documents: DataFrame, queries: DataFrame | QueryBlock, subset: DataFr
         listed = {r[0] for r in subset.select("query_id").where(F.col("query_id").isin(block.ids)).distinct().collect()}
         if listed == set(block.ids):
             documents = documents.join(subset.where(F.col("query_id").isin(block.ids)).select("doc_id").distinct(), "doc_id", "left_semi")
-    best = token_best(documents, block)
     width = len(block.query)
+    if width > COLUMNS:
+        return restrict(whole_scores(documents, block, keep if subset is None else None), subset)
+    best = token_best(documents, block)
     merged = best.groupBy("doc_id").agg(*[F.max(F.get("best", F.lit(k))).alias(f"b{k}") for k in range(width)])
     sums = []
     for i in block.ids:
@@ -115,7 +165,7 @@ def top_k(scores: DataFrame, k: int) -> DataFrame:
 
 
 def search_exact(documents: DataFrame, queries: DataFrame, k: int, subset: DataFrame | None = None) -> DataFrame:
-    return top_k(maxsim(documents, queries, subset), k)
+    return top_k(maxsim(documents, queries, subset, k), k)
 
 
 def interaction_matrix(documents: DataFrame, queries: DataFrame) -> DataFrame:
