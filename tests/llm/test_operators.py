@@ -164,6 +164,29 @@ def test_decontamination_shuffled(spark, monkeypatch):
     assert sorted(map(tuple, decontaminate.overlaps(d, b).collect())) == want and want
 
 
+def test_decontamination_moves_hits_only(spark, monkeypatch):
+    """More seeds than are broadcast whole: a position meets codes alone before it is shuffled, in one pass over the documents or several."""
+    d, b = table(spark, SF, "documents"), table(spark, SF, "benchmark")
+    want = sorted(map(tuple, decontaminate.overlaps(d, b).collect()))
+    monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", 0)
+    for most, several in ((1_000_000, False), (1_500, True)):
+        monkeypatch.setattr(decontaminate, "MARKED", most, raising=False)
+        got = decontaminate.overlaps(d, b)
+        assert sorted(map(tuple, got.collect())) == want
+        passes = got._jdf.queryExecution().optimizedPlan().toString().count("Join LeftSemi")
+        assert passes > 1 if several else passes == 1
+
+
+def test_decontamination_equal_items(spark, monkeypatch):
+    """Items of the same tokens are looked for once, and each of their ids has its rows."""
+    b = spark.createDataFrame([(1, "one two three four five six"), (2, "One, two three four five six!"), (2, "q1 q2 q3 q4 q5 q6 q7 q8 q9"), (7, "one two three four five six")], "item_id long, text string")
+    d = spark.createDataFrame([(5, "x one two three four five six y"), (6, "nothing")], "doc_id long, text string")
+    made, rows = decontaminate.seeds, []
+    monkeypatch.setattr(decontaminate, "seeds", lambda *a: rows.append(made(*a)) or rows[0])
+    assert sorted(map(tuple, decontaminate.overlaps(d, b).collect())) == [(5, 1, 6, 6, 1), (5, 2, 6, 6, 1), (5, 7, 6, 6, 1)]
+    assert rows[0].count() == 2 + 3
+
+
 def test_decontamination_odd(spark, odd, none):
     items = table(spark, SF, "benchmark")
     assert decontaminate.overlaps(odd, items).count() == 0

@@ -14,9 +14,11 @@ tolerated.  So no overlap is missed.
 Tokens are runs of letters and digits, lower-cased.  All of it is built-in
 functions: positions are exploded, hashed and probed inside one generated
 stage, and neither texts nor their tokens are shuffled unless the benchmark
-outgrows BROADCAST_SEEDS.  Then seeds and positions meet in a shuffled join,
-and hits fetch the tokens around them from the documents' codes, cut into
-segments, so no document's whole array is ever copied.
+outgrows BROADCAST_SEEDS.  Then the codes of the seeds alone are broadcast, and
+the positions that have one, with the tokens around them, meet the seeds in a
+shuffled join; more codes than MARKED take further passes over the documents.
+No document's whole array is ever copied, and no position is shuffled that
+hits nothing.
 
 Defined results: null and empty texts and items overlap nothing; items of 3
 to 5 tokens overlap only as they stand, shorter ones never; repeated rows give
@@ -36,8 +38,8 @@ SHORT = (3, 4, 5)
 MIDDLE = {8: ((0, 2, 4), (0, 1)), 12: ((0, 3, 6), (0, 1, 2))}
 #: Seeds that are broadcast, each with 25 codes: at most 30 MB.
 BROADCAST_SEEDS = 100_000
-#: Tokens of a segment of a document's codes.
-SEGMENT = 64
+#: Codes of seeds that are broadcast in a pass over the documents when there are more seeds: at most about 60 MB.
+MARKED = 1_000_000
 
 TOKEN = r"[\p{L}\p{N}]+"
 
@@ -57,51 +59,50 @@ def hash_of(mask: tuple[int, ...]) -> int:
 
 
 def seeds(items: DataFrame, masks: tuple[tuple[int, ...], ...] = MASKS) -> DataFrame:
-    """seed, item_id, item (a hash of its tokens), j (its place in the item), the token codes around it and the tokens of a window."""
-    rows = items.where("text is not null").select("item_id", _codes("text").alias("g")).where(f"size(g) >= {min(SHORT)}")
+    """seed, item, j (its place in the item), the token codes around it and the tokens of a window, of items(item, g): their token codes."""
     parts = []
-    at = rows.where(f"size(g) > {max(MIDDLE)}")
+    at = items.where(f"size(g) > {max(MIDDLE)}")
     for mask in masks:
-        parts.append(at.select("item_id", "g", F.expr(f"explode(sequence(0, size(g) - {mask[-1] + 1}))").alias("j")).select(F.expr(_seed("g", "j", mask)).alias("seed"), "item_id", "j", "g"))
+        parts.append(at.select("item", "g", F.expr(f"explode(sequence(0, size(g) - {mask[-1] + 1}))").alias("j")).select(F.expr(_seed("g", "j", mask)).alias("seed"), "item", "j", "g"))
     least = max(SHORT)
     for most, (mask, places) in MIDDLE.items():
-        at = rows.where(f"size(g) > {least} and size(g) <= {most}").select("item_id", "g", F.explode(F.array(*map(F.lit, places))).alias("j"))
-        parts.append(at.select(F.expr(_seed("g", "j", mask)).alias("seed"), "item_id", "j", "g"))
+        at = items.where(f"size(g) > {least} and size(g) <= {most}").select("item", "g", F.explode(F.array(*map(F.lit, places))).alias("j"))
+        parts.append(at.select(F.expr(_seed("g", "j", mask)).alias("seed"), "item", "j", "g"))
         least = most
     for n in SHORT:
-        parts.append(rows.where(f"size(g) = {n}").select(F.expr(_seed("g", "0", tuple(range(n)))).alias("seed"), "item_id", F.lit(0).alias("j"), "g"))
+        parts.append(items.where(f"size(g) = {n}").select(F.expr(_seed("g", "0", tuple(range(n)))).alias("seed"), "item", F.lit(0).alias("j"), "g"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     around = F.expr(f"transform(sequence({1 - WINDOW}, {WINDOW - 1}), d -> get(g, j + d))")
-    return out.select("seed", "item_id", F.xxhash64("g").alias("item"), "j", around.alias("around"), F.least(F.lit(WINDOW), F.size("g")).alias("w"))
+    return out.select("seed", "item", "j", around.alias("around"), F.least(F.lit(WINDOW), F.size("g")).alias("w"))
 
 
 def overlaps(docs: DataFrame, items: DataFrame, masks: tuple[tuple[int, ...], ...] = MASKS) -> DataFrame:
     """doc_id, item_id, matched (equal tokens of the best window), window (its tokens) and first_token (where the item would begin, at its first place)."""
-    wanted = seeds(items, masks)
-    # small benchmarks are broadcast, by count; others meet the documents in a shuffled join
+    # items of the same tokens are one until their ids are wanted
+    named = items.where("text is not null").select("item_id", _codes("text").alias("g")).where(f"size(g) >= {min(SHORT)}").withColumn("item", F.xxhash64("g"))
+    wanted = seeds(named.groupBy("item").agg(F.any_value("g").alias("g")), masks)
+    # small benchmarks are broadcast, by count; of others the codes alone
     n, short, long_ = wanted.agg(F.count(F.lit(1)), F.min("w"), F.max("w")).first()
     kinds = _kinds(short or 0, long_ or 0, masks)
     r = WINDOW - 1
     at = docs.select("doc_id", _codes("text").alias("h"))
-    if n <= BROADCAST_SEEDS:
-        at = at.select("doc_id", "h", F.explode(F.expr("case when size(h) > 0 then sequence(0, size(h) - 1) end")).alias("i"))
-        at = at.select("doc_id", "h", "i", F.explode(F.array(*[F.expr(_seed("h", "i", m)) for m in kinds])).alias("seed"))
-        hits = at.join(F.broadcast(wanted), "seed")
-        # Only the tokens around a hit leave the generated stage, never a document's whole array.  That `near`
-        # is read twice keeps the two projections apart, of which the second is not generated code.
-        near = F.expr(f"slice(h, greatest(i - {r}, 0) + 1, {2 * r + 1})")
-        hits = hits.select("doc_id", "item_id", "w", "around", (F.col("i") - F.col("j")).alias("first"), F.least("i", F.lit(r)).alias("lead"), near.alias("near"))
-    else:
-        hits = _shuffled_hits(docs, wanted, kinds)
+    at = at.select("doc_id", "h", F.explode(F.expr("case when size(h) > 0 then sequence(0, size(h) - 1) end")).alias("i"))
+    at = at.select("doc_id", "h", "i", F.explode(F.array(*[F.expr(_seed("h", "i", m)) for m in kinds])).alias("seed"))
+    # Only the tokens around a hit leave the generated stage, never a document's whole array.  That `near`
+    # is read twice keeps the two projections apart, of which the second is not generated code.
+    near = F.expr(f"slice(h, greatest(i - {r}, 0) + 1, {2 * r + 1})")
+    hits = at.join(F.broadcast(wanted), "seed").withColumn("near", near) if n <= BROADCAST_SEEDS else _marked_hits(at, wanted, n, near)
+    hits = hits.select("doc_id", "item", "w", "around", (F.col("i") - F.col("j")).alias("first"), F.least("i", F.lit(r)).alias("lead"), "near")
     same = f"if(size(near) > 0, transform(around, (g, k) -> if(coalesce(get(near, k - {r} + lead) = g, false), 1, 0)), null)"
     best = f"array_max(transform(sequence(1, {2 * r + 2} - w), s -> aggregate(slice(same, s, w), 0, (a, x) -> a + x)))"
-    hits = hits.select("doc_id", "item_id", "w", "first", F.expr(same).alias("same")).select("doc_id", "item_id", "w", "first", F.expr(best).alias("best"))
+    hits = hits.select("doc_id", "item", "w", "first", F.expr(same).alias("same")).select("doc_id", "item", "w", "first", F.expr(best).alias("best"))
     enough = F.expr(f"best >= w - floor({TOLERATED} * w / {WINDOW}) and (w > {max(SHORT)} or best = w)")
     # filtered after the sums: a filter before them would move into the join and out of generated code
     sums = [F.max(F.when(enough, F.col("best"))).cast("long").alias("matched"), F.max("w").cast("long").alias("window"), F.min(F.when(enough, F.col("first"))).cast("long").alias("first_token")]
-    return hits.groupBy("doc_id", "item_id").agg(*sums).where("matched is not null")
+    found = hits.groupBy("doc_id", "item").agg(*sums).join(named.select("item_id", "item").distinct(), "item")
+    return found.groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.max("window").alias("window"), F.min("first_token").alias("first_token")).where("matched is not null")
 
 
 def _kinds(shortest: int, longest: int, masks: tuple[tuple[int, ...], ...]) -> list[tuple[int, ...]]:
@@ -111,22 +112,14 @@ def _kinds(shortest: int, longest: int, masks: tuple[tuple[int, ...], ...]) -> l
     return kinds + [tuple(range(k)) for k in SHORT if shortest <= k] or [*masks]
 
 
-def _shuffled_hits(docs: DataFrame, wanted: DataFrame, kinds: list[tuple[int, ...]]) -> DataFrame:
-    """The hits with the tokens around them, from a shuffled join of positions and seeds by seed alone."""
-    r = WINDOW - 1
-    # rows of one doc_id and text are one
-    rows = docs.select("doc_id", F.xxhash64("text").alias("name"), _codes("text").alias("h"))
-    at = rows.select("doc_id", "name", "h", F.explode(F.expr("case when size(h) > 0 then sequence(0, size(h) - 1) end")).alias("i"))
-    at = at.select("doc_id", "name", "i", F.explode(F.array(*[F.expr(_seed("h", "i", m)) for m in kinds])).alias("seed"))
-    hits = at.join(wanted.select("seed", "item_id", "item", "j"), "seed").drop("seed").distinct().withColumn("s", F.expr(f"i div {SEGMENT}"))
-    parts = rows.select("doc_id", "name", "h", F.explode(F.expr(f"case when size(h) > 0 then sequence(0, (size(h) - 1) div {SEGMENT}) end")).alias("s"))
-    start = f"greatest(cast(s as int) * {SEGMENT} - {r}, 0)"
-    parts = parts.select("doc_id", "name", "s", F.expr(f"slice(h, {start} + 1, {SEGMENT + 2 * r})").alias("part")).dropDuplicates(["doc_id", "name", "s"])
-    hits = hits.alias("x").join(parts.alias("y"), F.expr("x.doc_id <=> y.doc_id and x.name = y.name and x.s = y.s")).select("x.*", "y.part")
-    near = F.expr(f"slice(part, greatest(i - {r}, 0) - {start} + 1, {2 * r + 1})")
-    hits = hits.select("doc_id", "item_id", "item", "j", (F.col("i") - F.col("j")).alias("first"), F.least("i", F.lit(r)).alias("lead"), near.alias("near"))
-    around = wanted.select("item", "j", "w", "around").dropDuplicates(["item", "j"])
-    return hits.join(around, ["item", "j"]).select("doc_id", "item_id", "w", "around", "first", "lead", "near")
+def _marked_hits(at: DataFrame, wanted: DataFrame, n: int, near: Column) -> DataFrame:
+    """The hits of n seeds with the tokens around them: positions of a seed's code are found by broadcast codes, MARKED a pass, and alone meet the seeds."""
+    codes, passes, found = wanted.select("seed").distinct(), max(1, -(-n // MARKED)), None
+    for k in range(passes):
+        own = codes if passes == 1 else codes.where(F.pmod(F.xxhash64("seed"), F.lit(passes)) == k)
+        part = at.join(F.broadcast(own), "seed", "left_semi").select("doc_id", "seed", "i", near.alias("near"))
+        found = part if found is None else found.unionByName(part)
+    return found.join(wanted, "seed")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
