@@ -250,3 +250,49 @@ def test_counts_of_texts_are_those_of_their_rows(spark):
     one = Counting()
     twice = np.vstack([one.encode(["x", "y", "x"]), one.encode(["y", "x"])])
     assert Counting.hashed == ["x", "y"] and (twice == encode.HashEncoder._hashed(["x", "y", "x", "y", "x"])).all()
+
+
+def test_many_query_tokens_are_multiplied():
+    """Thousands of query tokens are few tiles, whose look-up tables are never made."""
+    r = np.random.default_rng(1)
+    matrix = r.standard_normal((2400, 64))
+    encoder = packed.Encoder(r.standard_normal((50, 64)), [], r.standard_normal(256), 8)
+    scorer = packed.Scorer.of(list(range(300)), np.repeat(np.arange(300), 8), matrix, encoder)
+    tiles = [t for _, t in scorer.tiles()]
+    assert len(tiles) == 6 and sum(len(t.ids) for t in tiles) == 300
+    best, data, lengths = r.integers(0, 50, 9), r.integers(0, 256, (9, 64)).astype(np.uint8), r.random(9) + 0.5
+    got = np.hstack([t.products(best, data, lengths) for t in tiles])
+    assert np.allclose(got, scorer.lookup.shape[2] and np.hstack([packed.tables(m, encoder.weights, 8)[np.arange(64)[:, None], data.T].sum(0) + encoder.centroids[best] @ m.T for m in np.array_split(matrix, 6)]) / lengths[:, None])
+    assert not any("lookup" in t.__dict__ for t in tiles)
+
+
+def test_nearest_as_rounded_products():
+    """Equal and nearly equal products, in one block of centroids or two: the first of the greatest after rounding."""
+    r = np.random.default_rng(2)
+    matrix = np.round(r.standard_normal((packed.SIDE * 2 + 7, 3)), 1)
+    matrix[packed.SIDE + 5] = matrix[3] = [9.0, 9.0, 9.0]
+    matrix[packed.SIDE * 2 + 1] = [9.0 + 1e-10, 9.0, 9.0]
+    v = np.vstack([np.ones((1, 3)), np.zeros((1, 3)), np.round(r.standard_normal((500, 3)), 1)])
+    assert (packed.nearest(v, matrix) == np.round(v @ matrix.T, 9).argmax(1)).all() and packed.nearest(v, matrix)[0] == 3
+
+
+def test_hopeless_probes_score_nothing(spark, tmp_path, monkeypatch):
+    """Where what was not probed could have any score at all, no list is read and no document scored before all are; results stay."""
+    r = np.random.default_rng(3)
+    rows = [(d, t, r.standard_normal(32).tolist()) for d in range(60) for t in range(4)]
+    index = SegmentIndex.create(spark, f"{tmp_path}/i", frame(spark, rows), replace(CONFIG, nbits=8))
+    queries = spark.createDataFrame([(q, t, rows[4 * q + t][2]) for q in range(3) for t in range(4)], "query_id long, qtok int, v array<double>")
+    probed, real = [], SegmentIndex.candidates
+    monkeypatch.setattr(SegmentIndex, "candidates", lambda *a: probed.append(a) or real(*a))
+    got, report = index.certified(queries, 5, probes=2)
+    assert hits(got) == exact(spark, rows, queries) and not probed
+    assert {r["probes"] for r in report} == {30} and {r["candidates"] for r in report} == {60}
+
+
+def test_norm_once(spark):
+    """A vector's norm is one sum, not one for each component."""
+    from veclattice.functions import vectors as V
+
+    unit = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,), ([],)], "v array<double>").select(V.normalize(F.col("v")).alias("v"))
+    assert [r[0] for r in unit.collect()] == [[0.6, 0.8], [0.0, 0.0], None, []]
+    assert unit._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1

@@ -24,10 +24,14 @@ def norm(v: Column) -> Column:
 
 def normalize(v: Column, eps: float = 1e-12, zero_policy: str = "keep") -> Column:
     """v / |v|; at a norm of at most eps v as it is ("keep"), or, for a norm of 0, zeros ("zero")."""
-    n = norm(v)
-    if zero_policy == "zero":
-        return F.when(n == 0, F.transform(v, lambda x: F.lit(0.0))).otherwise(F.transform(v, lambda x: x / n))
-    return F.when(n <= eps, v).otherwise(F.transform(v, lambda x: x / n))
+
+    def by(n: Column) -> Column:
+        if zero_policy == "zero":
+            return F.when(n == 0, F.transform(v, lambda x: F.lit(0.0))).otherwise(F.transform(v, lambda x: x / n))
+        return F.when(n <= eps, v).otherwise(F.transform(v, lambda x: x / n))
+
+    # the norm is computed once: inside of the function of a component it would be for each
+    return F.transform(F.array(norm(v)), by)[0]
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -3,7 +3,9 @@
 A code of nbits is stored in as many bits, so a byte holds 8 / nbits components
 of a token.  A query token's product with a de-quantised token is its product
 with the centroid plus one looked-up sum for each byte, divided by the length
-of the de-quantised vector; nothing is rebuilt.
+of the de-quantised vector; nothing is rebuilt.  Where query tokens are more
+than one block of look-up tables holds, a block of tokens is rebuilt and
+multiplied instead: a sum for each byte and pair would cost far more than that.
 """
 
 from __future__ import annotations
@@ -17,10 +19,14 @@ import pyarrow as pa
 
 #: Numbers of one block of products or of one set of look-up tables, whatever the number of centroids and queries.
 PRODUCTS = 1_000_000
+#: Query tokens of a tile whose products are made with rebuilt tokens.
+TILE = 400
 #: Tokens among which equal vectors are sought.
 PART = 32_768
+#: Rows of the other side that a block of products takes at a time, and the distance within which rounding may make products equal or turn them.
+SIDE, NEARLY = 2048, 2e-9
 #: Pairs of a document and a query that a task holds at a time.
-PAIRS = 100_000
+PAIRS = 400_000
 
 
 def nearest(v: np.ndarray, matrix: np.ndarray) -> np.ndarray:
@@ -32,14 +38,32 @@ def nearest(v: np.ndarray, matrix: np.ndarray) -> np.ndarray:
     for i in range(0, len(v), PART):
         x = np.ascontiguousarray(v[i : i + PART])
         _, first, where = np.unique(x.view(np.dtype((np.void, x.itemsize * x.shape[1]))).ravel(), return_index=True, return_inverse=True)
-        x, out, room = x[first], np.zeros(len(first), dtype=np.int64), max(1, PRODUCTS // max(1, len(matrix)))
+        x, out = x[first], np.zeros(len(first), dtype=np.int64)
+        room = max(1, PRODUCTS // max(1, min(len(matrix), SIDE)))
         for j in range(0, len(x), room):
-            products = x[j : j + room] @ matrix.T
-            out[j : j + room] = np.round(products, 9, out=products).argmax(1)
+            out[j : j + room] = _greatest(x[j : j + room], matrix)
         parts.append(out[where])
     return np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
 
 
+def _greatest(x: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """The row of greatest rounded product of each of x: rounding decides only among products that are nearly equal."""
+    best, top, close = np.zeros(len(x), dtype=np.int64), np.full(len(x), -np.inf), np.zeros(len(x), dtype=bool)
+    for c in range(0, len(matrix), SIDE):
+        products = x @ matrix[c : c + SIDE].T
+        at = products.argmax(1)
+        here = products[np.arange(len(x)), at]
+        # or not a number
+        close |= ((products >= (here - NEARLY)[:, None]).sum(1) != 1) | (np.abs(here - top) <= NEARLY)
+        more = here > top
+        best[more], top[more] = at[more] + c, here[more]
+    again, room = np.flatnonzero(close), max(1, PRODUCTS // max(1, len(matrix)))
+    for k in range(0, len(again), room):
+        products = x[again[k : k + room]] @ matrix.T
+        best[again[k : k + room]] = np.round(products, 9, out=products).argmax(1)
+    return best
+
+
 def pack(codes: np.ndarray, nbits: int) -> np.ndarray:
     """Rows of codes as rows of bytes, first component in the highest bits; the last byte is filled with zeros."""
     per = 8 // nbits
@@ -113,14 +137,22 @@ class Scorer:
     def lookup(self) -> np.ndarray:
         return tables(self.matrix, self.encoder.weights, self.encoder.nbits)
 
+    @property
+    def tabled(self) -> int:
+        """Query tokens whose look-up tables fit in one block."""
+        width = self.matrix.shape[1] if self.matrix.ndim == 2 else 1
+        return max(1, PRODUCTS // (256 * -(-width * self.encoder.nbits // 8)))
+
     def spans(self) -> list[tuple[int, int]]:
         """The rows of each query."""
         return list(zip(self.starts, [*self.starts[1:], len(self.lengths)], strict=True))
 
     def tiles(self) -> Iterator[tuple[int, Scorer]]:
-        """Scorers of consecutive queries whose look-up tables fit in one block, with the place of their first; a longer query is alone."""
-        width = self.matrix.shape[1] if self.matrix.ndim == 2 else 1
-        room = max(1, PRODUCTS // (256 * -(-width * self.encoder.nbits // 8)))
+        """Scorers of consecutive queries, with the place of their first; a longer query is alone.
+
+        All queries are one tile if their look-up tables fit in one block; else a tile has TILE tokens.
+        """
+        room = self.tabled if len(self.lengths) <= self.tabled else max(self.tabled, TILE)
         first, spans = 0, self.spans()
         for k in range(1, len(spans) + 1):
             if k == len(spans) or spans[k][1] - spans[first][0] > room:
@@ -172,6 +204,8 @@ class Scorer:
 
     def products(self, best: np.ndarray, packed: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Token x query token."""
+        if len(self.lengths) > self.tabled:
+            return self.encoder.decode(best, packed, length) @ self.matrix.T
         out = self.encoder.centroids[best] @ self.matrix.T
         for p in range(packed.shape[1]):
             out += self.lookup[p][packed[:, p]]

@@ -241,7 +241,9 @@ class SegmentIndex(VectorIndex):
 
     @staticmethod
     def _by_part(rows: DataFrame, part: str, *order: str):
-        return rows.repartition(part).sortWithinPartitions(part, *order).write.partitionBy(part)
+        # the number is named: parts are many small files, and few bytes would else be one task's
+        tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return rows.repartition(tasks, part).sortWithinPartitions(part, *order).write.partitionBy(part)
 
     def _finish_segment(self, seg: str, n_docs: int, batches: list[str]) -> dict:
         """Lists, reach and survivors of a segment whose documents are written."""
@@ -251,7 +253,8 @@ class SegmentIndex(VectorIndex):
         # a posting holds one block's documents at most, however common the centroid
         lists = near.groupBy("centroid_id", "block").agg(F.array_sort(F.collect_list(F.struct("doc", "r"))).alias("x")).select(F.expr(f"cast(centroid_id div {bucket} as int)").alias("bucket"), "centroid_id", "block", F.col("x.doc").alias("docs"), F.col("x.r").alias("reach"))
         self._by_part(lists, "bucket", "centroid_id", "block").parquet(f"{self.path}/lists/seg={seg}")
-        reach = self._read("lists", LISTS, [{"seg": seg}]).groupBy("centroid_id").agg(F.max(F.array_max("reach")).alias("reach"))
+        # from the documents: there are far more files of lists
+        reach = near.groupBy("centroid_id").agg(F.max("r").alias("reach"))
         reach.write.parquet(f"{self.path}/reach/seg={seg}")
         fresh = self.spark.range(0, -(-n_docs // block)).select(F.col("id").cast("int").alias("block"), F.least(F.lit(block), n_docs - F.col("id") * block).cast("int").alias("n"), (F.col("id") * block).alias("before"), F.lit(None).cast("array<bigint>").alias("words"))
         fresh.coalesce(max(1, n_docs // block // 4096)).write.parquet(f"{self.path}/alive/seg={seg}/state=0")
@@ -468,7 +471,8 @@ class SegmentIndex(VectorIndex):
     def _all(self, queries: list[int], scorer: Scorer, subset: DataFrame | None) -> DataFrame:
         """Like candidates of queries that probe all lists, with the documents' own columns; no list is read."""
         rows = self.placed(self._read("docs", DOCS)).withColumn("qs", F.lit(queries).cast("array<int>"))
-        return self._seen_by(rows, scorer, subset)
+        # small blocks are many small parts of a scan, each of which would get the scorer
+        return self._seen_by(rows.coalesce(max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))), scorer, subset)
 
     def _seen_by(self, rows: DataFrame, scorer: Scorer, subset: DataFrame | None) -> DataFrame:
         """rows whose qs are those that may see the document; queries that subset does not list see all."""
@@ -549,6 +553,21 @@ class SegmentIndex(VectorIndex):
         rows = self.spark.createDataFrame([(q,) for q in queries], "q int").repartition(max(1, min(len(queries), int(self.spark.conf.get("spark.sql.shuffle.partitions")))))
         return rows.mapInArrow(run, "centroid_id int, q int, rest double")
 
+    def _left(self, scorer: Scorer, counts: list[int], radius: np.ndarray) -> dict[tuple[int, int], float]:
+        """Of each query and number of probes, the sum of the best bounds that are not probed, as `_probes` has it."""
+        spans, encoder, matrix, lengths = scorer.spans(), scorer.encoder, scorer.matrix, scorer.lengths
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for q in batch.column(0).to_pylist():
+                    rest = np.zeros(len(counts))
+                    for t in range(*spans[q]):
+                        rest += -np.sort(-(encoder.centroids @ matrix[t] + radius * lengths[t]))[counts]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(counts), q, dtype=np.int32)), pa.array(counts, pa.int32()), pa.array(rest)], ["q", "n", "rest"])
+
+        rows = self.spark.createDataFrame([(q,) for q in range(len(spans))], "q int").repartition(max(1, min(len(spans), int(self.spark.conf.get("spark.sql.shuffle.partitions")))))
+        return {(q, n): rest for q, n, rest in rows.mapInArrow(run, "q int, n int, rest double").collect()}
+
     def _staged(self, scorer: Scorer, params: SearchParameters, subset: DataFrame | None) -> DataFrame:
         probed = self._probes(scorer, list(range(len(scorer.ids))), params.n_ivf_probe).where("centroid_id is not null").groupBy("centroid_id").agg(F.collect_list("q").alias("qs")).persist()
         candidates = self.candidates(probed, scorer, subset)
@@ -571,7 +590,8 @@ class SegmentIndex(VectorIndex):
         A token lies within its distance from its packed form, and within its centroid's reach from the centroid.  So a
         candidate's score is at most the sum of best packed products plus distances; candidates are scored by falling
         bound until the k-th score passes what is left.  A document in no probed list scores at most the sum of the best
-        unprobed bounds; while that could enter the k best, four times as many lists are probed.
+        unprobed bounds; while that could enter the k best, four times as many lists are probed.  Where those bounds reach
+        the greatest score that a query can have, no document is scored for it until more lists are probed.
         """
         if not self.meta["keep_vectors"]:
             raise EngineError("exact scores need an index that keeps vectors")
@@ -595,18 +615,29 @@ class SegmentIndex(VectorIndex):
             return tile.sums(products + part.column(9).flatten().to_numpy()[:, None] * tile.lengths, counts)
 
         coded = ["centroids", "codes", "lengths", "errors"]
-        while open_:
-            n, unseen, held = min(n, lists), {}, []
+        rounds = []
+        while 2 * n <= lists:  # beyond half of the lists, all documents are read as they lie
+            rounds.append(n)
+            n *= 4
+        # no vector is longer than one: a query's score is at most the sum of its tokens' lengths
+        ceiling = np.add.reduceat(scorer.lengths, scorer.starts)
+        left = self._left(scorer, rounds, radius) if rounds else {}
+        for n in [*rounds, lists]:
+            now = [q for q in open_ if n == lists or left[q, n] < ceiling[q]]
+            if not now:
+                continue
+            unseen, held = {}, []
             if n < lists:
-                probed = self._probes(scorer, open_, n, radius).persist()
+                probed = self._probes(scorer, now, n, radius).persist()
                 unseen = dict(probed.where("centroid_id is null").select("q", "rest").collect())
                 wanted = probed.where("centroid_id is not null").groupBy("centroid_id").agg(F.collect_list("q").alias("qs"))
                 seen = self.candidates(wanted, scorer, subset).persist()
                 held, rows = [probed, seen], self._at("docs", DOCS, seen)
             else:
                 # each list is probed by all: the documents are read as they lie
-                seen = rows = self._all(open_, scorer, subset)
-            counts = dict(seen.select(F.explode("qs").alias("q")).groupBy("q").count().collect())
+                seen = rows = self._all(now, scorer, subset)
+            # of documents seen by the same queries one row is left
+            counts = dict(seen.groupBy("qs").count().select(F.explode("qs").alias("q"), "count").groupBy("q").agg(F.sum("count")).collect())
             # bounds are made twice, so that no more of them are kept than lead or reach the floor
             w = Window.partitionBy("q").orderBy(F.desc("score"), "doc_id")
             first = self._scored(rows, coded, upper, scorer, best=2 * k)
@@ -621,7 +652,7 @@ class SegmentIndex(VectorIndex):
             scored = dict(scores.groupBy("q").count().collect())
             ends = dict(scores.withColumn("r", F.row_number().over(w)).where(F.col("r") == k).select("q", "score").collect())
             done = []
-            for q in open_:
+            for q in now:
                 if n >= lists or ends.get(q, -np.inf) - SLACK > unseen[q]:
                     done.append(q)
                     report.append({"query_id": int(scorer.ids[q]), "documents": total, "candidates": counts.get(q, 0), "scored": scored.get(q, 0), "probes": n})
@@ -632,7 +663,7 @@ class SegmentIndex(VectorIndex):
                 out = kept if out is None else out.unionByName(kept)
             for df in (scores, rest, lead, first, *held):
                 df.unpersist()
-            open_, n = [q for q in open_ if q not in done], 4 * n
+            open_ = [q for q in open_ if q not in done]
         return out, report
 
     def _exact(self, pairs: DataFrame, exact: Callable, scorer: Scorer) -> DataFrame:
