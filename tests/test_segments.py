@@ -296,3 +296,25 @@ def test_norm_once(spark):
     unit = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,), ([],)], "v array<double>").select(V.normalize(F.col("v")).alias("v"))
     assert [r[0] for r in unit.collect()] == [[0.6, 0.8], [0.0, 0.0], None, []]
     assert unit._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
+
+
+def test_units_and_rests_to_the_bit(spark):
+    """Unit vectors and residuals made in blocks are those of the SQL functions, with odd rows too; none is made by a function of each component."""
+    from veclattice.functions import vectors as V
+    from veclattice.operators import codec
+
+    r = np.random.default_rng(4)
+    v = [*r.standard_normal((300, 32)).astype(np.float32).tolist(), [0.0] * 32]
+    regular = spark.createDataFrame([(i, 0, x) for i, x in enumerate(v)], KIND)
+    odd = regular.unionByName(spark.createDataFrame([(900, 0, None), (901, 1, []), (902, 0, [3.0, 4.0]), (903, 0, [1.0, None])], KIND))
+    for rows in (regular, odd):
+        want = rows.select("doc_id", "token_pos", V.normalize(F.col("v")).alias("v"))
+        got = codec.units(rows)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+        assert "aggregate(" not in got._jdf.queryExecution().optimizedPlan().toString()
+    ids, matrix = np.arange(7), r.standard_normal((7, 32))
+    unit = codec.units(regular)
+    want = codec.residuals(codec.assign(unit, (ids, matrix)), spark.createDataFrame(codec.centroid_table(matrix), "centroid_id long, v array<double>"))
+    assert sorted(map(repr, (x[0] for x in codec.rests(unit, (ids, matrix)).collect()))) == sorted(map(repr, (x[0] for x in want.select("r").collect())))
+    x = np.array([[0.1234567895, -0.1234567895, 0.0000000005, -1e-12, 0.5000000015]])
+    assert repr(codec._rounded(x)[0].tolist()) == repr(list(spark.createDataFrame(x.tolist(), "a double, b double, c double, d double, e double").select(*[F.round(c, 9) for c in "abcde"]).first()))
